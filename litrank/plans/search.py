@@ -1,0 +1,70 @@
+"""B1: rank catalog items for a whole table of queries at once.
+
+Plan shape (three shuffles on the fact side):
+
+    corpus --tokens--> pairs --bcast(query tokens)--> hits(query_id, pmid)   [shuffle: query_id, pmid]
+    links --pmid--> join hits --> distinct articles -> left join sentiments  [shuffle: pmid]
+          --> per item TP + mean sentiment                                   [shuffle: query, type, item]
+    + counters (A1 over all links), |Q|, names: size-checked lookups
+    --> metrics --> overrides --> p90 window + top-k window                  [shuffle: query, type]
+
+The per-item counter table (A1) is a scan of the whole link table; pass a
+stored one (K4) to skip it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from litrank.constants import TOP_K
+from litrank.operators.aggregates import item_counters, item_metrics, query_size, tp_and_sentiment
+from litrank.operators.containment import search_batch
+from litrank.operators.links import attach_names, restrict_links
+from litrank.operators.rank import apply_overrides, rank_items
+
+METRIC_COLS = ["n_search_item", "n_item", "precision", "recall", "f_0_5", "sentiment",
+               "ranking_score"]
+
+
+def query_hits(corpus: DataFrame, queries: DataFrame, id_col: str = "doi",
+               fields: Sequence[str] | None = None) -> DataFrame:
+    """Q for every query: (query_id, pmid), distinct."""
+    h = search_batch(corpus, queries, id_col=id_col, fields=fields)
+    return h.select("query_id", F.col(id_col).cast("string").alias("pmid"))
+
+
+def score_items(hits: DataFrame, links: DataFrame, sentiments: DataFrame,
+                catalog: DataFrame, counters: DataFrame | None = None) -> DataFrame:
+    """J1 -> A2/A4 (one pass) -> J2 -> J3 -> M6, one row per (query, item)."""
+    if counters is None:
+        counters = item_counters(links)
+    links_q = restrict_links(links.select("pmid", "item_id", "item_type"), hits)
+    per_item = tp_and_sentiment(links_q, sentiments)
+    named = attach_names(per_item, catalog)
+    return item_metrics(named, counters, query_size(hits))
+
+
+def search(queries: DataFrame, corpus: DataFrame, links: DataFrame, sentiments: DataFrame,
+           catalog: DataFrame, counters: DataFrame | None = None, rules: DataFrame | None = None,
+           k: int = TOP_K, id_col: str = "doi", fields: Sequence[str] | None = None,
+           hits: DataFrame | None = None) -> DataFrame:
+    """B1 long form: (query_id, item_type, item_id, name, metrics..., rank).
+
+    ``queries`` has (query_id, query) and optionally ``do_filter`` (default
+    true). ``hits`` may be given (e.g. from the popular-query cache, J9);
+    otherwise the corpus is searched.
+    """
+    if hits is None:
+        hits = query_hits(corpus, queries, id_col, fields)
+    scored = score_items(hits, links, sentiments, catalog, counters)
+    scored = apply_overrides(scored, queries, rules)
+    if "do_filter" in queries.columns:
+        flags = queries.select("query_id", F.coalesce(F.col("do_filter"), F.lit(True)).alias("do_filter"))
+        scored = scored.join(F.broadcast(flags), "query_id")
+        ranked = rank_items(scored, k, "do_filter").drop("do_filter")
+    else:
+        ranked = rank_items(scored, k)
+    return ranked.select("query_id", "item_type", "item_id", "name", *METRIC_COLS, "p90", "rank")
