@@ -50,3 +50,79 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("b1_search")(flagship)
+
+
+# ---------------------------------------------------------------- text
+from litrank.functions import text as TX  # noqa: E402
+from litrank.operators import containment as C  # noqa: E402
+from litrank.operators.sentiment import clean_frame, sentiment_lexicon, stopword_list  # noqa: E402
+
+KEYWORD = "The of"
+
+
+@register("t1_normalize_query")
+def q_t1(spark, sf_dir):
+    a = _fx(spark, sf_dir)["articles"]
+    return a.select("doi", TX.normalize_query("abstract").alias("normalized"))
+
+
+@register("t2_tokenize")
+def q_t2(spark, sf_dir):
+    a = _fx(spark, sf_dir)["articles"]
+    t = TX.tokenize("abstract")
+    return a.select("doi", F.size(t).alias("n_tokens"), F.array_join(t, "|").alias("tokens"))
+
+
+@register("t3_match_all_tokens")
+def q_t3(spark, sf_dir):
+    a = _fx(spark, sf_dir)["articles"]
+    kw = F.array_distinct(TX.tokenize(F.lit(KEYWORD)))
+    return a.select("doi", TX.match_all_tokens(TX.tokenize("abstract"), kw).alias("matches"))
+
+
+@register("t4_search_keywords")
+def q_t4(spark, sf_dir):
+    a = _fx(spark, sf_dir)["articles"]
+    return C.search_keywords(a, [KEYWORD]).select("doi", "db_name")
+
+
+def _title_hits(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
+    return C.search_batch(corpus, fx["queries"], fields=("title", "doi")).select(
+        "query_id", F.col("doi").alias("pmid"))
+
+
+@register("t5_search_batch")
+def q_t5(spark, sf_dir):
+    return _title_hits(spark, sf_dir)
+
+
+@register("t6_union_hits")
+def q_t6(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    q = spark.sql("SELECT query_id, query FROM queries UNION ALL "
+                  "SELECT CAST(4 AS BIGINT), 'the of'")
+    on_titles = C.search_batch(fx["titles"].select(F.col("pmid").alias("doi"), "title"), q,
+                               fields=("title", "doi")).select("query_id", F.col("doi").alias("pmid"))
+    on_articles = C.search_batch(fx["articles"], q).select("query_id", F.col("doi").alias("pmid"))
+    return C.union_hits(on_titles, on_articles)
+
+
+@register("t7_clean_text")
+def q_t7(spark, sf_dir):
+    a = _fx(spark, sf_dir)["articles"]
+    return a.select("doi", TX.clean_text("abstract").alias("cleaned"))
+
+
+@register("t8_remove_stopwords")
+def q_t8(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return clean_frame(fx["articles"], fx["stopwords"])
+
+
+@register("t9_sentiment_lexicon")
+def q_t9(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    s = sentiment_lexicon(fx["articles"], fx["lexicon"], fx["stopwords"])
+    return s.select("doi", r6("sentiment_score").alias("sentiment_score"))

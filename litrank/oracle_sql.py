@@ -99,3 +99,61 @@ FROM result"""
 ORACLES: dict[str, str] = {
     "b1_search": b1_search(),
 }
+
+
+# ---------------------------------------------------------------- text
+STOP_LIST = "sw.words"
+STOP_JOIN = ", (SELECT list(word) AS words FROM stopwords) sw"
+
+
+def clean(x: str) -> str:
+    """T7 in DuckDB SQL."""
+    t = f"lower(coalesce({x}, ''))"
+    t = f"regexp_replace({t}, '^(@[\\p{{L}}\\p{{N}}_]+)', '')"
+    t = f"regexp_replace({t}, '^(rt @)', '')"
+    t = f"regexp_replace({t}, '[^a-zA-Z0-9]', ' ', 'g')"
+    t = f"regexp_replace({t}, 'https.*$', '')"
+    t = f"regexp_replace({t}, 'amp', '', 'g')"
+    return f"trim({t})"
+
+
+def words(x: str) -> str:
+    return f"list_filter(string_split_regex({x}, ' +'), lambda t: t <> '')"
+
+
+def destop(x: str) -> str:
+    """T8 in DuckDB SQL: drop stop words, keep order and repeats."""
+    return f"array_to_string(list_filter({words(x)}, lambda t: NOT list_contains({STOP_LIST}, t)), ' ')"
+
+
+ORACLES.update({
+    "t1_normalize_query": ctes("articles") + f"SELECT doi, {norm('abstract')} AS normalized FROM articles",
+    "t2_tokenize": ctes("articles") + f"""
+SELECT doi, CAST(len({tok('abstract')}) AS INTEGER) AS n_tokens,
+       array_to_string({tok('abstract')}, '|') AS tokens FROM articles""",
+    "t3_match_all_tokens": ctes("articles") + f"""
+SELECT doi, list_has_all({tok('abstract')}, {tok("'The of'")}) AS matches FROM articles""",
+    "t4_search_keywords": ctes("articles") + f"""
+SELECT doi, db_name FROM articles
+WHERE list_has_all({tok('title')}, {tok("'The of'")}) OR list_has_all({tok('doi')}, {tok("'The of'")})
+   OR list_has_all({tok('abstract')}, {tok("'The of'")})""",
+    "t5_search_batch": ctes("titles", "queries") + f"""
+SELECT DISTINCT q.query_id, t.pmid FROM queries q, titles t
+WHERE list_has_all({tok('t.title')}, {tok('q.query')}) OR list_has_all({tok('t.pmid')}, {tok('q.query')})""",
+    "t6_union_hits": ctes("titles", "articles", "queries") + f""",
+q AS (SELECT query_id, query FROM queries UNION ALL SELECT CAST(4 AS BIGINT), 'the of')
+SELECT q.query_id, t.pmid FROM q, titles t
+WHERE list_has_all({tok('t.title')}, {tok('q.query')}) OR list_has_all({tok('t.pmid')}, {tok('q.query')})
+UNION
+SELECT q.query_id, a.doi FROM q, articles a
+WHERE list_has_all({tok('a.title')}, {tok('q.query')}) OR list_has_all({tok('a.doi')}, {tok('q.query')})
+   OR list_has_all({tok('a.abstract')}, {tok('q.query')})""",
+    "t7_clean_text": ctes("articles") + f"SELECT doi, {clean('abstract')} AS cleaned FROM articles",
+    "t8_remove_stopwords": ctes("articles", "stopwords") + f"""
+SELECT doi, {destop(clean('abstract'))} AS cleaned FROM articles{STOP_JOIN}""",
+    "t9_sentiment_lexicon": ctes("articles", "stopwords", "lexicon") + f""",
+w AS (SELECT doi, unnest({words(destop(clean('abstract')))}) AS word FROM articles{STOP_JOIN})
+SELECT a.doi, {r6('coalesce(avg(l.polarity), 0.0)')} AS sentiment_score
+FROM articles a LEFT JOIN w ON w.doi = a.doi LEFT JOIN lexicon l ON l.word = w.word
+GROUP BY a.doi""",
+})

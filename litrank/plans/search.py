@@ -24,6 +24,7 @@ from litrank.operators.aggregates import item_counters, item_metrics, query_size
 from litrank.operators.containment import search_batch
 from litrank.operators.links import attach_names, restrict_links
 from litrank.operators.rank import apply_overrides, rank_items
+from litrank.session import materialize
 
 METRIC_COLS = ["n_search_item", "n_item", "precision", "recall", "f_0_5", "sentiment",
                "ranking_score"]
@@ -50,15 +51,19 @@ def score_items(hits: DataFrame, links: DataFrame, sentiments: DataFrame,
 def search(queries: DataFrame, corpus: DataFrame, links: DataFrame, sentiments: DataFrame,
            catalog: DataFrame, counters: DataFrame | None = None, rules: DataFrame | None = None,
            k: int = TOP_K, id_col: str = "doi", fields: Sequence[str] | None = None,
-           hits: DataFrame | None = None) -> DataFrame:
+           hits: DataFrame | None = None, checkpoint_hits: bool = True) -> DataFrame:
     """B1 long form: (query_id, item_type, item_id, name, metrics..., rank).
 
     ``queries`` has (query_id, query) and optionally ``do_filter`` (default
     true). ``hits`` may be given (e.g. from the popular-query cache, J9);
-    otherwise the corpus is searched.
+    otherwise the corpus is searched. Q is checkpointed once because two
+    branches read it.
     """
     if hits is None:
         hits = query_hits(corpus, queries, id_col, fields)
+    if checkpoint_hits:
+        # Q feeds J1 and |Q|: search the corpus once, not once per branch.
+        hits = materialize(hits)
     scored = score_items(hits, links, sentiments, catalog, counters)
     scored = apply_overrides(scored, queries, rules)
     if "do_filter" in queries.columns:

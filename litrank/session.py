@@ -77,3 +77,11 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` once to the shared checkpoint folder (reliable
+    checkpoint, survives executor loss) and read it back. Used where one
+    expensive result feeds several branches of a plan."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
