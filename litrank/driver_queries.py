@@ -126,3 +126,272 @@ def q_t9(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     s = sentiment_lexicon(fx["articles"], fx["lexicon"], fx["stopwords"])
     return s.select("doi", r6("sentiment_score").alias("sentiment_score"))
+
+
+# ------------------------------------------------- joins, predicates, aggregates
+from litrank.functions import urls as U  # noqa: E402
+from litrank.operators import aggregates as A  # noqa: E402
+from litrank.operators import links as L  # noqa: E402
+from litrank.operators import predicates as P  # noqa: E402
+from litrank.operators import rank as R  # noqa: E402
+from litrank.operators.budget import trim_to_budget  # noqa: E402
+from litrank.plans.batch_jobs import precompute_popular  # noqa: E402
+
+
+def _lq(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return L.restrict_links(fx["links"], _title_hits(spark, sf_dir))
+
+
+def _metrics(spark, sf_dir, overrides=False):
+    fx = _fx(spark, sf_dir)
+    hits = _title_hits(spark, sf_dir)
+    lq = L.restrict_links(fx["links"], hits)
+    per_item = A.tp_and_sentiment(lq, fx["sentiments"])
+    named = L.attach_names(per_item, item_catalog(fx["drugs"], fx["targets"]))
+    m = A.item_metrics(named, A.item_counters(fx["links"]), A.query_size(hits))
+    return R.apply_overrides(m, fx["queries"], fx["rules"]) if overrides else m
+
+
+@register("j1_restrict_links")
+def q_j1(spark, sf_dir):
+    return _lq(spark, sf_dir).select("query_id", "pmid", "item_id", "item_type")
+
+
+@register("j2_attach_names")
+def q_j2(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    per_item = A.items_in_query(_lq(spark, sf_dir))
+    return L.attach_names(per_item, item_catalog(fx["drugs"], fx["targets"]))
+
+
+@register("j3_attach_totals")
+def q_j3(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    per_item = A.items_in_query(_lq(spark, sf_dir))
+    return L.attach_totals(per_item, A.item_counters(fx["links"]))
+
+
+@register("j4_attach_article_info")
+def q_j4(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return L.attach_article_info(fx["links"], fx["titles"])
+
+
+@register("j5_attach_sentiment")
+def q_j5(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    arts = A.per_article(_lq(spark, sf_dir))
+    return L.attach_sentiment(arts, fx["sentiments"])
+
+
+@register("j6_items_to_collect")
+def q_j6(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    items = item_catalog(fx["drugs"], fx["targets"]).unionByName(fx["dictionary"])
+    return L.items_to_collect(items, fx["links_db"], fx["useless"], "PubMed")
+
+
+@register("j7_articles_missing_info")
+def q_j7(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return L.articles_missing_info(fx["links_db"], fx["titles"])
+
+
+@register("j8_link_items")
+def q_j8(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    links, _ = C.link_items(fx["articles"], fx["dictionary"])
+    return links
+
+
+@register("j9_lookup_popular")
+def q_j9(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
+    cache = precompute_popular(fx["popular"], corpus, fields=("title", "doi"))
+    cache = cache.select("query", F.col("pmid"))
+    hits, misses = L.lookup_popular(fx["queries"], cache.where(F.col("pmid").isNotNull())
+                                    .groupBy("query").agg(F.collect_list("pmid").alias("pmids")))
+    live = C.search_batch(corpus, misses, fields=("title", "doi")).select(
+        "query_id", F.col("doi").alias("pmid"))
+    return C.union_hits(hits, live)
+
+
+@register("j10_orphan_links")
+def q_j10(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return L.orphan_links(fx["links"], item_catalog(fx["drugs"], fx["targets"]))
+
+
+@register("p1_links_where")
+def q_p1(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return P.links_where(fx["links"], pmids=_title_hits(spark, sf_dir).select("pmid"),
+                         item_type="target")
+
+
+@register("p2_titles_where")
+def q_p2(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return P.titles_where(fx["titles"], pmids=_title_hits(spark, sf_dir).select("pmid"))
+
+
+@register("p3_sentiments_where")
+def q_p3(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return P.sentiments_where(fx["sentiments"], pmids=_title_hits(spark, sf_dir).select("pmid"))
+
+
+@register("p4_split_by_type")
+def q_p4(spark, sf_dir):
+    return P.split_by_type(_fx(spark, sf_dir)["links"], "target")
+
+
+@register("p5_drop_unusable_links")
+def q_p5(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return P.drop_unusable_links(fx["links"], fx["drug_catalog"])
+
+
+@register("p6_db_filter")
+def q_p6(spark, sf_dir):
+    return P.db_filter(_fx(spark, sf_dir)["links_db"], "Crossref")
+
+
+@register("p7_article_url")
+def q_p7(spark, sf_dir):
+    t = _fx(spark, sf_dir)["titles"]
+    return t.select("pmid", U.article_url("db_name", "pmid", "url").alias("url"))
+
+
+@register("p8_pdf_fields")
+def q_p8(spark, sf_dir):
+    t = _fx(spark, sf_dir)["titles"]
+    return t.select("pmid", U.has_pdf("pmcid").alias("has_pdf"), U.pdf_url("pmcid").alias("pdf_url"))
+
+
+@register("a1_item_counters")
+def q_a1(spark, sf_dir):
+    return A.item_counters(_fx(spark, sf_dir)["links"])
+
+
+@register("a2_items_in_query")
+def q_a2(spark, sf_dir):
+    return A.items_in_query(_lq(spark, sf_dir))
+
+
+@register("a3_collect_articles")
+def q_a3(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    info = L.attach_article_info(_lq(spark, sf_dir), fx["titles"])
+    lists = A.collect_articles(info)
+    return lists.select("query_id", "item_type", "item_id",
+                        F.size("articles").alias("n_articles"),
+                        F.array_join(F.transform("articles", lambda a: a["pmid"]), ",").alias("pmids"),
+                        F.size(F.filter("articles", lambda a: a["has_pdf"])).alias("n_pdf"))
+
+
+@register("a4_mean_sentiment")
+def q_a4(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    s = A.mean_sentiment(_lq(spark, sf_dir), fx["sentiments"])
+    return s.withColumn("sentiment", r6("sentiment"))
+
+
+@register("a5_query_size")
+def q_a5(spark, sf_dir):
+    return A.query_size(_title_hits(spark, sf_dir))
+
+
+@register("a6_precision_p90")
+def q_a6(spark, sf_dir):
+    p = A.precision_p90(_metrics(spark, sf_dir), with_recall=True)
+    return _round_metrics(p, ["p90", "r90"])
+
+
+@register("a7_known_items")
+def q_a7(spark, sf_dir):
+    return A.known_items(_fx(spark, sf_dir)["links_db"], "Xrxiv")
+
+
+@register("a8_unique_articles")
+def q_a8(spark, sf_dir):
+    return A.unique_articles(_fx(spark, sf_dir)["links_db"], "PubMed")
+
+
+# ------------------------------------------------------------ metrics, ranking
+from litrank.functions import metrics as M  # noqa: E402
+
+METRICS_OUT = ["precision", "recall", "f_0_5", "sentiment", "ranking_score"]
+
+
+@register("m1_confusion")
+def q_m1(spark, sf_dir):
+    m = _metrics(spark, sf_dir)
+    return m.select("query_id", "item_type", "item_id",
+                    M.true_positives("n_search_item").alias("tp"),
+                    M.false_positives("n_search_item", "n_item").alias("fp"),
+                    M.false_negatives("n_search_item", "n_query").alias("fn"))
+
+
+@register("m6_item_metrics")
+def q_m6(spark, sf_dir):
+    m = _metrics(spark, sf_dir)
+    return _round_metrics(m.select("query_id", "item_type", "item_id", "name", "n_search_item",
+                                   "n_item", "n_query", *METRICS_OUT), METRICS_OUT)
+
+
+@register("r1_apply_overrides")
+def q_r1(spark, sf_dir):
+    m = _metrics(spark, sf_dir, overrides=True)
+    return m.select("query_id", "item_type", "item_id", "name", r6("ranking_score").alias("ranking_score"))
+
+
+@register("r2_filter_above_p90")
+def q_r2(spark, sf_dir):
+    x = R.filter_above_p90(_metrics(spark, sf_dir))
+    return _round_metrics(x.select("query_id", "item_type", "item_id", "precision", "p90"),
+                          ["precision", "p90"])
+
+
+@register("r3_top_k_by_score")
+def q_r3(spark, sf_dir):
+    x = R.top_k_by_score(_metrics(spark, sf_dir, overrides=True), 50)
+    return x.select("query_id", "item_type", "item_id", r6("ranking_score").alias("ranking_score"),
+                    F.col("rank").cast("bigint").alias("rank"))
+
+
+def _flagged_search(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
+    return search(fx["queries_flags"], corpus, fx["links"], fx["sentiments"],
+                  item_catalog(fx["drugs"], fx["targets"]), rules=fx["rules"],
+                  fields=("title", "doi"))
+
+
+@register("r4_skip_filter_when_empty")
+def q_r4(spark, sf_dir):
+    x = _flagged_search(spark, sf_dir)
+    return _round_metrics(x.select("query_id", "item_type", "item_id", *METRICS_OUT), METRICS_OUT)
+
+
+R5_BUDGET = 200_000
+
+
+@register("r5_trim_to_budget")
+def q_r5(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    info = L.attach_article_info(fx["links"], fx["titles"]).withColumn("query_id", F.lit(0).cast("bigint"))
+    items = (fx["links"].select("item_type", "item_id").distinct()
+             .join(item_catalog(fx["drugs"], fx["targets"]), ["item_type", "item_id"], "left")
+             .withColumn("query_id", F.lit(0).cast("bigint")))
+    kept = trim_to_budget(info, items, budget_bytes=R5_BUDGET)
+    return kept.select("item_type", "item_id", "pmid", F.col("rank").cast("bigint").alias("rank"),
+                       F.col("trim_round").cast("bigint").alias("trim_round"), "over_budget")
+
+
+@register("r6_sort_for_display")
+def q_r6(spark, sf_dir):
+    x = R.sort_for_display(flagship(spark, sf_dir))
+    return x.select("query_id", "item_type", "item_id", "f_0_5")

@@ -74,10 +74,23 @@ FROM orders WHERE o_orderstatus IN ('F','P')""",
     "dictionary": """
 SELECT concat('B',CAST(item_id AS STRING)) item_id, trim(substr(text,1,12)) name,
        'drug' item_type FROM benchmark""",
+    # items known to have no article in a source (J6), derived from the data
+    "useless": """
+SELECT 'PubMed' db_name, concat('B',CAST(item_id AS STRING)) item_id FROM benchmark WHERE length(text) > 200""",
     # a batch of queries, matched on titles (o_orderpriority)
     "queries": """
 SELECT CAST(query_id AS BIGINT) query_id, query, true do_filter, false with_articles
 FROM (VALUES (1,'1-urgent'),(2,'4-not specified'),(3,'2-high')) q(query_id, query)""",
+    # the same batch, one query asking for all items unfiltered (R4) and two for
+    # article lists
+    "queries_flags": """
+SELECT CAST(query_id AS BIGINT) query_id, query, do_filter, with_articles
+FROM (VALUES (1,'1-urgent',true,true),(2,'4-not specified',false,false),(3,'2-high',true,true),
+             (4,'no such words',true,true)) q(query_id, query, do_filter, with_articles)""",
+    # frequent queries whose hits are cached
+    "popular": """
+SELECT CAST(query_id AS BIGINT) query_id, query
+FROM (VALUES (10,'1-URGENT'),(11,'5-low'),(12,'3-medium')) p(query_id, query)""",
     # lexicon for T9
     "lexicon": """
 SELECT word, CAST(polarity AS DOUBLE) polarity

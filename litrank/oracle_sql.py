@@ -32,8 +32,14 @@ def r6(x: str) -> str:
 
 
 # B1 core as one SQL text; fields searched on the titles corpus: title and id.
-def search_core(extra_select: str = "") -> str:
-    return ctes("titles", "links", "sentiments", "drugs", "targets", "queries", "rules") + f""",
+def search_core(queries_view: str = "queries") -> str:
+    flags = queries_view != "queries"
+    pre = ctes("titles", "links", "sentiments", "drugs", "targets", queries_view, "rules")
+    if flags:
+        pre = pre.replace(f"{queries_view} AS (", "queries AS (", 1)
+    keep = "(NOT q.do_filter OR s.precision > s.p90)" if flags else "s.precision > s.p90"
+    top = "(NOT do_filter OR rank <= 50)" if flags else "rank <= 50"
+    return pre + f""",
 hits AS (
   SELECT DISTINCT q.query_id, t.pmid FROM queries q, titles t
   WHERE list_has_all({tok('t.title')}, {tok('q.query')})
@@ -79,11 +85,12 @@ scored AS (
   FROM scored0 s LEFT JOIN overrides o ON o.query_id = s.query_id AND o.item_id = s.item_id
 ),
 kept AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id, item_type
-                               ORDER BY ranking_score DESC NULLS LAST, item_id) AS rank
-  FROM scored WHERE precision > p90
+  SELECT s.*, {"q.do_filter" if flags else "true AS do_filter"},
+         row_number() OVER (PARTITION BY s.query_id, s.item_type
+                            ORDER BY s.ranking_score DESC NULLS LAST, s.item_id) AS rank
+  FROM scored s JOIN queries q ON q.query_id = s.query_id WHERE {keep}
 ),
-result AS (SELECT * FROM kept WHERE rank <= 50)
+result AS (SELECT * FROM kept WHERE {top})
 """
 
 
@@ -157,3 +164,158 @@ SELECT a.doi, {r6('coalesce(avg(l.polarity), 0.0)')} AS sentiment_score
 FROM articles a LEFT JOIN w ON w.doi = a.doi LEFT JOIN lexicon l ON l.word = w.word
 GROUP BY a.doi""",
 })
+
+
+# ------------------------------------------------- joins, predicates, aggregates
+def url_sql(db: str, pid: str, url: str) -> str:
+    return (f"coalesce({url}, CASE WHEN {db} = 'PubMed' THEN 'https://pubmed.ncbi.nlm.nih.gov/' || {pid} || '/' "
+            f"WHEN {db} IN ('Crossref', 'Xrxiv') THEN 'https://www.doi.org/' || {pid} END)")
+
+
+def has_pdf_sql(p: str) -> str:
+    return f"({p} IS NOT NULL AND {p} <> 'NULL')"
+
+
+def pdf_url_sql(p: str) -> str:
+    return f"CASE WHEN {has_pdf_sql(p)} THEN 'https://www.ncbi.nlm.nih.gov/pmc/articles/' || {p} || '/pdf' ELSE '' END"
+
+
+def info_cols(t: str = "t") -> str:
+    """J4 columns of a LEFT JOIN titles {t}: defaults when unmatched."""
+    m = f"({t}.pmid IS NOT NULL)"
+    return (f"CASE WHEN {m} THEN {t}.title ELSE '' END AS title, "
+            f"CASE WHEN {m} THEN {t}.db_name ELSE '' END AS db_name, "
+            f"CASE WHEN {m} THEN {url_sql(t + '.db_name', t + '.pmid', t + '.url')} ELSE '' END AS url, "
+            f"CASE WHEN {m} THEN {has_pdf_sql(t + '.pmcid')} ELSE false END AS has_pdf, "
+            f"CASE WHEN {m} THEN {pdf_url_sql(t + '.pmcid')} ELSE '' END AS pdf_url")
+
+
+def j8_sql() -> str:
+    name_tok = tok('d.name')
+    conds = " OR ".join(f"list_has_all({tok('a.' + f)}, {name_tok})" for f in ("title", "doi", "abstract"))
+    return ctes("articles", "dictionary") + f"""
+SELECT a.doi AS pmid, a.db_name, d.item_id, d.item_type FROM articles a, dictionary d
+WHERE len({name_tok}) > 0 AND ({conds})"""
+
+
+CORE = search_core()
+M_OUT = ", ".join(f"{r6(c)} AS {c}" for c in ("precision", "recall", "f_0_5", "sentiment"))
+
+ORACLES.update({
+    "j1_restrict_links": CORE + "SELECT query_id, pmid, item_id, item_type FROM lq",
+    "j2_attach_names": CORE + """
+SELECT tp.query_id, tp.item_type, tp.item_id, c.name, tp.n_search_item
+FROM tp JOIN catalog c ON c.item_id = tp.item_id AND c.item_type = tp.item_type""",
+    "j3_attach_totals": CORE + """
+SELECT tp.query_id, tp.item_type, tp.item_id, tp.n_search_item, c.counter AS n_item
+FROM tp JOIN counters c ON c.item_id = tp.item_id""",
+    "j4_attach_article_info": ctes("links", "titles") + f"""
+SELECT l.pmid, l.item_id, l.item_type, {info_cols('t')}
+FROM links l LEFT JOIN titles t ON t.pmid = l.pmid""",
+    "j5_attach_sentiment": CORE + """
+SELECT d.query_id, d.item_type, d.item_id, d.pmid, d.n_links, s.sentiment_score
+FROM (SELECT query_id, item_type, item_id, pmid, count(pmid) AS n_links FROM lq GROUP BY ALL) d
+LEFT JOIN sentiments s ON s.pmid = d.pmid""",
+    "j6_items_to_collect": ctes("drugs", "targets", "dictionary", "links_db", "useless") + """,
+items AS (SELECT item_id, name, 'drug' AS item_type FROM drugs
+          UNION ALL SELECT item_id, name, 'target' FROM targets
+          UNION ALL SELECT item_id, name, item_type FROM dictionary)
+SELECT * FROM items
+WHERE item_id NOT IN (SELECT item_id FROM links_db WHERE db_name = 'PubMed')
+  AND item_id NOT IN (SELECT item_id FROM useless WHERE db_name = 'PubMed')""",
+    "j7_articles_missing_info": ctes("links_db", "titles") + """
+SELECT pmid FROM links_db WHERE pmid NOT IN (SELECT pmid FROM titles)""",
+    "j8_link_items": j8_sql(),
+    "j9_lookup_popular": ctes("titles", "queries") + f"""
+SELECT DISTINCT q.query_id, t.pmid FROM queries q, titles t
+WHERE list_has_all({tok('t.title')}, {tok('q.query')}) OR list_has_all({tok('t.pmid')}, {tok('q.query')})""",
+    "j10_orphan_links": ctes("links", "drugs", "targets") + """,
+catalog AS (SELECT item_id, 'drug' AS item_type FROM drugs UNION ALL SELECT item_id, 'target' FROM targets)
+SELECT l.* FROM links l ANTI JOIN catalog c ON c.item_id = l.item_id AND c.item_type = l.item_type""",
+    "p1_links_where": CORE + """
+SELECT * FROM links WHERE pmid IN (SELECT pmid FROM hits) AND item_type = 'target'""",
+    "p2_titles_where": CORE + """
+SELECT pmid, db_name, url, title, pmcid FROM titles WHERE pmid IN (SELECT pmid FROM hits)""",
+    "p3_sentiments_where": CORE + """
+SELECT pmid, sentiment_score FROM sentiments WHERE pmid IN (SELECT pmid FROM hits)""",
+    "p4_split_by_type": ctes("links") + "SELECT * FROM links WHERE item_type = 'target'",
+    "p5_drop_unusable_links": ctes("links", "drug_catalog") + """
+SELECT * FROM links WHERE item_id NOT IN (
+  SELECT drugbank_id FROM drug_catalog
+  WHERE type IS DISTINCT FROM 'SmallMoleculeDrug' OR state IS DISTINCT FROM 'solid')""",
+    "p6_db_filter": ctes("links_db") + "SELECT * FROM links_db WHERE db_name = 'Crossref'",
+    "p7_article_url": ctes("titles") + f"SELECT pmid, {url_sql('db_name', 'pmid', 'url')} AS url FROM titles",
+    "p8_pdf_fields": ctes("titles") + f"""
+SELECT pmid, {has_pdf_sql('pmcid')} AS has_pdf, {pdf_url_sql('pmcid')} AS pdf_url FROM titles""",
+    "a1_item_counters": ctes("links") + """
+SELECT item_id, min(item_type) AS item_type, count(pmid) AS counter FROM links GROUP BY item_id""",
+    "a2_items_in_query": CORE + "SELECT * FROM tp",
+    "a3_collect_articles": CORE + f""",
+info AS (SELECT lq.query_id, lq.item_type, lq.item_id, lq.pmid, {info_cols('t')}
+         FROM lq LEFT JOIN titles t ON t.pmid = lq.pmid)
+SELECT query_id, item_type, item_id, CAST(count(*) AS INTEGER) AS n_articles,
+       string_agg(pmid, ',' ORDER BY pmid) AS pmids, CAST(count(*) FILTER (WHERE has_pdf) AS INTEGER) AS n_pdf
+FROM info GROUP BY ALL""",
+    "a4_mean_sentiment": CORE + f"SELECT query_id, item_type, item_id, {r6('sentiment')} AS sentiment FROM sent",
+    "a5_query_size": CORE + "SELECT * FROM qsize",
+    "a6_precision_p90": CORE + f"""
+SELECT query_id, item_type, {r6('quantile_cont(precision, 0.9)')} AS p90, {r6('quantile_cont(recall, 0.9)')} AS r90
+FROM metrics GROUP BY ALL""",
+    "a7_known_items": ctes("links_db") + "SELECT DISTINCT item_id FROM links_db WHERE db_name = 'Xrxiv'",
+    "a8_unique_articles": ctes("links_db") + "SELECT DISTINCT pmid FROM links_db WHERE db_name = 'PubMed'",
+    "m1_confusion": CORE + """
+SELECT query_id, item_type, item_id, n_search_item AS tp, n_item - n_search_item AS fp,
+       n_query - n_search_item AS fn FROM base""",
+    "m6_item_metrics": CORE + f"""
+SELECT query_id, item_type, item_id, name, n_search_item, n_item, n_query, {M_OUT},
+       {r6('score0')} AS ranking_score FROM scored0""",
+    "r1_apply_overrides": CORE + f"""
+SELECT query_id, item_type, item_id, name, {r6('ranking_score')} AS ranking_score FROM scored""",
+    "r2_filter_above_p90": CORE + f"""
+SELECT query_id, item_type, item_id, {r6('precision')} AS precision, {r6('p90')} AS p90
+FROM scored WHERE precision > p90""",
+    "r3_top_k_by_score": CORE + f""",
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, item_type
+                                    ORDER BY ranking_score DESC NULLS LAST, item_id) AS rank FROM scored)
+SELECT query_id, item_type, item_id, {r6('ranking_score')} AS ranking_score, rank FROM rk WHERE rank <= 50""",
+    "r6_sort_for_display": CORE + f"SELECT query_id, item_type, item_id, {r6('f_0_5')} AS f_0_5 FROM result",
+})
+
+
+def r5_sql(budget: int = 200_000) -> str:
+    return ctes("links", "titles", "drugs", "targets") + f""",
+catalog AS (SELECT item_id, name, 'drug' AS item_type FROM drugs UNION ALL SELECT item_id, name, 'target' FROM targets),
+info AS (SELECT l.item_type, l.item_id, l.pmid, {info_cols('t')} FROM links l LEFT JOIN titles t ON t.pmid = l.pmid),
+sized AS (
+  SELECT *, strlen(CAST(to_json(struct_pack(pmid := pmid, title := title, db_name := db_name, url := url,
+                                             has_pdf := has_pdf, pdf_url := pdf_url)) AS VARCHAR)) + 2 AS bytes,
+         row_number() OVER (PARTITION BY item_type, item_id ORDER BY pmid) AS rank,
+         count(*) OVER (PARTITION BY item_type, item_id) AS n
+  FROM info
+),
+guess AS (SELECT *, greatest(CAST(floor(log(n::DOUBLE / rank) / log(4.0)) AS INTEGER), 0) AS g FROM sized),
+up AS (SELECT *, CASE WHEN rank * pow(4.0, g + 1) <= n THEN g + 1 ELSE g END AS u FROM guess),
+rm AS (SELECT *, CASE WHEN rank * pow(4.0, u) > n THEN u - 1 ELSE u END AS rmax FROM up),
+items AS (SELECT DISTINCT l.item_type, l.item_id, c.name FROM links l
+          LEFT JOIN catalog c ON c.item_type = l.item_type AND c.item_id = l.item_id),
+shell AS (SELECT item_type, sum(strlen(coalesce(name, item_id)) + 200) AS shell FROM items GROUP BY ALL),
+per_round AS (SELECT item_type, rmax, sum(bytes) AS b FROM rm GROUP BY ALL),
+cum AS (SELECT p.*, sum(b) OVER (PARTITION BY item_type ORDER BY rmax DESC
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at_least,
+               coalesce(s.shell, 0) AS shell
+        FROM per_round p LEFT JOIN shell s USING (item_type)),
+cand AS (SELECT item_type, 0 AS r, max(shell + at_least) AS total FROM cum GROUP BY item_type
+         UNION ALL SELECT item_type, rmax + 1, shell + at_least - b FROM cum),
+choice AS (SELECT item_type, coalesce(min(r) FILTER (WHERE total <= {budget}), max(r)) AS trim_round,
+                  min(r) FILTER (WHERE total <= {budget}) IS NULL AS over_budget
+           FROM cand GROUP BY item_type)
+SELECT rm.item_type, rm.item_id, rm.pmid, CAST(rm.rank AS BIGINT) AS rank,
+       CAST(c.trim_round AS BIGINT) AS trim_round, c.over_budget
+FROM rm JOIN choice c USING (item_type) WHERE rm.rmax >= c.trim_round"""
+
+
+ORACLES.update({
+    "r4_skip_filter_when_empty": search_core("queries_flags") + f"""
+SELECT query_id, item_type, item_id, {M_OUT}, {r6('ranking_score')} AS ranking_score FROM result""",
+    "r5_trim_to_budget": r5_sql(),
+})
