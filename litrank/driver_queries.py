@@ -395,3 +395,258 @@ def q_r5(spark, sf_dir):
 def q_r6(spark, sf_dir):
     x = R.sort_for_display(flagship(spark, sf_dir))
     return x.select("query_id", "item_type", "item_id", "f_0_5")
+
+
+# --------------------------------------------------------- sources and sinks
+from litrank import schemas as SCH  # noqa: E402
+from litrank.session import scratch_path  # noqa: E402
+from litrank.sinks import writers as W  # noqa: E402
+from litrank.sources import readers as RD  # noqa: E402
+
+
+@register("s1_read_catalog")
+def q_s1(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    d_path, t_path = scratch_path(spark, "drugs-csv"), scratch_path(spark, "targets-csv")
+    fx["drug_catalog"].write.option("header", True).csv(d_path)
+    fx["target_catalog"].write.option("header", True).csv(t_path)
+    return RD.read_catalog(spark, d_path, "drugbank_id", "drug").unionByName(
+        RD.read_catalog(spark, t_path, "uniprot_id", "target"))
+
+
+@register("s2_make_items")
+def q_s2(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return RD.make_items(fx["drug_catalog"], fx["target_catalog"])
+
+
+def _write_dumps(spark, fx, name):
+    """Articles as JSON lines, plus one file of broken lines derived from the
+    benchmark table (they must land in _corrupt_record)."""
+    path = scratch_path(spark, name)
+    fx["articles"].select("title", "doi", "abstract").write.json(f"{path}/good")
+    spark.table("benchmark").select(
+        F.concat(F.lit('{"doi": "B'), F.col("item_id").cast("string"), F.lit('", "title": ')).alias("v")
+    ).write.text(f"{path}/broken")
+    return path
+
+
+@register("s3_read_dumps")
+def q_s3(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    path = _write_dumps(spark, fx, "dumps")
+    df = RD.read_dumps(spark, f"{path}/*")
+    return df.select("doi", "title", "abstract", F.col("_corrupt_record").isNotNull().alias("corrupt"))
+
+
+@register("s4_dedup_articles")
+def q_s4(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    path = scratch_path(spark, "dedup")
+    a = fx["articles"]
+    (a.where(F.col("db_name") == "PubMed")
+      .select(F.concat(F.lit("["), "title", F.lit("]")).alias("title"), "doi", "abstract")
+      .write.json(f"{path}/a"))
+    a.select("title", "doi", "abstract").write.json(f"{path}/b")
+    d = RD.dedup_articles(RD.read_dumps(spark, f"{path}/*").drop("_corrupt_record"))
+    return d.select("doi", "title", "abstract")
+
+
+def _esummary_raw(fx):
+    t = fx["titles"]
+    ids = F.filter(F.array(F.struct(F.lit("pubmed").alias("idtype"), F.col("pmid").alias("value")),
+                           F.struct(F.lit("pmc").alias("idtype"), F.col("pmcid").alias("value"))),
+                   lambda x: x["value"].isNotNull())
+    doc = F.to_json(F.struct(F.col("pmid").alias("uid"), "title", ids.alias("articleids")))
+    entry = F.concat(F.to_json(F.array("pmid")).substr(F.lit(2), F.lit(10 ** 6)), F.lit(": "), doc)
+    per = t.withColumn("_chunk", (F.col("pmid").cast("bigint") / 100).cast("bigint")) \
+           .withColumn("_e", F.regexp_replace(entry, r"\]: ", ": "))
+    return per.groupBy("_chunk").agg(
+        F.concat(F.lit('{"result": {"uids": '), F.to_json(F.array_sort(F.collect_list("pmid"))),
+                 F.lit(", "), F.concat_ws(", ", F.collect_list("_e")), F.lit("}}")).alias("value"))
+
+
+@register("s5_flatten_esummary")
+def q_s5(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    path = scratch_path(spark, "esummary")
+    _esummary_raw(fx).select("value").write.text(path)
+    return RD.flatten_esummary(RD.read_text(spark, path))
+
+
+@register("s6_flatten_crossref")
+def q_s6(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    path = scratch_path(spark, "crossref")
+    t = fx["titles"].withColumn("_chunk", (F.col("pmid").cast("bigint") / 100).cast("bigint"))
+    title = F.when(F.col("pmcid").isNull(), F.array().cast("array<string>")).otherwise(F.array("title"))
+    item = F.struct(F.col("pmid").alias("DOI"), title.alias("title"), F.col("url").alias("URL"))
+    raw = t.groupBy("_chunk").agg(F.to_json(F.struct(F.struct(F.collect_list(item).alias("items"))
+                                                     .alias("message"))).alias("value"))
+    raw.select("value").write.text(path)
+    return RD.flatten_crossref(RD.read_text(spark, path))
+
+
+@register("s7_flatten_pubmed_xml")
+def q_s7(spark, sf_dir):
+    path = scratch_path(spark, "efetch")
+    o = fixtures.table(spark, sf_dir, "orders")
+    parts = F.when(F.col("o_orderstatus") == "P", F.lit(None).cast("array<string>")).otherwise(
+        F.array("o_orderstatus", "o_orderpriority"))
+    article = F.struct(F.col("o_orderpriority").alias("ArticleTitle"),
+                       F.when(parts.isNotNull(), F.struct(parts.alias("AbstractText"))).alias("Abstract"))
+    rec = F.struct(F.col("o_orderkey").cast("string").alias("PMID"), article.alias("Article"))
+    (o.select(rec.alias("MedlineCitation")).write.format("xml")
+      .option("rootTag", "PubmedArticleSet").option("rowTag", "PubmedArticle").save(path))
+    return RD.flatten_pubmed_xml(spark, path)
+
+
+@register("s8_scan_table")
+def q_s8(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    path = scratch_path(spark, "titles-table")
+    W.write_table(fx["titles"], path, cluster_by="pmid", sort_within=["pmid"])
+    return RD.scan_table(spark, path)
+
+
+@register("k1_write_hits")
+def q_k1(spark, sf_dir):
+    path = W.write_hits(_title_hits(spark, sf_dir), scratch_path(spark, "hits"))
+    return spark.read.schema("query_id bigint, pmid string").json(path)
+
+
+def _title_batch(fx):
+    o = fx["titles"].sparkSession.table("orders")
+    src = F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'PubMed' WHEN 1 THEN 'Crossref' ELSE 'Xrxiv' END")
+    key = F.col("o_orderkey").cast("string")
+    ins = o.where(F.col("o_orderstatus") == "P").select(
+        key.alias("pmid"), src.alias("db_name"), F.lit(None).cast("string").alias("url"),
+        F.col("o_orderpriority").alias("title"), F.lit(None).cast("string").alias("pmcid"),
+        F.lit(1).alias("seq"))
+    upd_old = o.where(F.col("o_orderstatus") == "O").select(
+        key.alias("pmid"), src.alias("db_name"), F.lit(None).cast("string").alias("url"),
+        F.concat(F.lit("old "), "o_orderpriority").alias("title"), F.lit(None).cast("string").alias("pmcid"),
+        F.lit(1).alias("seq"))
+    upd_new = upd_old.withColumn("title", F.lower(F.col("title"))).withColumn("seq", F.lit(2))
+    return ins.unionByName(upd_old).unionByName(upd_new)
+
+
+@register("k2_upsert_titles")
+def q_k2(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return W.upsert_titles(fx["titles"], _title_batch(fx), order_col="seq")
+
+
+@register("k3_append_links")
+def q_k3(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    new, _ = C.link_items(fx["articles"], fx["dictionary"])
+    again = fx["links_db"].where(F.col("db_name") == "Xrxiv")
+    return W.append_links(fx["links_db"], new.unionByName(again), mode="distinct")
+
+
+@register("k4_replace_counters")
+def q_k4(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    path = scratch_path(spark, "counters")
+    stale = A.item_counters(fx["links"].where(F.col("item_type") == "drug"))
+    W.replace_counters(stale, path)
+    W.replace_counters(A.item_counters(fx["links"]), path)
+    return RD.scan_table(spark, path)
+
+
+@register("k5_upsert_sentiments")
+def q_k5(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    s = sentiment_lexicon(fx["articles"], fx["lexicon"], fx["stopwords"])
+    new = s.select(F.col("doi").alias("pmid"), "sentiment_score")
+    out = W.upsert_sentiments(fx["sentiments"], new)
+    return out.withColumn("sentiment_score", r6("sentiment_score"))
+
+
+@register("k6_upsert_popular_queries")
+def q_k6(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
+    base = precompute_popular(fx["popular"], corpus, fields=("title", "doi"))
+    return precompute_popular(fx["queries"], corpus, cache=base, fields=("title", "doi"))
+
+
+@register("k7_append_dump")
+def q_k7(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    path = scratch_path(spark, "dated-dumps")
+    a = fx["articles"]
+    W.append_dump(a.where(F.col("db_name") == "PubMed"), path, "2024-01-01")
+    W.append_dump(a.where(F.col("db_name") != "PubMed"), path, "2024-01-02")
+    d = spark.read.schema("abstract string, title string, doi string, dump_date string").json(path)
+    return d.select("doi", "title", "abstract", "dump_date")
+
+
+# ------------------------------------------------------------- composites
+from litrank.plans.batch_jobs import ingest, score_corpus  # noqa: E402
+from litrank.plans.output import article_lists, to_result_json  # noqa: E402
+from litrank.plans.search import query_hits  # noqa: E402
+
+
+@register("b2_precompute_popular")
+def q_b2(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
+    return precompute_popular(fx["popular"], corpus, fields=("title", "doi"))
+
+
+@register("b3_score_corpus")
+def q_b3(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    path = scratch_path(spark, "score-dumps")
+    a = fx["articles"]
+    a.select("title", "doi", "abstract").write.json(f"{path}/a")
+    (a.where(F.col("db_name") == "PubMed")
+      .select("title", "doi", F.concat(F.lit("the is "), "abstract").alias("abstract"))
+      .write.json(f"{path}/b"))
+    dumps = RD.read_dumps(spark, f"{path}/*").drop("_corrupt_record")
+    out = score_corpus(dumps, fx["lexicon"], fx["stopwords"], base=fx["sentiments"])
+    return out.withColumn("sentiment_score", r6("sentiment_score"))
+
+
+@register("b4_ingest")
+def q_b4(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    res = ingest(fx["articles"].select("doi", "title", "abstract"), fx["dictionary"], fx["links_db"],
+                 fx["titles"], fx["useless"], "Xrxiv")
+    return res.counters
+
+
+@register("o1_to_result_json")
+def q_o1(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
+    q = fx["queries_flags"]
+    hits = materialize_hits(query_hits(corpus, q, fields=("title", "doi")))
+    catalog = item_catalog(fx["drugs"], fx["targets"])
+    ranked = search(q, corpus, fx["links"], fx["sentiments"], catalog, rules=fx["rules"], hits=hits,
+                    checkpoint_hits=False)
+    lists = article_lists(ranked, hits, fx["links"], fx["titles"], q)
+    res = to_result_json(ranked, q, lists)
+    typ = ("struct<drugs:map<string,struct<counter:bigint,item_pmids:array<struct<pmid:string>>>>,"
+           "targets:map<string,struct<counter:bigint,item_pmids:array<struct<pmid:string>>>>>")
+    p = res.select("query_id", "result", F.from_json("result", typ).alias("j"))
+
+    def total(m, f):
+        return F.aggregate(F.map_values(m), F.lit(0).cast("bigint"), lambda acc, v: acc + f(v))
+    return p.select(
+        "query_id",
+        F.size(F.map_keys("j.drugs")).alias("n_drugs"),
+        F.size(F.map_keys("j.targets")).alias("n_targets"),
+        F.array_join(F.array_sort(F.map_keys("j.drugs")), "|").alias("drug_names"),
+        (total("j.drugs", lambda v: v["counter"]) + total("j.targets", lambda v: v["counter"])).alias("counters"),
+        (total("j.drugs", lambda v: F.coalesce(F.size(v["item_pmids"]), F.lit(0)).cast("bigint"))
+         + total("j.targets", lambda v: F.coalesce(F.size(v["item_pmids"]), F.lit(0)).cast("bigint"))
+         ).alias("n_pmids"),
+        F.col("result").contains('"item_pmids"').alias("with_pmids"))
+
+
+def materialize_hits(h):
+    from litrank.session import materialize
+    return materialize(h)

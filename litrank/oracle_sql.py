@@ -319,3 +319,110 @@ ORACLES.update({
 SELECT query_id, item_type, item_id, {M_OUT}, {r6('ranking_score')} AS ranking_score FROM result""",
     "r5_trim_to_budget": r5_sql(),
 })
+
+
+# --------------------------------------------------------- sources and sinks
+def t9_scores(src: str) -> str:
+    """T9 over a CTE ``src(doi, abstract)``: (doi, sentiment_score), unrounded."""
+    return f"""(SELECT a.doi, coalesce(avg(l.polarity), 0.0) AS sentiment_score
+  FROM {src} a LEFT JOIN (SELECT doi, unnest({words(destop(clean('abstract')))}) AS word
+                          FROM {src}{STOP_JOIN}) w ON w.doi = a.doi
+  LEFT JOIN lexicon l ON l.word = w.word GROUP BY a.doi)"""
+
+
+def popular_rows(qview: str) -> str:
+    return f"""(SELECT {norm('q.query')} AS query, h.pmid FROM {qview} q LEFT JOIN (
+  SELECT DISTINCT q2.query_id, t.pmid FROM {qview} q2, titles t
+  WHERE list_has_all({tok('t.title')}, {tok('q2.query')}) OR list_has_all({tok('t.pmid')}, {tok('q2.query')})
+) h ON h.query_id = q.query_id)"""
+
+
+S1_SQL = ctes("drug_catalog", "target_catalog") + """
+SELECT drugbank_id AS item_id, name, 'drug' AS item_type FROM drug_catalog
+WHERE type = 'SmallMoleculeDrug' AND state = 'solid'
+UNION ALL SELECT uniprot_id, name, 'target' FROM target_catalog"""
+
+ORACLES.update({
+    "s1_read_catalog": S1_SQL,
+    "s2_make_items": S1_SQL,
+    "s3_read_dumps": ctes("articles") + """
+SELECT doi, title, abstract, false AS corrupt FROM articles
+UNION ALL SELECT NULL, NULL, NULL, true FROM benchmark""",
+    "s4_dedup_articles": ctes("articles") + """
+SELECT doi, CASE WHEN db_name = 'PubMed' THEN '[' || title || ']' ELSE title END AS title, abstract FROM articles""",
+    "s5_flatten_esummary": ctes("titles") + """
+SELECT pmid, title, CASE WHEN pmcid IN ('NULL', '') THEN NULL ELSE pmcid END AS pmcid FROM titles""",
+    "s6_flatten_crossref": ctes("titles") + """
+SELECT pmid AS doi, CASE WHEN pmcid IS NULL THEN NULL ELSE title END AS title, url FROM titles""",
+    "s7_flatten_pubmed_xml": """
+SELECT CAST(o_orderkey AS VARCHAR) AS pmid, o_orderpriority AS title,
+       CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus || chr(10) || o_orderpriority END AS abstract
+FROM orders""",
+    "s8_scan_table": ctes("titles") + "SELECT * FROM titles",
+    "k1_write_hits": ORACLES["t5_search_batch"],
+    "k2_upsert_titles": ctes("titles") + """
+SELECT * FROM titles WHERE pmid NOT IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus IN ('O', 'P'))
+UNION ALL
+SELECT CAST(o_orderkey AS VARCHAR), CASE o_orderkey%3 WHEN 0 THEN 'PubMed' WHEN 1 THEN 'Crossref' ELSE 'Xrxiv' END,
+       NULL, CASE WHEN o_orderstatus = 'O' THEN lower('old ' || o_orderpriority) ELSE o_orderpriority END, NULL
+FROM orders WHERE o_orderstatus IN ('O', 'P')""",
+    "k3_append_links": j8_sql().replace("\nSELECT a.doi AS pmid", ",\nj8 AS (SELECT a.doi AS pmid", 1)
+    .replace("WHERE len(", "WHERE len(", 1) + """),
+links_db AS (""" + __import__("litrank.fixtures", fromlist=["x"]).FIXTURES["links_db"] + """)
+SELECT pmid, db_name, item_id, item_type FROM links_db
+UNION ALL
+SELECT * FROM (SELECT DISTINCT * FROM (SELECT * FROM j8 UNION ALL SELECT * FROM links_db WHERE db_name = 'Xrxiv')) n
+WHERE NOT EXISTS (SELECT 1 FROM links_db b WHERE b.pmid = n.pmid AND b.db_name = n.db_name
+                  AND b.item_id = n.item_id AND b.item_type = n.item_type)""",
+    "k4_replace_counters": ORACLES["a1_item_counters"],
+    "k5_upsert_sentiments": ctes("articles", "sentiments", "lexicon", "stopwords") + f""",
+new AS (SELECT doi AS pmid, sentiment_score FROM {t9_scores('articles')})
+SELECT pmid, {r6('sentiment_score')} AS sentiment_score FROM sentiments WHERE pmid NOT IN (SELECT pmid FROM new)
+UNION ALL SELECT pmid, {r6('sentiment_score')} FROM new""",
+    "k6_upsert_popular_queries": ctes("titles", "queries", "popular") + f""",
+base AS {popular_rows('popular')}, new AS {popular_rows('queries')}
+SELECT DISTINCT * FROM (SELECT * FROM base WHERE query NOT IN (SELECT query FROM new)
+                        UNION ALL SELECT * FROM new)""",
+    "k7_append_dump": ctes("articles") + """
+SELECT doi, title, abstract, CASE WHEN db_name = 'PubMed' THEN '2024-01-01' ELSE '2024-01-02' END AS dump_date
+FROM articles""",
+    "b2_precompute_popular": ctes("titles", "popular") + f"SELECT DISTINCT * FROM {popular_rows('popular')}",
+    "b3_score_corpus": ctes("articles", "sentiments", "lexicon", "stopwords") + f""",
+latest AS (SELECT doi, CASE WHEN db_name = 'PubMed' THEN 'the is ' || abstract ELSE abstract END AS abstract
+           FROM articles),
+new AS (SELECT doi AS pmid, sentiment_score FROM {t9_scores('latest')})
+SELECT pmid, {r6('sentiment_score')} AS sentiment_score FROM sentiments WHERE pmid NOT IN (SELECT pmid FROM new)
+UNION ALL SELECT pmid, {r6('sentiment_score')} FROM new""",
+})
+
+
+def b4_sql() -> str:
+    name_tok = tok('d.name')
+    conds = " OR ".join(f"list_has_all({tok('a.' + f)}, {name_tok})" for f in ("title", "doi", "abstract"))
+    return ctes("articles", "dictionary", "links_db") + f""",
+j8 AS (SELECT a.doi AS pmid, 'Xrxiv' AS db_name, d.item_id, d.item_type FROM articles a, dictionary d
+       WHERE len({name_tok}) > 0 AND ({conds})),
+alll AS (SELECT pmid, db_name, item_id, item_type FROM links_db UNION ALL SELECT * FROM j8)
+SELECT item_id, min(item_type) AS item_type, count(pmid) AS counter FROM alll GROUP BY item_id"""
+
+
+def o1_sql() -> str:
+    return search_core("queries_flags") + """,
+chosen AS (SELECT query_id, item_type, name, arg_max(n_search_item, item_id) AS counter
+           FROM result GROUP BY ALL),
+per_q AS (
+  SELECT query_id,
+         count(*) FILTER (WHERE item_type = 'drug') AS n_drugs,
+         count(*) FILTER (WHERE item_type = 'target') AS n_targets,
+         coalesce(string_agg(name, '|' ORDER BY name) FILTER (WHERE item_type = 'drug'), '') AS drug_names,
+         sum(counter) AS counters
+  FROM chosen GROUP BY query_id)
+SELECT q.query_id, CAST(coalesce(p.n_drugs, 0) AS INTEGER) AS n_drugs,
+       CAST(coalesce(p.n_targets, 0) AS INTEGER) AS n_targets, coalesce(p.drug_names, '') AS drug_names,
+       CAST(coalesce(p.counters, 0) AS BIGINT) AS counters,
+       CAST(CASE WHEN q.with_articles THEN coalesce(p.counters, 0) ELSE 0 END AS BIGINT) AS n_pmids,
+       (q.with_articles AND p.query_id IS NOT NULL) AS with_pmids
+FROM queries q LEFT JOIN per_q p ON p.query_id = q.query_id"""
+
+
+ORACLES.update({"b4_ingest": b4_sql(), "o1_to_result_json": o1_sql()})
