@@ -101,6 +101,7 @@ def q_t5(spark, sf_dir):
 @register("t6_union_hits")
 def q_t6(spark, sf_dir):
     fx = _fx(spark, sf_dir)
+    fx["queries"]
     q = spark.sql("SELECT query_id, query FROM queries UNION ALL "
                   "SELECT CAST(4 AS BIGINT), 'the of'")
     on_titles = C.search_batch(fx["titles"].select(F.col("pmid").alias("doi"), "title"), q,
@@ -425,7 +426,7 @@ def _write_dumps(spark, fx, name):
     benchmark table (they must land in _corrupt_record)."""
     path = scratch_path(spark, name)
     fx["articles"].select("title", "doi", "abstract").write.json(f"{path}/good")
-    spark.table("benchmark").select(
+    fixtures.table(spark, fx.sf_dir, "benchmark").select(
         F.concat(F.lit('{"doi": "B'), F.col("item_id").cast("string"), F.lit('", "title": ')).alias("v")
     ).write.text(f"{path}/broken")
     return path
@@ -516,7 +517,7 @@ def q_k1(spark, sf_dir):
 
 
 def _title_batch(fx):
-    o = fx["titles"].sparkSession.table("orders")
+    o = fixtures.table(fx.spark, fx.sf_dir, "orders")
     src = F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'PubMed' WHEN 1 THEN 'Crossref' ELSE 'Xrxiv' END")
     key = F.col("o_orderkey").cast("string")
     ins = o.where(F.col("o_orderstatus") == "P").select(

@@ -111,25 +111,93 @@ def _clean(sql: str) -> str:
     return re.sub(r"\s+", " ", sql).strip()
 
 
+def _row_groups(path: str) -> int | None:
+    """Row groups of a local single-file table (footer only); None if unknown."""
+    try:
+        import pyarrow.parquet as pq
+        from litrank.session import local_path
+        return pq.ParquetFile(local_path(path)).metadata.num_row_groups
+    except Exception:  # noqa: BLE001 - remote or multi-file tables: leave alone
+        return None
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Read one driver table.
+
+    The driver writes each table as one file with one row group, which Spark
+    can only scan in one task. With ``spread`` a text-heavy table stored that
+    way is hash-distributed on its id over the cores right after the scan
+    (filters and column pruning still reach the scan; hashing needs no sort to
+    stay deterministic on retry). Tables stored as many files or row groups,
+    as at real scale, are returned as scanned.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if spread:
+        groups = _row_groups(path)
+        cores = spark.sparkContext.defaultParallelism
+        if groups is not None and groups < cores and name in HEAVY_TABLES:
+            df = df.repartition(cores, df.columns[0])
+    return df
+
+
+# Tables whose per-row work (tokenising whole texts) is worth spreading when
+# stored as one row group. Narrow tables are cheaper to scan in one task: their
+# first aggregation or join shuffles them anyway.
+HEAVY_TABLES = {"documents", "pages", "conversations"}
+
+
+_TABLE_CACHE: dict[tuple, DataFrame] = {}
+
+
+def _cached_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One scan definition per (session, directory, table): the Parquet footer
+    is read once per session, not once per query."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
+    df = _TABLE_CACHE.get(key)
+    if df is None:
+        df = read_table(spark, sf_dir, name)
+        _TABLE_CACHE[key] = df
+    return df
+
+
 def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
     """Register the driver parquet tables as temp views."""
     for t in names or TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        _cached_table(spark, sf_dir, t).createOrReplaceTempView(t)
+
+
+def tables_of(sql: str) -> list[str]:
+    """Driver tables a fixture text reads."""
+    words = set(re.findall(r"[A-Za-z_]+", sql))
+    return [t for t in TABLES if t in words]
+
+
+class Fixtures:
+    """Fixture DataFrames created on first use; only the driver tables a
+    fixture reads are registered."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self._df = spark, sf_dir, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._df:
+            sql = _clean(FIXTURES[name])
+            register_tables(self.spark, self.sf_dir, tables_of(sql))
+            df = self.spark.sql(sql)
+            df.createOrReplaceTempView(name)
+            self._df[name] = df
+        return self._df[name]
 
 
-def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Register tables and fixtures; return every fixture as a DataFrame."""
-    register_tables(spark, sf_dir)
-    out = {}
-    for name, sql in FIXTURES.items():
-        df = spark.sql(_clean(sql))
-        df.createOrReplaceTempView(name)
-        out[name] = df
-    return out
+def load(spark: SparkSession, sf_dir: str) -> Fixtures:
+    """Fixture views for ``sf_dir``, built lazily."""
+    return Fixtures(spark, sf_dir)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    register_tables(spark, sf_dir, [name])
+    return _cached_table(spark, sf_dir, name)
 
 
 def ctes(*names: str) -> str:

@@ -17,6 +17,10 @@ from litrank.constants import QUERY_PUNCTUATION
 # four information separators U+001C..U+001F. Written so that Java regex and
 # RE2 read it the same way.
 WHITESPACE_CLASS = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
+# The same set as explicit characters, for translate and trim (no regex).
+WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\x20\xa0\u1680"
+                    + "".join(chr(c) for c in range(0x2000, 0x200B))
+                    + "\u2028\u2029\u202f\u205f\u3000")
 # A Python str-pattern word character: letters, numbers, underscore.
 WORD_CLASS = r"[\p{L}\p{N}_]"
 
@@ -27,23 +31,38 @@ def _col(c) -> Column:
 
 def strip_ws(c) -> Column:
     """Remove leading and trailing whitespace (Python ``str.strip()``)."""
-    return F.regexp_replace(_col(c), f"^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+$", "")
+    return F.btrim(_col(c), F.lit(WHITESPACE_CHARS))
+
+
+def _non_empty(parts: Column) -> Column:
+    return F.filter(parts, lambda t: t != F.lit(""))
 
 
 def normalize_query(c) -> Column:
-    """Lower, listed punctuation to spaces, strip, collapse space runs."""
+    """Lower, listed punctuation to spaces, strip, collapse space runs.
+
+    Collapsing splits on single spaces and joins the non-empty parts, which
+    keeps other whitespace (newlines) inside the text, as the reference does.
+    """
     lowered = F.lower(_col(c))
     spaced = F.translate(lowered, QUERY_PUNCTUATION, " " * len(QUERY_PUNCTUATION))
-    return F.regexp_replace(strip_ws(spaced), " +", " ")
+    return F.array_join(_non_empty(F.split(strip_ws(spaced), " ")), " ")
+
+
+_TOKEN_BREAKS = QUERY_PUNCTUATION + WHITESPACE_CHARS
 
 
 def tokenize(c) -> Column:
-    """T1, then split on whitespace runs; no empty tokens.
+    """The non-empty runs between whitespace after T1.
 
-    A null input gives an empty array (D7: null is not the word "None").
+    Same tokens as T1 followed by a split on whitespace runs, computed without
+    a regex: punctuation and every whitespace character become a space, then
+    the text is split on single spaces (Spark's non-regex fast path). A null
+    input gives an empty array (D7: null is not the word "None").
     """
-    parts = F.split(normalize_query(F.coalesce(_col(c), F.lit(""))), f"{WHITESPACE_CLASS}+")
-    return F.filter(parts, lambda t: t != F.lit(""))
+    lowered = F.lower(F.coalesce(_col(c), F.lit("")))
+    spaced = F.translate(lowered, _TOKEN_BREAKS, " " * len(_TOKEN_BREAKS))
+    return _non_empty(F.split(spaced, " "))
 
 
 def match_all_tokens(field_tokens, keyword_tokens) -> Column:

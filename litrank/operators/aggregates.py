@@ -115,8 +115,8 @@ def item_metrics(per_item: DataFrame, counters: DataFrame, qsize: DataFrame,
     ``counters`` is A1's table; ``qsize`` is A5's. Items without a counter are
     dropped (the reference fails on them).
     """
-    x = attach_totals(per_item, counters, max_rows)
-    x = join_bounded(x, qsize, ["query_id"], "inner", max_rows)
+    x = attach_totals(per_item, counters, max_rows, check=False)
+    x = join_bounded(x, qsize, ["query_id"], "inner", max_rows, check=False)
     p = M.precision("n_search_item", "n_item", safe_division)
     r = M.recall("n_search_item", "n_query", safe_division)
     x = x.withColumn("precision", p).withColumn("recall", r)

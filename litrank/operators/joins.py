@@ -52,12 +52,18 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
 
 
 def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                 max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a lookup side (unique keys, e.g. a catalog) when its row count
-    is within ``max_rows``; otherwise a plain shuffle join, which AQE may still
-    turn into a broadcast from runtime sizes. No salt: keys are unique on the
-    small side and the big side is already aggregated."""
+                 max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, check: bool = True) -> DataFrame:
+    """Join a lookup side with unique keys (a catalog, a per-query table).
+
+    ``check=True`` (inputs that are cheap to count, e.g. a catalog scan):
+    broadcast after counting it against ``max_rows``, else a shuffle join.
+    ``check=False`` (derived aggregates, which a count would compute twice):
+    a plain join; AQE measures the finished shuffle stage and broadcasts only
+    if it is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``, else it
+    keeps the sort-merge join. No salt: the small side has unique keys and
+    the big side is already aggregated.
+    """
     on = [on] if isinstance(on, str) else list(on)
-    if fits(small, max_rows):
+    if check and fits(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

@@ -53,13 +53,15 @@ def attach_names(items: DataFrame, catalog: DataFrame,
 
 
 def attach_totals(items: DataFrame, counters: DataFrame,
-                  max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                  max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, check: bool = False) -> DataFrame:
     """Item -> total article count (``n_item``) from the counter table.
 
     Counters are keyed by item_id alone, as the reference's counter table is.
+    The counter table is usually an aggregate, so AQE decides the strategy
+    from its measured size (``check=True`` counts it first).
     """
     tot = counters.select("item_id", F.col("counter").alias("n_item"))
-    return join_bounded(items, tot, ["item_id"], "inner", max_rows)
+    return join_bounded(items, tot, ["item_id"], "inner", max_rows, check=check)
 
 
 def attach_article_info(rows: DataFrame, titles: DataFrame) -> DataFrame:

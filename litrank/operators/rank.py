@@ -35,7 +35,7 @@ def apply_overrides(items: DataFrame, queries: DataFrame, rules: DataFrame | Non
         F.collect_list(F.struct(F.lower("trigger").alias("t"), F.col("score").alias("s"))).alias("_rules"))
     lq = queries.select("query_id", F.lower("query").alias("_lq"))
     x = join_bounded(items, lq, ["query_id"], "left", max_rows)
-    x = join_bounded(x, per_name, ["name"], "left", max_rows)
+    x = join_bounded(x, per_name, ["name"], "left", max_rows, check=False)
     hits = F.filter(F.coalesce("_rules", F.array().cast("array<struct<t:string,s:double>>")),
                     lambda r: F.col("_lq").contains(r["t"]))
     best = F.array_max(F.transform(hits, lambda r: r["s"]))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from litrank.constants import TOP_K
 from litrank.operators.aggregates import item_counters, item_metrics, query_size, tp_and_sentiment
 from litrank.operators.containment import search_batch
+from litrank.operators.joins import join_bounded
 from litrank.operators.links import attach_names, restrict_links
 from litrank.operators.rank import apply_overrides, rank_items
 from litrank.session import materialize
@@ -68,7 +69,7 @@ def search(queries: DataFrame, corpus: DataFrame, links: DataFrame, sentiments:
     scored = apply_overrides(scored, queries, rules)
     if "do_filter" in queries.columns:
         flags = queries.select("query_id", F.coalesce(F.col("do_filter"), F.lit(True)).alias("do_filter"))
-        scored = scored.join(F.broadcast(flags), "query_id")
+        scored = join_bounded(scored, flags, ["query_id"])
         ranked = rank_items(scored, k, "do_filter").drop("do_filter")
     else:
         ranked = rank_items(scored, k)
