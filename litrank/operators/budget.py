@@ -56,7 +56,10 @@ def rank_in_groups(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
     runs = runs.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
     if size_col:
         runs = runs.withColumn(size_col, F.sum("_cnt").over(Window.partitionBy(*group_cols)))
-    out = join_bounded(s, runs.drop("_cnt"), ["_part", *group_cols], check=False)
+    # One row per (partition, group): about #groups + #partitions rows. Stored
+    # once, so its size check is cheap and the rows are never reshuffled for it.
+    runs = materialize(runs.drop("_cnt"))
+    out = join_bounded(s, runs, ["_part", *group_cols], check=True)
     return (out.withColumn(rank_col, F.col("_pos") - F.col("_start") + F.col("_before") + F.lit(1))
                .drop("_mid", "_part", "_pos", "_start", "_before"))
 
@@ -116,5 +119,7 @@ def trim_to_budget(articles: DataFrame, items: DataFrame,
         F.max("_r").alias("_last"))
     choice = choice.select(*g, F.coalesce("_fit", "_last").alias("trim_round"),
                            F.col("_fit").isNull().alias("over_budget"))
-    out = join_bounded(ranked, choice, g, check=False)
+    # one row per group: stored, counted, broadcast - a group's rows never meet in one task
+    choice = materialize(choice)
+    out = join_bounded(ranked, choice, g, check=True)
     return out.where(F.col("_rmax") >= F.col("trim_round")).drop("_bytes", "_n", "_rmax")
