@@ -14,6 +14,7 @@ from litrank.constants import PRECISION_QUANTILE, RECALL_QUANTILE
 from litrank.functions import metrics as M
 from litrank.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_bounded
 from litrank.operators.links import attach_totals
+from litrank.operators.sentiment import exact_mean
 
 QKEY = ["query_id", "item_type", "item_id"]
 
@@ -57,11 +58,14 @@ def per_article(links_q: DataFrame, key=QKEY) -> DataFrame:
 
 
 def mean_sentiment(links_q: DataFrame, sentiments: DataFrame, key=QKEY) -> DataFrame:
-    """A4: mean score over the item's distinct scored articles in Q; 0.0 if none."""
+    """A4: mean score over the item's distinct scored articles in Q; 0.0 if none.
+
+    Summed exactly (``exact_mean``), so the value does not depend on the order
+    in which partitions are combined."""
     arts = per_article(links_q, key)
     scored = arts.join(sentiments.select("pmid", "sentiment_score"), "pmid", "left")
     return scored.groupBy(*key).agg(
-        F.coalesce(F.avg("sentiment_score"), F.lit(0.0)).alias("sentiment"))
+        F.coalesce(exact_mean("sentiment_score"), F.lit(0.0)).alias("sentiment"))
 
 
 def tp_and_sentiment(links_q: DataFrame, sentiments: DataFrame, key=QKEY) -> DataFrame:
@@ -74,7 +78,7 @@ def tp_and_sentiment(links_q: DataFrame, sentiments: DataFrame, key=QKEY) -> Dat
     scored = arts.join(sentiments.select("pmid", "sentiment_score"), "pmid", "left")
     return scored.groupBy(*key).agg(
         F.sum("n_links").alias("n_search_item"),
-        F.coalesce(F.avg("sentiment_score"), F.lit(0.0)).alias("sentiment"))
+        F.coalesce(exact_mean("sentiment_score"), F.lit(0.0)).alias("sentiment"))
 
 
 def query_size(hits: DataFrame, distinct: bool = False) -> DataFrame:

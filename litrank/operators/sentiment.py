@@ -20,6 +20,17 @@ from litrank.functions.text import clean_text, remove_stopwords, split_words
 from litrank.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, fits, join_small
 
 MAX_STOPWORDS = 100_000
+# Polarities are summed as integers at this resolution: the sum is exact, so
+# the mean does not depend on summation order (partitioning, retries, engine).
+POLARITY_SCALE = 10 ** 10
+
+
+def exact_mean(c, scale: int = POLARITY_SCALE):
+    """Mean of a double column via an exact integer sum at 1/scale resolution;
+    null when no value (callers coalesce)."""
+    col = F.col(c) if isinstance(c, str) else c
+    units = F.sum(F.round(col * F.lit(float(scale))).cast("long"))
+    return units.cast("double") / (F.count(col).cast("double") * F.lit(float(scale)))
 
 
 def stopword_list(stopwords) -> list[str]:
@@ -56,4 +67,4 @@ def sentiment_lexicon(articles: DataFrame, lexicon: DataFrame,
     scored = join_small(words, lex, ["word"], "left", max_rows=max_broadcast_rows,
                         salt_from=[id_col])
     return scored.groupBy(id_col).agg(
-        F.coalesce(F.avg("polarity"), F.lit(0.0)).alias("sentiment_score"))
+        F.coalesce(exact_mean("polarity"), F.lit(0.0)).alias("sentiment_score"))

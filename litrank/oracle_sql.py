@@ -31,6 +31,12 @@ def r6(x: str) -> str:
     return f"(round({x}, 6) + 0.0)"
 
 
+def exact_mean(x: str) -> str:
+    """Mean via an exact integer sum at 1e-10 resolution (as the engine does)."""
+    return (f"(CAST(sum(CAST(round({x} * 1e10) AS BIGINT)) AS DOUBLE) / "
+            f"(CAST(count({x}) AS DOUBLE) * 1e10))")
+
+
 # B1 core as one SQL text; fields searched on the titles corpus: title and id.
 def search_core(queries_view: str = "queries") -> str:
     flags = queries_view != "queries"
@@ -49,7 +55,7 @@ qsize AS (SELECT query_id, count(*) AS n_query FROM hits GROUP BY query_id),
 lq AS (SELECT h.query_id, l.pmid, l.item_id, l.item_type FROM links l JOIN hits h ON l.pmid = h.pmid),
 tp AS (SELECT query_id, item_type, item_id, count(pmid) AS n_search_item FROM lq GROUP BY ALL),
 sent AS (
-  SELECT d.query_id, d.item_type, d.item_id, coalesce(avg(s.sentiment_score), 0.0) AS sentiment
+  SELECT d.query_id, d.item_type, d.item_id, coalesce({exact_mean('s.sentiment_score')}, 0.0) AS sentiment
   FROM (SELECT DISTINCT query_id, item_type, item_id, pmid FROM lq) d
   LEFT JOIN sentiments s ON d.pmid = s.pmid GROUP BY ALL
 ),
@@ -160,7 +166,7 @@ WHERE list_has_all({tok('a.title')}, {tok('q.query')}) OR list_has_all({tok('a.d
 SELECT doi, {destop(clean('abstract'))} AS cleaned FROM articles{STOP_JOIN}""",
     "t9_sentiment_lexicon": ctes("articles", "stopwords", "lexicon") + f""",
 w AS (SELECT doi, unnest({words(destop(clean('abstract')))}) AS word FROM articles{STOP_JOIN})
-SELECT a.doi, {r6('coalesce(avg(l.polarity), 0.0)')} AS sentiment_score
+SELECT a.doi, {r6('coalesce(' + exact_mean('l.polarity') + ', 0.0)')} AS sentiment_score
 FROM articles a LEFT JOIN w ON w.doi = a.doi LEFT JOIN lexicon l ON l.word = w.word
 GROUP BY a.doi""",
 })
@@ -324,7 +330,7 @@ SELECT query_id, item_type, item_id, {M_OUT}, {r6('ranking_score')} AS ranking_s
 # --------------------------------------------------------- sources and sinks
 def t9_scores(src: str) -> str:
     """T9 over a CTE ``src(doi, abstract)``: (doi, sentiment_score), unrounded."""
-    return f"""(SELECT a.doi, coalesce(avg(l.polarity), 0.0) AS sentiment_score
+    return f"""(SELECT a.doi, coalesce({exact_mean('l.polarity')}, 0.0) AS sentiment_score
   FROM {src} a LEFT JOIN (SELECT doi, unnest({words(destop(clean('abstract')))}) AS word
                           FROM {src}{STOP_JOIN}) w ON w.doi = a.doi
   LEFT JOIN lexicon l ON l.word = w.word GROUP BY a.doi)"""
