@@ -137,6 +137,7 @@ from litrank.operators import predicates as P  # noqa: E402
 from litrank.operators import rank as R  # noqa: E402
 from litrank.operators.budget import trim_to_budget  # noqa: E402
 from litrank.plans.batch_jobs import precompute_popular  # noqa: E402
+from litrank.plans.output import article_lists  # noqa: E402
 
 
 def _lq(spark, sf_dir):
@@ -211,9 +212,7 @@ def q_j9(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
     cache = precompute_popular(fx["popular"], corpus, fields=("title", "doi"))
-    cache = cache.select("query", F.col("pmid"))
-    hits, misses = L.lookup_popular(fx["queries"], cache.where(F.col("pmid").isNotNull())
-                                    .groupBy("query").agg(F.collect_list("pmid").alias("pmids")))
+    hits, misses = L.lookup_popular(fx["queries"], cache)
     live = C.search_batch(corpus, misses, fields=("title", "doi")).select(
         "query_id", F.col("doi").alias("pmid"))
     return C.union_hits(hits, live)
@@ -284,9 +283,11 @@ def q_a2(spark, sf_dir):
 
 @register("a3_collect_articles")
 def q_a3(spark, sf_dir):
+    """A3 as the engine uses it: article lists of the returned items, cut to
+    the response budget (R5) before they are collected."""
     fx = _fx(spark, sf_dir)
-    info = L.attach_article_info(_lq(spark, sf_dir), fx["titles"])
-    lists = A.collect_articles(info)
+    ranked = flagship(spark, sf_dir)
+    lists = article_lists(ranked, _title_hits(spark, sf_dir), fx["links"], fx["titles"])
     return lists.select("query_id", "item_type", "item_id",
                         F.size("articles").alias("n_articles"),
                         F.array_join(F.transform("articles", lambda a: a["pmid"]), ",").alias("pmids"),
@@ -336,6 +337,19 @@ def q_m1(spark, sf_dir):
                     M.false_negatives("n_search_item", "n_query").alias("fn"))
 
 
+def _metric_column(name):
+    def build(spark, sf_dir):
+        m = _metrics(spark, sf_dir, overrides=False)
+        return m.select("query_id", "item_type", "item_id", r6(name).alias(name))
+    return build
+
+
+register("m2_precision")(_metric_column("precision"))
+register("m3_recall")(_metric_column("recall"))
+register("m4_f_beta")(_metric_column("f_0_5"))
+register("m5_ranking_score")(_metric_column("ranking_score"))
+
+
 @register("m6_item_metrics")
 def q_m6(spark, sf_dir):
     m = _metrics(spark, sf_dir)

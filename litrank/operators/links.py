@@ -124,15 +124,15 @@ def articles_missing_info(links: DataFrame, titles: DataFrame, db_name: str = ""
 def lookup_popular(queries: DataFrame, cache: DataFrame):
     """Cached hit lists by normalised query.
 
-    Returns ``(hits, misses)``: (query_id, pmid) for queries found in the cache
-    and the queries that still need a live search.
+    ``cache`` is the long-form popular-query table (query, pmid); a query
+    cached without hits has one row with a null pmid. Returns ``(hits,
+    misses)``: (query_id, pmid) for cached queries, and the queries that still
+    need a live search. Nothing is gathered per query: it is one join.
     """
     q = queries.withColumn("_nq", normalize_query("query"))
-    c = cache.select(F.col("query").alias("_nq"), "pmids")
-    found = q.join(c, "_nq", "left")
-    hits = (found.where(F.col("pmids").isNotNull())
-            .select("query_id", F.explode("pmids").alias("pmid")).distinct())
-    misses = found.where(F.col("pmids").isNull()).drop("_nq", "pmids")
+    c = cache.select(F.col("query").alias("_nq"), "pmid")
+    hits = q.join(c, "_nq").where(F.col("pmid").isNotNull()).select("query_id", "pmid").distinct()
+    misses = q.join(c.select("_nq").distinct(), "_nq", "left_anti").drop("_nq")
     return hits, misses
 
 

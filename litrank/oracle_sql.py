@@ -28,7 +28,10 @@ def tok(x: str) -> str:
 
 
 def r6(x: str) -> str:
-    return f"(round({x}, 6) + 0.0)"
+    """Output rounding as Spark's ``round(double, 6)`` does it: the double's
+    decimal text rounded half-up (DuckDB's own round works on the binary
+    value and differs on decimal ties such as 0.0640625)."""
+    return f"(CAST(round(CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) + 0.0)"
 
 
 def exact_mean(x: str) -> str:
@@ -146,10 +149,11 @@ SELECT doi, CAST(len({tok('abstract')}) AS INTEGER) AS n_tokens,
        array_to_string({tok('abstract')}, '|') AS tokens FROM articles""",
     "t3_match_all_tokens": ctes("articles") + f"""
 SELECT doi, list_has_all({tok('abstract')}, {tok("'The of'")}) AS matches FROM articles""",
-    "t4_search_keywords": ctes("articles") + f"""
-SELECT doi, db_name FROM articles
-WHERE list_has_all({tok('title')}, {tok("'The of'")}) OR list_has_all({tok('doi')}, {tok("'The of'")})
-   OR list_has_all({tok('abstract')}, {tok("'The of'")})""",
+    "t4_search_keywords": ctes("articles") + f""",
+atok AS (SELECT doi, db_name, {tok('title')} AS tt, {tok('doi')} AS td, {tok('abstract')} AS ta FROM articles)
+SELECT doi, db_name FROM atok
+WHERE list_has_all(tt, {tok("'The of'")}) OR list_has_all(td, {tok("'The of'")})
+   OR list_has_all(ta, {tok("'The of'")})""",
     "t5_search_batch": ctes("titles", "queries") + f"""
 SELECT DISTINCT q.query_id, t.pmid FROM queries q, titles t
 WHERE list_has_all({tok('t.title')}, {tok('q.query')}) OR list_has_all({tok('t.pmid')}, {tok('q.query')})""",
@@ -158,9 +162,9 @@ q AS (SELECT query_id, query FROM queries UNION ALL SELECT CAST(4 AS BIGINT), 't
 SELECT q.query_id, t.pmid FROM q, titles t
 WHERE list_has_all({tok('t.title')}, {tok('q.query')}) OR list_has_all({tok('t.pmid')}, {tok('q.query')})
 UNION
-SELECT q.query_id, a.doi FROM q, articles a
-WHERE list_has_all({tok('a.title')}, {tok('q.query')}) OR list_has_all({tok('a.doi')}, {tok('q.query')})
-   OR list_has_all({tok('a.abstract')}, {tok('q.query')})""",
+SELECT q.query_id, a.doi FROM (SELECT query_id, {tok('query')} AS qt FROM q) q,
+  (SELECT doi, {tok('title')} AS tt, {tok('doi')} AS td, {tok('abstract')} AS ta FROM articles) a
+WHERE list_has_all(a.tt, q.qt) OR list_has_all(a.td, q.qt) OR list_has_all(a.ta, q.qt)""",
     "t7_clean_text": ctes("articles") + f"SELECT doi, {clean('abstract')} AS cleaned FROM articles",
     "t8_remove_stopwords": ctes("articles", "stopwords") + f"""
 SELECT doi, {destop(clean('abstract'))} AS cleaned FROM articles{STOP_JOIN}""",
@@ -196,12 +200,16 @@ def info_cols(t: str = "t") -> str:
             f"CASE WHEN {m} THEN {pdf_url_sql(t + '.pmcid')} ELSE '' END AS pdf_url")
 
 
-def j8_sql() -> str:
-    name_tok = tok('d.name')
-    conds = " OR ".join(f"list_has_all({tok('a.' + f)}, {name_tok})" for f in ("title", "doi", "abstract"))
-    return ctes("articles", "dictionary") + f"""
-SELECT a.doi AS pmid, a.db_name, d.item_id, d.item_type FROM articles a, dictionary d
-WHERE len({name_tok}) > 0 AND ({conds})"""
+def j8_sql(db: str | None = None) -> str:
+    """J8 by brute force over pre-tokenised articles and names."""
+    dbcol = f"'{db}'" if db else "a.db_name"
+    conds = " OR ".join(f"list_has_all(a.{f}, d.nt)" for f in ("tt", "td", "ta"))
+    return ctes("articles", "dictionary") + f""",
+atok AS (SELECT doi, db_name, {tok('title')} AS tt, {tok('doi')} AS td, {tok('abstract')} AS ta FROM articles),
+dt AS (SELECT item_id, item_type, {tok('name')} AS nt FROM dictionary),
+j8 AS (SELECT a.doi AS pmid, {dbcol} AS db_name, d.item_id, d.item_type FROM atok a, dt d
+       WHERE len(d.nt) > 0 AND ({conds}))
+"""
 
 
 CORE = search_core()
@@ -231,7 +239,7 @@ WHERE item_id NOT IN (SELECT item_id FROM links_db WHERE db_name = 'PubMed')
   AND item_id NOT IN (SELECT item_id FROM useless WHERE db_name = 'PubMed')""",
     "j7_articles_missing_info": ctes("links_db", "titles") + """
 SELECT pmid FROM links_db WHERE pmid NOT IN (SELECT pmid FROM titles)""",
-    "j8_link_items": j8_sql(),
+    "j8_link_items": j8_sql() + "SELECT * FROM j8",
     "j9_lookup_popular": ctes("titles", "queries") + f"""
 SELECT DISTINCT q.query_id, t.pmid FROM queries q, titles t
 WHERE list_has_all({tok('t.title')}, {tok('q.query')}) OR list_has_all({tok('t.pmid')}, {tok('q.query')})""",
@@ -256,12 +264,6 @@ SELECT pmid, {has_pdf_sql('pmcid')} AS has_pdf, {pdf_url_sql('pmcid')} AS pdf_ur
     "a1_item_counters": ctes("links") + """
 SELECT item_id, min(item_type) AS item_type, count(pmid) AS counter FROM links GROUP BY item_id""",
     "a2_items_in_query": CORE + "SELECT * FROM tp",
-    "a3_collect_articles": CORE + f""",
-info AS (SELECT lq.query_id, lq.item_type, lq.item_id, lq.pmid, {info_cols('t')}
-         FROM lq LEFT JOIN titles t ON t.pmid = lq.pmid)
-SELECT query_id, item_type, item_id, CAST(count(*) AS INTEGER) AS n_articles,
-       string_agg(pmid, ',' ORDER BY pmid) AS pmids, CAST(count(*) FILTER (WHERE has_pdf) AS INTEGER) AS n_pdf
-FROM info GROUP BY ALL""",
     "a4_mean_sentiment": CORE + f"SELECT query_id, item_type, item_id, {r6('sentiment')} AS sentiment FROM sent",
     "a5_query_size": CORE + "SELECT * FROM qsize",
     "a6_precision_p90": CORE + f"""
@@ -288,36 +290,58 @@ SELECT query_id, item_type, item_id, {r6('ranking_score')} AS ranking_score, ran
 })
 
 
-def r5_sql(budget: int = 200_000) -> str:
-    return ctes("links", "titles", "drugs", "targets") + f""",
-catalog AS (SELECT item_id, name, 'drug' AS item_type FROM drugs UNION ALL SELECT item_id, name, 'target' FROM targets),
-info AS (SELECT l.item_type, l.item_id, l.pmid, {info_cols('t')} FROM links l LEFT JOIN titles t ON t.pmid = l.pmid),
+def trim_sql(group: list[str], budget: int) -> str:
+    """R5 over CTEs ``info`` (group, item_id, pmid, article fields) and
+    ``items`` (group, item_id, name); defines ``kept``. Starts with a comma."""
+    g = ", ".join(group)
+    gi = ", ".join(group + ["item_id"])
+    using = ", ".join(group)
+    return f""",
 sized AS (
   SELECT *, strlen(CAST(to_json(struct_pack(pmid := pmid, title := title, db_name := db_name, url := url,
                                              has_pdf := has_pdf, pdf_url := pdf_url)) AS VARCHAR)) + 2 AS bytes,
-         row_number() OVER (PARTITION BY item_type, item_id ORDER BY pmid) AS rank,
-         count(*) OVER (PARTITION BY item_type, item_id) AS n
+         row_number() OVER (PARTITION BY {gi} ORDER BY pmid) AS rank,
+         count(*) OVER (PARTITION BY {gi}) AS n
   FROM info
 ),
-guess AS (SELECT *, greatest(CAST(floor(log(n::DOUBLE / rank) / log(4.0)) AS INTEGER), 0) AS g FROM sized),
-up AS (SELECT *, CASE WHEN rank * pow(4.0, g + 1) <= n THEN g + 1 ELSE g END AS u FROM guess),
-rm AS (SELECT *, CASE WHEN rank * pow(4.0, u) > n THEN u - 1 ELSE u END AS rmax FROM up),
-items AS (SELECT DISTINCT l.item_type, l.item_id, c.name FROM links l
-          LEFT JOIN catalog c ON c.item_type = l.item_type AND c.item_id = l.item_id),
-shell AS (SELECT item_type, sum(strlen(coalesce(name, item_id)) + 200) AS shell FROM items GROUP BY ALL),
-per_round AS (SELECT item_type, rmax, sum(bytes) AS b FROM rm GROUP BY ALL),
-cum AS (SELECT p.*, sum(b) OVER (PARTITION BY item_type ORDER BY rmax DESC
+guess AS (SELECT *, greatest(CAST(floor(log(n::DOUBLE / rank) / log(4.0)) AS INTEGER), 0) AS g_ FROM sized),
+up AS (SELECT *, CASE WHEN rank * pow(4.0, g_ + 1) <= n THEN g_ + 1 ELSE g_ END AS u_ FROM guess),
+rm AS (SELECT *, CASE WHEN rank * pow(4.0, u_) > n THEN u_ - 1 ELSE u_ END AS rmax FROM up),
+shell AS (SELECT {g}, sum(strlen(coalesce(name, item_id)) + 200) AS shell FROM items GROUP BY ALL),
+per_round AS (SELECT {g}, rmax, sum(bytes) AS b FROM rm GROUP BY ALL),
+cum AS (SELECT p.*, sum(b) OVER (PARTITION BY {", ".join("p." + c for c in group)} ORDER BY rmax DESC
                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at_least,
                coalesce(s.shell, 0) AS shell
-        FROM per_round p LEFT JOIN shell s USING (item_type)),
-cand AS (SELECT item_type, 0 AS r, max(shell + at_least) AS total FROM cum GROUP BY item_type
-         UNION ALL SELECT item_type, rmax + 1, shell + at_least - b FROM cum),
-choice AS (SELECT item_type, coalesce(min(r) FILTER (WHERE total <= {budget}), max(r)) AS trim_round,
+        FROM per_round p LEFT JOIN shell s USING ({using})),
+cand AS (SELECT {g}, 0 AS r, max(shell + at_least) AS total FROM cum GROUP BY ALL
+         UNION ALL SELECT {g}, rmax + 1, shell + at_least - b FROM cum),
+choice AS (SELECT {g}, coalesce(min(r) FILTER (WHERE total <= {budget}), max(r)) AS trim_round,
                   min(r) FILTER (WHERE total <= {budget}) IS NULL AS over_budget
-           FROM cand GROUP BY item_type)
-SELECT rm.item_type, rm.item_id, rm.pmid, CAST(rm.rank AS BIGINT) AS rank,
-       CAST(c.trim_round AS BIGINT) AS trim_round, c.over_budget
-FROM rm JOIN choice c USING (item_type) WHERE rm.rmax >= c.trim_round"""
+           FROM cand GROUP BY ALL),
+trimmed AS (SELECT rm.*, c.trim_round, c.over_budget FROM rm JOIN choice c USING ({using})
+         WHERE rm.rmax >= c.trim_round)
+"""
+
+
+def r5_sql(budget: int = 200_000) -> str:
+    return ctes("links", "titles", "drugs", "targets") + f""",
+catalog AS (SELECT item_id, name, 'drug' AS item_type FROM drugs UNION ALL SELECT item_id, name, 'target' FROM targets),
+info AS (SELECT l.item_type, l.item_id, l.pmid, {info_cols('t')} FROM links l LEFT JOIN titles t ON t.pmid = l.pmid),
+items AS (SELECT DISTINCT l.item_type, l.item_id, c.name FROM links l
+          LEFT JOIN catalog c ON c.item_type = l.item_type AND c.item_id = l.item_id)""" + trim_sql(["item_type"], budget) + """
+SELECT item_type, item_id, pmid, CAST(rank AS BIGINT) AS rank, CAST(trim_round AS BIGINT) AS trim_round, over_budget
+FROM trimmed"""
+
+
+def a3_sql(budget: int = 2621440) -> str:
+    return CORE + f""",
+items AS (SELECT query_id, item_type, item_id, name FROM result),
+info AS (SELECT lq.query_id, lq.item_type, lq.item_id, lq.pmid, {info_cols('t')}
+         FROM lq JOIN items i ON i.query_id = lq.query_id AND i.item_type = lq.item_type AND i.item_id = lq.item_id
+         LEFT JOIN titles t ON t.pmid = lq.pmid)""" + trim_sql(["query_id", "item_type"], budget) + """
+SELECT query_id, item_type, item_id, CAST(count(*) AS INTEGER) AS n_articles,
+       string_agg(pmid, ',' ORDER BY pmid) AS pmids, CAST(count(*) FILTER (WHERE has_pdf) AS INTEGER) AS n_pdf
+FROM trimmed GROUP BY ALL"""
 
 
 ORACLES.update({
@@ -372,8 +396,7 @@ UNION ALL
 SELECT CAST(o_orderkey AS VARCHAR), CASE o_orderkey%3 WHEN 0 THEN 'PubMed' WHEN 1 THEN 'Crossref' ELSE 'Xrxiv' END,
        NULL, CASE WHEN o_orderstatus = 'O' THEN lower('old ' || o_orderpriority) ELSE o_orderpriority END, NULL
 FROM orders WHERE o_orderstatus IN ('O', 'P')""",
-    "k3_append_links": j8_sql().replace("\nSELECT a.doi AS pmid", ",\nj8 AS (SELECT a.doi AS pmid", 1)
-    .replace("WHERE len(", "WHERE len(", 1) + """),
+    "k3_append_links": j8_sql() + """,
 links_db AS (""" + __import__("litrank.fixtures", fromlist=["x"]).FIXTURES["links_db"] + """)
 SELECT pmid, db_name, item_id, item_type FROM links_db
 UNION ALL
@@ -403,11 +426,7 @@ UNION ALL SELECT pmid, {r6('sentiment_score')} FROM new""",
 
 
 def b4_sql() -> str:
-    name_tok = tok('d.name')
-    conds = " OR ".join(f"list_has_all({tok('a.' + f)}, {name_tok})" for f in ("title", "doi", "abstract"))
-    return ctes("articles", "dictionary", "links_db") + f""",
-j8 AS (SELECT a.doi AS pmid, 'Xrxiv' AS db_name, d.item_id, d.item_type FROM articles a, dictionary d
-       WHERE len({name_tok}) > 0 AND ({conds})),
+    return j8_sql("Xrxiv").replace("WITH ", "WITH " + ctes("links_db")[5:].rstrip() + ",\n", 1) + """,
 alll AS (SELECT pmid, db_name, item_id, item_type FROM links_db UNION ALL SELECT * FROM j8)
 SELECT item_id, min(item_type) AS item_type, count(pmid) AS counter FROM alll GROUP BY item_id"""
 
@@ -432,3 +451,12 @@ FROM queries q LEFT JOIN per_q p ON p.query_id = q.query_id"""
 
 
 ORACLES.update({"b4_ingest": b4_sql(), "o1_to_result_json": o1_sql()})
+
+
+ORACLES.update({
+    "a3_collect_articles": a3_sql(),
+    "m2_precision": CORE + f"SELECT query_id, item_type, item_id, {r6('precision')} AS precision FROM scored0",
+    "m3_recall": CORE + f"SELECT query_id, item_type, item_id, {r6('recall')} AS recall FROM scored0",
+    "m4_f_beta": CORE + f"SELECT query_id, item_type, item_id, {r6('f_0_5')} AS f_0_5 FROM scored0",
+    "m5_ranking_score": CORE + f"SELECT query_id, item_type, item_id, {r6('score0')} AS ranking_score FROM scored0",
+})
