@@ -600,8 +600,7 @@ def q_k7(spark, sf_dir):
 
 # ------------------------------------------------------------- composites
 from litrank.plans.batch_jobs import ingest, score_corpus  # noqa: E402
-from litrank.plans.output import article_lists, to_result_json  # noqa: E402
-from litrank.plans.search import query_hits  # noqa: E402
+from litrank.plans.output import respond  # noqa: E402
 
 
 @register("b2_precompute_popular")
@@ -638,12 +637,8 @@ def q_o1(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
     q = fx["queries_flags"]
-    hits = materialize_hits(query_hits(corpus, q, fields=("title", "doi")))
-    catalog = item_catalog(fx["drugs"], fx["targets"])
-    ranked = search(q, corpus, fx["links"], fx["sentiments"], catalog, rules=fx["rules"], hits=hits,
-                    checkpoint_hits=False)
-    lists = article_lists(ranked, hits, fx["links"], fx["titles"], q)
-    res = to_result_json(ranked, q, lists)
+    res = respond(q, corpus, fx["links"], fx["sentiments"], item_catalog(fx["drugs"], fx["targets"]),
+                  fx["titles"], rules=fx["rules"], fields=("title", "doi"))
     typ = ("struct<drugs:map<string,struct<counter:bigint,item_pmids:array<struct<pmid:string>>>>,"
            "targets:map<string,struct<counter:bigint,item_pmids:array<struct<pmid:string>>>>>")
     p = res.select("query_id", "result", F.from_json("result", typ).alias("j"))
@@ -660,8 +655,3 @@ def q_o1(spark, sf_dir):
          + total("j.targets", lambda v: F.coalesce(F.size(v["item_pmids"]), F.lit(0)).cast("bigint"))
          ).alias("n_pmids"),
         F.col("result").contains('"item_pmids"').alias("with_pmids"))
-
-
-def materialize_hits(h):
-    from litrank.session import materialize
-    return materialize(h)

@@ -18,18 +18,26 @@ from litrank.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_bounded
 ITEM_KEY = ["item_id", "item_type"]
 
 
-def restrict_links(links: DataFrame, hits: DataFrame, distinct_hits: bool = False) -> DataFrame:
+# Q of a query batch is broadcast to the link scan up to this many (query, pmid) rows.
+MAX_BROADCAST_HITS = 1_000_000
+
+
+def restrict_links(links: DataFrame, hits: DataFrame, distinct_hits: bool = False,
+                   max_broadcast_hits: int = MAX_BROADCAST_HITS) -> DataFrame:
     """Links of the articles in Q, per query -> (query_id, pmid, item_id, item_type, ...).
 
     ``hits`` is (query_id, pmid); pass ``distinct_hits=True`` when it may hold
     repeats (Q is a set). A single query without ``query_id`` is a semi join.
+    Q is usually far smaller than the link table: when its row count is within
+    ``max_broadcast_hits`` it is broadcast and the link table is never
+    shuffled; beyond it a shuffle join on pmid (Spark's runtime Bloom filter
+    from Q prunes the link scan; links stored bucketed by pmid avoid it).
     """
     h = hits.select("query_id", "pmid") if "query_id" in hits.columns else hits.select("pmid")
     if distinct_hits:
         h = h.distinct()
-    if "query_id" not in h.columns:
-        return links.join(h, "pmid", "left_semi")
-    return links.join(h, "pmid")
+    how = "left_semi" if "query_id" not in h.columns else "inner"
+    return join_bounded(links, h, ["pmid"], how, max_broadcast_hits, check=True)
 
 
 def item_catalog(drugs: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:

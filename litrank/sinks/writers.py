@@ -114,3 +114,16 @@ def write_table(df: DataFrame, path: str, sort_within: Sequence[str] | None = No
         out = out.sortWithinPartitions(*sort_within)
     out.write.mode("errorifexists").parquet(path)
     return path
+
+
+def write_bucketed(df: DataFrame, table: str, key: str = "pmid", buckets: int = 512,
+                   path: str | None = None) -> str:
+    """Store a pmid-keyed table (links, titles, sentiments) bucketed and sorted
+    by ``key``. Tables written with the same key and bucket count join on it
+    without shuffling either side; a query batch's Q is the only side that
+    moves. ``path`` puts the files in a shared folder (an external table)."""
+    w = df.write.mode("errorifexists").bucketBy(buckets, key).sortBy(key).format("parquet")
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)
+    return table

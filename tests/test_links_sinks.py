@@ -122,3 +122,21 @@ def test_result_json_same_name_last_id_and_empty(spark):
     entry = out[1]["drugs"]["Aspirin"]
     assert entry["counter"] == 4 and "item_pmids" not in entry
     assert entry["metrics"]["(Search + {}) Publications"] == 4 and entry["metrics"]["F-0.5"] == 0.3
+
+
+def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
+    links = spark.createDataFrame([(str(i % 50), f"D{i % 7}", "drug") for i in range(500)],
+                                  "pmid string, item_id string, item_type string")
+    sents = spark.createDataFrame([(str(i), 0.5 if i % 2 else -0.5) for i in range(50)],
+                                  "pmid string, sentiment_score double")
+    W.write_bucketed(links, "lr_links_b", buckets=4, path=str(tmp_path / "links"))
+    W.write_bucketed(sents, "lr_sents_b", buckets=4, path=str(tmp_path / "sents"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("lr_links_b").join(spark.table("lr_sents_b"), "pmid")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and j.count() == 500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS lr_links_b")
+        spark.sql("DROP TABLE IF EXISTS lr_sents_b")
