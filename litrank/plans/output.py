@@ -16,6 +16,7 @@ from litrank.constants import (BUDGET_BYTES, KEY_F, KEY_ITEM_PUBS, KEY_PRECISION
 from litrank.operators.aggregates import collect_articles
 from litrank.operators.budget import trim_to_budget
 from litrank.operators.links import attach_article_info, restrict_links
+from litrank.session import materialize
 
 ARTICLE_TYPE = ("array<struct<pmid:string,title:string,db_name:string,url:string,"
                 "has_pdf:boolean,pdf_url:string>>")
@@ -34,6 +35,8 @@ def article_lists(ranked: DataFrame, hits: DataFrame, links: DataFrame, titles:
         wanted = queries.where(F.coalesce("with_articles", F.lit(False))).select("query_id")
         h = h.join(wanted, "query_id", "left_semi")
         items = items.join(wanted, "query_id", "left_semi")
+    # the returned items (at most k per query and type) feed two branches: store once
+    items = materialize(items)
     lq = restrict_links(links.select("pmid", "item_id", "item_type"), h)
     lq = lq.join(items.select("query_id", "item_type", "item_id"),
                  ["query_id", "item_type", "item_id"], "left_semi")
@@ -101,7 +104,6 @@ def respond(queries: DataFrame, corpus: DataFrame, links: DataFrame, sentiments:
     """
     from litrank.constants import TOP_K
     from litrank.plans.search import query_hits, search
-    from litrank.session import materialize
 
     hits = materialize(query_hits(corpus, queries, id_col, fields))
     ranked = search(queries, corpus, links, sentiments, catalog, counters=counters, rules=rules,
