@@ -137,7 +137,7 @@ from litrank.operators import predicates as P  # noqa: E402
 from litrank.operators import rank as R  # noqa: E402
 from litrank.operators.budget import trim_to_budget  # noqa: E402
 from litrank.plans.batch_jobs import precompute_popular  # noqa: E402
-from litrank.plans.output import article_lists  # noqa: E402
+from litrank.plans.output import ranked_with_lists  # noqa: E402
 
 
 def _lq(spark, sf_dir):
@@ -286,8 +286,11 @@ def q_a3(spark, sf_dir):
     """A3 as the engine uses it: article lists of the returned items, cut to
     the response budget (R5) before they are collected."""
     fx = _fx(spark, sf_dir)
-    ranked = flagship(spark, sf_dir)
-    lists = article_lists(ranked, _title_hits(spark, sf_dir), fx["links"], fx["titles"])
+    corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
+    asking = fx["queries"].withColumn("with_articles", F.lit(True))
+    _, lists = ranked_with_lists(asking, corpus, fx["links"], fx["sentiments"],
+                                 item_catalog(fx["drugs"], fx["targets"]), fx["titles"],
+                                 rules=fx["rules"], fields=("title", "doi"))
     return lists.select("query_id", "item_type", "item_id",
                         F.size("articles").alias("n_articles"),
                         F.array_join(F.transform("articles", lambda a: a["pmid"]), ",").alias("pmids"),

@@ -92,15 +92,15 @@ def to_result_json(ranked: DataFrame, queries: DataFrame, articles: DataFrame |
     return out.select("query_id", F.when(F.col("_wa"), full).otherwise(short).alias("result"))
 
 
-def respond(queries: DataFrame, corpus: DataFrame, links: DataFrame, sentiments: DataFrame,
-            catalog: DataFrame, titles: DataFrame, counters: DataFrame | None = None,
-            rules: DataFrame | None = None, k: int | None = None, id_col: str = "doi",
-            fields=None, budget_bytes: int = BUDGET_BYTES) -> DataFrame:
-    """B1 + article lists + O1: the service's whole answer, (query_id, result).
+def ranked_with_lists(queries: DataFrame, corpus: DataFrame, links: DataFrame, sentiments: DataFrame,
+                      catalog: DataFrame, titles: DataFrame, counters: DataFrame | None = None,
+                      rules: DataFrame | None = None, k: int | None = None, id_col: str = "doi",
+                      fields=None, budget_bytes: int = BUDGET_BYTES):
+    """B1 and the article lists of its returned items: ``(ranked, lists)``.
 
     Q and the ranked items (at most k per query and type, or all items of a
-    query with ``do_filter`` false) are checkpointed once, because both the
-    article lists and the JSON read them.
+    query with ``do_filter`` false) are checkpointed once, because the ranking,
+    the article lists and the JSON all read them.
     """
     from litrank.constants import TOP_K
     from litrank.plans.search import query_hits, search
@@ -109,5 +109,14 @@ def respond(queries: DataFrame, corpus: DataFrame, links: DataFrame, sentiments:
     ranked = search(queries, corpus, links, sentiments, catalog, counters=counters, rules=rules,
                     k=k or TOP_K, id_col=id_col, fields=fields, hits=hits, checkpoint_hits=False)
     ranked = materialize(ranked)
-    lists = article_lists(ranked, hits, links, titles, queries, budget_bytes)
+    return ranked, article_lists(ranked, hits, links, titles, queries, budget_bytes)
+
+
+def respond(queries: DataFrame, corpus: DataFrame, links: DataFrame, sentiments: DataFrame,
+            catalog: DataFrame, titles: DataFrame, counters: DataFrame | None = None,
+            rules: DataFrame | None = None, k: int | None = None, id_col: str = "doi",
+            fields=None, budget_bytes: int = BUDGET_BYTES) -> DataFrame:
+    """B1 + article lists + O1: the service's whole answer, (query_id, result)."""
+    ranked, lists = ranked_with_lists(queries, corpus, links, sentiments, catalog, titles, counters,
+                                      rules, k, id_col, fields, budget_bytes)
     return to_result_json(ranked, queries, lists)
