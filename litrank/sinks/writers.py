@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litrank.functions.text import normalize_query
+from litrank.operators.joins import join_bounded
 
 
 def write_hits(df: DataFrame, path: str) -> str:
@@ -80,7 +81,12 @@ def append_links(base: DataFrame | None, new: DataFrame, mode: str = "append") -
     if mode == "append":
         return b.unionByName(n)
     if mode == "distinct":
-        fresh = n.distinct().join(b.distinct(), cols, "left_anti")
+        # Which new links exist already: the (usually small) new batch is
+        # broadcast into a semi join over the base scan, so the base table is
+        # read but never shuffled; then the batch minus those.
+        nd = n.distinct()
+        seen = join_bounded(b, nd, cols, "left_semi").distinct()
+        fresh = nd.join(seen, cols, "left_anti")
         return b.unionByName(fresh)
     raise ValueError(f"unknown mode {mode!r}")
 
