@@ -19,11 +19,49 @@ DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 DEFAULT_SALT_BUCKETS = 32
 
 
+# Bytes an in-memory side may hold to count as within any row bound without a job.
+_LOCAL_EXACT_BYTES = 8 * 2 ** 20
+_MULTIPLYING = ("Generate", "Join", "Expand")
+
+
+def _local_size(df: DataFrame) -> int | None:
+    """Exact-enough size of a plan over in-memory rows only (a query batch, a
+    rule table): every leaf is a LocalRelation and nothing multiplies rows, so
+    Spark's estimate is an upper bound. None for any other plan."""
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan()
+        leaves = plan.collectLeaves()
+        names = [leaves.apply(i).nodeName() for i in range(leaves.size())]
+        if not names or any(n != "LocalRelation" for n in names):
+            return None
+        text = plan.toString()
+        if any(m in text for m in _MULTIPLYING):
+            return None
+        return int(str(plan.stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - fall back to counting
+        return None
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """True if ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def broadcastable(df: DataFrame, max_rows: int) -> bool:
+    """May ``df`` be broadcast under a bound of ``max_rows`` rows?
+
+    An in-memory side of at most a few MB (a query batch, a rule table) is
+    decided from its plan size without a job; everything else is counted.
+    ``max_rows <= 0`` never broadcasts.
+    """
+    if max_rows <= 0:
+        return False
+    size = _local_size(df)
+    if size is not None and size <= _LOCAL_EXACT_BYTES:
+        return True
+    return fits(df, max_rows)
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
                 salt_buckets: int = DEFAULT_SALT_BUCKETS,
                 salt_from: Sequence[str] | None = None) -> DataFrame:
@@ -46,7 +84,7 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
                salt_buckets: int = DEFAULT_SALT_BUCKETS,
                salt_from: Sequence[str] | None = None) -> DataFrame:
     """Broadcast ``small`` if its row count is within ``max_rows``, else salt."""
-    if fits(small, max_rows):
+    if broadcastable(small, max_rows):
         return big.join(F.broadcast(small), list(on), how)
     return salted_join(big, small, on, how, salt_buckets, salt_from)
 
@@ -64,6 +102,6 @@ def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner",
     the big side is already aggregated.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if check and fits(small, max_rows):
+    if check and broadcastable(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
