@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from litrank.constants import PRECISION_QUANTILE, RECALL_QUANTILE
 from litrank.functions import metrics as M
 from litrank.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_bounded
-from litrank.operators.links import attach_totals
+from litrank.operators.links import MAX_BROADCAST_HITS, attach_totals
 from litrank.operators.sentiment import exact_mean
 
 QKEY = ["query_id", "item_type", "item_id"]
@@ -68,14 +68,20 @@ def mean_sentiment(links_q: DataFrame, sentiments: DataFrame, key=QKEY) -> DataF
         F.coalesce(exact_mean("sentiment_score"), F.lit(0.0)).alias("sentiment"))
 
 
-def tp_and_sentiment(links_q: DataFrame, sentiments: DataFrame, key=QKEY) -> DataFrame:
+def tp_and_sentiment(links_q: DataFrame, sentiments: DataFrame, key=QKEY,
+                     q_pmids: DataFrame | None = None) -> DataFrame:
     """A2 and A4 in one pass: (key, n_search_item, sentiment).
 
     links_q -> distinct articles (no shuffle, same pmid partitioning) -> left
-    join sentiments on pmid -> one aggregation per item.
+    join sentiments on pmid -> one aggregation per item. ``q_pmids`` (the ids
+    of Q) first cuts the article-level score table to Q with a size-checked
+    broadcast semi join in its scan, so the whole table is never shuffled.
     """
     arts = per_article(links_q, key)
-    scored = arts.join(sentiments.select("pmid", "sentiment_score"), "pmid", "left")
+    sc = sentiments.select("pmid", "sentiment_score")
+    if q_pmids is not None:
+        sc = join_bounded(sc, q_pmids.select("pmid"), ["pmid"], "left_semi", MAX_BROADCAST_HITS)
+    scored = arts.join(sc, "pmid", "left")
     return scored.groupBy(*key).agg(
         F.sum("n_links").alias("n_search_item"),
         F.coalesce(exact_mean("sentiment_score"), F.lit(0.0)).alias("sentiment"))

@@ -15,7 +15,8 @@ from litrank.constants import (BUDGET_BYTES, KEY_F, KEY_ITEM_PUBS, KEY_PRECISION
                                KEY_SCORE, KEY_SEARCH_PUBS, KEY_SENTIMENT)
 from litrank.operators.aggregates import collect_articles
 from litrank.operators.budget import trim_to_budget
-from litrank.operators.links import attach_article_info, restrict_links
+from litrank.operators.joins import join_bounded
+from litrank.operators.links import MAX_BROADCAST_HITS, attach_article_info, restrict_links
 from litrank.session import materialize
 
 ARTICLE_TYPE = ("array<struct<pmid:string,title:string,db_name:string,url:string,"
@@ -40,7 +41,9 @@ def article_lists(ranked: DataFrame, hits: DataFrame, links: DataFrame, titles:
     lq = restrict_links(links.select("pmid", "item_id", "item_type"), h)
     lq = lq.join(items.select("query_id", "item_type", "item_id"),
                  ["query_id", "item_type", "item_id"], "left_semi")
-    info = attach_article_info(lq, titles)
+    # metadata only for the articles of Q (size-checked broadcast semi join in the titles scan)
+    t = join_bounded(titles, h.select("pmid"), ["pmid"], "left_semi", MAX_BROADCAST_HITS)
+    info = attach_article_info(lq, t)
     kept = trim_to_budget(info, items, budget_bytes=budget_bytes)
     return collect_articles(kept)
 

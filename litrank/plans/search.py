@@ -44,7 +44,7 @@ def score_items(hits: DataFrame, links: DataFrame, sentiments: DataFrame,
     if counters is None:
         counters = item_counters(links)
     links_q = restrict_links(links.select("pmid", "item_id", "item_type"), hits)
-    per_item = tp_and_sentiment(links_q, sentiments)
+    per_item = tp_and_sentiment(links_q, sentiments, q_pmids=hits)
     named = attach_names(per_item, catalog)
     return item_metrics(named, counters, query_size(hits))
 
