@@ -460,3 +460,6 @@ ORACLES.update({
     "m4_f_beta": CORE + f"SELECT query_id, item_type, item_id, {r6('f_0_5')} AS f_0_5 FROM scored0",
     "m5_ranking_score": CORE + f"SELECT query_id, item_type, item_id, {r6('score0')} AS ranking_score FROM scored0",
 })
+
+
+ORACLES["t5_search_index"] = ORACLES["t5_search_batch"]

@@ -71,3 +71,17 @@ def test_clean_text(spark):
 def test_remove_stopwords_keeps_order_and_repeats(spark):
     got = one(spark, lambda c: TX.remove_stopwords(c, ["the", "a"]), "b the a c b  a")
     assert got == "b c b"
+
+
+def test_token_index_search_equals_live_search_and_prunes(spark, tmp_path):
+    from litrank.operators.containment import build_token_index, search_index
+    arts = spark.createDataFrame([(str(i), f"t{i % 5} the", f"body {i % 3} of") for i in range(60)],
+                                 "doi string, title string, abstract string")
+    q = spark.createDataFrame([(1, "t1 the"), (2, "of"), (3, "")], "query_id int, query string")
+    path = build_token_index(arts, str(tmp_path / "idx"), buckets=16)
+    idx = spark.read.parquet(path)
+    got = search_index(idx, q, buckets=16)
+    want = search_batch(arts, q)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
