@@ -14,9 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litrank import fixtures
+from litrank.functions import metrics as M
+from litrank.functions import text as TX
+from litrank.functions import urls as U
 from litrank.functions.metrics import r6
+from litrank.operators import aggregates as A
+from litrank.operators import containment as C
+from litrank.operators import links as L
+from litrank.operators import predicates as P
+from litrank.operators import rank as R
+from litrank.operators.budget import trim_to_budget
 from litrank.operators.links import item_catalog
+from litrank.operators.sentiment import clean_frame, sentiment_lexicon
+from litrank.plans.batch_jobs import ingest, precompute_popular, score_corpus
+from litrank.plans.output import ranked_with_lists, respond
 from litrank.plans.search import search
+from litrank.session import scratch_path
+from litrank.sinks import writers as W
+from litrank.sources import readers as RD
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -53,10 +68,6 @@ register("b1_search")(flagship)
 
 
 # ---------------------------------------------------------------- text
-from litrank.functions import text as TX  # noqa: E402
-from litrank.operators import containment as C  # noqa: E402
-from litrank.operators.sentiment import clean_frame, sentiment_lexicon, stopword_list  # noqa: E402
-from litrank.session import scratch_path  # noqa: E402
 
 KEYWORD = "The of"
 
@@ -146,14 +157,6 @@ def q_t9(spark, sf_dir):
 
 
 # ------------------------------------------------- joins, predicates, aggregates
-from litrank.functions import urls as U  # noqa: E402
-from litrank.operators import aggregates as A  # noqa: E402
-from litrank.operators import links as L  # noqa: E402
-from litrank.operators import predicates as P  # noqa: E402
-from litrank.operators import rank as R  # noqa: E402
-from litrank.operators.budget import trim_to_budget  # noqa: E402
-from litrank.plans.batch_jobs import precompute_popular  # noqa: E402
-from litrank.plans.output import ranked_with_lists  # noqa: E402
 
 
 def _lq(spark, sf_dir):
@@ -342,7 +345,6 @@ def q_a8(spark, sf_dir):
 
 
 # ------------------------------------------------------------ metrics, ranking
-from litrank.functions import metrics as M  # noqa: E402
 
 METRICS_OUT = ["precision", "recall", "f_0_5", "sentiment", "ranking_score"]
 
@@ -432,9 +434,6 @@ def q_r6(spark, sf_dir):
 
 
 # --------------------------------------------------------- sources and sinks
-from litrank import schemas as SCH  # noqa: E402
-from litrank.sinks import writers as W  # noqa: E402
-from litrank.sources import readers as RD  # noqa: E402
 
 
 @register("s1_read_catalog")
@@ -507,6 +506,26 @@ def q_s5(spark, sf_dir):
     return RD.flatten_esummary(RD.read_text(spark, path))
 
 
+@register("s5_flatten_esummary_xml")
+def q_s5_xml(spark, sf_dir):
+    """S5 over the XML form: DocSum records written by Spark's XML writer."""
+    fx = _fx(spark, sf_dir)
+    path = scratch_path(spark, "esummary-xml")
+    t = fx["titles"]
+    item = "struct<_Name:string,_VALUE:string,Item:array<struct<_Name:string,_VALUE:string>>>"
+    ids = F.filter(F.array(F.struct(F.lit("pubmed").alias("_Name"), F.col("pmid").alias("_VALUE")),
+                           F.struct(F.lit("pmc").alias("_Name"), F.col("pmcid").alias("_VALUE"))),
+                   lambda x: x["_VALUE"].isNotNull())
+    items = F.array(
+        F.struct(F.lit("Title").alias("_Name"), F.col("title").alias("_VALUE"),
+                 F.lit(None).cast("array<struct<_Name:string,_VALUE:string>>").alias("Item")),
+        F.struct(F.lit("ArticleIds").alias("_Name"), F.lit(None).cast("string").alias("_VALUE"),
+                 ids.alias("Item"))).cast(f"array<{item}>")
+    (t.select(F.col("pmid").alias("Id"), items.alias("Item")).write.format("xml")
+      .option("rootTag", "eSummaryResult").option("rowTag", "DocSum").save(path))
+    return RD.flatten_esummary_xml(spark, path)
+
+
 @register("s6_flatten_crossref")
 def q_s6(spark, sf_dir):
     fx = _fx(spark, sf_dir)
@@ -617,8 +636,6 @@ def q_k7(spark, sf_dir):
 
 
 # ------------------------------------------------------------- composites
-from litrank.plans.batch_jobs import ingest, score_corpus  # noqa: E402
-from litrank.plans.output import respond  # noqa: E402
 
 
 @register("b2_precompute_popular")

@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litrank.functions.text import normalize_query, tokenize
+from litrank.functions.text import tokenize
 from litrank.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_small
 
 DEFAULT_FIELDS = ("title", "doi", "abstract")
@@ -202,7 +202,7 @@ def _phrase_links(arts, items, id_col, flds, carry, max_rows):
 
 
 __all__ = ["token_pairs", "keyword_tokens", "contains_all_join", "search_batch",
-           "search_keywords", "union_hits", "link_items", "normalize_query"]
+           "search_keywords", "union_hits", "link_items", "build_token_index", "search_index"]
 
 
 # ------------------------------------------------------------ stored token index

@@ -463,3 +463,4 @@ ORACLES.update({
 
 
 ORACLES["t5_search_index"] = ORACLES["t5_search_batch"]
+ORACLES["s5_flatten_esummary_xml"] = ORACLES["s5_flatten_esummary"]

@@ -32,9 +32,16 @@ METRIC_COLS = ["n_search_item", "n_item", "precision", "recall", "f_0_5", "senti
 
 
 def query_hits(corpus: DataFrame, queries: DataFrame, id_col: str = "doi",
-               fields: Sequence[str] | None = None) -> DataFrame:
-    """Q for every query: (query_id, pmid), distinct."""
-    h = search_batch(corpus, queries, id_col=id_col, fields=fields)
+               fields: Sequence[str] | None = None, index: DataFrame | None = None,
+               index_buckets: int | None = None) -> DataFrame:
+    """Q for every query: (query_id, pmid), distinct. With a stored token
+    ``index`` (``build_token_index``) only its matching buckets are read."""
+    if index is not None:
+        from litrank.operators.containment import INDEX_BUCKETS, search_index
+        h = search_index(index, queries, id_col=id_col, fields=fields,
+                         buckets=index_buckets or INDEX_BUCKETS)
+    else:
+        h = search_batch(corpus, queries, id_col=id_col, fields=fields)
     return h.select("query_id", F.col(id_col).cast("string").alias("pmid"))
 
 

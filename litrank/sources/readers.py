@@ -118,3 +118,25 @@ def flatten_pubmed_xml(spark: SparkSession, path: str) -> DataFrame:
 def scan_table(spark: SparkSession, path: str) -> DataFrame:
     """Full-table read of a stored table."""
     return spark.read.parquet(path)
+
+
+ESUMMARY_XML_ITEM = "struct<_Name:string,_VALUE:string,Item:array<struct<_Name:string,_VALUE:string>>>"
+
+
+def flatten_esummary_xml(spark: SparkSession, path: str) -> DataFrame:
+    """S5, XML form: ``DocSum`` records -> (pmid, title, pmcid).
+
+    ``Id`` is the pmid, the ``Item`` named ``Title`` the title, and the ``pmc``
+    entry inside the ``ArticleIds`` list the pmcid ("NULL", "" and missing
+    become null).
+    """
+    df = (spark.read.format("xml").option("rowTag", "DocSum")
+          .schema(f"Id string, Item array<{ESUMMARY_XML_ITEM}>").load(path))
+
+    def named(arr, name):
+        return F.get(F.filter(arr, lambda x: x["_Name"] == name), 0)
+
+    title = named(F.col("Item"), "Title")["_VALUE"]
+    pmc = named(named(F.col("Item"), "ArticleIds")["Item"], "pmc")["_VALUE"]
+    pmc = F.when(pmc.isin("NULL", ""), F.lit(None)).otherwise(pmc)
+    return df.select(F.col("Id").alias("pmid"), title.alias("title"), pmc.alias("pmcid"))

@@ -24,3 +24,15 @@ def test_batch_equals_single_queries(spark):
     for qid in [r.query_id for r in q.select("query_id").collect()]:
         single += [tuple(r) for r in _run(spark, q.where(F.col("query_id") == qid)).collect()]
     assert batch == sorted(single)
+
+
+def test_search_with_token_index_equals_live_search(spark, tmp_path):
+    from litrank.operators.containment import build_token_index
+    fx = fixtures.load(spark, SF)
+    corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
+    path = build_token_index(corpus, str(tmp_path / "idx"), fields=("title", "doi"), buckets=8)
+    from litrank.plans.search import query_hits
+    live = query_hits(corpus, fx["queries"], fields=("title", "doi"))
+    indexed = query_hits(None, fx["queries"], fields=("title", "doi"), index=spark.read.parquet(path),
+                         index_buckets=8)
+    assert sorted(map(tuple, live.collect())) == sorted(map(tuple, indexed.collect()))
