@@ -209,6 +209,8 @@ __all__ = ["token_pairs", "keyword_tokens", "contains_all_join", "search_batch",
 # Token buckets of the stored index: size them so one bucket holds about 1 GB
 # of pairs at the target scale (1024 buckets ~ 1 TB of pairs).
 INDEX_BUCKETS = 1024
+# Writing tasks one token bucket may be spread over.
+INDEX_SPREAD = 64
 
 
 def token_bucket(col, buckets: int = INDEX_BUCKETS):
@@ -225,8 +227,12 @@ def build_token_index(articles: DataFrame, path: str, id_col: str = "doi",
     tokenised corpus in memory for the same reason)."""
     flds = search_fields(articles, fields)
     pairs = token_pairs(articles.where(F.col(id_col).isNotNull()), id_col, flds)
+    # A bucket holding a very common token must not become one writing task:
+    # rows are spread over (bucket, hash of the article id) so one bucket is
+    # written by up to INDEX_SPREAD tasks, each producing its own file.
+    spread = F.pmod(F.xxhash64(id_col), F.lit(INDEX_SPREAD))
     (pairs.withColumn("tb", token_bucket("token", buckets))
-          .repartition("tb").sortWithinPartitions("token")
+          .repartition(F.col("tb"), spread).sortWithinPartitions("tb", "token")
           .write.mode("errorifexists").partitionBy("tb").parquet(path))
     return path
 

@@ -105,17 +105,19 @@ def append_dump(df: DataFrame, path: str, dump_date: str) -> str:
 
 
 def write_table(df: DataFrame, path: str, sort_within: Sequence[str] | None = None,
-                cluster_by: str | None = None, partitions: int | None = None) -> str:
+                cluster_by: str | Sequence[str] | None = None, partitions: int | None = None) -> str:
     """Write a table version to a new path (never in place).
 
-    ``cluster_by`` range-partitions the rows (e.g. links by pmid), so Parquet
-    min/max statistics let a later id filter skip row groups - the role the
-    reference's index plays.
+    ``cluster_by`` range-partitions the rows (e.g. links by pmid, item_id), so
+    Parquet min/max statistics let a later id filter skip row groups - the role
+    the reference's index plays. A second column lets the range boundaries
+    split one very frequent first-column value over several files.
     """
     out = df
     if cluster_by:
+        cols = [cluster_by] if isinstance(cluster_by, str) else list(cluster_by)
         n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        out = out.repartitionByRange(n, cluster_by)
+        out = out.repartitionByRange(n, *cols)
     if sort_within:
         out = out.sortWithinPartitions(*sort_within)
     out.write.mode("errorifexists").parquet(path)
