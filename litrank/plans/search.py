@@ -1,13 +1,18 @@
 """B1: rank catalog items for a whole table of queries at once.
 
-Plan shape (three shuffles on the fact side):
+Plan shape:
 
-    corpus --tokens--> pairs --bcast(query tokens)--> hits(query_id, pmid)   [shuffle: query_id, pmid]
-    links --pmid--> join hits --> distinct articles -> left join sentiments  [shuffle: pmid]
-          --> per item TP + mean sentiment                                   [shuffle: query, type, item]
-    + counters (A1 over all links), |Q|, names: size-checked lookups
-    --> metrics --> overrides --> p90 window + top-k window                  [shuffle: query, type]
+    corpus --tokens--> pairs --bcast(query tokens)--> Q(query_id, pmid)     [shuffle: query, article]
+    Q is checkpointed (it feeds J1 and |Q|)
+    links --bcast(Q) when its row count is within the bound--> links of Q   [no shuffle of links]
+          --> distinct (query, item, article)                              [shuffle: query, type, item, pmid]
+          --> left join sentiments cut to Q (bcast semi join in their scan)
+          --> per item TP + mean sentiment                                 [shuffle: query, type, item]
+    + counters (A1), |Q|, names, rules, flags: size-checked or AQE-measured broadcasts
+    --> metrics --> overrides --> p90 window + top-k window                [shuffle: query, type]
 
+Beyond the broadcast bound J1 is a sort-merge join on pmid; store links and
+sentiments bucketed by pmid (``write_bucketed``) so their side does not move.
 The per-item counter table (A1) is a scan of the whole link table; pass a
 stored one (K4) to skip it.
 """
