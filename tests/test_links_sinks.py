@@ -140,3 +140,14 @@ def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS lr_links_b")
         spark.sql("DROP TABLE IF EXISTS lr_sents_b")
+
+
+def test_write_table_clusters_and_never_overwrites(spark, tmp_path):
+    import pytest
+    df = spark.createDataFrame([(str(i % 7), f"D{i}") for i in range(100)], "pmid string, item_id string")
+    path = str(tmp_path / "links_v1")
+    W.write_table(df, path, cluster_by=["pmid", "item_id"], sort_within=["pmid"], partitions=4)
+    back = RD.scan_table(spark, path)
+    assert back.count() == 100
+    with pytest.raises(Exception):
+        W.write_table(df, path)

@@ -114,3 +114,11 @@ def test_trim_never_fits_flags_over_budget(spark):
     # the choice table says over budget: check through a one-article variant
     one = B.trim_to_budget(_articles(spark, 1), items, budget_bytes=10 ** 9)
     assert one.first().over_budget is False
+
+
+def test_default_rules_are_the_reference_rule(spark):
+    items = _items(spark, [(1, "drug", "d1", "Favipiravir", 0.1, 0.2), (1, "drug", "d2", "Aspirin", 0.1, 0.2),
+                           (2, "drug", "d1", "Favipiravir", 0.1, 0.2)])
+    q = spark.createDataFrame([(1, "SARS-CoV-2 outcomes"), (2, "influenza")], "query_id long, query string")
+    got = {(r.query_id, r.item_id): r.ranking_score for r in R.apply_overrides(items, q).collect()}
+    assert got == {(1, "d1"): 1.0, (1, "d2"): 0.2, (2, "d1"): 0.2}
