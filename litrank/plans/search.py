@@ -64,16 +64,17 @@ def score_items(hits: DataFrame, links: DataFrame, sentiments: DataFrame,
 def search(queries: DataFrame, corpus: DataFrame, links: DataFrame, sentiments: DataFrame,
            catalog: DataFrame, counters: DataFrame | None = None, rules: DataFrame | None = None,
            k: int = TOP_K, id_col: str = "doi", fields: Sequence[str] | None = None,
-           hits: DataFrame | None = None, checkpoint_hits: bool = True) -> DataFrame:
+           hits: DataFrame | None = None, checkpoint_hits: bool = True,
+           index: DataFrame | None = None, index_buckets: int | None = None) -> DataFrame:
     """B1 long form: (query_id, item_type, item_id, name, metrics..., rank).
 
     ``queries`` has (query_id, query) and optionally ``do_filter`` (default
     true). ``hits`` may be given (e.g. from the popular-query cache, J9);
-    otherwise the corpus is searched. Q is checkpointed once because two
-    branches read it.
+    otherwise the corpus (or its stored token ``index``) is searched. Q is
+    checkpointed once because two branches read it.
     """
     if hits is None:
-        hits = query_hits(corpus, queries, id_col, fields)
+        hits = query_hits(corpus, queries, id_col, fields, index=index, index_buckets=index_buckets)
     if checkpoint_hits:
         # Q feeds J1 and |Q|: search the corpus once, not once per branch.
         hits = materialize(hits)

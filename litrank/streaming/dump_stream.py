@@ -1,4 +1,5 @@
-"""Incremental corpus scoring over arriving dump files (B3 as a stream).
+"""Incremental work over arriving dump files: scoring (B3) and linking (the
+J8 step of B4) as Structured Streaming queries.
 
 The reference scores every dump file it finds and upserts the scores, file by
 file. Here new JSON-lines files in the dump folder are a Structured Streaming
@@ -73,3 +74,26 @@ def compact(spark: SparkSession, log_dir: str, out_dir: str, base: DataFrame | N
     """Write the current table as one new version (never in place)."""
     current_scores(spark, log_dir, base).write.mode("errorifexists").parquet(out_dir)
     return out_dir
+
+
+def start_linking(spark: SparkSession, dump_dir: str, items: DataFrame, links_log_dir: str,
+                  checkpoint_location: str, db_name: str, available_now: bool = True,
+                  max_files_per_trigger: int | None = None, phrase: bool = False):
+    """B4's linking step over arriving dump files: every micro-batch of new
+    articles is tagged against the whole catalog (J8) and its links are
+    appended to a link log partitioned by batch id (a retried batch rewrites
+    only its own partition). Returns the StreamingQuery."""
+    from litrank.operators.containment import link_items
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        good = batch.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+        arts = dedup_articles(good, key="doi", keep="last").withColumn("db_name", F.lit(db_name))
+        links, _ = link_items(arts.select("doi", "title", "abstract", "db_name"), items, phrase=phrase)
+        (links.withColumn("batch_id", F.lit(batch_id).cast("long"))
+              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+              .partitionBy("batch_id").parquet(links_log_dir))
+
+    w = (dump_stream(spark, dump_dir, max_files_per_trigger).writeStream
+         .foreachBatch(write).option("checkpointLocation", checkpoint_location))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()

@@ -33,3 +33,22 @@ def test_stream_scores_new_files(spark, tmp_path):
     arts = spark.createDataFrame([("1", "bad"), ("2", "nothing here")], "doi string, abstract string")
     batch = {r.doi: r.sentiment_score for r in sentiment_lexicon(arts, lex, ["here"]).collect()}
     assert batch == now
+
+
+def test_stream_links_new_files(spark, tmp_path):
+    from litrank.operators.containment import link_items
+    from litrank.streaming.dump_stream import start_linking
+    dumps, log, ck = tmp_path / "dumps", str(tmp_path / "links"), str(tmp_path / "ck")
+    items = spark.createDataFrame([("B1", "red widget", "drug"), ("B2", "bolt", "drug")],
+                                  "item_id string, name string, item_type string")
+    _write(dumps, "a.jsonl", [{"doi": "1", "title": "A red widget", "abstract": "x"},
+                              {"doi": "2", "title": "t", "abstract": "a bolt"}])
+    start_linking(spark, str(dumps), items, log, ck, "Xrxiv").awaitTermination()
+    _write(dumps, "b.jsonl", [{"doi": "3", "title": "widget red bolt", "abstract": ""}])
+    start_linking(spark, str(dumps), items, log, ck, "Xrxiv").awaitTermination()
+    got = sorted((r.pmid, r.item_id) for r in spark.read.parquet(log).collect())
+    arts = spark.createDataFrame([("1", "A red widget", "x", "Xrxiv"), ("2", "t", "a bolt", "Xrxiv"),
+                                  ("3", "widget red bolt", "", "Xrxiv")],
+                                 "doi string, title string, abstract string, db_name string")
+    want = sorted((r.pmid, r.item_id) for r in link_items(arts, items)[0].collect())
+    assert got == want == [("1", "B1"), ("2", "B2"), ("3", "B1"), ("3", "B2")]
