@@ -122,3 +122,18 @@ def test_default_rules_are_the_reference_rule(spark):
     q = spark.createDataFrame([(1, "SARS-CoV-2 outcomes"), (2, "influenza")], "query_id long, query string")
     got = {(r.query_id, r.item_id): r.ranking_score for r in R.apply_overrides(items, q).collect()}
     assert got == {(1, "d1"): 1.0, (1, "d2"): 0.2, (2, "d1"): 0.2}
+
+
+def test_hot_group_is_spread_over_partitions(spark):
+    """The skew property rank_in_groups relies on: a group holding most rows
+    is cut into several range partitions, and its ranks stay exact."""
+    from pyspark.sql import Window
+    rows = [("hot", f"{i:05d}") for i in range(2000)] + [(f"g{i}", "00001") for i in range(20)]
+    df = spark.createDataFrame(rows, "g string, k string")
+    parts = (df.repartitionByRange(8, "g", "k").withColumn("p", F.spark_partition_id())
+               .where(F.col("g") == "hot").select("p").distinct().count())
+    assert parts >= 6
+    got = rank_in_groups(df, ["g"], ["k"], num_partitions=8)
+    want = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("k")))
+    assert sorted(map(tuple, got.select("g", "k", "rank").collect())) == \
+        sorted(map(tuple, want.select("g", "k", "rank").collect()))

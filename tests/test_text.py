@@ -85,3 +85,13 @@ def test_token_index_search_equals_live_search_and_prunes(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan.lower()
+
+
+def test_sentiment_salted_path_equals_broadcast(spark):
+    from litrank.operators.sentiment import sentiment_lexicon
+    arts = spark.createDataFrame([(str(i), ("good " * (i % 4)) + "bad the x") for i in range(30)],
+                                 "doi string, abstract string")
+    lex = spark.createDataFrame([("good", 0.5), ("bad", -0.25)], "word string, polarity double")
+    a = sorted(map(tuple, sentiment_lexicon(arts, lex, ["the"]).collect()))
+    b = sorted(map(tuple, sentiment_lexicon(arts, lex, ["the"], max_broadcast_rows=0).collect()))
+    assert a == b and len(a) == 30
