@@ -1,7 +1,8 @@
 """Optional-predicate selections.
 
-Id lists are DataFrames joined with ``left_semi``, never literals spliced into
-SQL text, so they can be as large as the data. Python lists are accepted for
+Id lists are DataFrames joined with ``left_semi`` (broadcast after a row
+check, else a shuffle join), never literals spliced into SQL text, so they can
+be as large as the data. Python lists are accepted for
 small hand-made lists and turned into a one-column DataFrame.
 """
 
@@ -11,13 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litrank.constants import DRUG_STATE, DRUG_TYPE
+from litrank.operators.joins import join_bounded
 
 
 def _ids(spark, ids, col: str) -> DataFrame | None:
     if ids is None:
         return None
     if isinstance(ids, DataFrame):
-        return ids.select(F.col(ids.columns[0]).cast("string").alias(col)).distinct()
+        # no distinct: a semi join ignores repeated keys, and a shuffle is saved
+        return ids.select(F.col(ids.columns[0]).cast("string").alias(col))
     ids = list(ids)
     if not ids:
         return None
@@ -30,10 +33,10 @@ def links_where(links: DataFrame, pmids=None, item_ids=None, item_type: str = ""
     spark = links.sparkSession
     p = _ids(spark, pmids, "pmid")
     if p is not None:
-        out = out.join(p, "pmid", "left_semi")
+        out = join_bounded(out, p, ["pmid"], "left_semi")
     i = _ids(spark, item_ids, "item_id")
     if i is not None:
-        out = out.join(i, "item_id", "left_semi")
+        out = join_bounded(out, i, ["item_id"], "left_semi")
     if item_type:
         out = out.where(F.col("item_type") == item_type)
     return out
@@ -43,14 +46,14 @@ def titles_where(titles: DataFrame, pmids=None) -> DataFrame:
     """The five metadata columns, optionally for an id list."""
     out = titles.select("pmid", "db_name", "url", "title", "pmcid")
     p = _ids(titles.sparkSession, pmids, "pmid")
-    return out if p is None else out.join(p, "pmid", "left_semi")
+    return out if p is None else join_bounded(out, p, ["pmid"], "left_semi")
 
 
 def sentiments_where(sentiments: DataFrame, pmids=None) -> DataFrame:
     """(pmid, sentiment_score), optionally for an id list."""
     out = sentiments.select("pmid", "sentiment_score")
     p = _ids(sentiments.sparkSession, pmids, "pmid")
-    return out if p is None else out.join(p, "pmid", "left_semi")
+    return out if p is None else join_bounded(out, p, ["pmid"], "left_semi")
 
 
 def split_by_type(links: DataFrame, item_type: str) -> DataFrame:
