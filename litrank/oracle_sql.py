@@ -8,7 +8,7 @@ same set Python's ``str.isspace`` uses, and the Spark side uses the same class.
 from __future__ import annotations
 
 from litrank.constants import QUERY_PUNCTUATION
-from litrank.fixtures import ctes
+from litrank.fixtures import FIXTURES, ctes
 
 WS = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
 PUNCT_SQL = QUERY_PUNCTUATION.replace("'", "''")
@@ -397,7 +397,7 @@ SELECT CAST(o_orderkey AS VARCHAR), CASE o_orderkey%3 WHEN 0 THEN 'PubMed' WHEN
        NULL, CASE WHEN o_orderstatus = 'O' THEN lower('old ' || o_orderpriority) ELSE o_orderpriority END, NULL
 FROM orders WHERE o_orderstatus IN ('O', 'P')""",
     "k3_append_links": j8_sql() + """,
-links_db AS (""" + __import__("litrank.fixtures", fromlist=["x"]).FIXTURES["links_db"] + """)
+links_db AS (""" + FIXTURES["links_db"] + """)
 SELECT pmid, db_name, item_id, item_type FROM links_db
 UNION ALL
 SELECT * FROM (SELECT DISTINCT * FROM (SELECT * FROM j8 UNION ALL SELECT * FROM links_db WHERE db_name = 'Xrxiv')) n
