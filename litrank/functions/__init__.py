@@ -1 +1 @@
-"""litrank: literature-evidence ranking on Spark."""
+"""Column expressions: text normalisation and cleaning, article links, metric formulas."""

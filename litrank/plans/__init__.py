@@ -1 +1 @@
-"""litrank: literature-evidence ranking on Spark."""
+"""Composite plans: batch search (B1), article lists and JSON (O1), offline jobs."""

@@ -1 +1 @@
-"""litrank: literature-evidence ranking on Spark."""
+"""Readers for catalogs, article dumps, saved API responses and stored tables."""

@@ -1 +1 @@
-"""litrank: literature-evidence ranking on Spark."""
+"""Structured Streaming jobs over arriving dump files."""
