@@ -9,8 +9,12 @@ sys.path.insert(0, ROOT)
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
+
     from litrank.session import checkpoint_dir, get_session
-    s = get_session("local[*]", app="litrank-tests", shuffle_partitions=8)
+    warehouse = tempfile.mkdtemp(prefix="litrank-warehouse-", dir="/tmp")
+    s = get_session("local[*]", app="litrank-tests", shuffle_partitions=8,
+                    extra={"spark.sql.warehouse.dir": warehouse})
     checkpoint_dir(s)
     yield s
     s.stop()
