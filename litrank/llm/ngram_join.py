@@ -369,37 +369,56 @@ def _wanted_sets(batches, n: int, bits):
                 told.clear()
 
 
-def _accumulate(batches, percent: int, blocks: int = 16):
-    """Overlap of each pair, added up over column blocks; a pair is dropped as soon as what is
-    left of the smaller set cannot bring it to the least overlap."""
+def _overlap(x: np.ndarray, y: np.ndarray, need: int, edges: np.ndarray) -> bool:
+    """Whether two sorted sets share ``need`` elements: the overlap is added up over column
+    blocks, and given up as soon as what is left of the smaller set cannot reach ``need``."""
+    cx = np.concatenate([[0], np.searchsorted(x, edges), [len(x)]])
+    cy = np.concatenate([[0], np.searchsorted(y, edges), [len(y)]])
+    got = 0
+    for k in range(len(cx) - 1):
+        u, v = x[cx[k]:cx[k + 1]], y[cy[k]:cy[k + 1]]
+        if len(u) and len(v):
+            at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+            got += int((v[at] == u).sum())
+        if got + min(len(x) - cx[k + 1], len(y) - cy[k + 1]) < need:
+            return False
+    return got >= need
+
+
+def _accumulate(table, percent: int, blocks: int = 16):
+    """The pairs of one key that link. Rows hold a pair (a, b), or a set (digest, grams)."""
     edges = np.arange(1, blocks, dtype=np.uint64) * _U(2 ** 64 // blocks)
-    for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column("grams_a"), batch.column("grams_b"))):
-            x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-            need = least_overlap(len(x), len(y), percent)
-            got = 0
-            cx = np.concatenate([[0], np.searchsorted(x, edges), [len(x)]])
-            cy = np.concatenate([[0], np.searchsorted(y, edges), [len(y)]])
-            for k in range(blocks):
-                u, v = x[cx[k]:cx[k + 1]], y[cy[k]:cy[k + 1]]
-                if len(u) and len(v):
-                    at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-                    got += int((v[at] == u).sum())
-                if got + min(len(x) - cx[k + 1], len(y) - cy[k + 1]) < need:
-                    break
-            if got >= need:
-                keep.append(i)
-        if keep:
-            yield _batch({"a": pa.array([a[i] for i in keep], pa.int64()),
-                          "b": pa.array([b[i] for i in keep], pa.int64())})
-
-
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    side = lambda k: sets.select(F.col("digest").alias(k), F.col("grams").alias(f"grams_{k}")).hint("merge")
-    full = pairs.hint("merge").join(side("a"), "a").join(side("b"), "b")
-    return full.mapInArrow(lambda x: _accumulate(x, percent=percent), "a bigint, b bigint")
+    sets, pairs = {}, []
+    for a, b, d, g in zip(table.column("a").to_pylist(), table.column("b").to_pylist(),
+                          table.column("digest").to_pylist(), table.column("grams")):
+        if d is None:
+            pairs.append((a, b))
+        else:
+            sets[d] = np.frombuffer(g.as_buffer(), _U)
+    keep = [(a, b) for a, b in pairs
+            if _overlap(sets[a], sets[b], least_overlap(len(sets[a]), len(sets[b]), percent), edges)]
+    return pa.table({"a": pa.array([a for a, _ in keep], pa.int64()), "b": pa.array([b for _, b in keep], pa.int64())})
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int, keys: int) -> DataFrame:
+    """The pairs that link. Candidate components share keys, so that a set moves once for all
+    pairs of its component; one of more than BLOCK texts is cut into pairs of row blocks."""
+    of = components(pairs)
+    sized = stored(of.join(of.groupBy("component").agg(F.count("*").alias("size")), "component"), "sized")
+    part = F.pmod(F.col("component"), F.lit(keys))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    block = lambda c: F.pmod(F.xxhash64(c), blocks).cast("int")
+    big = F.col("size") > BLOCK
+    keyed = stored(pairs.join(sized.withColumnRenamed("node", "a"), "a").select(
+        "a", "b", F.when(big, F.col("component")).otherwise(part).alias("k1"),
+        F.when(big, block("a")).otherwise(-1).alias("k2"), F.when(big, block("b")).otherwise(-1).alias("k3")), "keyed")
+    key = ["k1", "k2", "k3"]
+    needs = keyed.select(*key, F.col("a").alias("digest")).union(keyed.select(*key, "b")).distinct()
+    rows = needs.join(sets, "digest").select(*key, F.lit(None).cast("bigint").alias("a"),
+                                             F.lit(None).cast("bigint").alias("b"), "digest", "grams") \
+        .unionByName(keyed.select(*key, "a", "b", F.lit(None).cast("bigint").alias("digest"),
+                                  F.lit(None).cast("binary").alias("grams")))
+    return rows.groupBy(*key).applyInArrow(lambda table: _accumulate(table, percent), "a bigint, b bigint")
 
 
 # --- the operator ------------------------------------------------------------------------------
@@ -432,8 +451,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     wanted = trees.select(F.col("a").alias("digest")).union(trees.select("b")).distinct()
     bits = spark.sparkContext.broadcast(_id_bits(wanted))
     sets = texts.select("text").mapInArrow(lambda x: _wanted_sets(x, n=n, bits=bits), "digest bigint, grams binary")
-    sets = stored(sets.dropDuplicates(["digest"]), "wanted")
-    links = stored(_links(trees, sets, percent), "links")
+    sets = stored(sets, "wanted")
+    links = stored(_links(trees, sets, percent, keys), "links")
 
     first = components(links)
     named = stored(lists.join(first.withColumnRenamed("node", "digest"), "digest", "left")
@@ -442,8 +461,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
         .where("lo <> hi").select("list")
     open_lists = named.join(mixed, "list", "left_semi")
     more = _candidates(open_lists, percent, False, keys)
-    more = more.join(trees, ["a", "b"], "left_anti")
-    links = links.unionByName(stored(_links(more, sets, percent), "links"))
+    more = stored(more.join(trees, ["a", "b"], "left_anti"), "more")
+    links = links.unionByName(stored(_links(more, sets, percent, keys), "links"))
 
     least = classes.select("digest", "least_id")
     joined = components(links).withColumnRenamed("node", "digest").join(least, "digest")
