@@ -10,9 +10,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from litrank.llm import bpe_exchange, language_mixture, pii_crf, token_files, toxicity
 from litrank.llm.digest_index import DigestIndex
 from litrank.llm.ngram_join import ngram_jaccard_join
 from litrank.llm.packing import pack_documents
+from litrank.session import scratch_path
 
 BPE_JSON = "byte_bpe_50k.json"
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -28,20 +30,67 @@ def op2_sum_of_squares_packing(spark, sf_dir):
                          "sequence_id", "offset")
 
 
+def _id_hash(buckets):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(buckets))
+
+
+def op3_language_mixture(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = language_mixture.fit(docs.where(_id_hash(4) != 2).select("text", "lang"))
+    return language_mixture.predict(docs.select("doc_id", "text"), model) \
+        .select("doc_id", F.coalesce(_id_hash(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "mixture")
+
+
+def op4_subword_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    learn = labels.where(_id_hash(5) != 0)
+    model = toxicity.fit(docs.where(_id_hash(5) != 0).join(learn, "doc_id").select("text", "label"))
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(_id_hash(5) == 0, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_ngram_jaccard_join(spark, sf_dir):
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=4, percent=85) \
         .select("doc_id", "n_shingles", "component_id")
 
 
+def op6_bpe_exchange(spark, sf_dir):
+    ranks = public_tokenizers.path(BPE_RANKS)
+    encoded = bpe_exchange.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe_exchange.decode(encoded, ranks).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_digest_index_dedup(spark, sf_dir):
     marks = DigestIndex(spark).add(_table(spark, sf_dir, "documents"))
     return marks.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_pii_semi_markov(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii_crf.find_spans(docs, pii_crf.fit(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op10_token_files(spark, sf_dir):
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(BPE_JSON))
+    return token_files.read_token_files(spark, path)
+
+
 QUERIES = {f.__name__: f for f in (
     op2_sum_of_squares_packing,
+    op3_language_mixture,
+    op4_subword_toxicity,
     op5_ngram_jaccard_join,
+    op6_bpe_exchange,
     op7_digest_index_dedup,
+    op8_pii_semi_markov,
+    op10_token_files,
 )}
 
 ORACLES = {

@@ -118,11 +118,15 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray):
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def byte_span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return span_hashes(_SYMBOL[buf], starts, ends)
+
+
 def word_hashes(buf: np.ndarray, offsets: np.ndarray):
     """Hashes of the words of a slice after lower-casing A-Z; starts, ends, row of each word."""
     low = LOWER[buf]
     starts, ends, row = word_spans(low, offsets)
-    return span_hashes(_SYMBOL[low], starts, ends), starts, ends, row
+    return byte_span_hashes(low, starts, ends), starts, ends, row
 
 
 # --- pre-tokens -----------------------------------------------------------------------------
@@ -206,3 +210,50 @@ def text_rows(col: pa.Array, limit: int = SLICE_BYTES):
 
 def code_point_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return span_hashes(mix((cp.astype(np.uint64) + _U(1)) * _ROOT), starts, ends)
+
+
+# --- letters -----------------------------------------------------------------------------------
+
+# ASCII letters lower-cased, other ASCII signs blank, bytes of other characters as they are.
+LETTERS = np.arange(256, dtype=np.uint8)
+LETTERS[:128] = 0x20
+LETTERS[ord("a"):ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
+LETTERS[ord("A"):ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
+
+
+def letter_runs(buf: np.ndarray, offsets: np.ndarray):
+    """The rows of a slice as lower-case letters between blanks: one blank before each row and
+    one after the last. Returns the bytes and the place of each row's leading blank."""
+    rows = len(offsets) - 1
+    out = np.full(len(buf) + rows + 1, 0x20, np.uint8)
+    row = np.repeat(np.arange(rows), np.diff(offsets))
+    low = LETTERS[buf]
+    if len(buf) > 1:   # capital letters of the Latin-1 block (second byte 0x80 to 0x9E)
+        second = np.flatnonzero((buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[:-1] == 0xC3) & (buf[1:] != 0x97)) + 1
+        low[second] += 0x20
+    out[np.arange(len(buf)) + row + 1] = low
+    return out, offsets + np.arange(rows + 1)
+
+
+def gram_codes(buf: np.ndarray, n: int) -> np.ndarray:
+    """The n bytes from each position on as one integer (n at most 7)."""
+    code = buf[:len(buf) - n + 1].astype(np.uint64)
+    for k in range(1, n):
+        code = (code << _U(8)) | buf[k:len(buf) - n + 1 + k]
+    return code
+
+
+def has_letter(col: pa.Array) -> np.ndarray:
+    """Whether each text has a letter of any script."""
+    out = np.zeros(len(col), bool)
+    ascii_letter = np.zeros(256, bool)
+    ascii_letter[ord("a"):ord("z") + 1] = ascii_letter[ord("A"):ord("Z") + 1] = True
+    for i, j, buf, offs in text_slices(col):
+        seen = np.zeros(len(buf) + 1, np.int64)
+        np.cumsum(ascii_letter[buf], out=seen[1:])
+        out[i:j] = np.diff(seen[offs]) > 0
+        for k in np.flatnonzero(~out[i:j]):
+            rest = buf[offs[k]:offs[k + 1]]
+            if (rest >= 0x80).any():
+                out[i + k] = bool((char_classes()[code_points(rest.tobytes().decode())] == LETTER).any())
+    return out
