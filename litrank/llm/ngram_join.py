@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from litrank.llm.stages import components, join_groups, ship_code, shuffle_width, stored
 from litrank.llm.text_arrays import mix, text_column, text_slices, word_hashes
 
-SKETCH_BITS = 512
+LEAST_SKETCH_BITS = 512
 BLOCK = 1024                 # rows of a block of a posting list
 LATE_COLUMNS = 1 << 20       # most columns that are put late in the order (8 MB, broadcast)
 TASK_SHINGLES = 1 << 22      # n-grams a task holds before it passes counts on
@@ -86,10 +86,17 @@ def set_digest(s: np.ndarray) -> int:
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
-    bits = np.bincount((s >> _U(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    """Parity of the number of elements that hash to each bit; about a bit for each element."""
+    size = max(LEAST_SKETCH_BITS, 1 << max(0, len(s) - 1).bit_length())
+    bits = np.bincount((s >> _U(20)).astype(np.int64) % size, minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def fold(sketches: list[np.ndarray], words: int) -> np.ndarray:
+    """Sketches cut to ``words`` 64-bit words: the parity of a coarser hash is the sum of parities."""
+    return np.stack([np.bitwise_xor.reduce(s.reshape(-1, words), axis=0) for s in sketches])
+
+
 def least_overlap(a, b, percent: int):
     """Fewest common elements of two sets of these sizes that link."""
     return -(-percent * (a + b) // (100 + percent))
@@ -250,15 +257,21 @@ def _popcounts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _passing(sizes, sketches, comp, left, right, percent: int, step: int = 256):
     """Index pairs (left block by right block) that sizes and sketches do not rule out."""
-    for i in range(0, len(left), step):
-        a = left[i:i + step]
+    left, right = left[np.argsort(sizes[left], kind="stable")], right[np.argsort(sizes[right], kind="stable")]
+    i = 0
+    while i < len(left):
+        like = int(np.searchsorted(sizes[left], 2 * sizes[left[i]], "left"))     # sketches of like size
+        a = left[i:min(i + step, max(like, i + 1))]
+        i += len(a)
         lo, hi = sizes[a].min(), sizes[a].max()
         b = right[(100 * sizes[right] >= percent * lo) & (percent * sizes[right] <= 100 * hi)]
         if not len(b):
             continue
+        words = min(min(len(sketches[k]) for k in a), min(len(sketches[k]) for k in b))
         sa, sb = sizes[a][:, None], sizes[b][None, :]
-        diff = _popcounts(sketches[a], sketches[b])
+        diff = _popcounts(fold([sketches[k] for k in a], words), fold([sketches[k] for k in b], words))
         ok = (diff <= sa + sb - 2 * least_overlap(sa, sb, percent)) & (a[:, None] != b[None, :])
+        ok &= 100 * np.minimum(sa, sb) >= percent * np.maximum(sa, sb)
         if comp is not None:
             ok &= comp[a][:, None] != comp[b][None, :]
         x, y = np.nonzero(ok)
@@ -281,8 +294,8 @@ def _multiply(key, table, percent: int, forest: bool):
     sizes = table.column("n_shingles").to_numpy()[order]
     side = table.column("side").to_numpy()[order]
     comp = None if forest else table.column("component").to_numpy()[order]
-    words = SKETCH_BITS // 64
-    sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, words)[order]
+    blobs = table.column("sketch").to_pylist()
+    sketches = [np.frombuffer(blobs[k], np.uint64) for k in order]
     cut = np.flatnonzero(np.append(True, lists[1:] != lists[:-1]))
     out_a, out_b = [], []
     for lo, hi in zip(cut, np.append(cut[1:], len(lists))):
