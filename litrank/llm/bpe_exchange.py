@@ -23,12 +23,12 @@ import base64
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litrank.llm.stages import ship_code, shuffle_width, stored
+from litrank.llm.packed import pack, unpack
+from litrank.llm.stages import ship_code, shuffle_width, stored_buckets
 from litrank.llm.text_arrays import code_point_hashes, pretoken_starts, text_column, text_rows
 
 CHUNK_BYTES = 8 << 20
@@ -55,32 +55,6 @@ def rank_encoder(path: str, pattern: str):
     return _ENCODERS[path]
 
 
-def _pack(*arrays) -> bytes:
-    """Arrays of unsigned integers, byte planes apart, compressed."""
-    out = zstandard.ZstdCompressor(level=3)
-    planes = []
-    for a in arrays:
-        a = np.ascontiguousarray(a, "<u8")
-        top = int(a.max()) if len(a) else 0
-        width = max(1, (top.bit_length() + 7) // 8)
-        planes += [np.array([len(a), width], "<u8").tobytes(),
-                   a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
-    return out.compress(b"".join(planes))
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    out, at = [], 0
-    while at < len(raw):
-        n, width = (int(v) for v in np.frombuffer(raw, "<u8", 2, at))
-        at += 16
-        a = np.zeros((n, 8), np.uint8)
-        a[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
-        out.append(a.view("<u8").reshape(-1).astype(np.int64))
-        at += n * width
-    return out
-
-
 # --- 1: chunks ---------------------------------------------------------------------------------
 
 def _explode(batches, parts: int):
@@ -100,14 +74,14 @@ def _explode(batches, parts: int):
         counts = np.concatenate([c for _, _, c in held])
         null = np.array([d is None for d in docs], np.uint8)
         key = np.array([0 if d is None else d for d in docs], np.int64).view(np.uint64)
-        rows = {"chunk": [number], "part": [-1], "words": [None], "docs": [_pack(key, null, counts)],
-                "codes": [_pack(rank[code], part)]}
+        rows = {"chunk": [number], "part": [-1], "words": [None], "docs": [pack(key, null, counts)],
+                "codes": [pack(rank[code], part)]}
         for p in np.unique(part):
             mine = [words[int(h)].encode() for h in names[order][part == p]]
             blob = np.fromiter(map(len, mine), np.int64, len(mine))
             rows["chunk"].append(number)
             rows["part"].append(int(p))
-            rows["words"].append(_pack(blob, np.frombuffer(b"".join(mine), np.uint8)))
+            rows["words"].append(pack(blob, np.frombuffer(b"".join(mine), np.uint8)))
             rows["docs"].append(None)
             rows["codes"].append(None)
         return pa.RecordBatch.from_pydict(rows, schema=_CHUNKS)
@@ -133,7 +107,7 @@ def _explode(batches, parts: int):
 # --- 2: words ----------------------------------------------------------------------------------
 
 def _words(blob: bytes) -> list[bytes]:
-    size, flat = _unpack(blob)
+    size, flat = unpack(blob)
     raw, end = flat.astype(np.uint8).tobytes(), np.cumsum(size).tolist()
     return [raw[a:b] for a, b in zip([0, *end], end)]
 
@@ -150,29 +124,26 @@ def _encode_part(table, path: str, pattern: str):
         found = [ids[w] for w in mine]
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((t for f in found for t in f), np.int64, int(size.sum()))
-        replies.append(_pack(size, flat))
+        replies.append(pack(size, flat))
     return pa.table({"chunk": table.column("chunk"), "part": table.column("part"),
                      "words": pa.array(replies, pa.binary())})
 
 
 # --- 3: positions ------------------------------------------------------------------------------
 
-def _assemble(table):
-    part = table.column("part").to_pylist()
-    main = part.index(-1)
-    key, null, counts = _unpack(table.column("docs")[main].as_py())
-    code, of_part = _unpack(table.column("codes")[main].as_py())
+def _assemble(main, replies):
+    key, null, counts = unpack(main.column("docs")[0].as_py())
+    code, of_part = unpack(main.column("codes")[0].as_py())
     size = np.zeros(len(of_part), np.int64)
     begin = np.zeros(len(of_part), np.int64)
     pool, base = [], 0
-    for p, blob in zip(part, table.column("words").to_pylist()):
-        if p >= 0:
-            n, flat = _unpack(blob)
-            mine = np.flatnonzero(of_part == p)
-            size[mine] = n
-            begin[mine] = base + np.cumsum(n) - n
-            pool.append(flat.astype("<u4"))
-            base += len(flat)
+    for p, blob in zip(replies.column("part").to_pylist(), replies.column("words").to_pylist()):
+        n, flat = unpack(blob)
+        mine = np.flatnonzero(of_part == p)
+        size[mine] = n
+        begin[mine] = base + np.cumsum(n) - n
+        pool.append(flat.astype("<u4"))
+        base += len(flat)
     pool = np.concatenate(pool) if pool else np.zeros(0, "<u4")
     n = size[code]
     total = np.zeros(len(n) + 1, np.int64)
@@ -191,12 +162,13 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     ship_code(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = shuffle_width(spark)
-    chunks = stored(rows.mapInArrow(lambda x: _explode(x, parts), CHUNKS), "chunks")
+    chunks = stored_buckets(rows.mapInArrow(lambda x: _explode(x, parts), CHUNKS), "bpe_chunks", "chunk")
     replies = chunks.where("part >= 0").select("chunk", "part", "words").groupBy("part") \
         .applyInArrow(lambda table: _encode_part(table, ranks, pattern), "chunk bigint, part int, words binary")
-    replies = replies.withColumns({"docs": F.lit(None).cast("binary"), "codes": F.lit(None).cast("binary")})
-    return chunks.where("part < 0").unionByName(replies).groupBy("chunk") \
-        .applyInArrow(lambda table: _assemble(table), "doc_id bigint, ids binary")
+    # The chunks lie in buckets: only the replies move to them.
+    positions = chunks.where("part < 0").select("chunk", "docs", "codes")
+    return positions.groupBy("chunk").cogroup(replies.groupBy("chunk")) \
+        .applyInArrow(lambda main, found: _assemble(main, found), "doc_id bigint, ids binary")
 
 
 # --- 4: decoding -------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ steps before.
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,9 +33,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 _SHIPPED: set[str] = set()
 
 
+# Rows of an Arrow batch, where the session has Spark's default of 10,000: whole texts are long.
+BATCH_ROWS = "1000"
+
+
 def ship_code(spark) -> None:
     """Hand this package to the Python workers of the session, once for each application, so
-    that tasks find it on executors where it is not installed."""
+    that tasks find it on executors where it is not installed; keep Arrow batches small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -52,6 +59,15 @@ def shuffle_width(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def stored_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``stored``, as a table bucketed by ``key``: grouping it by the key needs no shuffle."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex[:12]}"
+    df.write.format("parquet").bucketBy(shuffle_width(spark), key).sortBy(key) \
+        .option("path", scratch_path(spark, table)).saveAsTable(table)
+    return spark.table(table)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with one row per group, whatever the sizes of the groups.
 
