@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litrank.llm.stages import join_groups, shuffle_width, stored
@@ -85,16 +85,35 @@ class DigestIndex:
 
 
 def keep_first_copies(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text ``add`` marked as kept, each once.
-
-    Only ids and digests move to the text's partitions: the hash table is built on them.
-    """
-    kept = marks.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    """The rows of ``docs`` that ``add`` marked as kept; of rows that repeat a ``doc_id`` and its
+    text, one. Rows are dropped by an anti-join, so that few copies need no shuffle of texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    digest = F.unhex(F.sha2(F.translate(text, BLANKS, ""), 256))
-    best = docs.withColumn("_digest", digest).withColumn("_id", F.col("doc_id").cast("bigint"))
-    found = best.join(kept.hint("shuffle_hash"),
-                      best["_id"].eqNullSafe(kept["_id"]) & (best["_digest"] == kept["_digest"]), "left_semi")
-    from pyspark.sql import Window
-    order = Window.partitionBy("_id", "_digest").orderBy(F.length(text).desc(), F.xxhash64(*docs.columns))
-    return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+    named = docs.select("*", F.col("doc_id").cast("bigint").alias(_ID),
+                        F.unhex(F.sha2(F.translate(text, BLANKS, ""), 256)).alias(_DIGEST),
+                        F.length(text).alias(_LENGTH))
+    pair = [F.col("doc_id").alias("id"), F.col("digest").alias("key")]
+    best = marks.where("kept").groupBy(*pair).agg(F.count("*").alias("n"))
+    gone = marks.where(~F.col("kept")).select(*pair).distinct() \
+        .join(best.select(F.col("id").alias("i"), F.col("key").alias("k")),
+              F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_anti")
+    left = _without(named, gone)
+    # Rows of one id and digest of which some are kept: equal rows, or texts that differ in blanks.
+    mixed = marks.groupBy(*pair).agg(F.count("*").alias("n"), F.max("kept").alias("any")) \
+        .where("n > 1 AND any").select("id", "key")
+    mixed = stored(mixed, "repeated")
+    if not mixed.isEmpty():
+        order = Window.partitionBy(_ID, _DIGEST).orderBy(F.col(_LENGTH).desc(), "text")
+        some = _with(left, mixed).withColumn(_NUMBER, F.row_number().over(order)).where(F.col(_NUMBER) == 1)
+        left = _without(left, mixed).unionByName(some.drop(_NUMBER))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+_ID, _DIGEST, _LENGTH, _NUMBER = "__digest_id", "__digest", "__digest_length", "__digest_number"
+
+
+def _without(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    return rows.join(pairs, rows[_ID].eqNullSafe(pairs["id"]) & (rows[_DIGEST] == pairs["key"]), "left_anti")
+
+
+def _with(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    return rows.join(pairs, rows[_ID].eqNullSafe(pairs["id"]) & (rows[_DIGEST] == pairs["key"]), "left_semi")

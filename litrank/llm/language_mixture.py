@@ -171,13 +171,26 @@ def _predict(batches, model):
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1) and mixture (``lang:share,...``) added; only the
-    column ``text`` is read, the others are carried along."""
-    clash = {"lang_pred", "score", "mixture"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    """``docs`` with lang_pred, score (0 to 1) and mixture (``lang:share,...``), which replace
+    columns of these names; only the column ``text`` is read, the others are carried along."""
+    docs = docs.drop("lang_pred", "score", "mixture")
     ship_code(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(lambda x: _predict(x, shared),
                            f"{schema}, lang_pred string, score double, mixture string")
+
+
+def _identified(batches, model):
+    m: LanguageModel = model.value
+    for batch in batches:
+        col = text_column(batch)
+        keep = has_letter(col) & bool(m.languages)
+        yield batch.filter(pa.array(keep))
+
+
+def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs`` that ``predict`` does not call ``und``, with their columns."""
+    ship_code(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(lambda x: _identified(x, shared), docs.schema)

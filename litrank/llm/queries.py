@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from litrank.llm import bpe_exchange, language_mixture, pii_crf, token_files, toxicity
+from litrank.llm import bpe_exchange, embedding_graph, language_mixture, pii_crf, suffix_tree, token_files, toxicity
 from litrank.llm.digest_index import DigestIndex
 from litrank.llm.ngram_join import ngram_jaccard_join
 from litrank.llm.packing import pack_documents
@@ -24,6 +24,10 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_robust_pruned_graph(spark, sf_dir):
+    return embedding_graph.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op2_sum_of_squares_packing(spark, sf_dir):
     pieces = pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_JSON))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
@@ -76,6 +80,14 @@ def op8_pii_semi_markov(spark, sf_dir):
                         F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op9_suffix_tree(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (_id_hash(10) != 0).alias("learn"))
+    tree = suffix_tree.fit(docs.where("learn"))
+    return suffix_tree.score(docs, tree).select(
+        "doc_id", F.coalesce(_id_hash(10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
+        "train_tokens", "base_score", "score")
+
+
 def op10_token_files(spark, sf_dir):
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(BPE_JSON))
@@ -83,6 +95,7 @@ def op10_token_files(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
+    op1_robust_pruned_graph,
     op2_sum_of_squares_packing,
     op3_language_mixture,
     op4_subword_toxicity,
@@ -90,10 +103,52 @@ QUERIES = {f.__name__: f for f in (
     op6_bpe_exchange,
     op7_digest_index_dedup,
     op8_pii_semi_markov,
+    op9_suffix_tree,
     op10_token_files,
 )}
 
 ORACLES = {
+    "op1_robust_pruned_graph": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] e FROM embeddings),
+        n AS (
+            SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) l FROM v
+            WHERE label IS NOT NULL AND len(e) > 0 AND list_count(e) = len(e)
+              AND len(list_filter(e, lambda x: NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+        p AS (
+            SELECT a.vec_id a, b.vec_id b FROM n a JOIN n b
+              ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+            WHERE list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.98),
+        r AS (
+            SELECT vec_id node, vec_id root FROM v
+            UNION
+            SELECT p.b, r.root FROM r JOIN p ON r.node = p.a),
+        c AS (SELECT node, min(root) component_id FROM r GROUP BY node),
+        k AS (SELECT a, count(*) n FROM p GROUP BY a)
+        SELECT v.vec_id, coalesce(k.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+        FROM v JOIN c ON c.node = v.vec_id LEFT JOIN k ON k.a = v.vec_id""",
+    "op5_ngram_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') w
+            FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4
+                THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) g
+            FROM d),
+        i AS (SELECT doc_id, len(g) n, unnest(g) t FROM s),
+        o AS (
+            SELECT a.doc_id a, b.doc_id b, any_value(a.n) na, any_value(b.n) nb, count(*) c
+            FROM i a JOIN i b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        p AS (SELECT a, b FROM o WHERE 100 * c >= 85 * (na + nb - c)),
+        r AS (
+            SELECT doc_id node, doc_id root FROM s
+            UNION
+            SELECT p.b, r.root FROM r JOIN p ON r.node = p.a)
+        SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, c.component_id
+        FROM s JOIN (SELECT node, min(root) component_id FROM r GROUP BY node) c ON c.node = s.doc_id""",
     "op7_digest_index_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) n,

@@ -232,9 +232,9 @@ def _score(batches, model):
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``docs`` with a column toxicity (0 to 1); only ``text`` is read."""
-    if "toxicity" in docs.columns:
-        raise ValueError("column toxicity exists already")
+    """``docs`` with a column toxicity (0 to 1), which replaces one of this name; only ``text`` is
+    read."""
+    docs = docs.drop("toxicity")
     ship_code(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
