@@ -49,7 +49,7 @@ def op4_subword_toxicity(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     learn = labels.where(_id_hash(5) != 0)
-    model = toxicity.fit(docs.where(_id_hash(5) != 0).join(learn, "doc_id").select("text", "label"))
+    model = toxicity.fit(docs, learn)
     return toxicity.score(docs, model).select(
         "doc_id", F.coalesce(_id_hash(5) == 0, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))

@@ -7,8 +7,8 @@ long text does not dilute an insult. An unseen misspelling shares most n-grams w
 it stands for.
 
 Vectors and softmax are trained together (gradient steps) on a bounded sample of the labelled rows:
-at most ``max_positive`` toxic and ``max_negative`` other documents, chosen by a hash of the
-text. Labels belong to documents, so training alternates: score all windows, then learn from
+at most ``max_positive`` toxic and ``max_negative`` other documents, chosen by a hash of their
+id. Labels belong to documents, so training alternates: score all windows, then learn from
 the worst windows of each document and some others. A logistic map from the worst window to
 the document's label, fitted on the same sample and moved to the share of toxic rows among all
 labelled rows, gives the score.
@@ -34,6 +34,7 @@ from litrank.llm.text_arrays import byte_span_hashes, gram_codes, letter_runs, m
 BUCKETS = 1 << 18
 WINDOW = 16
 DIM = 8
+NEGATIVE_WINDOWS = 48        # windows kept of a training document of label 0, about
 _U = np.uint64
 
 
@@ -120,28 +121,39 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 10, batch: int = 2
     labels = np.asarray(labels, int)
     if not len(labels) or labels.min() == labels.max():
         return ToxicityModel(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 50.0 if len(labels) and labels[0] else -50.0)
-    bucket, window, owner = [], [], []
-    base = row0 = 0
+    bucket, counts, owner = [], [], []
+    row0 = 0
     for i, j, buf, offs in text_slices(pa.array(texts, pa.string())):
         b, w, word_row = subwords(buf, offs)
         win, win_row = windows_of(word_row, j - i)
-        bucket.append(b.astype(np.int32))
-        window.append((win[w] if len(w) else w) + base)
-        owner.append(win_row + row0)
-        base, row0 = base + len(win_row), row0 + j - i
-    bucket, window, owner = map(np.concatenate, (bucket, window, owner))
-    order = np.argsort(window, kind="stable")
-    bucket, window = bucket[order], window[order]
-    begin = np.searchsorted(window, np.arange(base + 1))
-    size = np.maximum(np.diff(begin), 1)
+        at = win[w] if len(w) else w
+        keep = (rng.random(len(win_row)) * np.bincount(win_row, minlength=j - i)[win_row] < NEGATIVE_WINDOWS) | \
+            (labels[row0 + win_row] == 1)
+        b, at = b[keep[at]].astype(np.int32), (np.cumsum(keep) - 1)[at[keep[at]]]
+        order = np.argsort(at, kind="stable")
+        bucket.append(b[order])
+        counts.append(np.bincount(at, minlength=int(keep.sum())))
+        owner.append(win_row[keep] + row0)
+        row0 += j - i
+    bucket, counts, owner = map(np.concatenate, (bucket, counts, owner))
+    base = len(counts)
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    size = np.maximum(counts, 1)
+
+    def logits(weight):
+        out = np.zeros(base)
+        for lo in range(0, base, 4096):
+            part = np.arange(lo, min(base, lo + 4096))
+            total = np.concatenate([[0.0], np.cumsum(weight[bucket[begin[lo]:begin[part[-1] + 1]]], dtype=float)])
+            out[part] = (total[begin[part + 1] - begin[lo]] - total[begin[part] - begin[lo]]) / size[part]
+        return out
 
     emb = ((rng.random((BUCKETS, DIM)) - 0.5) / DIM).astype(np.float32)
     soft = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32)
     bias = np.zeros(2, np.float32)
     for turn in range(rounds):
         weight = emb @ (soft[:, 1] - soft[:, 0])
-        total = np.concatenate([[0.0], np.cumsum(weight[bucket], dtype=float)])
-        value = (total[begin[1:]] - total[begin[:-1]]) / size
+        value = logits(weight)
         by = np.lexsort((-value, owner))                                    # worst windows first
         rank = np.arange(base) - np.searchsorted(owner[by], owner[by])
         toxic = labels[owner[by]] == 1
@@ -200,16 +212,20 @@ def _train_task(table, rounds: int):
                      "rest": pa.array([[m.bias, m.slope, m.shift]], pa.list_(pa.float64()))})
 
 
-def fit(labelled: DataFrame, max_positive: int = 1500, max_negative: int = 3000, rounds: int = 10) -> ToxicityModel:
-    """Learn from rows (text, label 0 or 1): at most ``max_positive`` rows of label 1 and
-    ``max_negative`` of label 0, those with the smallest hash of their text. The sample is
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 1500, max_negative: int = 3000,
+        rounds: int = 10) -> ToxicityModel:
+    """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1): at most
+    ``max_positive`` rows of label 1 and ``max_negative`` of label 0, those with the smallest
+    hash of their doc_id. Only their ids are sorted; the sampled texts, bounded in number, are
     trained on in one task."""
-    ship_code(labelled.sparkSession)
-    rows = labelled.where("text is not null and label in (0, 1)") \
-        .select(F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"))
-    order = [F.xxhash64("text"), F.col("text")]
-    sample = rows.where("label = 1").orderBy(*order).limit(max_positive) \
+    ship_code(docs.sparkSession)
+    rows = labels.where("label in (0, 1) AND doc_id is not null") \
+        .select("doc_id", F.col("label").cast("int").alias("label"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = rows.where("label = 1").orderBy(*order).limit(max_positive) \
         .unionByName(rows.where("label = 0").orderBy(*order).limit(max_negative))
+    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    sample = texts.join(F.broadcast(ids), "doc_id").select("text", "label")
     toxic, all_rows = rows.agg(F.sum("label"), F.count("*")).first()
     found = sample.groupBy(F.lit(1).alias("one")).applyInArrow(
         lambda table: _train_task(table, rounds), "weight binary, rest array<double>").first()
