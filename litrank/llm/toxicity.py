@@ -2,8 +2,8 @@
 
 A word is the bag of its letter n-grams (3 to 5 bytes, blanks at its ends included) and of the
 word itself, each hashed to one of BUCKETS vectors. A window of WINDOW words is the average of
-its vectors, classified by a softmax; a document is as toxic as its worst window, so that a
-long text does not dilute an insult. An unseen misspelling shares most n-grams with the word
+its vectors, classified by a softmax; a document is as toxic as its worst window (of
+SCORED_WINDOW words), so that a long text does not dilute an insult. An unseen misspelling shares most n-grams with the word
 it stands for.
 
 Vectors and softmax are trained together (gradient steps) on a bounded sample of the labelled rows:
@@ -32,8 +32,10 @@ from litrank.llm.stages import ship_code
 from litrank.llm.text_arrays import byte_span_hashes, gram_codes, letter_runs, mix, text_column, text_slices
 
 BUCKETS = 1 << 18
-WINDOW = 16
+WINDOW = 16                   # words of a training window
+SCORED_WINDOW = 8             # words of a window of a scored document
 DIM = 8
+LEAST_STEPS = 80              # gradient steps of a round of training, at least
 NEGATIVE_WINDOWS = 48        # windows kept of a training document of label 0, about
 _U = np.uint64
 
@@ -65,14 +67,15 @@ def subwords(buf: np.ndarray, offsets: np.ndarray):
     return np.concatenate(buckets).astype(np.int64), np.concatenate(words), row
 
 
-def windows_of(word_row: np.ndarray, rows: int):
-    """Window of each word (numbered over the slice), row of each window."""
+def windows_of(word_row: np.ndarray, rows: int, words: int):
+    """Window of each word (numbered over the slice), row of each window, for windows of
+    ``words`` words."""
     n = np.bincount(word_row, minlength=rows)
     first = np.cumsum(n) - n
     place = np.arange(len(word_row)) - first[word_row]
-    per_row = -(-n // WINDOW)
+    per_row = -(-n // words)
     base = np.cumsum(per_row) - per_row
-    return base[word_row] + place // WINDOW, np.repeat(np.arange(rows), per_row)
+    return base[word_row] + place // words, np.repeat(np.arange(rows), per_row)
 
 
 class ToxicityModel:
@@ -87,7 +90,7 @@ class ToxicityModel:
         bucket, word, word_row = subwords(buf, offsets)
         out = np.full(rows, self.bias, float)
         if len(bucket):
-            window, window_row = windows_of(word_row, rows)
+            window, window_row = windows_of(word_row, rows, SCORED_WINDOW)
             at = window[word]
             total = np.bincount(at, self.weight[bucket], len(window_row))
             mean = total / np.bincount(at, minlength=len(window_row)) + self.bias
@@ -125,7 +128,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 10, batch: int = 2
     row0 = 0
     for i, j, buf, offs in text_slices(pa.array(texts, pa.string())):
         b, w, word_row = subwords(buf, offs)
-        win, win_row = windows_of(word_row, j - i)
+        win, win_row = windows_of(word_row, j - i, WINDOW)
         at = win[w] if len(w) else w
         keep = (rng.random(len(win_row)) * np.bincount(win_row, minlength=j - i)[win_row] < NEGATIVE_WINDOWS) | \
             (labels[row0 + win_row] == 1)
@@ -163,7 +166,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 10, batch: int = 2
             chosen = by[np.where(toxic, rank < positive_windows, (rank < 4) | (rng.random(base) < 0.1))]
         share = len(chosen) / (2 * np.maximum(np.bincount(labels[owner[chosen]], minlength=2), 1))
         step = rate * (1 - turn / rounds)
-        chosen = rng.permutation(chosen)
+        passes = -(-LEAST_STEPS * batch // len(chosen))                     # a small sample is seen more often
+        chosen = np.concatenate([rng.permutation(chosen) for _ in range(passes)])
         for s in range(0, len(chosen), batch):
             w = chosen[s:s + batch]
             n = np.diff(begin)[w]
