@@ -31,7 +31,7 @@ from litrank.llm.packed import pack, unpack
 from litrank.llm.stages import ship_code, shuffle_width, stored_buckets
 from litrank.llm.text_arrays import code_point_hashes, pretoken_starts, text_column, text_rows
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 _U = np.uint64
 
 CHUNKS = "chunk bigint, part int, words binary, docs binary, codes binary"

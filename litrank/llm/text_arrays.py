@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 # The white space bytes of the contracts, [\x20\x09-\x0D].
 ASCII_SPACE = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
