@@ -27,9 +27,9 @@ from litrank.operators.budget import trim_to_budget
 from litrank.operators.links import item_catalog
 from litrank.operators.sentiment import clean_frame, sentiment_lexicon
 from litrank.plans.batch_jobs import ingest, precompute_popular, score_corpus
-from litrank.plans.output import ranked_with_lists, respond
-from litrank.plans.search import search
-from litrank.session import scratch_path
+from litrank.plans.output import article_rows, ranked_with_lists, respond
+from litrank.plans.search import query_hits, search
+from litrank.session import materialize, scratch_path
 from litrank.sinks import writers as W
 from litrank.sources import readers as RD
 
@@ -196,7 +196,7 @@ def q_j3(spark, sf_dir):
 @register("j4_attach_article_info")
 def q_j4(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    return L.attach_article_info(fx["links"], fx["titles"])
+    return L.attach_article_info(fx["links"], fx["titles_known"])
 
 
 @register("j5_attach_sentiment")
@@ -216,7 +216,7 @@ def q_j6(spark, sf_dir):
 @register("j7_articles_missing_info")
 def q_j7(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    return L.articles_missing_info(fx["links_db"], fx["titles"])
+    return L.articles_missing_info(fx["links_db"], fx["titles_known"])
 
 
 @register("j8_link_items")
@@ -226,6 +226,13 @@ def q_j8(spark, sf_dir):
     return links
 
 
+@register("j8_link_items_phrase")
+def q_j8_phrase(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    links, _ = C.link_items(fx["articles"], fx["dictionary"], phrase=True)
+    return links
+
+
 @register("j9_lookup_popular")
 def q_j9(spark, sf_dir):
     fx = _fx(spark, sf_dir)
@@ -316,6 +323,20 @@ def q_a3(spark, sf_dir):
                         F.size(F.filter("articles", lambda a: a["has_pdf"])).alias("n_pdf"))
 
 
+@register("a3_unfiltered_articles")
+def q_a3_whole(spark, sf_dir):
+    """The article rows of unfiltered queries, with a budget that would cut their lists."""
+    fx = _fx(spark, sf_dir)
+    corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
+    catalog = item_catalog(fx["drugs"], fx["targets"])
+    q = fx["queries_whole"]
+    hits = materialize(query_hits(corpus, q, fields=("title", "doi")))
+    ranked = search(q, corpus, fx["links"], fx["sentiments"], catalog, rules=fx["rules"],
+                    fields=("title", "doi"), hits=hits, checkpoint_hits=False)
+    rows = article_rows(ranked, hits, fx["links"], fx["titles"], q)
+    return rows.select("query_id", "item_type", "item_id", "pmid", "title", "db_name", "url", "has_pdf", "pdf_url")
+
+
 @register("a4_mean_sentiment")
 def q_a4(spark, sf_dir):
     fx = _fx(spark, sf_dir)
@@ -446,6 +467,20 @@ def q_s1(spark, sf_dir):
         RD.read_catalog(spark, t_path, "uniprot_id", "target"))
 
 
+@register("s1_read_catalog_by_name")
+def q_s1_by_name(spark, sf_dir):
+    """Catalogs with columns in another order, extra columns, quotes in names, no type column."""
+    fx = _fx(spark, sf_dir)
+    quoted = F.concat(F.lit('the "'), "name", F.lit('", so called')).alias("name")
+    d_path, n_path = scratch_path(spark, "drugs-csv"), scratch_path(spark, "untyped-csv")
+    fx["drug_catalog"].select(F.lit("x").alias("extra"), "state", quoted, "type", "drugbank_id") \
+        .write.option("header", True).option("escape", '"').csv(d_path)
+    fx["drug_catalog"].select(quoted, F.concat(F.lit("U"), "drugbank_id").alias("drugbank_id"), "state") \
+        .write.option("header", True).option("escape", '"').csv(n_path)
+    return RD.read_catalog(spark, d_path, "drugbank_id", "drug").unionByName(
+        RD.read_catalog(spark, n_path, "drugbank_id", "drug"))
+
+
 @register("s2_make_items")
 def q_s2(spark, sf_dir):
     fx = _fx(spark, sf_dir)
@@ -659,12 +694,47 @@ def q_b3(spark, sf_dir):
     return out.withColumn("sentiment_score", r6("sentiment_score"))
 
 
+def _ingest(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return ingest(fx["articles"].select("doi", "title", "abstract"), fx["dictionary"], fx["links_db"],
+                  fx["titles_known"], fx["useless"], "Xrxiv")
+
+
 @register("b4_ingest")
 def q_b4(spark, sf_dir):
+    return _ingest(spark, sf_dir).counters
+
+
+@register("b4_ingest_links")
+def q_b4_links(spark, sf_dir):
+    return _ingest(spark, sf_dir).links.select("pmid", "db_name", "item_id", "item_type")
+
+
+@register("b4_ingest_titles")
+def q_b4_titles(spark, sf_dir):
+    return _ingest(spark, sf_dir).titles.select("pmid", "db_name", "url", "title", "pmcid")
+
+
+@register("b4_ingest_useless")
+def q_b4_useless(spark, sf_dir):
+    return _ingest(spark, sf_dir).useless.select("db_name", "item_id")
+
+
+@register("b4_ingest_missing_info")
+def q_b4_missing(spark, sf_dir):
+    return _ingest(spark, sf_dir).missing_info.select("pmid")
+
+
+@register("t5_search_repeated_ids")
+def q_t5_repeated(spark, sf_dir):
+    """A corpus that repeats every third id, with the tokens of a query split over the two rows."""
     fx = _fx(spark, sf_dir)
-    res = ingest(fx["articles"].select("doi", "title", "abstract"), fx["dictionary"], fx["links_db"],
-                 fx["titles"], fx["useless"], "Xrxiv")
-    return res.counters
+    corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title", F.lit("a").alias("file_path"))
+    first = F.col("doi").cast("bigint") % 3 == 0
+    split = corpus.where(first).select("doi", F.regexp_replace("title", "not", "").alias("title"),
+                                       F.lit("b").alias("file_path"))
+    cut = corpus.withColumn("title", F.when(first, F.regexp_replace("title", "specified", "")).otherwise(F.col("title")))
+    return query_hits(cut.unionByName(split), fx["queries"], fields=("title", "doi"))
 
 
 @register("o1_to_result_json")

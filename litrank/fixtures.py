@@ -20,18 +20,26 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 _SRC3 = "CASE {k}%3 WHEN 0 THEN 'PubMed' WHEN 1 THEN 'Crossref' ELSE 'Xrxiv' END"
 
 FIXTURES: dict[str, str] = {
-    # text corpus: one article per document
+    # text corpus: one article per document, its first line as title
     "articles": f"""
-SELECT CAST(doc_id AS STRING) doi, substr(text,1,80) title, text abstract,
+SELECT CAST(doc_id AS STRING) doi, split_part(text, chr(10), 1) title, text abstract,
        {_SRC3.format(k='doc_id')} db_name
 FROM documents""",
-    # article metadata; orders with status P have none
+    # article metadata of all orders; the titles corpus of searches
     "titles": f"""
 SELECT CAST(o_orderkey AS STRING) pmid,
        {_SRC3.format(k='o_orderkey')} db_name,
        CASE WHEN o_orderkey%5=0 THEN concat('https://example.org/',CAST(o_orderkey AS STRING)) END url,
        o_orderpriority title,
        CASE o_orderkey%4 WHEN 0 THEN concat('PMC',CAST(o_orderkey AS STRING)) WHEN 1 THEN 'NULL' END pmcid
+FROM orders""",
+    # metadata as far as it is known: orders with status P have none
+    "titles_known": f"""
+SELECT CAST(o_orderkey AS STRING) pmid,
+       {_SRC3.format(k='o_orderkey')} db_name,
+       CASE WHEN o_orderkey%5=0 THEN concat('https://example.org/',CAST(o_orderkey AS STRING)) END url,
+       o_orderpriority title,
+       CASE o_orderkey%4 WHEN 0 THEN concat('PMC',CAST(o_orderkey AS STRING)) WHEN 1 THEN 'NULL' END pmcid
 FROM orders WHERE o_orderstatus<>'P'""",
     # raw drug catalog as the CSV holds it (S1, S2, P5). STANDARD and ECONOMY
     # parts are small-molecule drugs, PROMO parts have no type, p_size <= 40 is solid
@@ -70,9 +78,9 @@ SELECT CAST(l_orderkey AS STRING), {_SRC3.format(k='l_orderkey')},
 SELECT CAST(o_orderkey AS STRING) pmid,
        CASE o_orderstatus WHEN 'F' THEN CAST(0.5 AS DOUBLE) ELSE CAST(-0.5 AS DOUBLE) END sentiment_score
 FROM orders WHERE o_orderstatus IN ('F','P')""",
-    # dictionary for J8, normalised by T1 inside the operator
+    # dictionary for J8: whole benchmark passages, normalised by T1 inside the operator
     "dictionary": """
-SELECT concat('B',CAST(item_id AS STRING)) item_id, trim(substr(text,1,12)) name,
+SELECT concat('B',CAST(item_id AS STRING)) item_id, text name,
        'drug' item_type FROM benchmark""",
     # items known to have no article in a source (J6), derived from the data
     "useless": """
@@ -87,6 +95,11 @@ FROM (VALUES (1,'1-urgent'),(2,'4-not specified'),(3,'2-high')) q(query_id, quer
 SELECT CAST(query_id AS BIGINT) query_id, query, do_filter, with_articles
 FROM (VALUES (1,'1-urgent',true,true),(2,'4-not specified',false,false),(3,'2-high',true,true),
              (4,'no such words',true,true)) q(query_id, query, do_filter, with_articles)""",
+    # a query that wants everything: no filter, all articles (A3, O1)
+    "queries_whole": """
+SELECT CAST(query_id AS BIGINT) query_id, query, do_filter, with_articles
+FROM (VALUES (1,'1-urgent',true,true),(2,'4-not specified',false,true))
+     q(query_id, query, do_filter, with_articles)""",
     # frequent queries whose hits are cached
     "popular": """
 SELECT CAST(query_id AS BIGINT) query_id, query
@@ -94,7 +107,7 @@ FROM (VALUES (10,'1-URGENT'),(11,'5-low'),(12,'3-medium')) p(query_id, query)"""
     # lexicon for T9
     "lexicon": """
 SELECT word, CAST(polarity AS DOUBLE) polarity
-FROM (VALUES ('the',0.1),('on',-0.5),('is',0.25),('for',-0.25)) x(word, polarity)""",
+FROM (VALUES ('the',0.125),('on',-0.5),('is',0.25),('for',-0.25)) x(word, polarity)""",
     # stop words for T8
     "stopwords": """
 SELECT word FROM (VALUES ('a'),('an'),('and'),('of'),('to'),('in'),('it'),('that'),('with'),
@@ -111,40 +124,9 @@ def _clean(sql: str) -> str:
     return re.sub(r"\s+", " ", sql).strip()
 
 
-def _row_groups(path: str) -> int | None:
-    """Row groups of a local single-file table (footer only); None if unknown."""
-    try:
-        import pyarrow.parquet as pq
-        from litrank.session import local_path
-        return pq.ParquetFile(local_path(path)).metadata.num_row_groups
-    except Exception:  # noqa: BLE001 - remote or multi-file tables: leave alone
-        return None
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Read one driver table.
-
-    The driver writes each table as one file with one row group, which Spark
-    can only scan in one task. With ``spread`` a text-heavy table stored that
-    way is hash-distributed on its id over the cores right after the scan
-    (filters and column pruning still reach the scan; hashing needs no sort to
-    stay deterministic on retry). Tables stored as many files or row groups,
-    as at real scale, are returned as scanned.
-    """
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if spread:
-        groups = _row_groups(path)
-        cores = spark.sparkContext.defaultParallelism
-        if groups is not None and groups < cores and name in HEAVY_TABLES:
-            df = df.repartition(cores, df.columns[0])
-    return df
-
-
-# Tables whose per-row work (tokenising whole texts) is worth spreading when
-# stored as one row group. Narrow tables are cheaper to scan in one task: their
-# first aggregation or join shuffles them anyway.
-HEAVY_TABLES = {"documents", "pages", "conversations"}
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 _TABLE_CACHE: dict[tuple, DataFrame] = {}

@@ -65,9 +65,18 @@ def rank_in_groups(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
 
 
 def article_bytes(cols=("pmid", "title", "db_name", "url", "has_pdf", "pdf_url")):
-    """UTF-8 bytes of one article's JSON object plus its separator."""
+    """Bytes of one article's JSON object plus its separator, as Python's ``json.dumps`` writes
+    it: a space after each colon and comma, signs outside printable ASCII escaped."""
     js = F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"})
-    return F.octet_length(js) + F.lit(ARTICLE_SEPARATOR_BYTES)
+    return escaped_bytes(js) + F.lit(2 * len(cols) - 1 + ARTICLE_SEPARATOR_BYTES)
+
+
+def escaped_bytes(c):
+    """Bytes of JSON text after escaping: 1 for printable ASCII, 6 (\\uXXXX) for another sign, 12
+    (two such) for one outside the basic plane."""
+    odd = F.regexp_count(c, F.lit(r"[^\x20-\x7E]"))
+    astral = F.regexp_count(c, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    return F.length(c) + 5 * odd + 6 * astral
 
 
 def _r_max(rank_col: str, n_col: str):
@@ -87,14 +96,16 @@ def _r_max(rank_col: str, n_col: str):
 def trim_to_budget(articles: DataFrame, items: DataFrame,
                    group_cols: Sequence[str] = ("query_id", "item_type"),
                    budget_bytes: int = BUDGET_BYTES,
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, with_rounds: bool = False):
     """Keep the article rows that survive the budget rounds.
 
     ``articles`` has group cols, item_id, pmid and the article fields (J4);
     ``items`` has group cols, item_id and name (the returned items). Adds
     ``rank`` (position in the item's pmid-sorted list), ``trim_round`` (the
     round taken) and ``over_budget`` (true when even empty lists exceed the
-    budget; the reference would loop forever there).
+    budget; the reference would loop forever there). With ``with_rounds`` also
+    returns (group cols, trim_round, over_budget) for every group, those whose
+    lists come out empty included.
     """
     g = list(group_cols)
     item_key = [*g, "item_id"]
@@ -104,7 +115,7 @@ def trim_to_budget(articles: DataFrame, items: DataFrame,
 
     per_round = ranked.groupBy(*g, "_rmax").agg(F.sum("_bytes").alias("_b"))
     shell = items.groupBy(*g).agg(
-        F.sum(F.octet_length(F.coalesce(F.col("name"), F.col("item_id"))) + F.lit(ITEM_SHELL_BYTES))
+        F.sum(escaped_bytes(F.coalesce(F.col("name"), F.col("item_id"))) + F.lit(ITEM_SHELL_BYTES))
         .alias("_shell"))
     w_desc = Window.partitionBy(*g).orderBy(F.desc("_rmax"))
     cum = per_round.withColumn("_at_least", F.sum("_b").over(w_desc.rowsBetween(Window.unboundedPreceding, 0)))
@@ -122,4 +133,5 @@ def trim_to_budget(articles: DataFrame, items: DataFrame,
     # one row per group: stored, counted, broadcast - a group's rows never meet in one task
     choice = materialize(choice)
     out = join_bounded(ranked, choice, g, check=True)
-    return out.where(F.col("_rmax") >= F.col("trim_round")).drop("_bytes", "_n", "_rmax")
+    kept = out.where(F.col("_rmax") >= F.col("trim_round")).drop("_bytes", "_n", "_rmax")
+    return (kept, choice) if with_rounds else kept

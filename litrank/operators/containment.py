@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litrank.functions.text import tokenize
+from litrank.functions.text import match_all_tokens, tokenize
 from litrank.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_small
 
 DEFAULT_FIELDS = ("title", "doi", "abstract")
@@ -90,7 +90,10 @@ def contains_all_join(pairs: DataFrame, wanted: DataFrame, id_col: str,
     key = list(key_cols)
     joined = join_small(pairs, wanted, list(join_keys), max_rows=max_broadcast_rows,
                         salt_from=[id_col, "field"])
-    per_field = [F.count(F.when(F.col("field") == f, True)).alias(f"_n{i}")
+    # distinct (keyword, token), so that a repeated article row counts once; the sets hold at
+    # most ``required`` entries
+    token = F.struct(*[c for c in ("kw_idx", "token") if c in joined.columns])
+    per_field = [F.size(F.collect_set(F.when(F.col("field") == f, token))).alias(f"_n{i}")
                  for i, f in enumerate(fields)]
     agg = joined.groupBy(*key, id_col, *carry, "required").agg(*per_field)
     hit = None
@@ -121,19 +124,27 @@ def search_batch(articles: DataFrame, queries: DataFrame, id_col: str = "doi",
                              max_broadcast_rows=max_broadcast_rows)
 
 
-def search_keywords(articles: DataFrame, keywords: Sequence[str], id_col: str = "doi",
+def search_keywords(articles: DataFrame, keywords: Sequence[str | Sequence[str]], id_col: str = "doi",
                     fields: Sequence[str] | None = None) -> DataFrame:
-    """T4: articles matching every keyword inside one field (OR over fields).
+    """T4: articles matching every keyword inside one field (OR over fields); an element
+    that is a list of keywords asks for one of them.
 
-    Returns the matching article rows. An empty keyword list is an error, as
+    A filter in the scan: returns the matching article rows. An empty keyword list is an error, as
     in the reference.
     """
     if not keywords:
         raise ValueError("search_keywords needs at least one keyword")
-    spark = articles.sparkSession
-    q = spark.createDataFrame([(0, list(keywords))], "query_id int, keywords array<string>")
-    hits = search_batch(articles, q, id_col=id_col, fields=fields, keywords_col="keywords")
-    return articles.join(hits.select(id_col), id_col, "left_semi")
+    hit = F.lit(False)
+    for f in search_fields(articles, fields):
+        words = tokenize(F.col(f).cast("string"))
+        every = F.lit(True)
+        for group in keywords:
+            any_of = F.lit(False)
+            for k in ([group] if isinstance(group, str) else group):
+                any_of = any_of | match_all_tokens(words, tokenize(F.lit(k)))
+            every = every & any_of
+        hit = hit | every
+    return articles.where(F.col(id_col).isNotNull() & hit)
 
 
 def union_hits(*hits: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Join strategies for a small side whose size is checked, not assumed.
 
-``join_small`` broadcasts the small side only after counting it against a row
-bound. Beyond the bound it falls back to a salted shuffle join, so that one hot
+``join_small`` broadcasts the small side only after measuring its rows and bytes
+against a bound. Beyond the bound it falls back to a salted shuffle join, so that one hot
 key (a common token, a popular article) is spread over ``salt_buckets`` tasks
 instead of landing in one.
 """
@@ -13,53 +13,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a side may hold to be broadcast. Rows of the sides broadcast here are
-# short (a token and a few ids), so 2M rows stay well below 100 MB.
+# Rows and bytes a side may hold to be broadcast.
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 64 * 2 ** 20
 DEFAULT_SALT_BUCKETS = 32
 
 
-# Bytes an in-memory side may hold to count as within any row bound without a job.
-_LOCAL_EXACT_BYTES = 8 * 2 ** 20
-_MULTIPLYING = ("Generate", "Join", "Expand")
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of ``df``: one aggregation whose tasks each send one partial row."""
+    width = F.lit(8 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind == "string":
+            width = width + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))), F.lit(0))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return rows, size
 
 
-def _local_size(df: DataFrame) -> int | None:
-    """Exact-enough size of a plan over in-memory rows only (a query batch, a
-    rule table): every leaf is a LocalRelation and nothing multiplies rows, so
-    Spark's estimate is an upper bound. None for any other plan."""
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan()
-        leaves = plan.collectLeaves()
-        names = [leaves.apply(i).nodeName() for i in range(leaves.size())]
-        if not names or any(n != "LocalRelation" for n in names):
-            return None
-        text = plan.toString()
-        if any(m in text for m in _MULTIPLYING):
-            return None
-        return int(str(plan.stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - fall back to counting
-        return None
-
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcastable(df: DataFrame, max_rows: int) -> bool:
-    """May ``df`` be broadcast under a bound of ``max_rows`` rows?
-
-    An in-memory side of at most a few MB (a query batch, a rule table) is
-    decided from its plan size without a job; everything else is counted.
-    ``max_rows <= 0`` never broadcasts.
-    """
+def broadcastable(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """May ``df`` be broadcast under these bounds? ``max_rows <= 0`` never broadcasts."""
     if max_rows <= 0:
         return False
-    size = _local_size(df)
-    if size is not None and size <= _LOCAL_EXACT_BYTES:
-        return True
-    return fits(df, max_rows)
+    rows, size = measured(df)
+    return rows <= max_rows and size <= max_bytes
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",

@@ -17,39 +17,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litrank.functions.text import clean_text, remove_stopwords, split_words
-from litrank.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, fits, join_small
+from litrank.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_small
 
-MAX_STOPWORDS = 100_000
-# Polarities are summed as integers at this resolution: the sum is exact, so
-# the mean does not depend on summation order (partitioning, retries, engine).
-POLARITY_SCALE = 10 ** 10
+# Polarities are summed as decimals of this scale: the sum is exact, so the mean does not depend
+# on summation order (partitioning, retries, engine), and 10^27 units cannot overflow.
+POLARITY_TYPE = "decimal(38,10)"
 
 
-def exact_mean(c, scale: int = POLARITY_SCALE):
-    """Mean of a double column via an exact integer sum at 1/scale resolution;
-    null when no value (callers coalesce)."""
+def exact_mean(c):
+    """Mean of a double column, summed exactly at 1e-10 resolution; null when no value (callers
+    coalesce)."""
     col = F.col(c) if isinstance(c, str) else c
-    units = F.sum(F.round(col * F.lit(float(scale))).cast("long"))
-    return units.cast("double") / (F.count(col).cast("double") * F.lit(float(scale)))
+    return F.sum(col.try_cast("decimal(28,10)")).cast("double") / F.count(col).cast("double")
 
 
-def stopword_list(stopwords) -> list[str]:
-    """A bounded stop-word list from a list or a one-column DataFrame."""
+def stopword_table(spark, stopwords) -> DataFrame | None:
+    """A one-column table (word) from a list or a DataFrame; null words are left out."""
     if stopwords is None:
-        return []
-    if isinstance(stopwords, DataFrame):
-        col = stopwords.columns[0]
-        if not fits(stopwords, MAX_STOPWORDS):
-            raise ValueError(f"stop-word table exceeds {MAX_STOPWORDS} rows")
-        return [r[0] for r in stopwords.select(col).distinct().collect() if r[0] is not None]
-    return [w for w in stopwords if w is not None]
+        return None
+    if not isinstance(stopwords, DataFrame):
+        stopwords = spark.createDataFrame([(w,) for w in stopwords], "word string")
+    return stopwords.select(F.col(stopwords.columns[0]).alias("word")).where("word is not null").distinct()
 
 
 def clean_frame(articles: DataFrame, stopwords: Iterable[str] | DataFrame | None,
-                id_col: str = "doi", text_col: str = "abstract") -> DataFrame:
-    """(id, cleaned): T7 then T8."""
-    words = stopword_list(stopwords)
-    return articles.select(id_col, remove_stopwords(clean_text(text_col), words).alias("cleaned"))
+                id_col: str = "doi", text_col: str = "abstract",
+                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """(id, cleaned): T7 then T8, one row per input row.
+
+    A stop-word table of any size is anti-joined with the words of each distinct
+    (id, text), which keep their positions and are put together again; a plain
+    list is a parameter and filtered in place.
+    """
+    if stopwords is None or not isinstance(stopwords, DataFrame):
+        words = [w for w in stopwords or () if w is not None]
+        return articles.select(id_col, remove_stopwords(clean_text(text_col), words).alias("cleaned"))
+    stop = stopword_table(articles.sparkSession, stopwords)
+    texts = articles.groupBy(F.col(id_col).alias("_id"), clean_text(text_col).alias("_text")) \
+        .agg(F.count(F.lit(1)).alias("_copies"))
+    texts = texts.select("_id", F.xxhash64("_text").alias("_key"), "_copies", split_words("_text").alias("_words"))
+    words = texts.select("_id", "_key", F.posexplode("_words").alias("_pos", "word"))
+    words = join_small(words, stop, ["word"], "left_anti", max_rows=max_broadcast_rows,
+                       salt_from=["_id", "_pos"])
+    kept = words.groupBy("_id", "_key").agg(F.array_sort(F.collect_list(F.struct("_pos", "word"))).alias("_w"))
+    kept = kept.select(F.col("_id").alias("_i"), F.col("_key").alias("_k"),
+                       F.array_join(F.col("_w.word"), " ").alias("cleaned"))
+    out = texts.join(kept, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left")
+    return out.select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))), "_id", "cleaned") \
+        .select(F.col("_id").alias(id_col), F.coalesce("cleaned", F.lit("")).alias("cleaned"))
 
 
 def sentiment_lexicon(articles: DataFrame, lexicon: DataFrame,
@@ -61,9 +76,11 @@ def sentiment_lexicon(articles: DataFrame, lexicon: DataFrame,
     Every occurrence counts. Each input row is scored on its own; the result
     has one row per input id (callers deduplicate articles first, S4).
     """
-    cleaned = clean_frame(articles, stopwords, id_col, text_col)
-    words = cleaned.select(id_col, F.explode_outer(split_words("cleaned")).alias("word"))
+    words = articles.select(id_col, F.explode_outer(split_words(clean_text(text_col))).alias("word"))
     lex = lexicon.select("word", F.col("polarity").cast("double").alias("polarity"))
+    stop = stopword_table(articles.sparkSession, stopwords)
+    if stop is not None:      # a stop word scores nothing: it need not be taken out of every article
+        lex = lex.join(stop, "word", "left_anti")
     scored = join_small(words, lex, ["word"], "left", max_rows=max_broadcast_rows,
                         salt_from=[id_col])
     return scored.groupBy(id_col).agg(

@@ -34,10 +34,8 @@ def r6(x: str) -> str:
     return f"(CAST(round(CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)), 6) AS DOUBLE) + 0.0)"
 
 
-def exact_mean(x: str) -> str:
-    """Mean via an exact integer sum at 1e-10 resolution (as the engine does)."""
-    return (f"(CAST(sum(CAST(round({x} * 1e10) AS BIGINT)) AS DOUBLE) / "
-            f"(CAST(count({x}) AS DOUBLE) * 1e10))")
+def mean(x: str) -> str:
+    return f"avg(CAST({x} AS DOUBLE))"
 
 
 # B1 core as one SQL text; fields searched on the titles corpus: title and id.
@@ -58,7 +56,7 @@ qsize AS (SELECT query_id, count(*) AS n_query FROM hits GROUP BY query_id),
 lq AS (SELECT h.query_id, l.pmid, l.item_id, l.item_type FROM links l JOIN hits h ON l.pmid = h.pmid),
 tp AS (SELECT query_id, item_type, item_id, count(pmid) AS n_search_item FROM lq GROUP BY ALL),
 sent AS (
-  SELECT d.query_id, d.item_type, d.item_id, coalesce({exact_mean('s.sentiment_score')}, 0.0) AS sentiment
+  SELECT d.query_id, d.item_type, d.item_id, coalesce({mean('s.sentiment_score')}, 0.0) AS sentiment
   FROM (SELECT DISTINCT query_id, item_type, item_id, pmid FROM lq) d
   LEFT JOIN sentiments s ON d.pmid = s.pmid GROUP BY ALL
 ),
@@ -170,7 +168,7 @@ WHERE list_has_all(a.tt, q.qt) OR list_has_all(a.td, q.qt) OR list_has_all(a.ta,
 SELECT doi, {destop(clean('abstract'))} AS cleaned FROM articles{STOP_JOIN}""",
     "t9_sentiment_lexicon": ctes("articles", "stopwords", "lexicon") + f""",
 w AS (SELECT doi, unnest({words(destop(clean('abstract')))}) AS word FROM articles{STOP_JOIN})
-SELECT a.doi, {r6('coalesce(' + exact_mean('l.polarity') + ', 0.0)')} AS sentiment_score
+SELECT a.doi, {r6('coalesce(' + mean('l.polarity') + ', 0.0)')} AS sentiment_score
 FROM articles a LEFT JOIN w ON w.doi = a.doi LEFT JOIN lexicon l ON l.word = w.word
 GROUP BY a.doi""",
 })
@@ -212,6 +210,14 @@ j8 AS (SELECT a.doi AS pmid, {dbcol} AS db_name, d.item_id, d.item_type FROM ato
 """
 
 
+def j8_phrase_sql() -> str:
+    """Names as contiguous runs of tokens: substrings between single spaces."""
+    run = lambda x: f"concat(' ', array_to_string({x}, ' '), ' ')"
+    conds = " OR ".join(f"contains({run('a.' + f)}, {run('d.nt')})" for f in ("tt", "td", "ta"))
+    return j8_sql() + f"""
+SELECT a.doi AS pmid, a.db_name, d.item_id, d.item_type FROM atok a, dt d WHERE len(d.nt) > 0 AND ({conds})"""
+
+
 CORE = search_core()
 M_OUT = ", ".join(f"{r6(c)} AS {c}" for c in ("precision", "recall", "f_0_5", "sentiment"))
 
@@ -223,9 +229,9 @@ FROM tp JOIN catalog c ON c.item_id = tp.item_id AND c.item_type = tp.item_type"
     "j3_attach_totals": CORE + """
 SELECT tp.query_id, tp.item_type, tp.item_id, tp.n_search_item, c.counter AS n_item
 FROM tp JOIN counters c ON c.item_id = tp.item_id""",
-    "j4_attach_article_info": ctes("links", "titles") + f"""
+    "j4_attach_article_info": ctes("links", "titles_known") + f"""
 SELECT l.pmid, l.item_id, l.item_type, {info_cols('t')}
-FROM links l LEFT JOIN titles t ON t.pmid = l.pmid""",
+FROM links l LEFT JOIN titles_known t ON t.pmid = l.pmid""",
     "j5_attach_sentiment": CORE + """
 SELECT d.query_id, d.item_type, d.item_id, d.pmid, d.n_links, s.sentiment_score
 FROM (SELECT query_id, item_type, item_id, pmid, count(pmid) AS n_links FROM lq GROUP BY ALL) d
@@ -237,9 +243,10 @@ items AS (SELECT item_id, name, 'drug' AS item_type FROM drugs
 SELECT * FROM items
 WHERE item_id NOT IN (SELECT item_id FROM links_db WHERE db_name = 'PubMed')
   AND item_id NOT IN (SELECT item_id FROM useless WHERE db_name = 'PubMed')""",
-    "j7_articles_missing_info": ctes("links_db", "titles") + """
-SELECT pmid FROM links_db WHERE pmid NOT IN (SELECT pmid FROM titles)""",
+    "j7_articles_missing_info": ctes("links_db", "titles_known") + """
+SELECT pmid FROM links_db WHERE pmid NOT IN (SELECT pmid FROM titles_known)""",
     "j8_link_items": j8_sql() + "SELECT * FROM j8",
+    "j8_link_items_phrase": j8_phrase_sql(),
     "j9_lookup_popular": ctes("titles", "queries") + f"""
 SELECT DISTINCT q.query_id, t.pmid FROM queries q, titles t
 WHERE list_has_all({tok('t.title')}, {tok('q.query')}) OR list_has_all({tok('t.pmid')}, {tok('q.query')})""",
@@ -299,27 +306,23 @@ def trim_sql(group: list[str], budget: int) -> str:
     return f""",
 sized AS (
   SELECT *, strlen(CAST(to_json(struct_pack(pmid := pmid, title := title, db_name := db_name, url := url,
-                                             has_pdf := has_pdf, pdf_url := pdf_url)) AS VARCHAR)) + 2 AS bytes,
+                                             has_pdf := has_pdf, pdf_url := pdf_url)) AS VARCHAR)) + 11 + 2 AS bytes,
          row_number() OVER (PARTITION BY {gi} ORDER BY pmid) AS rank,
          count(*) OVER (PARTITION BY {gi}) AS n
   FROM info
 ),
-guess AS (SELECT *, greatest(CAST(floor(log(n::DOUBLE / rank) / log(4.0)) AS INTEGER), 0) AS g_ FROM sized),
-up AS (SELECT *, CASE WHEN rank * pow(4.0, g_ + 1) <= n THEN g_ + 1 ELSE g_ END AS u_ FROM guess),
-rm AS (SELECT *, CASE WHEN rank * pow(4.0, u_) > n THEN u_ - 1 ELSE u_ END AS rmax FROM up),
 shell AS (SELECT {g}, sum(strlen(coalesce(name, item_id)) + 200) AS shell FROM items GROUP BY ALL),
-per_round AS (SELECT {g}, rmax, sum(bytes) AS b FROM rm GROUP BY ALL),
-cum AS (SELECT p.*, sum(b) OVER (PARTITION BY {", ".join("p." + c for c in group)} ORDER BY rmax DESC
-                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at_least,
-               coalesce(s.shell, 0) AS shell
-        FROM per_round p LEFT JOIN shell s USING ({using})),
-cand AS (SELECT {g}, 0 AS r, max(shell + at_least) AS total FROM cum GROUP BY ALL
-         UNION ALL SELECT {g}, rmax + 1, shell + at_least - b FROM cum),
-choice AS (SELECT {g}, coalesce(min(r) FILTER (WHERE total <= {budget}), max(r)) AS trim_round,
-                  min(r) FILTER (WHERE total <= {budget}) IS NULL AS over_budget
-           FROM cand GROUP BY ALL),
-trimmed AS (SELECT rm.*, c.trim_round, c.over_budget FROM rm JOIN choice c USING ({using})
-         WHERE rm.rmax >= c.trim_round)
+-- the loop: each round leaves the first quarter of every list, until the answer fits or all lists are empty
+loops AS (SELECT unnest(range(0, 31)) AS r),
+left_over AS (
+  SELECT {g}, r, sum(CASE WHEN rank <= n // CAST(pow(4, r) AS BIGINT) THEN bytes ELSE 0 END) AS b
+  FROM sized, loops GROUP BY ALL),
+ends AS (
+  SELECT {g}, r, b = 0 AS empty, b + coalesce(s.shell, 0) <= {budget} AS fits
+  FROM left_over LEFT JOIN shell s USING ({using})),
+choice AS (SELECT {g}, min(r) AS trim_round, NOT arg_min(fits, r) AS over_budget FROM ends WHERE fits OR empty GROUP BY ALL),
+trimmed AS (SELECT sized.*, c.trim_round, c.over_budget FROM sized JOIN choice c USING ({using})
+         WHERE rank <= n // CAST(pow(4, c.trim_round) AS BIGINT))
 """
 
 
@@ -333,6 +336,14 @@ SELECT item_type, item_id, pmid, CAST(rank AS BIGINT) AS rank, CAST(trim_round A
 FROM trimmed"""
 
 
+def a3_whole_sql() -> str:
+    return search_core("queries_whole") + f"""
+SELECT lq.query_id, lq.item_type, lq.item_id, lq.pmid, {info_cols('t')}
+FROM lq JOIN result i ON i.query_id = lq.query_id AND i.item_type = lq.item_type AND i.item_id = lq.item_id
+JOIN queries q ON q.query_id = lq.query_id AND NOT q.do_filter AND q.with_articles
+LEFT JOIN titles t ON t.pmid = lq.pmid"""
+
+
 def a3_sql(budget: int = 2621440) -> str:
     return CORE + f""",
 items AS (SELECT query_id, item_type, item_id, name FROM result),
@@ -354,7 +365,7 @@ SELECT query_id, item_type, item_id, {M_OUT}, {r6('ranking_score')} AS ranking_s
 # --------------------------------------------------------- sources and sinks
 def t9_scores(src: str) -> str:
     """T9 over a CTE ``src(doi, abstract)``: (doi, sentiment_score), unrounded."""
-    return f"""(SELECT a.doi, coalesce({exact_mean('l.polarity')}, 0.0) AS sentiment_score
+    return f"""(SELECT a.doi, coalesce({mean('l.polarity')}, 0.0) AS sentiment_score
   FROM {src} a LEFT JOIN (SELECT doi, unnest({words(destop(clean('abstract')))}) AS word
                           FROM {src}{STOP_JOIN}) w ON w.doi = a.doi
   LEFT JOIN lexicon l ON l.word = w.word GROUP BY a.doi)"""
@@ -374,6 +385,10 @@ UNION ALL SELECT uniprot_id, name, 'target' FROM target_catalog"""
 
 ORACLES.update({
     "s1_read_catalog": S1_SQL,
+    "s1_read_catalog_by_name": ctes("drug_catalog") + """
+SELECT drugbank_id AS item_id, 'the "' || name || '", so called' AS name, 'drug' AS item_type FROM drug_catalog
+WHERE type = 'SmallMoleculeDrug' AND state = 'solid'
+UNION ALL SELECT 'U' || drugbank_id, 'the "' || name || '", so called', 'drug' FROM drug_catalog""",
     "s2_make_items": S1_SQL,
     "s3_read_dumps": ctes("articles") + """
 SELECT doi, title, abstract, false AS corrupt FROM articles
@@ -450,11 +465,37 @@ SELECT q.query_id, CAST(coalesce(p.n_drugs, 0) AS INTEGER) AS n_drugs,
 FROM queries q LEFT JOIN per_q p ON p.query_id = q.query_id"""
 
 
-ORACLES.update({"b4_ingest": b4_sql(), "o1_to_result_json": o1_sql()})
+def b4_part(select: str) -> str:
+    return j8_sql("Xrxiv").replace(
+        "WITH ", "WITH " + ctes("links_db", "titles_known", "useless")[5:].rstrip() + ",\n", 1) \
+        .replace("FROM atok a, dt d", "FROM atok a, (SELECT * FROM dt WHERE item_id NOT IN "
+                 "(SELECT item_id FROM links_db WHERE db_name = 'Xrxiv') AND item_id NOT IN "
+                 "(SELECT item_id FROM useless WHERE db_name = 'Xrxiv')) d") + """,
+alll AS (SELECT pmid, db_name, item_id, item_type FROM links_db UNION ALL SELECT * FROM j8),
+allt AS (SELECT pmid, db_name, url, title, pmcid FROM titles_known
+         WHERE pmid NOT IN (SELECT pmid FROM j8)
+         UNION ALL SELECT doi, 'Xrxiv', NULL, title, NULL FROM articles WHERE doi IN (SELECT pmid FROM j8))
+""" + select
+
+
+ORACLES.update({
+    "b4_ingest": b4_sql(), "o1_to_result_json": o1_sql(),
+    "b4_ingest_links": b4_part("SELECT * FROM alll"),
+    "b4_ingest_titles": b4_part("SELECT * FROM allt"),
+    "b4_ingest_useless": b4_part("""SELECT db_name, item_id FROM useless UNION
+SELECT 'Xrxiv', item_id FROM dictionary WHERE item_id NOT IN (SELECT item_id FROM j8)"""),
+    "b4_ingest_missing_info": b4_part("""SELECT pmid FROM alll
+WHERE db_name = 'Xrxiv' AND pmid NOT IN (SELECT pmid FROM allt)"""),
+    "t5_search_repeated_ids": ctes("titles", "queries") + f"""
+, c AS (SELECT pmid, CASE WHEN CAST(pmid AS BIGINT) % 3 = 0 THEN replace(title, 'specified', '') ELSE title END t FROM titles)
+SELECT q.query_id, c.pmid FROM queries q, c
+WHERE list_has_all({tok('c.t')}, {tok('q.query')}) OR list_has_all({tok('c.pmid')}, {tok('q.query')})""",
+})
 
 
 ORACLES.update({
     "a3_collect_articles": a3_sql(),
+    "a3_unfiltered_articles": a3_whole_sql(),
     "m2_precision": CORE + f"SELECT query_id, item_type, item_id, {r6('precision')} AS precision FROM scored0",
     "m3_recall": CORE + f"SELECT query_id, item_type, item_id, {r6('recall')} AS recall FROM scored0",
     "m4_f_beta": CORE + f"SELECT query_id, item_type, item_id, {r6('f_0_5')} AS f_0_5 FROM scored0",

@@ -17,6 +17,7 @@ from litrank.operators.aggregates import item_counters
 from litrank.operators.containment import link_items, search_batch
 from litrank.operators.links import articles_missing_info, items_to_collect
 from litrank.operators.sentiment import sentiment_lexicon
+from litrank.session import materialize
 from litrank.sinks.writers import append_links, upsert_popular_queries, upsert_sentiments, upsert_titles
 from litrank.sources.readers import dedup_articles
 
@@ -29,7 +30,7 @@ def precompute_popular(queries: DataFrame, corpus: DataFrame, cache: DataFrame |
     into one value. A query without hits keeps one row with a null pmid.
     """
     q = queries.select("query_id", "query")
-    hits = search_batch(corpus, q, id_col=id_col, fields=fields)
+    hits = search_batch(dedup_articles(corpus, key=id_col), q, id_col=id_col, fields=fields)
     rows = q.join(hits.select("query_id", F.col(id_col).cast("string").alias("pmid")),
                   "query_id", "left")
     return upsert_popular_queries(cache, rows.select("query", "pmid"))
@@ -64,8 +65,12 @@ def ingest(articles: DataFrame, items: DataFrame, links: DataFrame | None, title
     local source does (url and pmcid unknown).
     """
     todo = items if links is None else items_to_collect(items, links, useless, db_name)
-    arts = articles.withColumn("db_name", F.lit(db_name))
-    new_links, empty = link_items(arts, todo, id_col="doi", fields=fields, phrase=phrase)
+    # stored once: the articles and the new links feed all outputs
+    arts = materialize(dedup_articles(articles, key="doi").withColumn("db_name", F.lit(db_name)))
+    new_links, _ = link_items(arts, todo, id_col="doi", fields=fields, phrase=phrase)
+    new_links = materialize(new_links)
+    empty = todo.select("item_id", "item_type").join(
+        new_links.select("item_id", "item_type").distinct(), ["item_id", "item_type"], "left_anti")
     all_links = append_links(links, new_links, mode)
     new_useless = empty.select(F.lit(db_name).alias("db_name"), "item_id")
     if useless is not None:

@@ -24,11 +24,15 @@ ARTICLE_TYPE = ("array<struct<pmid:string,title:string,db_name:string,url:string
 
 
 def article_lists(ranked: DataFrame, hits: DataFrame, links: DataFrame, titles: DataFrame,
-                  queries: DataFrame | None = None, budget_bytes: int = BUDGET_BYTES) -> DataFrame:
+                  queries: DataFrame | None = None, budget_bytes: int = BUDGET_BYTES,
+                  collect_unfiltered: bool = True) -> DataFrame:
     """(query_id, item_type, item_id, articles) for the returned items.
 
     Links of Q (J1) restricted to returned items, metadata attached (J4), cut
-    to the budget (R5), then collected sorted by pmid (A3).
+    to the budget (R5), then collected sorted by pmid (A3). Queries with
+    ``do_filter`` false are not cut; where one item may have more articles than
+    a value should hold, pass ``collect_unfiltered=False`` and take theirs from
+    ``article_rows``.
     """
     items = ranked.select("query_id", "item_type", "item_id", "name")
     h = hits
@@ -44,8 +48,28 @@ def article_lists(ranked: DataFrame, hits: DataFrame, links: DataFrame, titles:
     # metadata only for the articles of Q (size-checked broadcast semi join in the titles scan)
     t = join_bounded(titles, h.select("pmid"), ["pmid"], "left_semi", MAX_BROADCAST_HITS)
     info = attach_article_info(lq, t)
-    kept = trim_to_budget(info, items, budget_bytes=budget_bytes)
-    return collect_articles(kept)
+    if queries is None or "do_filter" not in queries.columns:
+        return collect_articles(trim_to_budget(info, items, budget_bytes=budget_bytes))
+    whole = queries.where(~F.coalesce("do_filter", F.lit(True))).select("query_id")
+    cut = trim_to_budget(info.join(whole, "query_id", "left_anti"), items.join(whole, "query_id", "left_anti"),
+                         budget_bytes=budget_bytes)
+    lists = collect_articles(cut)
+    if not collect_unfiltered:
+        return lists
+    return lists.unionByName(collect_articles(info.join(whole, "query_id", "left_semi")))
+
+
+def article_rows(ranked: DataFrame, hits: DataFrame, links: DataFrame, titles: DataFrame,
+                 queries: DataFrame) -> DataFrame:
+    """The articles of unfiltered queries (``do_filter`` false, ``with_articles`` true) in long
+    form, one row per (query, item, article): nothing is cut and nothing is collected."""
+    wanted = queries.where(F.coalesce("with_articles", F.lit(False)) & ~F.coalesce("do_filter", F.lit(True)))
+    wanted = wanted.select("query_id")
+    h = hits.join(wanted, "query_id", "left_semi")
+    items = ranked.select("query_id", "item_type", "item_id").join(wanted, "query_id", "left_semi")
+    lq = restrict_links(links.select("pmid", "item_id", "item_type"), h)
+    lq = lq.join(items, ["query_id", "item_type", "item_id"], "left_semi")
+    return attach_article_info(lq, titles)
 
 
 def to_result_json(ranked: DataFrame, queries: DataFrame, articles: DataFrame | None = None) -> DataFrame:
@@ -82,8 +106,10 @@ def to_result_json(ranked: DataFrame, queries: DataFrame, articles: DataFrame |
     per_query = per_type.groupBy("query_id").agg(
         F.first(F.when(F.col("item_type") == "drug", F.col("_m")), ignorenulls=True).alias("drugs"),
         F.first(F.when(F.col("item_type") == "target", F.col("_m")), ignorenulls=True).alias("targets"))
-    q = queries.select("query_id", (F.coalesce("with_articles", F.lit(False))
-                                    if "with_articles" in queries.columns else F.lit(False)).alias("_wa"))
+    wa = F.coalesce("with_articles", F.lit(False)) if "with_articles" in queries.columns else F.lit(False)
+    if "do_filter" in queries.columns:
+        wa = wa & F.coalesce("do_filter", F.lit(True))
+    q = queries.select("query_id", wa.alias("_wa"))
     out = q.join(per_query, ["query_id"], "left")
     empty = F.create_map().cast(per_type.schema["_m"].dataType)
     drugs = F.coalesce("drugs", empty)
@@ -98,7 +124,7 @@ def to_result_json(ranked: DataFrame, queries: DataFrame, articles: DataFrame |
 def ranked_with_lists(queries: DataFrame, corpus: DataFrame, links: DataFrame, sentiments: DataFrame,
                       catalog: DataFrame, titles: DataFrame, counters: DataFrame | None = None,
                       rules: DataFrame | None = None, k: int | None = None, id_col: str = "doi",
-                      fields=None, budget_bytes: int = BUDGET_BYTES):
+                      fields=None, budget_bytes: int = BUDGET_BYTES, collect_unfiltered: bool = True):
     """B1 and the article lists of its returned items: ``(ranked, lists)``.
 
     Q and the ranked items (at most k per query and type, or all items of a
@@ -112,14 +138,17 @@ def ranked_with_lists(queries: DataFrame, corpus: DataFrame, links: DataFrame, s
     ranked = search(queries, corpus, links, sentiments, catalog, counters=counters, rules=rules,
                     k=k or TOP_K, id_col=id_col, fields=fields, hits=hits, checkpoint_hits=False)
     ranked = materialize(ranked)
-    return ranked, article_lists(ranked, hits, links, titles, queries, budget_bytes)
+    return ranked, article_lists(ranked, hits, links, titles, queries, budget_bytes, collect_unfiltered)
 
 
 def respond(queries: DataFrame, corpus: DataFrame, links: DataFrame, sentiments: DataFrame,
             catalog: DataFrame, titles: DataFrame, counters: DataFrame | None = None,
             rules: DataFrame | None = None, k: int | None = None, id_col: str = "doi",
             fields=None, budget_bytes: int = BUDGET_BYTES) -> DataFrame:
-    """B1 + article lists + O1: the service's whole answer, (query_id, result)."""
+    """B1 + article lists + O1: the service's whole answer, (query_id, result).
+
+    The lists of a query with ``do_filter`` false have no bound, so they are not
+    put into its one JSON value: take them from ``article_rows``."""
     ranked, lists = ranked_with_lists(queries, corpus, links, sentiments, catalog, titles, counters,
-                                      rules, k, id_col, fields, budget_bytes)
+                                      rules, k, id_col, fields, budget_bytes, collect_unfiltered=False)
     return to_result_json(ranked, queries, lists)

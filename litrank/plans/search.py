@@ -31,6 +31,7 @@ from litrank.operators.joins import join_bounded
 from litrank.operators.links import attach_names, restrict_links
 from litrank.operators.rank import apply_overrides, rank_items
 from litrank.session import materialize
+from litrank.sources.readers import dedup_articles
 
 METRIC_COLS = ["n_search_item", "n_item", "precision", "recall", "f_0_5", "sentiment",
                "ranking_score"]
@@ -38,15 +39,18 @@ METRIC_COLS = ["n_search_item", "n_item", "precision", "recall", "f_0_5", "senti
 
 def query_hits(corpus: DataFrame, queries: DataFrame, id_col: str = "doi",
                fields: Sequence[str] | None = None, index: DataFrame | None = None,
-               index_buckets: int | None = None) -> DataFrame:
+               index_buckets: int | None = None, dedup: bool = True) -> DataFrame:
     """Q for every query: (query_id, pmid), distinct. With a stored token
-    ``index`` (``build_token_index``) only its matching buckets are read."""
+    ``index`` (``build_token_index``) only its matching buckets are read.
+    Of corpus rows with one id the first is searched (S4); pass
+    ``dedup=False`` for a corpus that has unique ids."""
     if index is not None:
         from litrank.operators.containment import INDEX_BUCKETS, search_index
         h = search_index(index, queries, id_col=id_col, fields=fields,
                          buckets=index_buckets or INDEX_BUCKETS)
     else:
-        h = search_batch(corpus, queries, id_col=id_col, fields=fields)
+        h = search_batch(dedup_articles(corpus, key=id_col) if dedup else corpus, queries,
+                         id_col=id_col, fields=fields)
     return h.select("query_id", F.col(id_col).cast("string").alias("pmid"))
 
 

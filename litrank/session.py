@@ -59,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None) or \
         spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="litrank-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -80,8 +82,9 @@ def local_path(path: str) -> str:
 
 
 def materialize(df):
-    """Cut lineage: write ``df`` once to the shared checkpoint folder (reliable
-    checkpoint, survives executor loss) and read it back. Used where one
-    expensive result feeds several branches of a plan."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage: write ``df`` once as Parquet to the shared checkpoint folder
+    (survives executor loss) and read it back. Used where one expensive result
+    feeds several branches of a plan."""
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -21,16 +21,16 @@ def _drug_filter(df: DataFrame) -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, path: str, id_col: str, item_type: str,
-                 schema=None) -> DataFrame:
-    """Catalog CSV -> (item_id, name, item_type, ...). Ids are strings.
+                 name_col: str = "name") -> DataFrame:
+    """Catalog CSV -> (item_id, name, item_type). Ids are strings.
 
+    Columns are found by their names in the header, in any order and with others
+    between them; quotes are doubled inside quoted values, which may span lines.
     Drugs keep only small-molecule solids, and only if a ``type`` column exists.
     """
-    if schema is None:
-        schema = schemas.DRUG_CATALOG if id_col == "drugbank_id" else schemas.TARGET_CATALOG
-    df = spark.read.schema(schema).option("header", True).csv(path)
+    df = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     df = _drug_filter(df)
-    return df.select(F.col(id_col).cast("string").alias("item_id"), "name",
+    return df.select(F.col(id_col).cast("string").alias("item_id"), F.col(name_col).alias("name"),
                      F.lit(item_type).alias("item_type"))
 
 

@@ -97,7 +97,7 @@ def test_trim_rounds_nine_two_zero(spark):
     assert size == 9
     # per article bytes are equal; allow the shell plus a bit more than 2 articles
     one = trim_to_budget(arts, items, budget_bytes=10 ** 9).select(
-        F.octet_length(F.to_json(F.struct("pmid", "title", "db_name", "url", "has_pdf", "pdf_url")))).first()[0] + 2
+        F.octet_length(F.to_json(F.struct("pmid", "title", "db_name", "url", "has_pdf", "pdf_url")))).first()[0] + 11 + 2
     budget = 201 + 2 * one + 1
     kept = trim_to_budget(arts, items, budget_bytes=budget)
     assert kept.count() == 2 and kept.first().trim_round == 1
@@ -111,7 +111,8 @@ def test_trim_never_fits_flags_over_budget(spark):
     from litrank.operators import budget as B
     kept = B.trim_to_budget(arts, items, budget_bytes=10)
     assert kept.count() == 0
-    # the choice table says over budget: check through a one-article variant
+    kept, rounds = B.trim_to_budget(arts, items, budget_bytes=10, with_rounds=True)
+    assert kept.count() == 0 and rounds.first().over_budget is True
     one = B.trim_to_budget(_articles(spark, 1), items, budget_bytes=10 ** 9)
     assert one.first().over_budget is False
 

@@ -72,7 +72,7 @@ def test_trim_matches_reference_loop(spark):
         n = rng.choice([0, 1, 3, 4, 9, 17, 40, 100])
         items.append((0, "drug", f"i{it}", f"name{it}"))
         for p in range(n):
-            rows.append((0, "drug", f"i{it}", f"{rng.randint(0, 999):03d}", "t" * rng.randint(0, 30),
+            rows.append((0, "drug", f"i{it}", f"{rng.randint(0, 999):03d}", "".join(rng.choice('t"\\é日\U0001F600\x7f\n') for _ in range(rng.randint(0, 30))),
                          "PubMed", "u", rng.random() < 0.5, ""))
     schema = ("query_id long, item_type string, item_id string, pmid string, title string, db_name string, "
               "url string, has_pdf boolean, pdf_url string")
@@ -84,10 +84,10 @@ def test_trim_matches_reference_loop(spark):
         for arts_ in lists.values():
             for a in arts_:
                 d = {"pmid": a[3], "title": a[4], "db_name": a[5], "url": a[6], "has_pdf": a[7], "pdf_url": a[8]}
-                tot += len(json.dumps(d, separators=(",", ":")).encode()) + ARTICLE_SEPARATOR_BYTES
+                tot += len(json.dumps(d)) + ARTICLE_SEPARATOR_BYTES      # default separators, ASCII only
         return tot
 
-    for budget in (10 ** 7, 20000, 6000, 3000, 1300):
+    for budget in (10 ** 7, 40000, 20000, 6000, 3000, 1300):
         lists = {i[2]: sorted([r for r in rows if r[2] == i[2]], key=lambda r: r[3]) for i in items}
         rounds = 0
         while size(lists) > budget and any(lists.values()):      # the reference's loop
