@@ -638,8 +638,7 @@ def q_k4(spark, sf_dir):
     path = scratch_path(spark, "counters")
     stale = A.item_counters(fx["links"].where(F.col("item_type") == "drug"))
     W.replace_counters(stale, path)
-    W.replace_counters(A.item_counters(fx["links"]), path)
-    return RD.scan_table(spark, path)
+    return RD.scan_table(spark, W.replace_counters(A.item_counters(fx["links"]), path))
 
 
 @register("k5_upsert_sentiments")

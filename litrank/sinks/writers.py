@@ -8,6 +8,7 @@ sites (titles, sentiments, popular queries).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -92,9 +93,11 @@ def append_links(base: DataFrame | None, new: DataFrame, mode: str = "append") -
 
 
 def replace_counters(counters: DataFrame, path: str) -> str:
-    """K4: overwrite the item counter table."""
-    counters.write.mode("overwrite").parquet(path)
-    return path
+    """K4: a new version of the item counter table, in a new folder below ``path``; returns that
+    folder. The old version stays readable until the caller drops it."""
+    version = f"{path.rstrip('/')}/version={uuid.uuid4().hex[:12]}"
+    counters.write.mode("errorifexists").parquet(version)
+    return version
 
 
 def append_dump(df: DataFrame, path: str, dump_date: str) -> str:

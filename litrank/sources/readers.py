@@ -95,6 +95,18 @@ def flatten_esummary(raw: DataFrame, value_col: str = "value") -> DataFrame:
     return parsed.select("pmid", F.col("_d.title").alias("title"), pmc.alias("pmcid"))
 
 
+def corrupt_responses(raw: DataFrame, value_col: str = "value", kind: str = "esummary") -> DataFrame:
+    """The saved responses that cannot be read (not JSON, cut short, or without their
+    result list), with all their columns, so that a lost response leaves a trace."""
+    if kind == "esummary":
+        found = F.from_json(value_col, "struct<result:map<string,string>>")["result"]
+    elif kind == "crossref":
+        found = F.from_json(value_col, schemas.CROSSREF)["message"]["items"]
+    else:
+        raise ValueError(f"unknown kind {kind!r}")
+    return raw.where(found.isNull())
+
+
 def flatten_crossref(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Crossref works responses -> (doi, title, url); title is the first
     title or null."""

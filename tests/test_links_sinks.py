@@ -151,3 +151,37 @@ def test_write_table_clusters_and_never_overwrites(spark, tmp_path):
     assert back.count() == 100
     with pytest.raises(Exception):
         W.write_table(df, path)
+
+
+def test_corrupt_responses_leave_a_trace(spark):
+    rows = [('{"result": {"uids": ["1"], "1": {"title": "a"}}}',), ('{"result": {"1": {"ti',), ("<html>", ), ("{}",), (None,)]
+    raw = spark.createDataFrame(rows, "value string")
+    assert sorted(map(str, (r.value for r in RD.corrupt_responses(raw).collect()))) == \
+        sorted(map(str, (r[0] for r in rows[1:])))
+    cr = spark.createDataFrame([('{"message": {"items": [{"DOI": "10/x"}]}}',), ('{"message": {"it',)], "value string")
+    assert RD.corrupt_responses(cr, kind="crossref").count() == 1
+
+
+def test_catalog_columns_by_name(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    path.write_text('extra,name,type,state,drugbank_id\nx,"a ""b"", c",SmallMoleculeDrug,solid,007\n'
+                    'x,d,BiotechDrug,solid,2\n')
+    assert [tuple(r) for r in RD.read_catalog(spark, str(path), "drugbank_id", "drug").collect()] == \
+        [("007", 'a "b", c', "drug")]
+    path.write_text("name,drugbank_id\nd,2\n")
+    assert [tuple(r) for r in RD.read_catalog(spark, str(path), "drugbank_id", "drug").collect()] == [("2", "d", "drug")]
+
+
+def test_search_keywords_with_alternatives(spark):
+    from litrank.operators.containment import search_keywords
+    a = spark.createDataFrame([("1", "red fox", None), ("2", "red cat", None), ("3", "blue cat", None)],
+                              "doi string, title string, abstract string")
+    ids = lambda *k: sorted(r.doi for r in search_keywords(a, list(k)).collect())
+    assert ids("red", ["fox", "cat"]) == ["1", "2"] and ids(["fox", "blue"]) == ["1", "3"]
+
+
+def test_repeated_ids_are_one_article(spark):
+    from litrank.plans.search import query_hits
+    a = spark.createDataFrame([("1", "the of"), ("1", "the of"), ("2", "the"), ("2", "of")], "doi string, title string")
+    q = spark.createDataFrame([(7, "the of")], "query_id bigint, query string")
+    assert [tuple(r) for r in query_hits(a, q, fields=("title",)).collect()] == [(7, "1")]
