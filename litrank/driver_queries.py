@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litrank import fixtures
+from litrank.constants import KEY_F, KEY_PRECISION, KEY_RECALL, KEY_SCORE, KEY_SENTIMENT
 from litrank.functions import metrics as M
 from litrank.functions import text as TX
 from litrank.functions import urls as U
@@ -451,7 +452,7 @@ def q_r5(spark, sf_dir):
 @register("r6_sort_for_display")
 def q_r6(spark, sf_dir):
     x = R.sort_for_display(flagship(spark, sf_dir))
-    return x.select("query_id", "item_type", "item_id", "f_0_5")
+    return x.select("query_id", "position", "item_id", "f_0_5")
 
 
 # --------------------------------------------------------- sources and sinks
@@ -736,6 +737,29 @@ def q_t5_repeated(spark, sf_dir):
     return query_hits(cut.unionByName(split), fx["queries"], fields=("title", "doi"))
 
 
+@register("o1_result_entries")
+def q_o1_entries(spark, sf_dir):
+    """The content of the JSON results: every item in its order, all metrics, every article field."""
+    fx = _fx(spark, sf_dir)
+    corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
+    res = respond(fx["queries_flags"], corpus, fx["links"], fx["sentiments"],
+                  item_catalog(fx["drugs"], fx["targets"]), fx["titles"], rules=fx["rules"], fields=("title", "doi"))
+    article = "struct<pmid:string,title:string,db_name:string,url:string,has_pdf:boolean,pdf_url:string>"
+    entry = f"struct<counter:bigint,item_pmids:array<{article}>,metrics:map<string,double>>"
+    j = res.select("query_id", F.from_json("result", f"struct<drugs:map<string,{entry}>,targets:map<string,{entry}>>").alias("j"))
+    rows = j.select("query_id", F.lit("drug").alias("item_type"), F.posexplode("j.drugs").alias("pos", "name", "e")) \
+        .unionByName(j.select("query_id", F.lit("target").alias("item_type"),
+                              F.posexplode("j.targets").alias("pos", "name", "e")))
+    text = F.transform("e.item_pmids", lambda a: F.concat_ws("|", a["pmid"], a["title"], a["db_name"], a["url"],
+                                                             a["has_pdf"].cast("string"), a["pdf_url"]))
+    return rows.select(
+        "query_id", "item_type", (F.col("pos") + 1).cast("bigint").alias("position"), "name", "e.counter",
+        r6(F.col("e.metrics")[F.lit(KEY_PRECISION)]).alias("precision"), r6(F.col("e.metrics")[F.lit(KEY_RECALL)]).alias("recall"),
+        r6(F.col("e.metrics")[F.lit(KEY_F)]).alias("f_0_5"), r6(F.col("e.metrics")[F.lit(KEY_SENTIMENT)]).alias("sentiment"),
+        r6(F.col("e.metrics")[F.lit(KEY_SCORE)]).alias("ranking_score"),
+        F.coalesce(F.array_join(text, ";"), F.lit("")).alias("articles"))
+
+
 @register("o1_to_result_json")
 def q_o1(spark, sf_dir):
     fx = _fx(spark, sf_dir)

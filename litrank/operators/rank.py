@@ -84,5 +84,7 @@ def rank_items(metrics: DataFrame, k: int = TOP_K, do_filter_col: str | None = N
 
 
 def sort_for_display(items: DataFrame) -> DataFrame:
-    """Items by F-0.5 descending (item_id breaks ties)."""
-    return items.orderBy(F.desc("f_0_5"), F.asc("item_id"))
+    """The drugs of each query by F-0.5 descending (item_id breaks ties), with their position."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("f_0_5"), F.asc("item_id"))
+    drugs = items.where(F.col("item_type") == "drug")
+    return drugs.withColumn("position", F.row_number().over(w)).orderBy("query_id", "position")

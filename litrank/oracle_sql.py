@@ -293,7 +293,10 @@ FROM scored WHERE precision > p90""",
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, item_type
                                     ORDER BY ranking_score DESC NULLS LAST, item_id) AS rank FROM scored)
 SELECT query_id, item_type, item_id, {r6('ranking_score')} AS ranking_score, rank FROM rk WHERE rank <= 50""",
-    "r6_sort_for_display": CORE + f"SELECT query_id, item_type, item_id, {r6('f_0_5')} AS f_0_5 FROM result",
+    "r6_sort_for_display": CORE + f"""
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {r6('f_0_5')} DESC, item_id) AS position, item_id,
+       {r6('f_0_5')} AS f_0_5
+FROM result WHERE item_type = 'drug'""",
 })
 
 
@@ -478,7 +481,30 @@ allt AS (SELECT pmid, db_name, url, title, pmcid FROM titles_known
 """ + select
 
 
+def o1_entries_sql(budget: int = 2621440) -> str:
+    return search_core("queries_flags") + f""",
+ranked AS (SELECT r.*, row_number() OVER (PARTITION BY r.query_id, r.item_type
+                                          ORDER BY r.ranking_score DESC NULLS LAST, r.item_id) AS place FROM result r),
+asked AS (SELECT query_id FROM queries WHERE do_filter AND with_articles),
+items AS (SELECT query_id, item_type, item_id, name FROM result WHERE query_id IN (SELECT query_id FROM asked)),
+info AS (SELECT lq.query_id, lq.item_type, lq.item_id, lq.pmid, {info_cols('t')}
+         FROM lq JOIN items i ON i.query_id = lq.query_id AND i.item_type = lq.item_type AND i.item_id = lq.item_id
+         LEFT JOIN titles t ON t.pmid = lq.pmid)""" + trim_sql(["query_id", "item_type"], budget) + f""",
+lists AS (SELECT query_id, item_type, item_id,
+                 string_agg(concat_ws('|', pmid, title, db_name, url, CAST(has_pdf AS VARCHAR), pdf_url), ';'
+                            ORDER BY pmid, title, db_name, url, has_pdf, pdf_url) AS articles
+          FROM trimmed GROUP BY ALL),
+named AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id, item_type, name ORDER BY item_id DESC) = 1)
+SELECT n.query_id, n.item_type,
+       row_number() OVER (PARTITION BY n.query_id, n.item_type ORDER BY n.place, n.name) AS position,
+       n.name, CAST(n.n_search_item AS BIGINT) AS counter, {r6('n.precision')} AS precision, {r6('n.recall')} AS recall,
+       {r6('n.f_0_5')} AS f_0_5, {r6('n.sentiment')} AS sentiment, {r6('n.ranking_score')} AS ranking_score,
+       coalesce(l.articles, '') AS articles
+FROM named n LEFT JOIN lists l ON l.query_id = n.query_id AND l.item_type = n.item_type AND l.item_id = n.item_id"""
+
+
 ORACLES.update({
+    "o1_result_entries": o1_entries_sql(),
     "b4_ingest": b4_sql(), "o1_to_result_json": o1_sql(),
     "b4_ingest_links": b4_part("SELECT * FROM alll"),
     "b4_ingest_titles": b4_part("SELECT * FROM allt"),
