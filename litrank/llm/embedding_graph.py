@@ -248,20 +248,22 @@ def _links_table(q, count, a, b):
 # --- audit -------------------------------------------------------------------------------------
 
 def _brute(batches, sample, threshold: float):
-    """Links of the sampled vectors to the vectors of a task, by brute force."""
-    ids, groups, x = sample.value
-    total = np.zeros(len(ids), np.int64)
+    """Links of the sampled vectors to the vectors of a task, by brute force. The sample holds
+    (classes, unit vectors) for each group."""
+    groups = sample.value
+    total = {g: np.zeros(len(ids), np.int64) for g, (ids, _) in groups.items()}
     for batch in batches:
         own, group = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
         weight = batch.column(3).to_numpy()
-        for g in set(groups):
-            s, r = np.flatnonzero(groups == g), np.flatnonzero(group == g)
-            for lo in range(0, len(r), 4096):
-                part = r[lo:lo + 4096]
-                y = _vectors(batch.column(2).take(pa.array(part)))
-                hit = (x[s] @ y.T >= threshold) & (ids[s][:, None] != own[part][None, :])
-                total[s] += (hit * weight[part][None, :]).sum(axis=1)
-    yield pa.RecordBatch.from_pydict({"class_id": pa.array(ids, pa.int64()), "n": pa.array(total, pa.int64())})
+        for g in set(group) & set(groups):
+            ids, x = groups[g]
+            part = np.flatnonzero(group == g)
+            y = _vectors(batch.column(2).take(pa.array(part)))
+            hit = (x @ y.T >= threshold) & (ids[:, None] != own[part][None, :])
+            total[g] += (hit * weight[part][None, :]).sum(axis=1)
+    ids = [i for g in groups for i in groups[g][0].tolist()]
+    yield pa.RecordBatch.from_pydict({"class_id": pa.array(ids, pa.int64()),
+                                      "n": pa.array([n for g in groups for n in total[g].tolist()], pa.int64())})
 
 
 # --- the operator ------------------------------------------------------------------------------
@@ -290,11 +292,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, shard: int = 10
         F.min("vec_id").alias("least_id")), "classes")
     nodes = classes.select("class_id", "grp", "embedding", "weight")
     sample = nodes.orderBy(F.xxhash64("class_id", F.lit(1)), "class_id").limit(audit).toArrow()
-    picked = spark.sparkContext.broadcast(
-        (sample.column(0).to_numpy(), np.array(sample.column(1).to_pylist(), object),
-         _ragged(sample.column(2))))
+    names = np.array(sample.column(1).to_pylist(), object)
+    picked = {}
+    for g in sorted(set(names)):
+        at = pa.array(np.flatnonzero(names == g))
+        picked[g] = sample.column(0).combine_chunks().take(at).to_numpy(), _vectors(sample.column(2).combine_chunks().take(at))
+    picked = spark.sparkContext.broadcast(picked)
     truth = {r["class_id"]: r["n"] for r in nodes.mapInArrow(
-        lambda b: _brute_ragged(b, picked, threshold), "class_id bigint, n bigint")
+        lambda b: _brute(b, picked, threshold), "class_id bigint, n bigint")
         .groupBy("class_id").agg(F.sum("n").alias("n")).collect()}
     for turn in range(rounds):
         counts, edges = _graph_links(nodes, threshold, shard, margin, beam)
@@ -324,24 +329,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, shard: int = 10
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _ragged(column):
-    return [v / np.linalg.norm(v) for v in (np.array(x, np.float64) for x in column.to_pylist())]
-
-
-def _brute_ragged(batches, picked, threshold):
-    ids, groups, vectors = picked.value
-
-    class View:
-        value = None
-
-    held = [b for b in batches]
-    for g in sorted(set(groups)):
-        at = np.flatnonzero(groups == g)
-        view = View()
-        view.value = ids[at], groups[at], np.stack([vectors[k] for k in at])
-        yield from _brute(held, view, threshold)
-
-
 def _graph_links(nodes: DataFrame, threshold: float, shard: int, margin: float, beam: int):
     spark = nodes.sparkSession
     total = nodes.count()
