@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litrank.llm.stages import components, join_groups, ship_code, shuffle_width, stored
+from litrank.llm.stages import components, hash_share, join_groups, ship_code, stored
 
 MOST_PIVOTS = 4096
 MOST_NODES = 4096
@@ -291,7 +291,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, shard: int = 10
         F.first("grp").alias("grp"), F.first("embedding").alias("embedding"), F.count("*").alias("weight"),
         F.min("vec_id").alias("least_id")), "classes")
     nodes = classes.select("class_id", "grp", "embedding", "weight")
-    sample = nodes.orderBy(F.xxhash64("class_id", F.lit(1)), "class_id").limit(audit).toArrow()
+    sample = nodes.where(hash_share(["class_id"], 2 * audit + 100, nodes.count())) \
+        .orderBy(F.xxhash64("class_id", F.lit(1)), "class_id").limit(audit).toArrow()
     names = np.array(sample.column(1).to_pylist(), object)
     picked = {}
     for g in sorted(set(names)):

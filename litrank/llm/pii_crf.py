@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litrank.llm.stages import ship_code
+from litrank.llm.stages import hash_share, ship_code
 from litrank.llm.text_arrays import text_column
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -302,10 +302,12 @@ def _snippets(batches):
                                           "b": pa.array([b for _, _, b in out], pa.int32())})
 
 
-def fit(docs: DataFrame, sample: int = 1200) -> SemiMarkovField:
-    """Train on at most ``sample`` regions, those with the smallest hash."""
+def fit(docs: DataFrame, sample: int = 1200, documents: int = 40_000) -> SemiMarkovField:
+    """Train on at most ``sample`` regions of about ``documents`` documents, chosen by hashes of
+    their texts."""
     ship_code(docs.sparkSession)
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_snippets, "snippet string, a int, b int")
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    found = texts.where(hash_share(["text"], documents, texts.count())).mapInArrow(_snippets, "snippet string, a int, b int")
     rows = found.orderBy(F.xxhash64("snippet", "a"), "snippet", "a").limit(sample).collect()
     return SemiMarkovField.train([(r["snippet"], r["a"], r["b"]) for r in rows])
 

@@ -68,6 +68,15 @@ def stored_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(table)
 
 
+def hash_share(keys, wanted: int, total: int):
+    """A condition that about ``wanted`` of ``total`` rows meet, by a hash of ``keys``; all rows do
+    if there are no more. Put before a sort with a limit, it keeps what each task sends small."""
+    if wanted >= total:
+        return F.lit(True)
+    bound = int(2 ** 31 * wanted / total) + 1
+    return F.pmod(F.xxhash64(*keys), F.lit(2 ** 31)) < F.lit(bound)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with one row per group, whatever the sizes of the groups.
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litrank.llm.stages import ship_code
+from litrank.llm.stages import hash_share, ship_code
 from litrank.llm.text_arrays import byte_span_hashes, gram_codes, letter_runs, mix, text_column, text_slices
 
 BUCKETS = 1 << 18
@@ -219,18 +219,20 @@ def _train_task(table, rounds: int):
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 1500, max_negative: int = 3000,
         rounds: int = 10) -> ToxicityModel:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1): at most
-    ``max_positive`` rows of label 1 and ``max_negative`` of label 0, those with the smallest
-    hash of their doc_id. Only their ids are sorted; the sampled texts, bounded in number, are
+    ``max_positive`` rows of label 1 and ``max_negative`` of label 0, chosen by
+    hashes of their doc_id. Only their ids are sorted; the sampled texts, bounded in number, are
     trained on in one task."""
     ship_code(docs.sparkSession)
     rows = labels.where("label in (0, 1) AND doc_id is not null") \
         .select("doc_id", F.col("label").cast("int").alias("label"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = rows.where("label = 1").orderBy(*order).limit(max_positive) \
-        .unionByName(rows.where("label = 0").orderBy(*order).limit(max_negative))
+    order = [F.xxhash64(F.col("doc_id"), F.lit(1)), F.col("doc_id")]
+    toxic, all_rows = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+    few = lambda n, total: hash_share(["doc_id"], 2 * n + 100, total)
+    ids = rows.where("label = 1").where(few(max_positive, toxic)).orderBy(*order).limit(max_positive) \
+        .unionByName(rows.where("label = 0").where(few(max_negative, all_rows - toxic))
+                     .orderBy(*order).limit(max_negative))
     texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     sample = texts.join(F.broadcast(ids), "doc_id").select("text", "label")
-    toxic, all_rows = rows.agg(F.sum("label"), F.count("*")).first()
     found = sample.groupBy(F.lit(1).alias("one")).applyInArrow(
         lambda table: _train_task(table, rounds), "weight binary, rest array<double>").first()
     if found is None:
