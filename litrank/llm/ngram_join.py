@@ -287,11 +287,9 @@ def _find(parent: np.ndarray, x: int) -> int:
 
 def _multiply(key, table, percent: int, forest: bool):
     """Candidate pairs of the lists of one key: a spanning forest, or all between components."""
-    lists = table.column("list").to_numpy()
-    order = np.argsort(lists, kind="stable")
-    lists = lists[order]
-    digest = table.column("digest").to_numpy()[order]
-    sizes = table.column("n_shingles").to_numpy()[order]
+    lists, digest, sizes = (table.column(c).to_numpy() for c in ("list", "digest", "n_shingles"))
+    order = np.lexsort((digest, sizes, lists))    # one order, so that both rounds cut the same blocks
+    lists, digest, sizes = lists[order], digest[order], sizes[order]
     side = table.column("side").to_numpy()[order]
     comp = None if forest else table.column("component").to_numpy()[order]
     blobs = table.column("sketch").to_pylist()
@@ -353,12 +351,13 @@ def _id_bits(wanted: DataFrame) -> np.ndarray:
         .groupBy("n").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
     out = np.zeros(ID_BITS, bool)
     for n, bits in rows:
+        if n == 0:                                      # the value 0 has a bucket of its own
+            out[0] = True
+            continue
         part = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
         lo = (n - 1) * len(part) + 1
         part = part[:max(0, ID_BITS - lo)]
         out[lo:lo + len(part)] = part
-        if n == 0:
-            out[0] = True
     return np.packbits(out, bitorder="little")
 
 
