@@ -8,7 +8,7 @@ import zstandard
 
 def pack(*arrays) -> bytes:
     """Arrays of unsigned integers, byte planes apart, compressed."""
-    out = zstandard.ZstdCompressor(level=3)
+    out = zstandard.ZstdCompressor(level=9)
     planes = []
     for a in arrays:
         a = np.ascontiguousarray(a, "<u8")
