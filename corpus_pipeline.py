@@ -3,7 +3,8 @@
 1. language: documents without an identifiable language go.
 2. exact_dedup: of equal texts one stays (the digest index).
 3. near_dedup: of each component of texts with similar five-word shingles (Jaccard 0.8 or more)
-   the document with the smallest id stays.
+   the document with the smallest id stays. Rows go by id and text, so that other texts of the
+   same id, or without an id, stay.
 4. pii: personal data in texts is replaced by its kind.
 5. packing: token ids are packed into training windows.
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from litrank.llm import language_mixture, pii_crf
 from litrank.llm.digest_index import DigestIndex, keep_first_copies
-from litrank.llm.ngram_join import ngram_jaccard_join
+from litrank.llm.ngram_join import ngram_jaccard_join, text_hash
 from litrank.llm.packing import pack_documents
 from litrank.llm.stages import stored
 from litrank.session import scratch_path
@@ -43,9 +44,11 @@ def exact_dedup(spark, docs, sf_dir):
 
 def near_dedup(spark, docs, sf_dir):
     marks = ngram_jaccard_join(docs, n=5, percent=80)
-    marks = stored(marks.select("doc_id", "component_id"), "near-marks")
-    gone = marks.where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone_id")), "left_anti")
+    marks = stored(marks.select("doc_id", "component_id", "text_hash"), "near-marks")
+    gone = marks.where("NOT (doc_id <=> component_id)") \
+        .select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone_id")) & (text_hash("text") == F.col("gone_hash"))
+    return docs.join(gone, same, "left_anti")
 
 
 def pii(spark, docs, sf_dir):

@@ -108,7 +108,7 @@ def _batch(fields: dict) -> pa.RecordBatch:
 
 # --- the passes over the text ------------------------------------------------------------------
 
-_SETS = "doc_id bigint, n_shingles bigint, digest bigint, sketch binary, columns binary, counts binary"
+_SETS = "doc_id bigint, text_hash bigint, n_shingles bigint, digest bigint, sketch binary, columns binary, counts binary"
 
 
 def _describe(batches, n: int):
@@ -119,17 +119,18 @@ def _describe(batches, n: int):
     def counts():
         u, c = np.unique(np.concatenate(pending), return_counts=True)
         u, c = u[c > 1], c[c > 1]
-        return _batch({"doc_id": pa.array([None], pa.int64()), "n_shingles": pa.array([None], pa.int64()),
-                       "digest": pa.array([None], pa.int64()), "sketch": pa.array([None], pa.binary()),
+        return _batch({"doc_id": pa.array([None], pa.int64()), "text_hash": pa.array([None], pa.int64()),
+                       "n_shingles": pa.array([None], pa.int64()), "digest": pa.array([None], pa.int64()), "sketch": pa.array([None], pa.binary()),
                        "columns": pa.array([u.tobytes()], pa.binary()),
                        "counts": pa.array([c.astype(np.int32).tobytes()], pa.binary())})
 
     for batch in batches:
-        ids = batch.column(0).to_pylist()
+        ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for i, j, buf, offs in text_slices(text_column(batch)):
             sets = shingle_sets(buf, offs, n)
             digests = [set_digest(s) for s in sets]
             yield _batch({"doc_id": pa.array(ids[i:j], pa.int64()),
+                          "text_hash": pa.array(hashes[i:j], pa.int64()),
                           "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                           "digest": pa.array(digests, pa.int64()),
                           "sketch": pa.array([parity_sketch(s) for s in sets], pa.binary()),
@@ -433,16 +434,23 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int, keys: int) -> DataFr
     return rows.groupBy(*key).applyInArrow(lambda table: _accumulate(table, percent), "a bigint, b bigint")
 
 
+def text_hash(column: str):
+    """64-bit hash of a text column as the join reads it."""
+    return F.xxhash64(F.col(column).cast("string"))
+
+
 # --- the operator ------------------------------------------------------------------------------
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """Components of the texts whose n-gram sets have a Jaccard similarity of ``percent`` % or
-    more: one row ``(doc_id, n_shingles, component_id, digest)`` for each row of ``docs``."""
+    more: one row ``(doc_id, n_shingles, component_id, digest, text_hash)`` for each row of ``docs``;
+    ``text_hash`` is ``text_hash("text")``, which tells rows of one id, or of none, apart."""
     spark = docs.sparkSession
     ship_code(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = stored(texts.mapInArrow(lambda x: _describe(x, n=n), _SETS), "sets")
-    rows = described.where("columns is null").select("doc_id", "n_shingles", "digest")
+    described = stored(texts.withColumn("text_hash", text_hash("text"))
+                       .mapInArrow(lambda x: _describe(x, n=n), _SETS), "sets")
+    rows = described.where("columns is null").select("doc_id", "text_hash", "n_shingles", "digest")
     filled = rows.where("n_shingles > 0")
     classes = stored(described.where("columns is null and n_shingles > 0").groupBy("digest").agg(
         F.min("doc_id").alias("least_id"), F.count("*").alias("copies"),
@@ -484,6 +492,6 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
                     .select("digest", "copies", F.coalesce("component_id", "least_id").alias("component_id")), "groups")
     total = filled.count()
     return join_groups(filled, groups, "digest", "copies", total) \
-        .select("doc_id", "n_shingles", "component_id", "digest") \
+        .select("doc_id", "n_shingles", "component_id", "digest", "text_hash") \
         .unionByName(rows.where("n_shingles = 0").select(
-            "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "digest"))
+            "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "digest", "text_hash"))

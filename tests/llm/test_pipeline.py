@@ -62,3 +62,15 @@ def test_queries_match_sql(spark, name):
 
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_near_dedup_drops_by_id_and_text(spark):
+    words = [f"w{k}" for k in range(60)]
+    base, other, third = (" ".join(f"{c}{w}" for w in words) for c in "abc")
+    rows = [(1, base), (None, base + " end"), (None, other), (None, None),       # a near copy beside clean rows
+            (2, base + " more"), (2, third)]                                     # one id, one text a near copy
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    kept = corpus_pipeline.near_dedup(spark, docs, None)
+    assert kept.columns == docs.columns
+    want = [(1, base), (None, other), (None, None), (2, third)]
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, want))
