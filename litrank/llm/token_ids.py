@@ -4,10 +4,17 @@ A byte-level BPE encodes the pre-tokens of a text one by one, so that its ids ar
 pre-tokens in order. A slice of texts is split with array operations, its distinct pre-tokens
 are looked up in a cache of the worker, and only unknown ones reach the tokenizer library. The
 cache is bounded: beyond ``limit`` words it starts anew.
+
+The added tokens of a JSON file are found in texts first, as ``Tokenizer.encode(text,
+add_special_tokens=False)`` does: each is one id, and what lies between is pre-tokenised piece
+by piece.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -32,11 +39,27 @@ def json_word_encoder(path: str):
     return lambda word: [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(table))]
 
 
-class TextEncoder:
-    """Encodes slices of texts with a word encoder and a bounded cache."""
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the added tokens of a JSON file, which are found in texts as they are written."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    tokens = spec.get("added_tokens") or []
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens) \
+            or len({t["normalized"] for t in tokens}) > 1:
+        raise ValueError(f"{path}: added tokens that strip blanks, match whole words or differ in normalisation")
+    return {t["content"]: t["id"] for t in tokens if t["content"]}
 
-    def __init__(self, encode_word, limit: int = WORD_LIMIT):
-        self.encode_word = encode_word
+
+class TextEncoder:
+    """Encodes slices of texts with a word encoder and a bounded cache. ``added`` has the ids of
+    literals that are cut out of the texts first: leftmost, then longest."""
+
+    def __init__(self, encode_word, limit: int = WORD_LIMIT, added: dict[str, int] | None = None):
+        self.added = added or {}
+        # What is cut out never is, or holds, a pre-token of the rest, so that both share the cache.
+        self.encode_word = lambda w: [self.added[w]] if w in self.added else encode_word(w)
+        longest = sorted(self.added, key=len, reverse=True)
+        self.literals = re.compile("|".join(map(re.escape, longest))) if longest else None
         self.limit = limit
         self._forget()
 
@@ -79,11 +102,25 @@ class TextEncoder:
             at = np.searchsorted(self.known, hashes)
         return self.begin[at], self.size[at], self.pool
 
+    def _word_starts(self, text: str, cp: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Where the pre-tokens and added tokens of a slice begin; none reaches over rows."""
+        if self.literals is None or not self.literals.search(text):
+            return pretoken_starts(cp, offs)
+        found = [m.span() for a, z in zip(offs[:-1].tolist(), offs[1:].tolist())
+                 for m in self.literals.finditer(text, a, z)]
+        if not found:                        # only across the ends of rows
+            return pretoken_starts(cp, offs)
+        begin, end = np.array(found, np.int64).T
+        starts = pretoken_starts(cp, np.unique(np.concatenate([offs, begin, end])))
+        at = np.searchsorted(begin, starts, "right") - 1
+        inside = (at >= 0) & (starts > begin[at]) & (starts < end[at])
+        return starts[~inside]
+
     def slices(self, col: pa.Array):
         """Yield ``(first_row, last_row, ids, offsets)``: the ids of row i of the slice are
         ``ids[offsets[i]:offsets[i + 1]]``."""
         for i, j, text, cp, offs in text_rows(col):
-            starts = pretoken_starts(cp, offs)
+            starts = self._word_starts(text, cp, offs)
             if not len(starts):
                 yield i, j, np.zeros(0, np.uint32), np.zeros(j - i + 1, np.int64)
                 continue
@@ -104,5 +141,5 @@ _ENCODERS: dict[str, TextEncoder] = {}
 def json_encoder(path: str) -> TextEncoder:
     """The encoder of this worker for a JSON file of the tokenizers library."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(json_word_encoder(path))
+        _ENCODERS[path] = TextEncoder(json_word_encoder(path), added=added_tokens(path))
     return _ENCODERS[path]

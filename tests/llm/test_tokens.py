@@ -47,6 +47,36 @@ def test_encoder_with_a_tiny_cache(texts):
     assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endof", "text|> y", "é <|endoftext|>\n日",
+         None, "", "  <|endoftext|>  's", "<|endoftext|"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(PIECES, max_size=12).map("".join), max_size=5))
+def test_encoder_finds_added_tokens(texts):
+    t = Tokenizer.from_file(JSON)
+    texts = texts + [x or "" for x in ADDED]
+    encoder = token_ids.TextEncoder(token_ids.json_word_encoder(JSON), limit=5, added=token_ids.added_tokens(JSON))
+    got = [ids[offs[k]:offs[k + 1]].tolist() for i, j, ids, offs in encoder.slices(pa.array(texts, pa.string()))
+           for k in range(j - i)]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_added_tokens_in_packing_and_files(spark, tmp_path):
+    t = Tokenizer.from_file(JSON)
+    want = {k: t.encode(x or "", add_special_tokens=False).ids for k, x in enumerate(ADDED)}
+    assert any(50256 in ids for ids in want.values())
+    docs = spark.createDataFrame(list(enumerate(ADDED)), "doc_id bigint, text string")
+    pieces = defaultdict(bytes)
+    for r in sorted(packing.pack_documents(docs, JSON, window=64).collect(), key=lambda r: r.start):
+        pieces[r.doc_id] += bytes(r.ids)
+    assert {k: np.frombuffer(b, "<u4").tolist()[:-1] for k, b in pieces.items()} == want
+    path = str(tmp_path / "files")
+    token_files.write_token_files(docs, path, JSON)
+    assert {r.doc_id: r.n_tokens for r in token_files.read_token_files(spark, path).collect()} == \
+        {k: len(ids) + 1 for k, ids in want.items()}
+
+
 def test_exchange_round_trip(odd_docs, no_docs):
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe_exchange.read_ranks(RANKS), special_tokens={})
     got = bpe_exchange.decode(bpe_exchange.encode(odd_docs, RANKS, P.PATTERN), RANKS).collect()
