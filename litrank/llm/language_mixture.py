@@ -101,8 +101,17 @@ def _em(p, c, row, begin, total, allowed, rounds: int = 15):
     return pi, np.add.reduceat(c * np.log(mass), begin)
 
 
-def infer(model: LanguageModel, row, bucket, penalty: float = 3.0, most: int = 3):
-    """For each row that has trigrams: row, proportions (0 outside the language set), score."""
+def _most(p, c, row, begin, total, pi, like):
+    """A log likelihood that no proportions exceed: it is concave in them, so that the steepest
+    slope at ``pi`` bounds what any others can add to ``like``."""
+    mass = np.maximum((p * pi[row]).sum(axis=1), 1e-300)
+    slope = np.add.reduceat(p * (c / mass)[:, None], begin, axis=0) / total[:, None]
+    return like + total * np.log(slope.max(axis=1))
+
+
+def infer(model: LanguageModel, row, bucket, penalty: float = 3.0):
+    """For each row that has trigrams: row, proportions (0 outside the language set), score. A set
+    grows by the language of the next largest proportion as long as the penalised likelihood does."""
     n_lang = len(model.languages)
     key, count = np.unique(row * BUCKETS + bucket, return_counts=True)
     of, f = key // BUCKETS, key % BUCKETS
@@ -121,12 +130,13 @@ def infer(model: LanguageModel, row, bucket, penalty: float = 3.0, most: int = 3
     score = 1 / np.exp(single - like[:, None]).sum(axis=1)
     if n_lang > 1:
         p = np.exp(log_p)
-        full, _ = _em(p, c, local, begin, total, np.ones((len(rows), n_lang)))
+        full, whole = _em(p, c, local, begin, total, np.ones((len(rows), n_lang)))
+        bound = _most(p, c, local, begin, total, full, whole)
         order = np.argsort(-full, axis=1, kind="stable")
         active = np.arange(len(rows))
-        for k in range(2, min(most, n_lang) + 1):
-            ranked = np.take_along_axis(full, order, axis=1)[active, k - 1]
-            active = active[ranked > 0.02]
+        for k in range(2, n_lang + 1):
+            # Rows that no set of languages could raise by the penalty need not be tried.
+            active = active[bound[active] - like[active] > penalty * np.log(3 * total[active] + 1)]
             if not len(active):
                 break
             pick = np.isin(local, active)

@@ -63,6 +63,27 @@ def test_language_em_is_plain_em(language_model):
     assert np.allclose(got[0], pi)
 
 
+def test_language_sets_of_more_than_three():
+    """Proportions of a text in five languages of six, one of them with little of it."""
+    rng = random.Random(4)
+    words = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)]
+             for k in range(6)}
+
+    def grams(text):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        return language_mixture.trigrams(buf, np.array([0, len(buf)]))
+
+    count = np.full((language_mixture.BUCKETS, 6), 0.5)
+    for k, w in enumerate(words.values()):
+        np.add.at(count[:, k], grams(sentence(rng, w, 4000))[1], 1)
+    model = language_mixture.LanguageModel(sorted(words), np.log(count / count.sum(axis=0)))
+    want = {"l0": 0.395, "l1": 0.25, "l2": 0.2, "l3": 0.14, "l4": 0.015}
+    text = " ".join(sentence(rng, words[x], round(4000 * share)) for x, share in want.items())
+    _, share, score = language_mixture.infer(model, *grams(text))
+    assert np.allclose(share[0], [*want.values(), 0], atol=0.01) and abs(score[0] - 0.395) < 0.01
+    assert (share[0] > 0).tolist() == [True] * 5 + [False]
+
+
 def toxic_rows(rng, n, first):
     bad = ["idiot", "stupid", "moron", "scum", "pathetic"]
     rows = []
