@@ -1,6 +1,7 @@
 """Corpus pipeline: five stages, each applying one operator to all that the one before kept.
 
-1. language: documents without an identifiable language go.
+1. language: documents that operator 3 (``language_mixture.predict``) calls ``und`` go: those
+   without a letter, and all if nothing was learned. It rejects no others, however unlikely.
 2. exact_dedup: of equal texts one stays (the digest index).
 3. near_dedup: of each component of texts with similar five-word shingles (Jaccard 0.8 or more)
    the document with the smallest id stays. Rows go by id and text, so that other texts of the

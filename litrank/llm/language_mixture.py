@@ -191,16 +191,8 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                            f"{schema}, lang_pred string, score double, mixture string")
 
 
-def _identified(batches, model):
-    m: LanguageModel = model.value
-    for batch in batches:
-        col = text_column(batch)
-        keep = has_letter(col) & bool(m.languages)
-        yield batch.filter(pa.array(keep))
-
-
 def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs`` that ``predict`` does not call ``und``, with their columns."""
-    ship_code(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(lambda x: _identified(x, shared), docs.schema)
+    """The rows of ``docs`` that ``predict`` does not call ``und``, with their own columns."""
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in ("lang_pred", "score", "mixture")}
+    found = predict(docs.withColumnsRenamed(own), model).where(F.col("lang_pred") != UNKNOWN)
+    return found.drop("lang_pred", "score", "mixture").withColumnsRenamed({v: k for k, v in own.items()})

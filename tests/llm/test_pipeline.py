@@ -5,7 +5,10 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from litrank.llm import language_mixture
 from litrank.llm.queries import ORACLES, QUERIES
 from litrank.session import scratch_path
 
@@ -74,3 +77,14 @@ def test_near_dedup_drops_by_id_and_text(spark):
     assert kept.columns == docs.columns
     want = [(1, base), (None, other), (None, None), (2, third)]
     assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, want))
+
+
+def test_language_stage_follows_the_prediction(spark, odd_docs, monkeypatch):
+    real = language_mixture.predict
+    want = sorted(str(r.doc_id) for r in odd_docs.where("doc_id <> 3 OR doc_id IS NULL").collect()
+                  if any(c.isalpha() for c in r.text or ""))
+    monkeypatch.setattr(language_mixture, "predict", lambda docs, model: real(docs, model).withColumn(
+        "lang_pred", F.when(F.col("doc_id") == 3, "und").otherwise(F.col("lang_pred"))))
+    kept = corpus_pipeline.language(spark, odd_docs, None)
+    assert kept.columns == odd_docs.columns and {r.score for r in kept.collect()} == {"x"}
+    assert sorted(str(r.doc_id) for r in kept.collect()) == want
