@@ -10,7 +10,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from litrank.llm import bpe_exchange, embedding_graph, language_mixture, pii_crf, suffix_tree, token_files, toxicity
+from litrank.llm import (bpe_exchange, conversation_repair, embedding_graph, language_mixture, merge_counts, pii_crf,
+                         suffix_tree, token_files, toxicity, whitening)
 from litrank.llm.digest_index import DigestIndex
 from litrank.llm.ngram_join import ngram_jaccard_join
 from litrank.llm.packing import pack_documents
@@ -94,6 +95,19 @@ def op10_token_files(spark, sf_dir):
     return token_files.read_token_files(spark, path)
 
 
+def op11_rank_synchronous_counts(spark, sf_dir):
+    return merge_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_JSON), limit=512)
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair(conversation_repair.damage(_table(spark, sf_dir, "conversations")))
+
+
+def op13_jacobi_davidson_whitening(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(rows, whitening.fit(rows, components=4))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_robust_pruned_graph,
     op2_sum_of_squares_packing,
@@ -105,6 +119,9 @@ QUERIES = {f.__name__: f for f in (
     op8_pii_semi_markov,
     op9_suffix_tree,
     op10_token_files,
+    op11_rank_synchronous_counts,
+    op12_conversation_repair,
+    op13_jacobi_davidson_whitening,
 )}
 
 ORACLES = {
@@ -159,4 +176,93 @@ ORACLES = {
                    count(*) OVER (PARTITION BY h) c
             FROM d)
         SELECT doc_id, k AS keep_id, c AS group_size, doc_id = k AS kept, h AS text_sha256 FROM g""",
+    "op12_conversation_repair": r"""
+        WITH RECURSIVE crc_table AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) t),
+        keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text,
+                   coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') k
+            FROM conversations),
+        hashed AS (
+            SELECT conv_id, turn, role, text, xor(list_reduce(
+                list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 side
+            FROM keyed, crc_table),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN side = 4 THEN 'user' ELSE role END role,
+                   CASE side WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END text,
+                   unnest(CASE side WHEN 3 THEN [1, 2] ELSE [1] END) copy
+            FROM hashed WHERE side <> 0),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) i,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) seen,
+                   regexp_replace(text, '[\x20\x09-\x0D]+$', '') shown
+            FROM damaged),
+        faulty AS (
+            SELECT *, CASE WHEN shown = '' THEN 'b' WHEN seen > 1 THEN 'd'
+                           WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END fault,
+                   role[1] c, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] pair
+            FROM placed),
+        -- best path to each grammar state: cost, audit, repaired lines; null where there is none
+        walk AS (
+            SELECT conv_id, 0::BIGINT i, {'p': 0, 'a': '', 'r': []::VARCHAR[]} s0,
+                   NULL::STRUCT(p INTEGER, a VARCHAR, r VARCHAR[]) s1, NULL::STRUCT(p INTEGER, a VARCHAR, r VARCHAR[]) s2,
+                   NULL::STRUCT(p INTEGER, a VARCHAR, r VARCHAR[]) s3
+            FROM (SELECT DISTINCT conv_id FROM faulty)
+            UNION ALL
+            SELECT conv_id, i,
+                CASE WHEN s0 IS NOT NULL THEN {'p': s0.p + 2, 'a': s0.a || 'D', 'r': s0.r} END,
+                list_min(list_filter([
+                    CASE WHEN s1 IS NOT NULL THEN {'p': s1.p + 2, 'a': s1.a || 'D', 'r': s1.r} END,
+                    CASE WHEN s0 IS NOT NULL AND c = 's' AND fault IN ('', 't')
+                        THEN {'p': s0.p + pay, 'a': s0.a || 'K', 'r': list_append(s0.r, line)} END], lambda x: x IS NOT NULL)),
+                list_min(list_filter([
+                    CASE WHEN u2 IS NOT NULL THEN {'p': u2.p + 2, 'a': u2.a || 'D', 'r': u2.r} END,
+                    CASE WHEN before_u IS NOT NULL AND fault IN ('', 't') AND c = 'u'
+                        THEN {'p': before_u.p + pay, 'a': before_u.a || 'K', 'r': list_append(before_u.r, line)} END,
+                    CASE WHEN before_u IS NOT NULL AND fault IN ('', 't')
+                        THEN {'p': before_u.p + pay + 1, 'a': before_u.a || 'R', 'r': list_append(before_u.r, 'user:' || text)} END],
+                    lambda x: x IS NOT NULL)),
+                list_min(list_filter([
+                    CASE WHEN u3 IS NOT NULL THEN {'p': u3.p + 2, 'a': u3.a || 'D', 'r': u3.r} END,
+                    CASE WHEN u2 IS NOT NULL AND fault IN ('', 't') AND c = 'a'
+                        THEN {'p': u2.p + pay, 'a': u2.a || 'K', 'r': list_append(u2.r, line)} END,
+                    CASE WHEN u2 IS NOT NULL AND fault IN ('', 't')
+                        THEN {'p': u2.p + pay + 1, 'a': u2.a || 'R', 'r': list_append(u2.r, 'assistant:' || text)} END],
+                    lambda x: x IS NOT NULL))
+            FROM (
+                SELECT *, list_min(list_filter([s0, s1, u3], lambda x: x IS NOT NULL)) before_u
+                FROM (
+                    SELECT w.conv_id, f.i, w.s0, w.s1, f.c, f.fault, f.text, f.role || ':' || f.text line,
+                           CASE f.fault WHEN 't' THEN 5 ELSE 0 END pay,
+                           -- states 2 and 3 after Inserts before this row
+                           list_min(list_filter([s2] || list_transform(list_filter([s0, s1, s3], lambda x: x IS NOT NULL),
+                               lambda x: {'p': x.p + 5, 'a': x.a || 'I', 'r': list_append(x.r, 'user:')}),
+                               lambda x: x IS NOT NULL)) u2,
+                           list_min(list_filter([s3] || list_transform(list_filter([s2], lambda x: x IS NOT NULL),
+                               lambda x: {'p': x.p + 5, 'a': x.a || 'I', 'r': list_append(x.r, 'assistant:')})
+                               || list_transform(list_filter([s0, s1], lambda x: x IS NOT NULL),
+                               lambda x: {'p': x.p + 10, 'a': x.a || 'II', 'r': x.r || ['user:', 'assistant:']}),
+                               lambda x: x IS NOT NULL)) u3
+                    FROM walk w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1))),
+        best AS (
+            SELECT conv_id, list_min(list_filter([s0, s3,
+                CASE WHEN s2 IS NOT NULL THEN {'p': s2.p + 5, 'a': s2.a || 'I', 'r': list_append(s2.r, 'assistant:')} END,
+                CASE WHEN s1 IS NOT NULL THEN {'p': s1.p + 10, 'a': s1.a || 'II', 'r': s1.r || ['user:', 'assistant:']} END],
+                lambda x: x IS NOT NULL)) b
+            FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+        counted AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) gaps,
+                   count(*) FILTER (fault = 'b') blank, count(*) FILTER (fault = 'd') duplicate,
+                   count(*) FILTER (fault = 't') truncated,
+                   count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) illegal
+            FROM faulty GROUP BY conv_id)
+        SELECT o.conv_id, coalesce(n.gaps, 0)::BIGINT AS gaps, coalesce(n.blank, 0) AS blank,
+               coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated,
+               coalesce(n.illegal, 0) AS illegal, coalesce(b.p, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit,
+               sha256(coalesce(array_to_string(b.r, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o
+        LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN counted n ON n.conv_id IS NOT DISTINCT FROM o.conv_id""",
 }
