@@ -45,7 +45,7 @@ OVERRIDE_SCORE = 1.0
 
 # Result JSON keys (O1). The two publication keys keep the unformatted "{}"
 # exactly as the reference emits them.
-KEY_SEARCH_PUBS = "(Search + {}) Publications"
+KEY_HIT_PUBS = "(Search + {}) Publications"
 KEY_ITEM_PUBS = "{} Publications"
 KEY_PRECISION = "Precision"
 KEY_RECALL = "Recall"

@@ -29,7 +29,7 @@ from litrank.operators.links import item_catalog
 from litrank.operators.sentiment import clean_frame, sentiment_lexicon
 from litrank.plans.batch_jobs import ingest, precompute_popular, score_corpus
 from litrank.plans.output import article_rows, ranked_with_lists, respond
-from litrank.plans.search import query_hits, search
+from litrank.plans.ranking import query_hits, rank_queries
 from litrank.session import materialize, scratch_path
 from litrank.sinks import writers as W
 from litrank.sources import readers as RD
@@ -59,13 +59,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = _fx(spark, sf_dir)
     corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
     catalog = item_catalog(fx["drugs"], fx["targets"])
-    out = search(fx["queries"], corpus, fx["links"], fx["sentiments"], catalog,
+    out = rank_queries(fx["queries"], corpus, fx["links"], fx["sentiments"], catalog,
                  rules=fx["rules"], fields=("title", "doi"))
     out = _round_metrics(out, ["precision", "recall", "f_0_5", "sentiment", "ranking_score", "p90"])
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
-register("b1_search")(flagship)
+register("b1_rank_items")(flagship)
 
 
 # ---------------------------------------------------------------- text
@@ -93,28 +93,28 @@ def q_t3(spark, sf_dir):
     return a.select("doi", TX.match_all_tokens(TX.tokenize("abstract"), kw).alias("matches"))
 
 
-@register("t4_search_keywords")
+@register("t4_match_keywords")
 def q_t4(spark, sf_dir):
     a = _fx(spark, sf_dir)["articles"]
-    return C.search_keywords(a, [KEYWORD]).select("doi", "db_name")
+    return C.match_keywords(a, [KEYWORD]).select("doi", "db_name")
 
 
 def _title_hits(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
-    return C.search_batch(corpus, fx["queries"], fields=("title", "doi")).select(
+    return C.match_batch(corpus, fx["queries"], fields=("title", "doi")).select(
         "query_id", F.col("doi").alias("pmid"))
 
 
-@register("t5_search_batch")
+@register("t5_match_batch")
 def q_t5(spark, sf_dir):
     return _title_hits(spark, sf_dir)
 
 
-@register("t5_search_index")
+@register("t5_match_index")
 def q_t5_index(spark, sf_dir):
     """T5 over a stored token index (built once from the corpus, partitioned by
-    token bucket; the search reads only its tokens' buckets)."""
+    token bucket; the lookup reads only its tokens' buckets)."""
     fx = _fx(spark, sf_dir)
     corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
     # bucket count sized to the test tables; at 100 TB about 1 GB of pairs per bucket
@@ -122,7 +122,7 @@ def q_t5_index(spark, sf_dir):
     path = C.build_token_index(corpus, scratch_path(spark, "token-index"), fields=("title", "doi"),
                                buckets=buckets)
     idx = spark.read.parquet(path)
-    return C.search_index(idx, fx["queries"], fields=("title", "doi"), buckets=buckets).select(
+    return C.match_index(idx, fx["queries"], fields=("title", "doi"), buckets=buckets).select(
         "query_id", F.col("doi").alias("pmid"))
 
 
@@ -132,9 +132,9 @@ def q_t6(spark, sf_dir):
     fx["queries"]
     q = spark.sql("SELECT query_id, query FROM queries UNION ALL "
                   "SELECT CAST(4 AS BIGINT), 'the of'")
-    on_titles = C.search_batch(fx["titles"].select(F.col("pmid").alias("doi"), "title"), q,
+    on_titles = C.match_batch(fx["titles"].select(F.col("pmid").alias("doi"), "title"), q,
                                fields=("title", "doi")).select("query_id", F.col("doi").alias("pmid"))
-    on_articles = C.search_batch(fx["articles"], q).select("query_id", F.col("doi").alias("pmid"))
+    on_articles = C.match_batch(fx["articles"], q).select("query_id", F.col("doi").alias("pmid"))
     return C.union_hits(on_titles, on_articles)
 
 
@@ -240,7 +240,7 @@ def q_j9(spark, sf_dir):
     corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
     cache = precompute_popular(fx["popular"], corpus, fields=("title", "doi"))
     hits, misses = L.lookup_popular(fx["queries"], cache)
-    live = C.search_batch(corpus, misses, fields=("title", "doi")).select(
+    live = C.match_batch(corpus, misses, fields=("title", "doi")).select(
         "query_id", F.col("doi").alias("pmid"))
     return C.union_hits(hits, live)
 
@@ -332,7 +332,7 @@ def q_a3_whole(spark, sf_dir):
     catalog = item_catalog(fx["drugs"], fx["targets"])
     q = fx["queries_whole"]
     hits = materialize(query_hits(corpus, q, fields=("title", "doi")))
-    ranked = search(q, corpus, fx["links"], fx["sentiments"], catalog, rules=fx["rules"],
+    ranked = rank_queries(q, corpus, fx["links"], fx["sentiments"], catalog, rules=fx["rules"],
                     fields=("title", "doi"), hits=hits, checkpoint_hits=False)
     rows = article_rows(ranked, hits, fx["links"], fx["titles"], q)
     return rows.select("query_id", "item_type", "item_id", "pmid", "title", "db_name", "url", "has_pdf", "pdf_url")
@@ -375,9 +375,9 @@ METRICS_OUT = ["precision", "recall", "f_0_5", "sentiment", "ranking_score"]
 def q_m1(spark, sf_dir):
     m = _metrics(spark, sf_dir)
     return m.select("query_id", "item_type", "item_id",
-                    M.true_positives("n_search_item").alias("tp"),
-                    M.false_positives("n_search_item", "n_item").alias("fp"),
-                    M.false_negatives("n_search_item", "n_query").alias("fn"))
+                    M.true_positives("n_hit_item").alias("tp"),
+                    M.false_positives("n_hit_item", "n_item").alias("fp"),
+                    M.false_negatives("n_hit_item", "n_query").alias("fn"))
 
 
 def _metric_column(name):
@@ -396,7 +396,7 @@ register("m5_ranking_score")(_metric_column("ranking_score"))
 @register("m6_item_metrics")
 def q_m6(spark, sf_dir):
     m = _metrics(spark, sf_dir)
-    return _round_metrics(m.select("query_id", "item_type", "item_id", "name", "n_search_item",
+    return _round_metrics(m.select("query_id", "item_type", "item_id", "name", "n_hit_item",
                                    "n_item", "n_query", *METRICS_OUT), METRICS_OUT)
 
 
@@ -420,17 +420,17 @@ def q_r3(spark, sf_dir):
                     F.col("rank").cast("bigint").alias("rank"))
 
 
-def _flagged_search(spark, sf_dir):
+def _flagged_ranking(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
-    return search(fx["queries_flags"], corpus, fx["links"], fx["sentiments"],
+    return rank_queries(fx["queries_flags"], corpus, fx["links"], fx["sentiments"],
                   item_catalog(fx["drugs"], fx["targets"]), rules=fx["rules"],
                   fields=("title", "doi"))
 
 
 @register("r4_skip_filter_when_empty")
 def q_r4(spark, sf_dir):
-    x = _flagged_search(spark, sf_dir)
+    x = _flagged_ranking(spark, sf_dir)
     return _round_metrics(x.select("query_id", "item_type", "item_id", *METRICS_OUT), METRICS_OUT)
 
 
@@ -725,7 +725,7 @@ def q_b4_missing(spark, sf_dir):
     return _ingest(spark, sf_dir).missing_info.select("pmid")
 
 
-@register("t5_search_repeated_ids")
+@register("t5_match_repeated_ids")
 def q_t5_repeated(spark, sf_dir):
     """A corpus that repeats every third id, with the tokens of a query split over the two rows."""
     fx = _fx(spark, sf_dir)

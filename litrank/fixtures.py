@@ -25,7 +25,7 @@ FIXTURES: dict[str, str] = {
 SELECT CAST(doc_id AS STRING) doi, split_part(text, chr(10), 1) title, text abstract,
        {_SRC3.format(k='doc_id')} db_name
 FROM documents""",
-    # article metadata of all orders; the titles corpus of searches
+    # article metadata of all orders; the titles corpus of queries
     "titles": f"""
 SELECT CAST(o_orderkey AS STRING) pmid,
        {_SRC3.format(k='o_orderkey')} db_name,

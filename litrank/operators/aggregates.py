@@ -31,7 +31,7 @@ def item_counters(links: DataFrame) -> DataFrame:
 
 def items_in_query(links_q: DataFrame) -> DataFrame:
     """A2: TP = non-null pmid count per (query, item) inside Q."""
-    return links_q.groupBy(*QKEY).agg(F.count("pmid").alias("n_search_item"))
+    return links_q.groupBy(*QKEY).agg(F.count("pmid").alias("n_hit_item"))
 
 
 def article_struct(cols=("pmid", "title", "db_name", "url", "has_pdf", "pdf_url")):
@@ -70,7 +70,7 @@ def mean_sentiment(links_q: DataFrame, sentiments: DataFrame, key=QKEY) -> DataF
 
 def tp_and_sentiment(links_q: DataFrame, sentiments: DataFrame, key=QKEY,
                      q_pmids: DataFrame | None = None) -> DataFrame:
-    """A2 and A4 in one pass: (key, n_search_item, sentiment).
+    """A2 and A4 in one pass: (key, n_hit_item, sentiment).
 
     links_q -> distinct articles (no shuffle, same pmid partitioning) -> left
     join sentiments on pmid -> one aggregation per item. ``q_pmids`` (the ids
@@ -83,7 +83,7 @@ def tp_and_sentiment(links_q: DataFrame, sentiments: DataFrame, key=QKEY,
         sc = join_bounded(sc, q_pmids.select("pmid"), ["pmid"], "left_semi", MAX_BROADCAST_HITS)
     scored = arts.join(sc, "pmid", "left")
     return scored.groupBy(*key).agg(
-        F.sum("n_links").alias("n_search_item"),
+        F.sum("n_links").alias("n_hit_item"),
         F.coalesce(exact_mean("sentiment_score"), F.lit(0.0)).alias("sentiment"))
 
 
@@ -121,14 +121,14 @@ def item_metrics(per_item: DataFrame, counters: DataFrame, qsize: DataFrame,
                  max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """M6: M1-M5 for every (query, item).
 
-    ``per_item`` has (query_id, item_type, item_id, n_search_item, sentiment);
+    ``per_item`` has (query_id, item_type, item_id, n_hit_item, sentiment);
     ``counters`` is A1's table; ``qsize`` is A5's. Items without a counter are
     dropped (the reference fails on them).
     """
     x = attach_totals(per_item, counters, max_rows, check=False)
     x = join_bounded(x, qsize, ["query_id"], "inner", max_rows, check=False)
-    p = M.precision("n_search_item", "n_item", safe_division)
-    r = M.recall("n_search_item", "n_query", safe_division)
+    p = M.precision("n_hit_item", "n_item", safe_division)
+    r = M.recall("n_hit_item", "n_query", safe_division)
     x = x.withColumn("precision", p).withColumn("recall", r)
     x = x.withColumn("f_0_5", M.f_beta("precision", "recall", safe=safe_division))
     return x.withColumn("ranking_score", M.ranking_score("f_0_5", "sentiment"))

@@ -1,4 +1,4 @@
-"""Token containment join: keyword search (T4, T5), hit union (T6) and
+"""Token containment join: keyword matching (T4, T5), hit union (T6) and
 dictionary tagging (J8).
 
 An article matches a keyword in a field when every token of the keyword is a
@@ -36,8 +36,8 @@ DEFAULT_FIELDS = ("title", "doi", "abstract")
 SENTINEL = ""
 
 
-def search_fields(articles: DataFrame, fields: Sequence[str] | None) -> list[str]:
-    """Fields to search: the given ones (default title, doi, abstract) minus
+def match_fields(articles: DataFrame, fields: Sequence[str] | None) -> list[str]:
+    """Fields to match: the given ones (default title, doi, abstract) minus
     ``date``, which the reference never tokenises."""
     chosen = list(fields) if fields is not None else list(DEFAULT_FIELDS)
     return [f for f in chosen if f != "date"]
@@ -103,19 +103,19 @@ def contains_all_join(pairs: DataFrame, wanted: DataFrame, id_col: str,
     return agg.where(hit).select(*key, id_col, *carry)
 
 
-def search_batch(articles: DataFrame, queries: DataFrame, id_col: str = "doi",
+def match_batch(articles: DataFrame, queries: DataFrame, id_col: str = "doi",
                  fields: Sequence[str] | None = None, query_key: str = "query_id",
                  query_col: str = "query", keywords_col: str | None = None,
                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """T5: keyword search for a whole table of queries -> (query_id, id).
+    """T5: keyword matching for a whole table of queries -> (query_id, id).
 
     Each query is one keyword (its text), as the service sends it; pass
     ``keywords_col`` (ARRAY<STRING>) for several AND-ed keywords per query.
     Result rows are distinct.
     """
-    flds = search_fields(articles, fields)
+    flds = match_fields(articles, fields)
     if not flds:
-        raise ValueError("no searchable field")
+        raise ValueError("no field to match")
     kw = F.col(keywords_col) if keywords_col else F.array(F.col(query_col))
     q = queries.select(query_key, kw.alias("_keywords"))
     wanted = keyword_tokens(q, [query_key], "_keywords")
@@ -124,7 +124,7 @@ def search_batch(articles: DataFrame, queries: DataFrame, id_col: str = "doi",
                              max_broadcast_rows=max_broadcast_rows)
 
 
-def search_keywords(articles: DataFrame, keywords: Sequence[str | Sequence[str]], id_col: str = "doi",
+def match_keywords(articles: DataFrame, keywords: Sequence[str | Sequence[str]], id_col: str = "doi",
                     fields: Sequence[str] | None = None) -> DataFrame:
     """T4: articles matching every keyword inside one field (OR over fields); an element
     that is a list of keywords asks for one of them.
@@ -133,9 +133,9 @@ def search_keywords(articles: DataFrame, keywords: Sequence[str | Sequence[str]]
     in the reference.
     """
     if not keywords:
-        raise ValueError("search_keywords needs at least one keyword")
+        raise ValueError("match_keywords needs at least one keyword")
     hit = F.lit(False)
-    for f in search_fields(articles, fields):
+    for f in match_fields(articles, fields):
         words = tokenize(F.col(f).cast("string"))
         every = F.lit(True)
         for group in keywords:
@@ -170,7 +170,7 @@ def link_items(articles: DataFrame, items: DataFrame, id_col: str = "doi",
     that match nothing, are ``empty_items`` (item_id, item_type), never linked
     to everything.
     """
-    flds = search_fields(articles, fields)
+    flds = match_fields(articles, fields)
     key = ["item_id", "item_type"]
     named = items.select(*key, F.array(F.col("name")).alias("_kw"))
     wanted = keyword_tokens(named, key, "_kw", empty_matches_all=False)
@@ -212,8 +212,8 @@ def _phrase_links(arts, items, id_col, flds, carry, max_rows):
     return starts.select(*key, id_col, *carry).distinct()
 
 
-__all__ = ["token_pairs", "keyword_tokens", "contains_all_join", "search_batch",
-           "search_keywords", "union_hits", "link_items", "build_token_index", "search_index"]
+__all__ = ["token_pairs", "keyword_tokens", "contains_all_join", "match_batch",
+           "match_keywords", "union_hits", "link_items", "build_token_index", "match_index"]
 
 
 # ------------------------------------------------------------ stored token index
@@ -233,10 +233,10 @@ def token_bucket(col, buckets: int = INDEX_BUCKETS):
 def build_token_index(articles: DataFrame, path: str, id_col: str = "doi",
                       fields: Sequence[str] | None = None, buckets: int = INDEX_BUCKETS) -> str:
     """Write the corpus's (id, field, token) pairs once, partitioned by token
-    bucket. Searches then read only the buckets of their tokens instead of
+    bucket. Lookups then read only the buckets of their tokens instead of
     tokenising the whole corpus per query batch (the reference keeps its
     tokenised corpus in memory for the same reason)."""
-    flds = search_fields(articles, fields)
+    flds = match_fields(articles, fields)
     pairs = token_pairs(articles.where(F.col(id_col).isNotNull()), id_col, flds)
     # A bucket holding a very common token must not become one writing task:
     # rows are spread over (bucket, hash of the article id) so one bucket is
@@ -248,12 +248,12 @@ def build_token_index(articles: DataFrame, path: str, id_col: str = "doi",
     return path
 
 
-def search_index(index: DataFrame, queries: DataFrame, id_col: str = "doi",
+def match_index(index: DataFrame, queries: DataFrame, id_col: str = "doi",
                  fields: Sequence[str] | None = None, query_key: str = "query_id",
                  query_col: str = "query", keywords_col: str | None = None,
                  buckets: int = INDEX_BUCKETS,
                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """T5 over a stored token index: same result as ``search_batch``.
+    """T5 over a stored token index: same result as ``match_batch``.
 
     The query tokens carry their bucket; the equi-join on (tb, token) with the
     broadcast query side lets dynamic partition pruning skip every bucket no

@@ -135,7 +135,7 @@ def lookup_popular(queries: DataFrame, cache: DataFrame):
     ``cache`` is the long-form popular-query table (query, pmid); a query
     cached without hits has one row with a null pmid. Returns ``(hits,
     misses)``: (query_id, pmid) for cached queries, and the queries that still
-    need a live search. Nothing is gathered per query: it is one join.
+    need a live match. Nothing is gathered per query: it is one join.
     """
     q = queries.withColumn("_nq", normalize_query("query"))
     c = cache.select(F.col("query").alias("_nq"), "pmid")

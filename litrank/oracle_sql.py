@@ -38,8 +38,8 @@ def mean(x: str) -> str:
     return f"avg(CAST({x} AS DOUBLE))"
 
 
-# B1 core as one SQL text; fields searched on the titles corpus: title and id.
-def search_core(queries_view: str = "queries") -> str:
+# B1 core as one SQL text; fields matched on the titles corpus: title and id.
+def ranking_core(queries_view: str = "queries") -> str:
     flags = queries_view != "queries"
     pre = ctes("titles", "links", "sentiments", "drugs", "targets", queries_view, "rules")
     if flags:
@@ -54,7 +54,7 @@ hits AS (
 ),
 qsize AS (SELECT query_id, count(*) AS n_query FROM hits GROUP BY query_id),
 lq AS (SELECT h.query_id, l.pmid, l.item_id, l.item_type FROM links l JOIN hits h ON l.pmid = h.pmid),
-tp AS (SELECT query_id, item_type, item_id, count(pmid) AS n_search_item FROM lq GROUP BY ALL),
+tp AS (SELECT query_id, item_type, item_id, count(pmid) AS n_hit_item FROM lq GROUP BY ALL),
 sent AS (
   SELECT d.query_id, d.item_type, d.item_id, coalesce({mean('s.sentiment_score')}, 0.0) AS sentiment
   FROM (SELECT DISTINCT query_id, item_type, item_id, pmid FROM lq) d
@@ -66,10 +66,10 @@ catalog AS (
   UNION ALL SELECT item_id, name, 'target' FROM targets
 ),
 base AS (
-  SELECT tp.query_id, tp.item_type, tp.item_id, c.name, tp.n_search_item,
+  SELECT tp.query_id, tp.item_type, tp.item_id, c.name, tp.n_hit_item,
          counters.counter AS n_item, qsize.n_query, sent.sentiment,
-         CAST(tp.n_search_item AS DOUBLE) / CAST(counters.counter AS DOUBLE) AS precision,
-         CAST(tp.n_search_item AS DOUBLE) / CAST(qsize.n_query AS DOUBLE) AS recall
+         CAST(tp.n_hit_item AS DOUBLE) / CAST(counters.counter AS DOUBLE) AS precision,
+         CAST(tp.n_hit_item AS DOUBLE) / CAST(qsize.n_query AS DOUBLE) AS recall
   FROM tp JOIN sent USING (query_id, item_type, item_id)
   JOIN catalog c ON c.item_id = tp.item_id AND c.item_type = tp.item_type
   JOIN counters ON counters.item_id = tp.item_id
@@ -101,9 +101,9 @@ result AS (SELECT * FROM kept WHERE {top})
 """
 
 
-def b1_search() -> str:
-    return search_core() + f"""
-SELECT query_id, item_type, item_id, name, CAST(n_search_item AS BIGINT) AS n_search_item,
+def b1_rank_items() -> str:
+    return ranking_core() + f"""
+SELECT query_id, item_type, item_id, name, CAST(n_hit_item AS BIGINT) AS n_hit_item,
        CAST(n_item AS BIGINT) AS n_item, {r6('precision')} AS precision, {r6('recall')} AS recall,
        {r6('f_0_5')} AS f_0_5, {r6('sentiment')} AS sentiment, {r6('ranking_score')} AS ranking_score,
        {r6('p90')} AS p90, CAST(rank AS BIGINT) AS rank
@@ -111,7 +111,7 @@ FROM result"""
 
 
 ORACLES: dict[str, str] = {
-    "b1_search": b1_search(),
+    "b1_rank_items": b1_rank_items(),
 }
 
 
@@ -147,12 +147,12 @@ SELECT doi, CAST(len({tok('abstract')}) AS INTEGER) AS n_tokens,
        array_to_string({tok('abstract')}, '|') AS tokens FROM articles""",
     "t3_match_all_tokens": ctes("articles") + f"""
 SELECT doi, list_has_all({tok('abstract')}, {tok("'The of'")}) AS matches FROM articles""",
-    "t4_search_keywords": ctes("articles") + f""",
+    "t4_match_keywords": ctes("articles") + f""",
 atok AS (SELECT doi, db_name, {tok('title')} AS tt, {tok('doi')} AS td, {tok('abstract')} AS ta FROM articles)
 SELECT doi, db_name FROM atok
 WHERE list_has_all(tt, {tok("'The of'")}) OR list_has_all(td, {tok("'The of'")})
    OR list_has_all(ta, {tok("'The of'")})""",
-    "t5_search_batch": ctes("titles", "queries") + f"""
+    "t5_match_batch": ctes("titles", "queries") + f"""
 SELECT DISTINCT q.query_id, t.pmid FROM queries q, titles t
 WHERE list_has_all({tok('t.title')}, {tok('q.query')}) OR list_has_all({tok('t.pmid')}, {tok('q.query')})""",
     "t6_union_hits": ctes("titles", "articles", "queries") + f""",
@@ -218,16 +218,16 @@ def j8_phrase_sql() -> str:
 SELECT a.doi AS pmid, a.db_name, d.item_id, d.item_type FROM atok a, dt d WHERE len(d.nt) > 0 AND ({conds})"""
 
 
-CORE = search_core()
+CORE = ranking_core()
 M_OUT = ", ".join(f"{r6(c)} AS {c}" for c in ("precision", "recall", "f_0_5", "sentiment"))
 
 ORACLES.update({
     "j1_restrict_links": CORE + "SELECT query_id, pmid, item_id, item_type FROM lq",
     "j2_attach_names": CORE + """
-SELECT tp.query_id, tp.item_type, tp.item_id, c.name, tp.n_search_item
+SELECT tp.query_id, tp.item_type, tp.item_id, c.name, tp.n_hit_item
 FROM tp JOIN catalog c ON c.item_id = tp.item_id AND c.item_type = tp.item_type""",
     "j3_attach_totals": CORE + """
-SELECT tp.query_id, tp.item_type, tp.item_id, tp.n_search_item, c.counter AS n_item
+SELECT tp.query_id, tp.item_type, tp.item_id, tp.n_hit_item, c.counter AS n_item
 FROM tp JOIN counters c ON c.item_id = tp.item_id""",
     "j4_attach_article_info": ctes("links", "titles_known") + f"""
 SELECT l.pmid, l.item_id, l.item_type, {info_cols('t')}
@@ -279,10 +279,10 @@ FROM metrics GROUP BY ALL""",
     "a7_known_items": ctes("links_db") + "SELECT DISTINCT item_id FROM links_db WHERE db_name = 'Xrxiv'",
     "a8_unique_articles": ctes("links_db") + "SELECT DISTINCT pmid FROM links_db WHERE db_name = 'PubMed'",
     "m1_confusion": CORE + """
-SELECT query_id, item_type, item_id, n_search_item AS tp, n_item - n_search_item AS fp,
-       n_query - n_search_item AS fn FROM base""",
+SELECT query_id, item_type, item_id, n_hit_item AS tp, n_item - n_hit_item AS fp,
+       n_query - n_hit_item AS fn FROM base""",
     "m6_item_metrics": CORE + f"""
-SELECT query_id, item_type, item_id, name, n_search_item, n_item, n_query, {M_OUT},
+SELECT query_id, item_type, item_id, name, n_hit_item, n_item, n_query, {M_OUT},
        {r6('score0')} AS ranking_score FROM scored0""",
     "r1_apply_overrides": CORE + f"""
 SELECT query_id, item_type, item_id, name, {r6('ranking_score')} AS ranking_score FROM scored""",
@@ -340,7 +340,7 @@ FROM trimmed"""
 
 
 def a3_whole_sql() -> str:
-    return search_core("queries_whole") + f"""
+    return ranking_core("queries_whole") + f"""
 SELECT lq.query_id, lq.item_type, lq.item_id, lq.pmid, {info_cols('t')}
 FROM lq JOIN result i ON i.query_id = lq.query_id AND i.item_type = lq.item_type AND i.item_id = lq.item_id
 JOIN queries q ON q.query_id = lq.query_id AND NOT q.do_filter AND q.with_articles
@@ -359,7 +359,7 @@ FROM trimmed GROUP BY ALL"""
 
 
 ORACLES.update({
-    "r4_skip_filter_when_empty": search_core("queries_flags") + f"""
+    "r4_skip_filter_when_empty": ranking_core("queries_flags") + f"""
 SELECT query_id, item_type, item_id, {M_OUT}, {r6('ranking_score')} AS ranking_score FROM result""",
     "r5_trim_to_budget": r5_sql(),
 })
@@ -407,7 +407,7 @@ SELECT CAST(o_orderkey AS VARCHAR) AS pmid, o_orderpriority AS title,
        CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus || chr(10) || o_orderpriority END AS abstract
 FROM orders""",
     "s8_scan_table": ctes("titles") + "SELECT * FROM titles",
-    "k1_write_hits": ORACLES["t5_search_batch"],
+    "k1_write_hits": ORACLES["t5_match_batch"],
     "k2_upsert_titles": ctes("titles") + """
 SELECT * FROM titles WHERE pmid NOT IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus IN ('O', 'P'))
 UNION ALL
@@ -450,8 +450,8 @@ SELECT item_id, min(item_type) AS item_type, count(pmid) AS counter FROM alll GR
 
 
 def o1_sql() -> str:
-    return search_core("queries_flags") + """,
-chosen AS (SELECT query_id, item_type, name, arg_max(n_search_item, item_id) AS counter
+    return ranking_core("queries_flags") + """,
+chosen AS (SELECT query_id, item_type, name, arg_max(n_hit_item, item_id) AS counter
            FROM result GROUP BY ALL),
 per_q AS (
   SELECT query_id,
@@ -482,7 +482,7 @@ allt AS (SELECT pmid, db_name, url, title, pmcid FROM titles_known
 
 
 def o1_entries_sql(budget: int = 2621440) -> str:
-    return search_core("queries_flags") + f""",
+    return ranking_core("queries_flags") + f""",
 ranked AS (SELECT r.*, row_number() OVER (PARTITION BY r.query_id, r.item_type
                                           ORDER BY r.ranking_score DESC NULLS LAST, r.item_id) AS place FROM result r),
 asked AS (SELECT query_id FROM queries WHERE do_filter AND with_articles),
@@ -497,7 +497,7 @@ lists AS (SELECT query_id, item_type, item_id,
 named AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id, item_type, name ORDER BY item_id DESC) = 1)
 SELECT n.query_id, n.item_type,
        row_number() OVER (PARTITION BY n.query_id, n.item_type ORDER BY n.place, n.name) AS position,
-       n.name, CAST(n.n_search_item AS BIGINT) AS counter, {r6('n.precision')} AS precision, {r6('n.recall')} AS recall,
+       n.name, CAST(n.n_hit_item AS BIGINT) AS counter, {r6('n.precision')} AS precision, {r6('n.recall')} AS recall,
        {r6('n.f_0_5')} AS f_0_5, {r6('n.sentiment')} AS sentiment, {r6('n.ranking_score')} AS ranking_score,
        coalesce(l.articles, '') AS articles
 FROM named n LEFT JOIN lists l ON l.query_id = n.query_id AND l.item_type = n.item_type AND l.item_id = n.item_id"""
@@ -512,7 +512,7 @@ ORACLES.update({
 SELECT 'Xrxiv', item_id FROM dictionary WHERE item_id NOT IN (SELECT item_id FROM j8)"""),
     "b4_ingest_missing_info": b4_part("""SELECT pmid FROM alll
 WHERE db_name = 'Xrxiv' AND pmid NOT IN (SELECT pmid FROM allt)"""),
-    "t5_search_repeated_ids": ctes("titles", "queries") + f"""
+    "t5_match_repeated_ids": ctes("titles", "queries") + f"""
 , c AS (SELECT pmid, CASE WHEN CAST(pmid AS BIGINT) % 3 = 0 THEN replace(title, 'specified', '') ELSE title END t FROM titles)
 SELECT q.query_id, c.pmid FROM queries q, c
 WHERE list_has_all({tok('c.t')}, {tok('q.query')}) OR list_has_all({tok('c.pmid')}, {tok('q.query')})""",
@@ -529,5 +529,5 @@ ORACLES.update({
 })
 
 
-ORACLES["t5_search_index"] = ORACLES["t5_search_batch"]
+ORACLES["t5_match_index"] = ORACLES["t5_match_batch"]
 ORACLES["s5_flatten_esummary_xml"] = ORACLES["s5_flatten_esummary"]

@@ -1 +1 @@
-"""Composite plans: batch search (B1), article lists and JSON (O1), offline jobs."""
+"""Composite plans: batch ranking (B1), article lists and JSON (O1), offline jobs."""

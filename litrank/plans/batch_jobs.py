@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litrank.operators.aggregates import item_counters
-from litrank.operators.containment import link_items, search_batch
+from litrank.operators.containment import link_items, match_batch
 from litrank.operators.links import articles_missing_info, items_to_collect
 from litrank.operators.sentiment import sentiment_lexicon
 from litrank.session import materialize
@@ -24,13 +24,13 @@ from litrank.sources.readers import dedup_articles
 
 def precompute_popular(queries: DataFrame, corpus: DataFrame, cache: DataFrame | None = None,
                        id_col: str = "doi", fields: Sequence[str] | None = None) -> DataFrame:
-    """B2: search a list of frequent queries and store their hit ids (K6).
+    """B2: match a list of frequent queries and store their hit ids (K6).
 
     The cache is long form (query, pmid): a query's hit list is never gathered
     into one value. A query without hits keeps one row with a null pmid.
     """
     q = queries.select("query_id", "query")
-    hits = search_batch(dedup_articles(corpus, key=id_col), q, id_col=id_col, fields=fields)
+    hits = match_batch(dedup_articles(corpus, key=id_col), q, id_col=id_col, fields=fields)
     rows = q.join(hits.select("query_id", F.col(id_col).cast("string").alias("pmid")),
                   "query_id", "left")
     return upsert_popular_queries(cache, rows.select("query", "pmid"))
@@ -61,7 +61,7 @@ def ingest(articles: DataFrame, items: DataFrame, links: DataFrame | None, title
 
     ``articles`` (doi, title, abstract) is the local corpus of source
     ``db_name``; every pending item is matched in one containment join instead
-    of one remote search per item. Matched articles' titles are stored as the
+    of one remote request per item. Matched articles' titles are stored as the
     local source does (url and pmcid unknown).
     """
     todo = items if links is None else items_to_collect(items, links, useless, db_name)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litrank.constants import (BUDGET_BYTES, KEY_F, KEY_ITEM_PUBS, KEY_PRECISION, KEY_RECALL,
-                               KEY_SCORE, KEY_SEARCH_PUBS, KEY_SENTIMENT)
+                               KEY_SCORE, KEY_HIT_PUBS, KEY_SENTIMENT)
 from litrank.operators.aggregates import collect_articles
 from litrank.operators.budget import trim_to_budget
 from litrank.operators.joins import join_bounded
@@ -80,7 +80,7 @@ def to_result_json(ranked: DataFrame, queries: DataFrame, articles: DataFrame |
     reference keys by name and the last id wins). Queries without any item get
     two empty maps. ``item_pmids`` is present only for queries asking for it.
     """
-    metrics = F.struct(F.col("n_search_item").alias(KEY_SEARCH_PUBS),
+    metrics = F.struct(F.col("n_hit_item").alias(KEY_HIT_PUBS),
                        F.col("n_item").alias(KEY_ITEM_PUBS),
                        F.col("precision").alias(KEY_PRECISION),
                        F.col("recall").alias(KEY_RECALL),
@@ -92,7 +92,7 @@ def to_result_json(ranked: DataFrame, queries: DataFrame, articles: DataFrame |
         x = x.join(articles, ["query_id", "item_type", "item_id"], "left")
     else:
         x = x.withColumn("articles", F.lit(None).cast(ARTICLE_TYPE))
-    value = F.struct(F.col("n_search_item").alias("counter"),
+    value = F.struct(F.col("n_hit_item").alias("counter"),
                      F.coalesce("articles", F.array().cast(ARTICLE_TYPE)).alias("item_pmids"),
                      metrics.alias("metrics"))
     rank = F.col("rank") if "rank" in ranked.columns else F.lit(0)
@@ -132,10 +132,10 @@ def ranked_with_lists(queries: DataFrame, corpus: DataFrame, links: DataFrame, s
     the article lists and the JSON all read them.
     """
     from litrank.constants import TOP_K
-    from litrank.plans.search import query_hits, search
+    from litrank.plans.ranking import query_hits, rank_queries
 
     hits = materialize(query_hits(corpus, queries, id_col, fields))
-    ranked = search(queries, corpus, links, sentiments, catalog, counters=counters, rules=rules,
+    ranked = rank_queries(queries, corpus, links, sentiments, catalog, counters=counters, rules=rules,
                     k=k or TOP_K, id_col=id_col, fields=fields, hits=hits, checkpoint_hits=False)
     ranked = materialize(ranked)
     return ranked, article_lists(ranked, hits, links, titles, queries, budget_bytes, collect_unfiltered)

@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from litrank.constants import TOP_K
 from litrank.operators.aggregates import item_counters, item_metrics, query_size, tp_and_sentiment
-from litrank.operators.containment import search_batch
+from litrank.operators.containment import match_batch
 from litrank.operators.joins import join_bounded
 from litrank.operators.links import attach_names, restrict_links
 from litrank.operators.rank import apply_overrides, rank_items
 from litrank.session import materialize
 from litrank.sources.readers import dedup_articles
 
-METRIC_COLS = ["n_search_item", "n_item", "precision", "recall", "f_0_5", "sentiment",
+METRIC_COLS = ["n_hit_item", "n_item", "precision", "recall", "f_0_5", "sentiment",
                "ranking_score"]
 
 
@@ -42,14 +42,14 @@ def query_hits(corpus: DataFrame, queries: DataFrame, id_col: str = "doi",
                index_buckets: int | None = None, dedup: bool = True) -> DataFrame:
     """Q for every query: (query_id, pmid), distinct. With a stored token
     ``index`` (``build_token_index``) only its matching buckets are read.
-    Of corpus rows with one id the first is searched (S4); pass
+    Of corpus rows with one id the first is matched (S4); pass
     ``dedup=False`` for a corpus that has unique ids."""
     if index is not None:
-        from litrank.operators.containment import INDEX_BUCKETS, search_index
-        h = search_index(index, queries, id_col=id_col, fields=fields,
+        from litrank.operators.containment import INDEX_BUCKETS, match_index
+        h = match_index(index, queries, id_col=id_col, fields=fields,
                          buckets=index_buckets or INDEX_BUCKETS)
     else:
-        h = search_batch(dedup_articles(corpus, key=id_col) if dedup else corpus, queries,
+        h = match_batch(dedup_articles(corpus, key=id_col) if dedup else corpus, queries,
                          id_col=id_col, fields=fields)
     return h.select("query_id", F.col(id_col).cast("string").alias("pmid"))
 
@@ -65,7 +65,7 @@ def score_items(hits: DataFrame, links: DataFrame, sentiments: DataFrame,
     return item_metrics(named, counters, query_size(hits))
 
 
-def search(queries: DataFrame, corpus: DataFrame, links: DataFrame, sentiments: DataFrame,
+def rank_queries(queries: DataFrame, corpus: DataFrame, links: DataFrame, sentiments: DataFrame,
            catalog: DataFrame, counters: DataFrame | None = None, rules: DataFrame | None = None,
            k: int = TOP_K, id_col: str = "doi", fields: Sequence[str] | None = None,
            hits: DataFrame | None = None, checkpoint_hits: bool = True,
@@ -74,13 +74,13 @@ def search(queries: DataFrame, corpus: DataFrame, links: DataFrame, sentiments:
 
     ``queries`` has (query_id, query) and optionally ``do_filter`` (default
     true). ``hits`` may be given (e.g. from the popular-query cache, J9);
-    otherwise the corpus (or its stored token ``index``) is searched. Q is
+    otherwise the corpus (or its stored token ``index``) is matched. Q is
     checkpointed once because two branches read it.
     """
     if hits is None:
         hits = query_hits(corpus, queries, id_col, fields, index=index, index_buckets=index_buckets)
     if checkpoint_hits:
-        # Q feeds J1 and |Q|: search the corpus once, not once per branch.
+        # Q feeds J1 and |Q|: match the corpus once, not once per branch.
         hits = materialize(hits)
     scored = score_items(hits, links, sentiments, catalog, counters)
     scored = apply_overrides(scored, queries, rules)

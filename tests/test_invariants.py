@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from litrank import fixtures
 from litrank.operators.links import item_catalog
-from litrank.plans.search import search
+from litrank.plans.ranking import rank_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def _run(spark, queries):
     fx = fixtures.load(spark, SF)
     corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
-    return search(queries, corpus, fx["links"], fx["sentiments"], item_catalog(fx["drugs"], fx["targets"]),
+    return rank_queries(queries, corpus, fx["links"], fx["sentiments"], item_catalog(fx["drugs"], fx["targets"]),
                   rules=fx["rules"], fields=("title", "doi"))
 
 
@@ -26,12 +26,12 @@ def test_batch_equals_single_queries(spark):
     assert batch == sorted(single)
 
 
-def test_search_with_token_index_equals_live_search(spark, tmp_path):
+def test_ranking_with_token_index_equals_live_match(spark, tmp_path):
     from litrank.operators.containment import build_token_index
     fx = fixtures.load(spark, SF)
     corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
     path = build_token_index(corpus, str(tmp_path / "idx"), fields=("title", "doi"), buckets=8)
-    from litrank.plans.search import query_hits
+    from litrank.plans.ranking import query_hits
     live = query_hits(corpus, fx["queries"], fields=("title", "doi"))
     indexed = query_hits(None, fx["queries"], fields=("title", "doi"), index=spark.read.parquet(path),
                          index_buckets=8)

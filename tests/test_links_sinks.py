@@ -113,7 +113,7 @@ def test_result_json_same_name_last_id_and_empty(spark):
     ranked = spark.createDataFrame(
         [(1, "drug", "D1", "Aspirin", 3, 9, 0.3, 0.1, 0.2, 0.0, 0.5, 1),
          (1, "drug", "D2", "Aspirin", 4, 8, 0.5, 0.2, 0.3, 0.0, 0.4, 2)],
-        "query_id long, item_type string, item_id string, name string, n_search_item long, n_item long, "
+        "query_id long, item_type string, item_id string, name string, n_hit_item long, n_item long, "
         "precision double, recall double, f_0_5 double, sentiment double, ranking_score double, rank int")
     q = spark.createDataFrame([(1, "a", True, False), (2, "b", True, False)],
                               "query_id long, query string, do_filter boolean, with_articles boolean")
@@ -172,16 +172,16 @@ def test_catalog_columns_by_name(spark, tmp_path):
     assert [tuple(r) for r in RD.read_catalog(spark, str(path), "drugbank_id", "drug").collect()] == [("2", "d", "drug")]
 
 
-def test_search_keywords_with_alternatives(spark):
-    from litrank.operators.containment import search_keywords
+def test_match_keywords_with_alternatives(spark):
+    from litrank.operators.containment import match_keywords
     a = spark.createDataFrame([("1", "red fox", None), ("2", "red cat", None), ("3", "blue cat", None)],
                               "doi string, title string, abstract string")
-    ids = lambda *k: sorted(r.doi for r in search_keywords(a, list(k)).collect())
+    ids = lambda *k: sorted(r.doi for r in match_keywords(a, list(k)).collect())
     assert ids("red", ["fox", "cat"]) == ["1", "2"] and ids(["fox", "blue"]) == ["1", "3"]
 
 
 def test_repeated_ids_are_one_article(spark):
-    from litrank.plans.search import query_hits
+    from litrank.plans.ranking import query_hits
     a = spark.createDataFrame([("1", "the of"), ("1", "the of"), ("2", "the"), ("2", "of")], "doi string, title string")
     q = spark.createDataFrame([(7, "the of")], "query_id bigint, query string")
     assert [tuple(r) for r in query_hits(a, q, fields=("title",)).collect()] == [(7, "1")]

@@ -30,7 +30,7 @@ def test_mean_sentiment_distinct_articles(spark):
     s = spark.createDataFrame([("a", 0.5), ("b", -0.5)], "pmid string, sentiment_score double")
     got = {r.item_id: r.sentiment for r in A.mean_sentiment(lq, s).collect()}
     assert got == {"d": 0.0, "e": 0.0}
-    both = {r.item_id: (r.n_search_item, r.sentiment) for r in A.tp_and_sentiment(lq, s).collect()}
+    both = {r.item_id: (r.n_hit_item, r.sentiment) for r in A.tp_and_sentiment(lq, s).collect()}
     assert both == {"d": (3, 0.0), "e": (1, 0.0)}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from litrank.constants import QUERY_PUNCTUATION
 from litrank.functions import text as TX
 from litrank.operators.budget import ARTICLE_SEPARATOR_BYTES, ITEM_SHELL_BYTES, trim_to_budget
-from litrank.operators.containment import link_items, search_batch
+from litrank.operators.containment import link_items, match_batch
 
 ALPHABET = ["a", "b", "c", "A", "é", "-", "(", ")", ".", ",", " ", "  ", "\n", "\t", " ", "　",
             "\x1c", "_", "'", "ab", "ba", "the"]
@@ -37,7 +37,7 @@ def test_normalize_and_tokenize_match_python(spark):
         assert got[i] == (py_normalize(t), py_tokens(t)), repr(t)
 
 
-def test_search_batch_matches_brute_force(spark):
+def test_match_batch_matches_brute_force(spark):
     rng = random.Random(11)
     words = ["x", "y", "z", "xy", "the", "(z)", "x-y"]
     arts = [(str(i), " ".join(rng.choice(words) for _ in range(rng.randint(0, 5))),
@@ -45,7 +45,7 @@ def test_search_batch_matches_brute_force(spark):
     queries = [(j, " ".join(rng.choice(words) for _ in range(rng.randint(0, 3)))) for j in range(12)]
     a = spark.createDataFrame(arts, "doi string, title string, abstract string")
     q = spark.createDataFrame(queries, "query_id int, query string")
-    got = sorted((r.query_id, r.doi) for r in search_batch(a, q).collect())
+    got = sorted((r.query_id, r.doi) for r in match_batch(a, q).collect())
     want = sorted((j, d) for j, qq in queries for d, t, ab in arts
                   if any(all(k in py_tokens(f) for k in py_tokens(qq)) for f in (t, d, ab)))
     assert got == want

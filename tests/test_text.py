@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from litrank.functions import text as TX
-from litrank.operators.containment import search_batch, search_keywords
+from litrank.operators.containment import match_batch, match_keywords
 
 
 def one(spark, expr, value, typ="string"):
@@ -35,29 +35,29 @@ def test_match_all_tokens(spark):
     assert got == [True, False, True]
 
 
-def test_search_keywords_and_inside_one_field(spark):
+def test_match_keywords_and_inside_one_field(spark):
     arts = spark.createDataFrame([("1", "a", "b"), ("2", "a b", "")], "doi string, title string, abstract string")
-    assert [r.doi for r in search_keywords(arts, ["a", "b"]).collect()] == ["2"]
+    assert [r.doi for r in match_keywords(arts, ["a", "b"]).collect()] == ["2"]
 
 
-def test_search_whole_tokens_only(spark):
+def test_match_whole_tokens_only(spark):
     arts = spark.createDataFrame([("1", "covid-19 (covid)", None)], "doi string, title string, abstract string")
-    assert search_keywords(arts, ["covid"]).count() == 0
+    assert match_keywords(arts, ["covid"]).count() == 0
 
 
 def test_empty_keyword_matches_every_article(spark):
     arts = spark.createDataFrame([("1", "x", None), ("2", None, None)], "doi string, title string, abstract string")
     q = spark.createDataFrame([(1, ""), (2, "x")], "query_id int, query string")
-    got = sorted((r.query_id, r.doi) for r in search_batch(arts, q).collect())
+    got = sorted((r.query_id, r.doi) for r in match_batch(arts, q).collect())
     assert got == [(1, "1"), (1, "2"), (2, "1")]
 
 
-def test_search_salted_equals_broadcast(spark):
+def test_match_salted_equals_broadcast(spark):
     arts = spark.createDataFrame([(str(i), f"t{i % 3} the of", "x the") for i in range(40)],
                                  "doi string, title string, abstract string")
     q = spark.createDataFrame([(1, "the"), (2, "t1 of"), (3, "")], "query_id int, query string")
-    a = sorted(tuple(r) for r in search_batch(arts, q).collect())
-    b = sorted(tuple(r) for r in search_batch(arts, q, max_broadcast_rows=0).collect())
+    a = sorted(tuple(r) for r in match_batch(arts, q).collect())
+    b = sorted(tuple(r) for r in match_batch(arts, q, max_broadcast_rows=0).collect())
     assert a == b and len(a) == 40 + 13 + 40
 
 
@@ -73,15 +73,15 @@ def test_remove_stopwords_keeps_order_and_repeats(spark):
     assert got == "b c b"
 
 
-def test_token_index_search_equals_live_search_and_prunes(spark, tmp_path):
-    from litrank.operators.containment import build_token_index, search_index
+def test_token_index_match_equals_live_match_and_prunes(spark, tmp_path):
+    from litrank.operators.containment import build_token_index, match_index
     arts = spark.createDataFrame([(str(i), f"t{i % 5} the", f"body {i % 3} of") for i in range(60)],
                                  "doi string, title string, abstract string")
     q = spark.createDataFrame([(1, "t1 the"), (2, "of"), (3, "")], "query_id int, query string")
     path = build_token_index(arts, str(tmp_path / "idx"), buckets=16)
     idx = spark.read.parquet(path)
-    got = search_index(idx, q, buckets=16)
-    want = search_batch(arts, q)
+    got = match_index(idx, q, buckets=16)
+    want = match_batch(arts, q)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan.lower()
