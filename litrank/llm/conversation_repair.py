@@ -3,7 +3,7 @@
 The rows of a conversation, in turn order, get edits so that the initials of the roles read
 ``(s?(ua)+)?``: Keep (0), Rerole to user or assistant (1), Delete (2; required for blank and
 duplicate rows), Insert an empty user or assistant row (5); a truncated row that is not deleted
-adds 5. ``cheapest`` searches depth first, edits in ASCII order, under a cost bound that grows to
+adds 5. ``cheapest`` goes depth first, edits in ASCII order, under a cost bound that grows to
 the least cost beyond it; a table of failed states (row, grammar state) holds the largest budget
 each failed with. The estimate of the rest is what its faulty rows cost at least. The first
 accepting path has the least cost, and is the least in ASCII of those that have it.
@@ -15,7 +15,7 @@ many rows they have:
 * Equal rows become one row with a number of copies; a row is a duplicate if the first turn of
   its role and text, found by an aggregation, is another one.
 * Rows are ranked by a range partitioning and cut into segments of ``SEGMENT`` rows. For each
-  pair of grammar states before and after it, a segment is searched by itself. No audit of a
+  pair of grammar states before and after it, a segment is solved by itself. No audit of a
   segment is the beginning of another one (each ends with the edit of its last row), so that the
   least audit of a whole is made of least audits of its segments.
 * Tables of costs and of the order of audits, 16 numbers each, are composed ``FAN`` at a time, up
@@ -69,7 +69,7 @@ REPORT = ("conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncate
 TURNS = "conv_id bigint, position bigint, edit string, role string, text string"
 
 
-# --- the search ---------------------------------------------------------------------------------
+# --- the cheapest edits ---------------------------------------------------------------------------------
 
 def cheapest(rows: list[tuple[str, int, int]], start: int = 0, goal: int | None = None):
     """Cost, audit and end state of the cheapest edits of ``rows``, ties least in ASCII.

@@ -11,7 +11,7 @@ Two vectors link if their labels are equal and not null, and their cosine is at
 3. Each shard builds a robust-pruned graph (Subramanya et al. 2019): a node keeps its nearest
    candidate, drops the candidates that this neighbour is close to, and so on. The adjacency
    lists that a vector got in different shards are united.
-4. In its home shard every vector searches the united graph: a greedy search with a beam from
+4. In its home shard every vector walks the united graph: a greedy walk with a beam from
    the nearest medoid, which then expands every node inside the range (and a little beyond)
    until no new one turns up. Cosines are computed in double precision; a link is a pair found
    with cosine >= threshold.
@@ -21,7 +21,7 @@ Two vectors link if their labels are equal and not null, and their cosine is at
    recall is below ``recall``, margin and beam grow and steps 2 to 5 run again.
 
 Shards of more than MOST_NODES nodes are cut into parts, their queries into blocks of the same
-size; each block searches each part, so that a task's memory is bounded while no pair is left
+size; each block meets each part, so that a task's memory is bounded while no pair is left
 out.
 
 Defined results
@@ -136,9 +136,9 @@ def _build(table):
                      "near": pa.array([ids[v] for v in lists], pa.list_(pa.int64()))})
 
 
-def range_search(x: np.ndarray, near: list[np.ndarray], queries: np.ndarray, threshold: float, beam: int,
+def range_walk(x: np.ndarray, near: list[np.ndarray], queries: np.ndarray, threshold: float, beam: int,
                  block: int = 256):
-    """Yield (queries, nodes) index pairs with cosine >= threshold that the search meets.
+    """Yield (queries, nodes) index pairs with cosine >= threshold that the walk meets.
     ``near`` are local neighbour lists, used in both directions."""
     n = len(x)
     src = np.repeat(np.arange(n), [len(v) for v in near])
@@ -196,7 +196,7 @@ def range_search(x: np.ndarray, near: list[np.ndarray], queries: np.ndarray, thr
         yield a + lo, b
 
 
-def _search(table, threshold: float, beam: int):
+def _walk_shard(table, threshold: float, beam: int):
     """Link counts of the queries of one unit, and a forest of the links of the unit."""
     kind = table.column("query").to_numpy(zero_copy_only=False).astype(bool)
     ids = table.column("class_id").to_numpy()
@@ -219,7 +219,7 @@ def _search(table, threshold: float, beam: int):
     q_at, n_at = np.searchsorted(names, q_ids), np.searchsorted(names, nodes)
     label = np.arange(len(names))
     kept = []
-    for a, b in range_search(node_x, local, q_x, threshold, beam):
+    for a, b in range_walk(node_x, local, q_x, threshold, beam):
         other = nodes[b] != q_ids[a]
         a, b = a[other], b[other]
         count += np.bincount(a, node_w[b], len(q_ids)).astype(np.int64)
@@ -365,7 +365,7 @@ def _graph_links(nodes: DataFrame, threshold: float, shard: int, margin: float,
         "shard", upto("parts").alias("part"), "ask", "class_id", "embedding", "weight",
         F.lit(None).cast("array<bigint>").alias("near"), F.lit(True).alias("query"))
     found = stored(graph.unionByName(asked).groupBy("shard", "part", "ask").applyInArrow(
-        lambda table: _search(table, threshold, beam), "class_id bigint, n_links bigint, a bigint, b bigint"), "found")
+        lambda table: _walk_shard(table, threshold, beam), "class_id bigint, n_links bigint, a bigint, b bigint"), "found")
     counts = stored(found.where("class_id is not null").groupBy("class_id").agg(F.sum("n_links").alias("n_links")),
                     "link-counts")
     return counts, found.where("a is not null").select("a", "b")

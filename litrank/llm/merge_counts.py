@@ -227,7 +227,7 @@ class TokenCounter:
         return out[code]
 
     def _literal_spans(self, text: str, offs: np.ndarray) -> np.ndarray:
-        if self.literals is None or not self.literals.search(text):
+        if self.literals is None or next(self.literals.finditer(text), None) is None:
             return np.zeros((0, 2), np.int64)
         rows = zip(offs[:-1].tolist(), offs[1:].tolist())
         return np.array([m.span() for a, z in rows for m in self.literals.finditer(text, a, z)],

@@ -17,7 +17,7 @@ Defined results
     * Spans are ordered by start, then by kind (email, ip, card, phone, secret). Base spans of
       different kinds may overlap; an added span overlaps no other span.
     * ``n_email`` to ``n_phone`` count the base spans of the kind.
-    * Repeated rows are searched each. Other columns are ignored; an empty table gives no rows.
+    * Repeated rows are scanned each. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -71,10 +71,14 @@ def _emails(text: str):
 _EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
 
+def _found(rx: re.Pattern, text: str, *span: int) -> bool:
+    return next(rx.finditer(text, *span), None) is not None
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base rules, by start and kind."""
     out = [(a, b, "email") for a, b in _emails(text)] if "@" in text else []
-    if _DIGIT.search(text):
+    if _found(_DIGIT, text):
         for m in _IP.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
                 out.append((m.start(), m.end(), "ip"))
@@ -93,13 +97,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def regions(text: str) -> list[tuple[int, int]]:
     """Runs of words that hold a digit or an @."""
-    if not _SEED.search(text):
+    if not _found(_SEED, text):
         return []
     out: list[list[int]] = []
     joined = False
     for m in _WORD.finditer(text):
         a, b = m.span()
-        if _SEED.search(text, a, b):
+        if _found(_SEED, text, a, b):
             if joined and a - out[-1][1] == 1:
                 out[-1][1] = b
             else:
@@ -150,7 +154,7 @@ def segment_features(text: str, a: int, b: int, kind: str) -> list[str] | None:
     if len(s) < 20 or not s.isalnum() or not s.isascii() or digits == 0:
         return None
     return [*out, f"secret:hex={bool(_HEX.match(s))}", f"secret:letters={digits < len(s)}",
-            f"secret:named={bool(_NAMED.search(text[max(0, a - 24):a]))}", f"secret:long={len(s) >= 32}"]
+            f"secret:named={_found(_NAMED, text[max(0, a - 24):a])}", f"secret:long={len(s) >= 32}"]
 
 
 def _shape(c: str) -> str:
@@ -265,8 +269,8 @@ class SemiMarkovField:
 
 def _sure_secrets(text, a, b):
     return {(m.start(), m.end(), "secret") for m in re.finditer(r"[0-9A-Za-z]{20,}+", text)
-            if a <= m.start() and m.end() <= b and _NAMED.search(text[max(0, m.start() - 24):m.start()])
-            and _DIGIT.search(m.group())}
+            if a <= m.start() and m.end() <= b and _found(_NAMED, text[max(0, m.start() - 24):m.start()])
+            and _found(_DIGIT, m.group())}
 
 
 def all_spans(text: str, field: SemiMarkovField) -> tuple[list, list]:

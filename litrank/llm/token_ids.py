@@ -104,7 +104,7 @@ class TextEncoder:
 
     def _word_starts(self, text: str, cp: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Where the pre-tokens and added tokens of a slice begin; none reaches over rows."""
-        if self.literals is None or not self.literals.search(text):
+        if self.literals is None or next(self.literals.finditer(text), None) is None:
             return pretoken_starts(cp, offs)
         found = [m.span() for a, z in zip(offs[:-1].tolist(), offs[1:].tolist())
                  for m in self.literals.finditer(text, a, z)]

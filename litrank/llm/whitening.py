@@ -6,18 +6,18 @@ V with a few columns, and each is one job over the fit list, in which every task
 vectors, multiplies them with the columns and back, and sums; the partial sums are added by a
 grouped aggregation, so that the driver gets one row for each dimension.
 
-The search (Sleijpen and van der Vorst 1996, with a block of Ritz pairs at a time):
+The iteration (Sleijpen and van der Vorst 1996, with a block of Ritz pairs at a time):
 
-* Rayleigh-Ritz on the search space gives the leading pairs and their residuals.
+* Rayleigh-Ritz on the trial space gives the leading pairs and their residuals.
 * Leading pairs whose residuals are at the rounding level of double precision are locked: they
-  leave the search space, and everything after stays orthogonal to them.
+  leave the trial space, and everything after stays orthogonal to them.
 * For the others the correction equation, projected away from the locked and current vectors,
   is solved roughly by MINRES; the columns of the block take their steps together, so that a
-  step costs one product. The corrections extend the search space.
-* A search space of ``most_basis`` vectors restarts from its leading Ritz vectors, for which
-  the products are known. If the search space has become the whole space, Rayleigh-Ritz is exact.
+  step costs one product. The corrections extend the trial space.
+* A trial space of ``most_basis`` vectors restarts from its leading Ritz vectors, for which
+  the products are known. If the trial space has become the whole space, Rayleigh-Ritz is exact.
 
-On the driver lie only matrices of dimension by search space, whatever the number of vectors.
+On the driver lie only matrices of dimension by trial space, whatever the number of vectors.
 
 Defined results
     * Rows whose vector is null, or has a null or non-finite entry, are left out.
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from litrank.llm.stages import ship_code, stored
 
 EPS = float(np.finfo(np.float64).eps)
-GUARD = 4            # Ritz pairs searched beside the wanted ones
+GUARD = 4            # Ritz pairs followed beside the wanted ones
 INNER_STEPS = 8      # MINRES steps of one correction at most
 INNER_TOLERANCE = 0.05
 MOST_ROUNDS = 500
@@ -254,7 +254,7 @@ def jacobi_davidson(product, size: int, wanted: int, most_basis: int | None = No
         else:
             fix = np.zeros((size, 0))
         new = orthonormal(fix, locked, basis)
-        if not new.shape[1]:                     # nothing new: widen the search space by chance
+        if not new.shape[1]:                     # nothing new: widen the trial space by chance
             new = orthonormal(rng.standard_normal((size, block)), locked, basis)
         basis, image = np.column_stack([basis, new]), np.column_stack([image, product(new)])
     raise RuntimeError("Jacobi-Davidson did not settle")

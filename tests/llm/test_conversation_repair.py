@@ -81,7 +81,7 @@ def dialogues(spark):
 
 
 def plain(rows):
-    """The contract for the rows of one conversation, without Spark; the search is tested above."""
+    """The contract for the rows of one conversation, without Spark; the edits are tested above."""
     held = []
     for _, turn, role, text in rows:
         role, text = (" " if v is None else v for v in (role, text))

@@ -181,7 +181,7 @@ def test_robust_graph_prunes_and_reaches():
     near = embedding_graph.robust_graph(x)
     assert max(map(len, near)) <= embedding_graph.DEGREE
     found = set()
-    for a, b in embedding_graph.range_search(x, near, x, 0.8, 32):
+    for a, b in embedding_graph.range_walk(x, near, x, 0.8, 32):
         found |= set(zip(a.tolist(), b.tolist()))
     true = set(zip(*(v.tolist() for v in np.nonzero(x @ x.T >= 0.8))))
     assert found <= true and len(found) >= 0.98 * len(true)
