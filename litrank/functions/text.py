@@ -60,9 +60,15 @@ def tokenize(c) -> Column:
     the text is split on single spaces (Spark's non-regex fast path). A null
     input gives an empty array (D7: null is not the word "None").
     """
+    return _non_empty(token_parts(c))
+
+
+def token_parts(c) -> Column:
+    """The tokens of T2, with empty strings between them where there are several breaks: for uses
+    that drop those later anyway."""
     lowered = F.lower(F.coalesce(_col(c), F.lit("")))
     spaced = F.translate(lowered, _TOKEN_BREAKS, " " * len(_TOKEN_BREAKS))
-    return _non_empty(F.split(spaced, " "))
+    return F.split(spaced, " ")
 
 
 def match_all_tokens(field_tokens, keyword_tokens) -> Column:

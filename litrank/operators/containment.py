@@ -2,38 +2,43 @@
 dictionary tagging (J8).
 
 An article matches a keyword in a field when every token of the keyword is a
-token of that field. Instead of testing every (article, query) pair, both
-sides are cut into narrow token rows and equi-joined on the token:
-
-    pairs(id, field, token)       one row per distinct token of an article field
-    wanted(qkey, token, required) one row per distinct (keyword, token) of a query
-
-A (query, article) matches in a field when the number of joined rows for that
-field equals ``required`` (the query's total of distinct keyword tokens). One
-aggregation grouped by (query, article) decides every field at once.
-
-Keywords without any token match every field (``all([])`` is true). To find
-them with an equi-join every article field also emits the empty token ``""``
-and an empty keyword asks for exactly that token.
-
-Scale notes: ``pairs`` never carries the token array next to the exploded
-token (that grows with the square of the document length). The query side is
-broadcast only after a row-count check; beyond it the join is salted so that a
-very common token does not land in one task.
+token of that field. Of the tokens a query (or an item name) asks for, only one
+is joined, its anchor: the token that is rarest in the corpus by a count over
+all articles (J8), or the longest one (T5, where a pass to count tokens would
+cost as much as the match itself). The rows of an article's field that hold an
+anchor are its candidates, and each candidate is verified against the field's
+whole token array:
+
+    anchors(key, token, need)      one row per query: its anchor, all its tokens
+    occurrences(id, field, token)  exploded in the scan, never written
+    anchors x occurrences on token -> verify need within the field's tokens
+
+With anchors within the broadcast bound all of it is one scan of the corpus:
+explode, hash join and verification are fused, and only matches are shuffled.
+Beyond the bound the occurrences move without their texts, a common anchor is
+salted by its measured share, and the candidates fetch their fields by id.
+
+A keyword without any token matches every article (``all([])`` is true); such
+queries are joined to the ids alone, on a constant token.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litrank.functions.text import match_all_tokens, tokenize
-from litrank.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_small
+from litrank.functions.text import match_all_tokens, token_parts, tokenize
+from litrank.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, broadcastable, join_small, salted_join
+from litrank.session import materialize
 
 DEFAULT_FIELDS = ("title", "doi", "abstract")
 SENTINEL = ""
+# Salts of a join on anchors too many to broadcast.
+MOST_SALTS = 1024
+# Distinct anchors that are written into the plan as one array.
+FEW_ANCHORS = 512
 
 
 def match_fields(articles: DataFrame, fields: Sequence[str] | None) -> list[str]:
@@ -58,70 +63,125 @@ def token_pairs(articles: DataFrame, id_col: str, fields: Sequence[str],
                           F.explode("_f.tokens").alias("token"))
 
 
-def keyword_tokens(queries: DataFrame, key_cols: Sequence[str], keywords_col: str,
-                   empty_matches_all: bool = True) -> DataFrame:
-    """(*key, kw_idx, token, required) for a table of queries.
+def wanted_tokens(queries: DataFrame, key_cols: Sequence[str], keywords_col: str) -> DataFrame:
+    """(*key, need) for a table of queries: the distinct tokens of all keywords of a query (an
+    ARRAY<STRING>), which must all lie inside one field. Queries without keywords are dropped."""
+    words = F.transform(F.col(keywords_col), lambda k: tokenize(k))
+    return queries.where(F.size(keywords_col) > 0) \
+        .select(*key_cols, F.array_distinct(F.flatten(words)).alias("need"))
 
-    ``keywords_col`` is an ARRAY<STRING>: all keywords must match inside one
-    field. ``required`` counts distinct tokens per keyword, summed over the
-    query's keywords. With ``empty_matches_all`` a keyword without tokens asks
-    for the sentinel token; otherwise such queries are dropped.
-    """
-    key = list(key_cols)
-    kws = queries.select(*key, F.posexplode(keywords_col).alias("kw_idx", "keyword"))
-    toks = F.array_distinct(tokenize("keyword"))
-    if empty_matches_all:
-        toks = F.when(F.size(toks) == 0, F.array(F.lit(SENTINEL))).otherwise(toks)
-    else:
-        kws = kws.where(F.size(toks) > 0)
-    per_kw = kws.select(*key, "kw_idx", toks.alias("toks"))
-    # required is a per-query total: computed on the (small) query side.
-    req = per_kw.groupBy(*key).agg(F.sum(F.size("toks")).alias("required"))
-    return (per_kw.join(req, key)
-            .select(*key, "kw_idx", F.explode("toks").alias("token"), "required"))
-
-
-def contains_all_join(pairs: DataFrame, wanted: DataFrame, id_col: str,
-                      key_cols: Sequence[str], fields: Sequence[str],
-                      carry: Sequence[str] = (),
-                      max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                      join_keys: Sequence[str] = ("token",)) -> DataFrame:
-    """(*key, id, *carry) for every query that matches an article in some field."""
+
+def field_text(field: Column, fields: Sequence[str]) -> Column:
+    return F.coalesce(*[F.when(field == f, F.col(f).cast("string")) for f in fields])
+
+
+def field_tokens(articles: DataFrame, keep: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """(*keep, field, tokens): the tokens of each article field, in order."""
+    each = F.array(*[F.struct(F.lit(f).alias("field"), tokenize(F.col(f).cast("string")).alias("tokens"))
+                     for f in fields])
+    return articles.select(*keep, F.inline(each))
+
+
+def token_counts(articles: DataFrame, fields: Sequence[str], tokens: DataFrame,
+                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """(token, n): occurrences in the articles' fields of the distinct ``tokens``. One scan with
+    partial sums in its tasks; tokens that do not occur have no row."""
+    every = F.concat(*[token_parts(F.col(f).cast("string")) for f in fields])
+    seen = articles.select(F.explode(every).alias("token"))
+    if broadcastable(tokens, max_broadcast_rows):
+        return seen.join(F.broadcast(tokens), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return seen.where("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("n")).join(tokens, "token", "left_semi")
+
+
+def rarest_anchors(wanted: DataFrame, key_cols: Sequence[str], counts: DataFrame) -> DataFrame:
+    """(*key, token, n, need): the rarest of each query's tokens, ties by the token. Queries with a
+    token that never occurs match nothing and are dropped."""
     key = list(key_cols)
-    joined = join_small(pairs, wanted, list(join_keys), max_rows=max_broadcast_rows,
-                        salt_from=[id_col, "field"])
-    # distinct (keyword, token), so that a repeated article row counts once; the sets hold at
-    # most ``required`` entries
-    token = F.struct(*[c for c in ("kw_idx", "token") if c in joined.columns])
-    per_field = [F.size(F.collect_set(F.when(F.col("field") == f, token))).alias(f"_n{i}")
-                 for i, f in enumerate(fields)]
-    agg = joined.groupBy(*key, id_col, *carry, "required").agg(*per_field)
-    hit = None
-    for i, _ in enumerate(fields):
-        cond = F.col(f"_n{i}") == F.col("required")
-        hit = cond if hit is None else (hit | cond)
-    return agg.where(hit).select(*key, id_col, *carry)
+    each = wanted.select(*key, "need", F.explode("need").alias("token")).join(counts, "token", "left")
+    least = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("a")
+    return each.groupBy(*key, "need").agg(least) \
+        .select(*key, F.col("a.token").alias("token"), F.col("a.n").alias("n"), "need").where("n > 0")
+
+
+def longest_anchors(wanted: DataFrame, key_cols: Sequence[str]) -> DataFrame:
+    """(*key, token, need): the longest of each query's tokens, ties by the token."""
+    longest = F.array_max(F.transform("need", lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))))
+    return wanted.where(F.size("need") > 0).select(*key_cols, longest["t"].alias("token"), "need")
+
+
+def contains(tokens: Column, need: Column, phrase: bool) -> Column:
+    """Does the token array hold all needed tokens; with ``phrase`` as one contiguous run?"""
+    if not phrase:
+        return F.size(F.array_except(need, tokens)) == 0
+    run = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
+    return run(tokens).contains(run(need))
+
+
+def anchor_candidates(articles: DataFrame, anchors: DataFrame, id_col: str, key_cols: Sequence[str],
+                      fields: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """(*key, id, *carry, field, tokens, need): one row for each field that holds an anchor. The
+    anchors are broadcast; the token array is carried next to the exploded token, which is free
+    as the join follows in the same stage. A field's tokens are cut to those of at most
+    ``FEW_ANCHORS`` distinct anchors, known to the plan, before they are exploded."""
+    few = [r.token for r in anchors.select("token").distinct().limit(FEW_ANCHORS + 1).collect()]
+    tokens = F.array_distinct("tokens")
+    if len(few) <= FEW_ANCHORS:
+        tokens = F.array_intersect("tokens", F.lit(few) if few else F.array().cast("array<string>"))
+    fielded = field_tokens(articles, [id_col, *carry], fields)
+    return fielded.withColumn("token", F.explode(tokens)) \
+        .join(F.broadcast(anchors.select(*key_cols, "token", "need")), "token").drop("token")
+
+
+def anchored_matches(articles: DataFrame, anchors: DataFrame, id_col: str, key_cols: Sequence[str],
+                     fields: Sequence[str], carry: Sequence[str] = (), phrase: bool = False,
+                     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Distinct (*key, id, *carry) of the articles with a field that holds what a query needs.
+    ``anchors`` should be a stored table: its size is measured here."""
+    key, keep = list(key_cols), [id_col, *carry]
+    good = contains(F.col("tokens"), F.col("need"), phrase)
+    if broadcastable(anchors, max_broadcast_rows):
+        found = anchor_candidates(articles, anchors, id_col, key, fields, carry)
+        return found.where(good).select(*key, *keep).distinct()
+    pairs = field_tokens(articles, [id_col], fields).select(id_col, "field", F.explode("tokens").alias("token"))
+    salts = 32
+    if "n" in anchors.columns:       # spread the most frequent anchor like the average partition
+        most, total = anchors.agg(F.max("n"), F.sum("n")).first()
+        tasks = int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salts = max(1, min(MOST_SALTS, -(-(most or 0) * tasks // max(total or 1, 1))))
+    cand = salted_join(pairs, anchors.select(*key, "token"), ["token"], salt_buckets=salts,
+                       salt_from=[id_col, "field"]).select(*key, id_col, "field").distinct()
+    cand = materialize(cand)
+    fielded = articles.join(cand, id_col).withColumn("tokens", tokenize(field_text(F.col("field"), fields)))
+    return fielded.join(anchors.select(*key, "need"), key).where(good).select(*key, *keep).distinct()
 
 
 def match_batch(articles: DataFrame, queries: DataFrame, id_col: str = "doi",
-                 fields: Sequence[str] | None = None, query_key: str = "query_id",
-                 query_col: str = "query", keywords_col: str | None = None,
-                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                fields: Sequence[str] | None = None, query_key: str = "query_id",
+                query_col: str = "query", keywords_col: str | None = None,
+                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                counts: DataFrame | None = None) -> DataFrame:
     """T5: keyword matching for a whole table of queries -> (query_id, id).
 
     Each query is one keyword (its text), as the service sends it; pass
-    ``keywords_col`` (ARRAY<STRING>) for several AND-ed keywords per query.
+    ``keywords_col`` (ARRAY<STRING>) for several AND-ed keywords per query, and ``counts``
+    (``token_counts``, stored) to anchor queries at their rarest instead of their longest token.
     Result rows are distinct.
     """
     flds = match_fields(articles, fields)
     if not flds:
         raise ValueError("no field to match")
     kw = F.col(keywords_col) if keywords_col else F.array(F.col(query_col))
-    q = queries.select(query_key, kw.alias("_keywords"))
-    wanted = keyword_tokens(q, [query_key], "_keywords")
-    pairs = token_pairs(articles.where(F.col(id_col).isNotNull()), id_col, flds)
-    return contains_all_join(pairs, wanted, id_col, [query_key], flds,
-                             max_broadcast_rows=max_broadcast_rows)
+    wanted = materialize(wanted_tokens(queries.select(query_key, kw.alias("_keywords")), [query_key], "_keywords"))
+    anchors = longest_anchors(wanted, [query_key]) if counts is None else \
+        materialize(rarest_anchors(wanted, [query_key], counts))
+    arts = articles.where(F.col(id_col).isNotNull())
+    found = anchored_matches(arts, anchors, id_col, [query_key], flds, max_broadcast_rows=max_broadcast_rows)
+    every = wanted.where(F.size("need") == 0).select(query_key, F.lit(SENTINEL).alias("token"))
+    if every.isEmpty():
+        return found
+    ids = arts.select(id_col, F.lit(SENTINEL).alias("token"))
+    return found.unionByName(join_small(ids, every, ["token"], max_rows=max_broadcast_rows, salt_from=[id_col])
+                             .select(query_key, id_col)).distinct()
 
 
 def match_keywords(articles: DataFrame, keywords: Sequence[str | Sequence[str]], id_col: str = "doi",
@@ -166,53 +226,37 @@ def link_items(articles: DataFrame, items: DataFrame, id_col: str = "doi",
     ``items`` has (item_id, name, item_type). An item is linked to every
     article whose field holds all tokens of its name (``phrase=True``: the
     normalised name as a contiguous run of tokens). Links are
-    (pmid, db_name, item_id, item_type). Items whose name has no token, or
-    that match nothing, are ``empty_items`` (item_id, item_type), never linked
-    to everything.
+    (pmid, db_name, item_id, item_type), stored once, as both results read
+    them. Items whose name has no token, or that match nothing, are
+    ``empty_items`` (item_id, item_type), never linked to everything.
     """
     flds = match_fields(articles, fields)
     key = ["item_id", "item_type"]
-    named = items.select(*key, F.array(F.col("name")).alias("_kw"))
-    wanted = keyword_tokens(named, key, "_kw", empty_matches_all=False)
     arts = articles.where(F.col(id_col).isNotNull())
     carry = [db_col] if db_col in articles.columns else []
-    pairs = token_pairs(arts, id_col, flds, carry=carry, sentinel=False)
-    if not phrase:
-        found = contains_all_join(pairs, wanted, id_col, key, flds, carry=carry,
-                                  max_broadcast_rows=max_broadcast_rows)
-    else:
-        found = _phrase_links(arts, items, id_col, flds, carry, max_broadcast_rows)
-    links = found.select(F.col(id_col).cast("string").alias("pmid"),
-                         (F.col(db_col) if carry else F.lit(None).cast("string")).alias("db_name"),
-                         "item_id", "item_type")
+    anchors = item_anchors(arts, items, flds, phrase, max_broadcast_rows)
+    found = anchored_matches(arts, anchors, id_col, key, flds, carry, phrase, max_broadcast_rows)
+    links = materialize(found.select(
+        F.col(id_col).cast("string").alias("pmid"),
+        (F.col(db_col) if carry else F.lit(None).cast("string")).alias("db_name"), "item_id", "item_type"))
     empty = items.select(*key).join(links.select(*key).distinct(), key, "left_anti")
     return links, empty
 
 
-def _phrase_links(arts, items, id_col, flds, carry, max_rows):
-    """Phrase match without shipping texts: every token occurrence keeps its
-    position, every phrase token its offset j. A phrase of n tokens starts at
-    position s in a field when n joined rows agree on s = pos - j."""
+def item_anchors(articles: DataFrame, items: DataFrame, fields: Sequence[str], phrase: bool = False,
+                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """(item_id, item_type, token, n, need), stored: each name's rarest token, and its distinct
+    tokens (with ``phrase`` all of them, in order)."""
     key = ["item_id", "item_type"]
-    toks = tokenize("name")
-    wanted = (items.select(*key, toks.alias("_t")).where(F.size("_t") > 0)
-              .select(*key, F.size("_t").alias("required"),
-                      F.posexplode("_t").alias("j", "token")))
-    per_field = [F.struct(F.lit(f).alias("field"), tokenize(F.col(f).cast("string")).alias("tokens"))
-                 for f in flds]
-    keep = [id_col, *carry]
-    occ = (arts.select(*keep, F.explode(F.array(*per_field)).alias("_f"))
-           .select(*keep, F.col("_f.field").alias("field"),
-                   F.posexplode("_f.tokens").alias("pos", "token")))
-    joined = join_small(occ, wanted, ["token"], max_rows=max_rows,
-                        salt_from=[id_col, "field", "pos"])
-    starts = (joined.groupBy(*key, id_col, *carry, "field", (F.col("pos") - F.col("j")).alias("start"),
-                             "required").count()
-              .where(F.col("count") == F.col("required")))
-    return starts.select(*key, id_col, *carry).distinct()
-
-
-__all__ = ["token_pairs", "keyword_tokens", "contains_all_join", "match_batch",
+    tokens = tokenize("name")
+    named = materialize(items.select(*key, (tokens if phrase else F.array_distinct(tokens)).alias("need"))
+                        .where(F.size("need") > 0).distinct())
+    distinct = materialize(named.select(F.explode("need").alias("token")).distinct())
+    counts = token_counts(articles, fields, distinct, max_broadcast_rows)
+    return materialize(rarest_anchors(named, key, counts))
+
+
+__all__ = ["token_pairs", "wanted_tokens", "token_counts", "anchored_matches", "match_batch",
            "match_keywords", "union_hits", "link_items", "build_token_index", "match_index"]
 
 
@@ -249,21 +293,36 @@ def build_token_index(articles: DataFrame, path: str, id_col: str = "doi",
 
 
 def match_index(index: DataFrame, queries: DataFrame, id_col: str = "doi",
-                 fields: Sequence[str] | None = None, query_key: str = "query_id",
-                 query_col: str = "query", keywords_col: str | None = None,
-                 buckets: int = INDEX_BUCKETS,
-                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                fields: Sequence[str] | None = None, query_key: str = "query_id",
+                query_col: str = "query", keywords_col: str | None = None,
+                buckets: int = INDEX_BUCKETS,
+                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """T5 over a stored token index: same result as ``match_batch``.
 
-    The query tokens carry their bucket; the equi-join on (tb, token) with the
-    broadcast query side lets dynamic partition pruning skip every bucket no
-    query token falls in.
+    Each query token carries its bucket, so that the equi-joins on (tb, token)
+    with a broadcast side let dynamic partition pruning skip the other buckets.
+    The anchors are joined first; the rest of a query's tokens is looked up for
+    the candidates alone.
     """
     flds = list(fields) if fields is not None else list(DEFAULT_FIELDS)
     flds = [f for f in flds if f != "date"]
     kw = F.col(keywords_col) if keywords_col else F.array(F.col(query_col))
-    q = queries.select(query_key, kw.alias("_keywords"))
-    wanted = keyword_tokens(q, [query_key], "_keywords").withColumn("tb", token_bucket("token", buckets))
+    wanted = wanted_tokens(queries.select(query_key, kw.alias("_keywords")), [query_key], "_keywords")
+    empty = F.size("need") == 0
+    wanted = materialize(wanted.withColumn("need", F.when(empty, F.array(F.lit(SENTINEL))).otherwise(F.col("need"))))
+    anchors = longest_anchors(wanted, [query_key]).withColumn("tb", token_bucket("token", buckets))
     pairs = index.where(F.col("field").isin(flds))
-    return contains_all_join(pairs, wanted, id_col, [query_key], flds, join_keys=["tb", "token"],
-                             max_broadcast_rows=max_broadcast_rows)
+    at = ["tb", "token"]
+    cand = join_small(pairs, anchors.select(query_key, *at, F.size("need").alias("n_need")), at,
+                      max_rows=max_broadcast_rows, salt_from=[id_col, "field"])
+    cand = materialize(cand.select(query_key, id_col, "field", "n_need").distinct())
+    rest = anchors.select(query_key, F.explode(F.array_except("need", F.array("token"))).alias("token")) \
+        .withColumn("tb", token_bucket("token", buckets))
+    asked = materialize(cand.join(rest, query_key))
+    if asked.isEmpty():
+        return cand.select(query_key, id_col).distinct()
+    seen = join_small(pairs, asked, [*at, id_col, "field"], max_rows=max_broadcast_rows, salt_from=[id_col, "field"])
+    full = seen.groupBy(query_key, id_col, "field", "n_need").agg(F.count_distinct("token").alias("n")) \
+        .where("n = n_need - 1")
+    alone = cand.where("n_need = 1")
+    return full.select(query_key, id_col).unionByName(alone.select(query_key, id_col)).distinct()
