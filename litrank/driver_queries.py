@@ -352,7 +352,7 @@ def q_a5(spark, sf_dir):
 
 @register("a6_precision_p90")
 def q_a6(spark, sf_dir):
-    p = A.precision_p90(_metrics(spark, sf_dir), with_recall=True)
+    p = A.precision_p90(materialize(_metrics(spark, sf_dir)), with_recall=True)
     return _round_metrics(p, ["p90", "r90"])
 
 
@@ -408,7 +408,7 @@ def q_r1(spark, sf_dir):
 
 @register("r2_filter_above_p90")
 def q_r2(spark, sf_dir):
-    x = R.filter_above_p90(_metrics(spark, sf_dir))
+    x = R.filter_above_p90(materialize(_metrics(spark, sf_dir)))
     return _round_metrics(x.select("query_id", "item_type", "item_id", "precision", "p90"),
                           ["precision", "p90"])
 

@@ -14,6 +14,7 @@ from litrank.constants import PRECISION_QUANTILE, RECALL_QUANTILE
 from litrank.functions import metrics as M
 from litrank.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_bounded
 from litrank.operators.links import MAX_BROADCAST_HITS, attach_totals
+from litrank.operators.quantile import group_quantiles
 from litrank.operators.sentiment import exact_mean
 
 QKEY = ["query_id", "item_type", "item_id"]
@@ -97,11 +98,11 @@ def query_size(hits: DataFrame, distinct: bool = False) -> DataFrame:
 def precision_p90(metrics: DataFrame, with_recall: bool = False) -> DataFrame:
     """Exact 0.90 quantile (linear interpolation) of precision per
     (query, item type); optionally the recall quantile the reference computes
-    and never uses."""
-    aggs = [F.percentile("precision", PRECISION_QUANTILE).alias("p90")]
+    and never uses. ``metrics`` is read twice; pass a stored table."""
+    wanted = {"p90": ("precision", PRECISION_QUANTILE)}
     if with_recall:
-        aggs.append(F.percentile("recall", RECALL_QUANTILE).alias("r90"))
-    return metrics.groupBy("query_id", "item_type").agg(*aggs)
+        wanted["r90"] = ("recall", RECALL_QUANTILE)
+    return group_quantiles(metrics, ["query_id", "item_type"], wanted)
 
 
 def known_items(links: DataFrame, db_name: str = "") -> DataFrame:

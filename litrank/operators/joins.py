@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Rows and bytes a side may hold to be broadcast.
@@ -78,7 +78,7 @@ def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner",
     keeps the sort-merge join. No salt: the small side has unique keys and
     the big side is already aggregated.
     """
-    on = [on] if isinstance(on, str) else list(on)
+    on = [on] if isinstance(on, (str, Column)) else list(on)
     if check and broadcastable(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from litrank.constants import (OVERRIDE_NAMES, OVERRIDE_SCORE, OVERRIDE_TRIGGERS,
                                PRECISION_QUANTILE, TOP_K)
 from litrank.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_bounded
+from litrank.operators.quantile import group_quantiles
 
 GROUP = ["query_id", "item_type"]
 
@@ -26,61 +27,66 @@ def apply_overrides(items: DataFrame, queries: DataFrame, rules: DataFrame | Non
     """Set ranking_score to the rule's score when the lowered query contains
     the rule's trigger and the item's name is the rule's name; drugs only.
 
-    Rules are grouped per name into one row (a bounded list of triggers), so the
-    items join a lookup with unique keys and are never regrouped.
+    Items meet the rules of their name only, and of the rules that apply the
+    largest score is kept by a maximum per (query, item), so that no list of a
+    name's rules is built.
     """
     if rules is None:
         rules = default_rules(items.sparkSession)
-    per_name = rules.groupBy(F.col("item_name").alias("name")).agg(
-        F.collect_list(F.struct(F.lower("trigger").alias("t"), F.col("score").alias("s"))).alias("_rules"))
+    lowered = rules.select(F.col("item_name").alias("name"), F.lower("trigger").alias("_t"), F.col("score").alias("_s")) \
+        .distinct()
+    named = items.where(F.col("item_type") == item_type).select("query_id", "item_id", "name")
     lq = queries.select("query_id", F.lower("query").alias("_lq"))
-    x = join_bounded(items, lq, ["query_id"], "left", max_rows)
-    x = join_bounded(x, per_name, ["name"], "left", max_rows, check=False)
-    hits = F.filter(F.coalesce("_rules", F.array().cast("array<struct<t:string,s:double>>")),
-                    lambda r: F.col("_lq").contains(r["t"]))
-    best = F.array_max(F.transform(hits, lambda r: r["s"]))
-    applies = (F.col("item_type") == item_type) & (F.size(hits) > 0)
-    return (x.withColumn("ranking_score", F.when(applies, best).otherwise(F.col("ranking_score")))
-             .drop("_lq", "_rules"))
+    met = join_bounded(join_bounded(named, lowered, ["name"], "inner", max_rows), lq, ["query_id"], "inner", max_rows)
+    best = met.where(F.col("_lq").contains(F.col("_t"))).groupBy("query_id", "item_id").agg(F.max("_s").alias("_best")) \
+        .withColumn("item_type", F.lit(item_type))
+    x = join_bounded(items, best, ["query_id", "item_type", "item_id"], "left", max_rows, check=False)
+    return x.withColumn("ranking_score", F.coalesce("_best", "ranking_score")).select(*items.columns)
 
 
 def with_p90(metrics: DataFrame, quantile: float = PRECISION_QUANTILE) -> DataFrame:
-    """Attach the exact precision quantile of each (query, item type) as a window.
-
-    One shuffle on (query_id, item_type); a group holds at most one row per
-    catalog item, and the top-k window that follows reuses the partitioning.
-    """
-    w = Window.partitionBy(*GROUP)
-    return metrics.withColumn("p90", F.percentile("precision", quantile).over(w))
+    """Attach the exact precision quantile of each (query, item type): one row per group, joined
+    by AQE's measured broadcast or a shuffle. ``metrics`` is read several times; pass a stored table."""
+    p90 = group_quantiles(metrics, GROUP, {"p90": ("precision", quantile)})
+    return join_bounded(metrics, p90, GROUP, check=False)
 
 
 def filter_above_p90(metrics: DataFrame, do_filter_col: str | None = None) -> DataFrame:
     """R2 (+R4): keep precision strictly above the group's 0.90 quantile.
 
     A group of one item, or of equal precisions, comes out empty. Rows whose
-    query has ``do_filter`` false pass unchanged.
+    query has ``do_filter`` false pass unchanged, with a null ``p90``.
     """
-    x = with_p90(metrics)
-    cond = F.col("precision") > F.col("p90")
-    if do_filter_col:
-        cond = ~F.col(do_filter_col) | cond
-    return x.where(cond)
+    if do_filter_col is None:
+        return with_p90(metrics).where(F.col("precision") > F.col("p90"))
+    kept = filter_above_p90(metrics.where(F.col(do_filter_col)))
+    passed = metrics.where(~F.col(do_filter_col)).withColumn("p90", F.lit(None).cast("double"))
+    return kept.select(passed.columns).unionByName(passed)
 
 
 def top_k_by_score(items: DataFrame, k: int = TOP_K, do_filter_col: str | None = None) -> DataFrame:
     """R3 (+R4): the k largest ranking scores per (query, item type); ties by
-    item_id ascending. Rows of a query with ``do_filter`` false are all kept."""
-    w = Window.partitionBy(*GROUP).orderBy(F.desc_nulls_last("ranking_score"), F.asc("item_id"))
-    x = items.withColumn("rank", F.row_number().over(w))
-    cond = F.col("rank") <= k
-    if do_filter_col:
-        cond = ~F.col(do_filter_col) | cond
-    return x.where(cond)
+    item_id ascending. Rows of a query with ``do_filter`` false are all kept, with a null ``rank``.
+
+    The filter on the rank stands alone behind its window, so that Spark keeps only k rows of a
+    group in each map task (its group limit) before the shuffle.
+    """
+    if do_filter_col is None:
+        w = Window.partitionBy(*GROUP).orderBy(F.desc_nulls_last("ranking_score"), F.asc("item_id"))
+        return items.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    passed = items.where(~F.col(do_filter_col)).withColumn("rank", F.lit(None).cast("int"))
+    return top_k_by_score(items.where(F.col(do_filter_col)), k).unionByName(passed)
 
 
 def rank_items(metrics: DataFrame, k: int = TOP_K, do_filter_col: str | None = None) -> DataFrame:
-    """R2 -> R3 -> R4 in one pass over one shuffle."""
-    return top_k_by_score(filter_above_p90(metrics, do_filter_col), k, do_filter_col)
+    """R2 -> R3 for the queries that filter; R4: the others pass by both. ``metrics`` is read
+    several times; pass a stored table."""
+    if do_filter_col is None:
+        return top_k_by_score(filter_above_p90(metrics), k)
+    passed = metrics.where(~F.col(do_filter_col)).withColumns(
+        {"p90": F.lit(None).cast("double"), "rank": F.lit(None).cast("int")})
+    kept = rank_items(metrics.where(F.col(do_filter_col)), k)
+    return kept.select(passed.columns).unionByName(passed)
 
 
 def sort_for_display(items: DataFrame) -> DataFrame:

@@ -95,11 +95,12 @@ def to_result_json(ranked: DataFrame, queries: DataFrame, articles: DataFrame |
     value = F.struct(F.col("n_hit_item").alias("counter"),
                      F.coalesce("articles", F.array().cast(ARTICLE_TYPE)).alias("item_pmids"),
                      metrics.alias("metrics"))
-    rank = F.col("rank") if "rank" in ranked.columns else F.lit(0)
+    # by falling score, as R3 orders them; unfiltered queries have no rank
+    place = F.struct(F.col("ranking_score").isNull().alias("none"), (-F.col("ranking_score")).alias("score"), "item_id")
     per_name = x.groupBy("query_id", "item_type", "name").agg(
-        F.max_by(F.struct(rank.alias("rank"), value.alias("v")), F.col("item_id")).alias("_e"))
+        F.max_by(F.struct(place.alias("place"), value.alias("v")), F.col("item_id")).alias("_e"))
     per_type = per_name.groupBy("query_id", "item_type").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_e.rank").alias("rank"), F.col("name"),
+        F.array_sort(F.collect_list(F.struct(F.col("_e.place").alias("place"), F.col("name"),
                                              F.col("_e.v").alias("v")))).alias("_items"))
     entries = F.transform("_items", lambda e: F.struct(e["name"].alias("key"), e["v"].alias("value")))
     per_type = per_type.select("query_id", "item_type", F.map_from_entries(entries).alias("_m"))

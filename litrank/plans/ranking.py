@@ -9,7 +9,7 @@ Plan shape:
           --> left join sentiments cut to Q (bcast semi join in their scan)
           --> per item TP + mean sentiment                                 [shuffle: query, type, item]
     + counters (A1), |Q|, names, rules, flags: size-checked or AQE-measured broadcasts
-    --> metrics --> overrides --> p90 window + top-k window                [shuffle: query, type]
+    --> metrics, stored --> overrides --> p90 of distinct counts, top-k with group limit   [shuffle: query, type]
 
 Beyond the broadcast bound J1 is a sort-merge join on pmid; store links and
 sentiments bucketed by pmid (``write_bucketed``) so their side does not move.
@@ -83,6 +83,7 @@ def rank_queries(queries: DataFrame, corpus: DataFrame, links: DataFrame, sentim
         # Q feeds J1 and |Q|: match the corpus once, not once per branch.
         hits = materialize(hits)
     scored = score_items(hits, links, sentiments, catalog, counters)
+    scored = materialize(scored)        # read by R1, by the quantile and by the filter
     scored = apply_overrides(scored, queries, rules)
     if "do_filter" in queries.columns:
         flags = queries.select("query_id", F.coalesce(F.col("do_filter"), F.lit(True)).alias("do_filter"))

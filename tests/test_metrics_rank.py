@@ -1,4 +1,6 @@
 """Metrics, aggregates and ranking hand cases (FIXTURES.md section 3)."""
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +140,54 @@ def test_hot_group_is_spread_over_partitions(spark):
     want = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("k")))
     assert sorted(map(tuple, got.select("g", "k", "rank").collect())) == \
         sorted(map(tuple, want.select("g", "k", "rank").collect()))
+
+
+def test_quantile_of_hot_groups_equals_percentile(spark):
+    """A group with most rows, many ties, few values, only nulls, one row: as ``percentile`` has them."""
+    from litrank.operators.quantile import group_quantiles, spread_quantile
+    rng = random.Random(6)
+    rows = [(1, rng.random()) for _ in range(4000)] + [(1, 0.5)] * 3000 + [(2, float(i % 3)) for i in range(100)]
+    rows += [(3, None), (3, None), (4, 7.0), (5, 1.0), (5, None), (5, 2.0), (None, 3.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    for q in (0.9, 0.5, 0.0, 1.0, 0.123):
+        want = df.groupBy("g").agg(F.percentile("v", q).alias("p")).collect()
+        for n in (1, 7):
+            assert sorted(map(str, spread_quantile(df, ["g"], "v", q, "p", n).collect())) == sorted(map(str, want))
+    assert spread_quantile(df.where("false"), ["g"], "v", 0.9, "p").collect() == []
+    two = {"p": ("v", 0.9), "m": ("v", 0.5)}
+    ways = [sorted(map(str, group_quantiles(df, ["g"], two, most).select("g", "p", "m").collect())) for most in (10, 10 ** 6)]
+    assert ways[0] == ways[1] and len(ways[0]) == 6
+
+
+def test_quantile_spreads_a_hot_group(spark):
+    """Neither the counts nor the values summed up one by one meet in one task."""
+    from litrank.operators.quantile import spread_quantile
+    df = spark.range(0, 20000).select(F.lit(1).alias("g"), (F.col("id") * 7919 % 20011).cast("double").alias("v"))
+    assert spread_quantile(df, ["g"], "v", 0.9, "p", 8).first().p == df.agg(F.percentile("v", 0.9)).first()[0]
+    parts = df.groupBy("g", "v").count().repartitionByRange(8, "g", "v").groupBy(F.spark_partition_id()).count()
+    assert parts.count() == 8 and parts.agg(F.max("count")).first()[0] < 5000
+
+
+def test_top_k_keeps_k_rows_in_each_map_task(spark):
+    items = _items(spark, [(i % 2, "drug", f"i{i:03d}", "n", 0.0, float(i % 7)) for i in range(100)])
+    got = R.top_k_by_score(items, 3)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.query_id, r["rank"], r.item_id) for r in got.collect())[:3] == [(0, 1, "i006"), (0, 2, "i020"), (0, 3, "i034")]
+
+
+def test_unfiltered_queries_pass_by_window_and_quantile(spark):
+    items = _items(spark, [(q, "drug", f"i{i:03d}", "n", i / 100, float(i)) for q in (1, 2) for i in range(100)]) \
+        .withColumn("do_filter", F.col("query_id") == 1)
+    got = R.rank_items(items, 5, "do_filter").collect()
+    assert sorted(r.item_id for r in got if r.query_id == 1) == ["i095", "i096", "i097", "i098", "i099"]
+    passed = [r for r in got if r.query_id == 2]
+    assert len(passed) == 100 and all(r.p90 is None and r["rank"] is None for r in passed)
+
+
+def test_many_rules_of_one_name(spark):
+    items = _items(spark, [(1, "drug", "d1", "n", 0.1, 0.2), (1, "drug", "d2", "m", 0.1, None), (2, "drug", "d1", "n", 0.1, 0.2)])
+    rules = spark.createDataFrame([(f"t{i}", "n", i / 1000) for i in range(2000)] + [("t5", "n", 3.0), ("T5", "n", 3.0)],
+                                  "trigger string, item_name string, score double")
+    q = spark.createDataFrame([(1, "about T5"), (2, "none")], "query_id long, query string")
+    got = {(r.query_id, r.item_id): r.ranking_score for r in R.apply_overrides(items, q, rules).collect()}
+    assert got == {(1, "d1"): 3.0, (1, "d2"): None, (2, "d1"): 0.2}
