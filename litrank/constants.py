@@ -33,7 +33,6 @@ TOP_K = 50
 
 # Response budget (R5): 2.5 MiB per item type, every article list cut to a
 # quarter per round.
-BUDGET_MB = 2.5
 BUDGET_BYTES = int(2.5 * 2 ** 20)
 TRIM_FACTOR = 4
 

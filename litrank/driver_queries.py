@@ -434,19 +434,28 @@ def q_r4(spark, sf_dir):
     return _round_metrics(x.select("query_id", "item_type", "item_id", *METRICS_OUT), METRICS_OUT)
 
 
-R5_BUDGET = 200_000
+R5_BUDGET = 300_000
 
 
 @register("r5_trim_to_budget")
 def q_r5(spark, sf_dir):
+    """The items of each query with their metrics; items that the catalog lacks are a type of their
+    own. Beside the rows that stay, each group has a row with its round alone."""
     fx = _fx(spark, sf_dir)
-    info = L.attach_article_info(fx["links"], fx["titles"]).withColumn("query_id", F.lit(0).cast("bigint"))
-    items = (fx["links"].select("item_type", "item_id").distinct()
-             .join(item_catalog(fx["drugs"], fx["targets"]), ["item_type", "item_id"], "left")
-             .withColumn("query_id", F.lit(0).cast("bigint")))
-    kept = trim_to_budget(info, items, budget_bytes=R5_BUDGET)
-    return kept.select("item_type", "item_id", "pmid", F.col("rank").cast("bigint").alias("rank"),
-                       F.col("trim_round").cast("bigint").alias("trim_round"), "over_budget")
+    lq = materialize(_lq(spark, sf_dir))
+    catalog = item_catalog(fx["drugs"], fx["targets"])
+    per_item = A.tp_and_sentiment(lq, fx["sentiments"]).join(catalog, ["item_type", "item_id"], "left")
+    items = materialize(A.item_metrics(per_item, A.item_counters(fx["links"]), A.query_size(_title_hits(spark, sf_dir))))
+    kind = F.when(F.col("name").isNull(), "orphan").otherwise(F.col("item_type"))
+    info = L.attach_article_info(lq.join(items.select("query_id", "item_type", "item_id", "name"),
+                                         ["query_id", "item_type", "item_id"]), fx["titles"])
+    kept, rounds = trim_to_budget(info.withColumn("item_type", kind).drop("name"), items.withColumn("item_type", kind),
+                                  budget_bytes=R5_BUDGET, with_rounds=True)
+    none = F.lit(None).cast("string")
+    rows = kept.select("query_id", "item_type", "item_id", "pmid", "rank", "trim_round", "over_budget").unionByName(
+        rounds.select("query_id", "item_type", none.alias("item_id"), none.alias("pmid"),
+                      F.lit(None).cast("bigint").alias("rank"), "trim_round", "over_budget"))
+    return rows.withColumns({c: F.col(c).cast("bigint") for c in ("rank", "trim_round")})
 
 
 @register("r6_sort_for_display")
@@ -526,7 +535,7 @@ def _esummary_raw(fx):
                            F.struct(F.lit("pmc").alias("idtype"), F.col("pmcid").alias("value"))),
                    lambda x: x["value"].isNotNull())
     doc = F.to_json(F.struct(F.col("pmid").alias("uid"), "title", ids.alias("articleids")))
-    entry = F.concat(F.to_json(F.array("pmid")).substr(F.lit(2), F.lit(10 ** 6)), F.lit(": "), doc)
+    entry = F.concat(F.to_json(F.array("pmid")).substr(F.lit(2), F.length(F.to_json(F.array("pmid")))), F.lit(": "), doc)
     per = t.withColumn("_chunk", (F.col("pmid").cast("bigint") / 100).cast("bigint")) \
            .withColumn("_e", F.regexp_replace(entry, r"\]: ", ": "))
     return per.groupBy("_chunk").agg(

@@ -18,15 +18,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litrank.constants import BUDGET_BYTES
+from litrank.constants import (BUDGET_BYTES, KEY_F, KEY_HIT_PUBS, KEY_ITEM_PUBS, KEY_PRECISION, KEY_RECALL,
+                               KEY_SCORE, KEY_SENTIMENT)
+from litrank.functions.json_size import escaped_bytes, float_length, int_length, string_length
 from litrank.operators.joins import join_bounded
 from litrank.session import materialize
 
-# Bytes of one item's JSON besides its article list: the name key plus counter
-# and seven metrics as json.dumps prints them (measured ~190-210 bytes).
-ITEM_SHELL_BYTES = 200
-# An article entry adds its JSON object and the ", " separator.
-ARTICLE_SEPARATOR_BYTES = 2
+# Between two entries of a JSON list or object.
+SEPARATOR = len(", ")
+# The metrics of an item's JSON and the columns they come from.
+METRICS = {KEY_HIT_PUBS: ("n_hit_item", int_length), KEY_ITEM_PUBS: ("n_item", int_length),
+           KEY_PRECISION: ("precision", float_length), KEY_RECALL: ("recall", float_length),
+           KEY_F: ("f_0_5", float_length), KEY_SENTIMENT: ("sentiment", float_length),
+           KEY_SCORE: ("ranking_score", float_length)}
 _POS_BITS = 33
 
 
@@ -65,18 +69,23 @@ def rank_in_groups(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
 
 
 def article_bytes(cols=("pmid", "title", "db_name", "url", "has_pdf", "pdf_url")):
-    """Bytes of one article's JSON object plus its separator, as Python's ``json.dumps`` writes
-    it: a space after each colon and comma, signs outside printable ASCII escaped."""
+    """Bytes of one article's JSON object, as Python's ``json.dumps`` writes it."""
     js = F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"})
-    return escaped_bytes(js) + F.lit(2 * len(cols) - 1 + ARTICLE_SEPARATOR_BYTES)
+    return escaped_bytes(js) + F.lit(2 * len(cols) - 1)
 
 
-def escaped_bytes(c):
-    """Bytes of JSON text after escaping: 1 for printable ASCII, 6 (\\uXXXX) for another sign, 12
-    (two such) for one outside the basic plane."""
-    odd = F.regexp_count(c, F.lit(r"[^\x20-\x7E]"))
-    astral = F.regexp_count(c, F.lit(r"[\x{10000}-\x{10FFFF}]"))
-    return F.length(c) + 5 * odd + 6 * astral
+def shell_bytes(columns: Sequence[str]):
+    """Bytes of one item's JSON entry with an empty article list, and the separator before the
+    next one: name, counter and metrics. What ``columns`` lacks is not part of the entry."""
+    size = string_length(F.coalesce("name", "item_id")) + F.lit(len(": {") + len('"item_pmids": []') + len("}") + SEPARATOR)
+    if "n_hit_item" in columns:
+        size = size + int_length("n_hit_item") + F.lit(len('"counter": ') + SEPARATOR)
+    held = {k: v for k, v in METRICS.items() if v[0] in columns}
+    if held:
+        size = size + F.lit(len('"metrics": {}') + SEPARATOR + SEPARATOR * (len(held) - 1))
+        for key, (column, length) in held.items():
+            size = size + length(column) + F.lit(len(f'"{key}": '))
+    return size.cast("bigint")
 
 
 def _r_max(rank_col: str, n_col: str):
@@ -100,7 +109,8 @@ def trim_to_budget(articles: DataFrame, items: DataFrame,
     """Keep the article rows that survive the budget rounds.
 
     ``articles`` has group cols, item_id, pmid and the article fields (J4);
-    ``items`` has group cols, item_id and name (the returned items). Adds
+    ``items`` has group cols, item_id, name, counter and metric columns (the
+    returned items); a group's size is exactly that of its JSON. Adds
     ``rank`` (position in the item's pmid-sorted list), ``trim_round`` (the
     round taken) and ``over_budget`` (true when even empty lists exceed the
     budget; the reference would loop forever there). With ``with_rounds`` also
@@ -111,12 +121,12 @@ def trim_to_budget(articles: DataFrame, items: DataFrame,
     item_key = [*g, "item_id"]
     sized = articles.withColumn("_bytes", article_bytes())
     ranked = rank_in_groups(sized, item_key, ["pmid"], num_partitions, "rank", size_col="_n")
-    ranked = ranked.withColumn("_rmax", _r_max("rank", "_n"))
+    # each article but the first of a list follows a separator
+    ranked = ranked.withColumn("_rmax", _r_max("rank", "_n")) \
+        .withColumn("_bytes", F.col("_bytes") + F.when(F.col("rank") > 1, SEPARATOR).otherwise(0))
 
     per_round = ranked.groupBy(*g, "_rmax").agg(F.sum("_bytes").alias("_b"))
-    shell = items.groupBy(*g).agg(
-        F.sum(escaped_bytes(F.coalesce(F.col("name"), F.col("item_id"))) + F.lit(ITEM_SHELL_BYTES))
-        .alias("_shell"))
+    shell = items.groupBy(*g).agg(F.sum(shell_bytes(items.columns)).alias("_shell"))
     w_desc = Window.partitionBy(*g).orderBy(F.desc("_rmax"))
     cum = per_round.withColumn("_at_least", F.sum("_b").over(w_desc.rowsBetween(Window.unboundedPreceding, 0)))
     cum = cum.join(shell, g, "left").withColumn("_shell", F.coalesce("_shell", F.lit(0)))

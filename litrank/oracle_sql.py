@@ -300,26 +300,38 @@ FROM result WHERE item_type = 'drug'""",
 })
 
 
+def metrics_json(n_hit: str = "n_hit_item") -> str:
+    """The text of an item's JSON entry without its articles, as json.dumps writes it (names are ASCII)."""
+    return (f"""to_json(coalesce(name, item_id))::VARCHAR || ': {{"counter": ' || {n_hit} || ', "item_pmids": [], "metrics": """
+            f"""{{"(Search + {{}}) Publications": ' || {n_hit} || ', "{{}} Publications": ' || n_item || """
+            """', "Precision": ' || precision || ', "Recall": ' || recall || ', "F-0.5": ' || f_0_5 || """
+            """', "sentiment": ' || sentiment || ', "ranking_score": ' || ranking_score || '}}'""")
+
+
 def trim_sql(group: list[str], budget: int) -> str:
-    """R5 over CTEs ``info`` (group, item_id, pmid, article fields) and
-    ``items`` (group, item_id, name); defines ``kept``. Starts with a comma."""
+    """R5 over CTEs ``info`` (group, item_id, pmid, article fields) and ``items`` (group, item_id,
+    name, metrics); defines ``kept``. Starts with a comma. The bytes of a round are those of its whole
+    JSON text: entries and articles with ", " between them, and two braces."""
     g = ", ".join(group)
     gi = ", ".join(group + ["item_id"])
     using = ", ".join(group)
     return f""",
 sized AS (
   SELECT *, strlen(CAST(to_json(struct_pack(pmid := pmid, title := title, db_name := db_name, url := url,
-                                             has_pdf := has_pdf, pdf_url := pdf_url)) AS VARCHAR)) + 11 + 2 AS bytes,
+                                             has_pdf := has_pdf, pdf_url := pdf_url)) AS VARCHAR)) + 11 AS bytes,
          row_number() OVER (PARTITION BY {gi} ORDER BY pmid) AS rank,
          count(*) OVER (PARTITION BY {gi}) AS n
   FROM info
 ),
-shell AS (SELECT {g}, sum(strlen(coalesce(name, item_id)) + 200) AS shell FROM items GROUP BY ALL),
+shell AS (SELECT {g}, 2 + sum(strlen({metrics_json()})) + 2 * (count(*) - 1) AS shell FROM items GROUP BY ALL),
 -- the loop: each round leaves the first quarter of every list, until the answer fits or all lists are empty
 loops AS (SELECT unnest(range(0, 31)) AS r),
+left_list AS (
+  SELECT {gi}, r, sum(bytes) + 2 * (count(*) - 1) AS b FROM sized, loops
+  WHERE rank <= n // CAST(pow(4, r) AS BIGINT) GROUP BY ALL),
 left_over AS (
-  SELECT {g}, r, sum(CASE WHEN rank <= n // CAST(pow(4, r) AS BIGINT) THEN bytes ELSE 0 END) AS b
-  FROM sized, loops GROUP BY ALL),
+  SELECT g.*, r, coalesce(sum(b), 0) AS b FROM (SELECT DISTINCT {g} FROM sized) g CROSS JOIN loops
+  LEFT JOIN left_list USING ({using}, r) GROUP BY ALL),
 ends AS (
   SELECT {g}, r, b = 0 AS empty, b + coalesce(s.shell, 0) <= {budget} AS fits
   FROM left_over LEFT JOIN shell s USING ({using})),
@@ -329,14 +341,24 @@ trimmed AS (SELECT sized.*, c.trim_round, c.over_budget FROM sized JOIN choice c
 """
 
 
-def r5_sql(budget: int = 200_000) -> str:
-    return ctes("links", "titles", "drugs", "targets") + f""",
-catalog AS (SELECT item_id, name, 'drug' AS item_type FROM drugs UNION ALL SELECT item_id, name, 'target' FROM targets),
-info AS (SELECT l.item_type, l.item_id, l.pmid, {info_cols('t')} FROM links l LEFT JOIN titles t ON t.pmid = l.pmid),
-items AS (SELECT DISTINCT l.item_type, l.item_id, c.name FROM links l
-          LEFT JOIN catalog c ON c.item_type = l.item_type AND c.item_id = l.item_id)""" + trim_sql(["item_type"], budget) + """
-SELECT item_type, item_id, pmid, CAST(rank AS BIGINT) AS rank, CAST(trim_round AS BIGINT) AS trim_round, over_budget
-FROM trimmed"""
+def r5_sql(budget: int = 300_000) -> str:
+    kind = "CASE WHEN c.name IS NULL THEN 'orphan' ELSE {t}.item_type END AS item_type"
+    return CORE + f""",
+held AS (
+  SELECT tp.query_id, {kind.format(t='tp')}, tp.item_id, c.name, tp.n_hit_item, counters.counter AS n_item, sent.sentiment,
+         CAST(tp.n_hit_item AS DOUBLE) / CAST(counters.counter AS DOUBLE) AS precision,
+         CAST(tp.n_hit_item AS DOUBLE) / CAST(qsize.n_query AS DOUBLE) AS recall
+  FROM tp JOIN sent USING (query_id, item_type, item_id) JOIN counters USING (item_id) JOIN qsize USING (query_id)
+  LEFT JOIN catalog c ON c.item_id = tp.item_id AND c.item_type = tp.item_type),
+measured AS (
+  SELECT *, (CAST(1.25 AS DOUBLE) * precision * recall) / (CAST(0.25 AS DOUBLE) * (precision + recall)) AS f_0_5 FROM held),
+items AS (SELECT *, (CAST(4.0 AS DOUBLE) * f_0_5 + sentiment) / CAST(5.0 AS DOUBLE) AS ranking_score FROM measured),
+info AS (SELECT l.query_id, {kind.format(t='l')}, l.item_id, l.pmid, {info_cols('t')} FROM lq l
+         LEFT JOIN catalog c ON c.item_id = l.item_id AND c.item_type = l.item_type
+         LEFT JOIN titles t ON t.pmid = l.pmid)""" + trim_sql(["query_id", "item_type"], budget) + """
+SELECT query_id, item_type, item_id, pmid, CAST(rank AS BIGINT) AS rank, CAST(trim_round AS BIGINT) AS trim_round, over_budget
+FROM trimmed
+UNION ALL SELECT query_id, item_type, NULL, NULL, NULL, CAST(trim_round AS BIGINT), over_budget FROM choice"""
 
 
 def a3_whole_sql() -> str:
@@ -349,7 +371,7 @@ LEFT JOIN titles t ON t.pmid = lq.pmid"""
 
 def a3_sql(budget: int = 2621440) -> str:
     return CORE + f""",
-items AS (SELECT query_id, item_type, item_id, name FROM result),
+items AS (SELECT * FROM result),
 info AS (SELECT lq.query_id, lq.item_type, lq.item_id, lq.pmid, {info_cols('t')}
          FROM lq JOIN items i ON i.query_id = lq.query_id AND i.item_type = lq.item_type AND i.item_id = lq.item_id
          LEFT JOIN titles t ON t.pmid = lq.pmid)""" + trim_sql(["query_id", "item_type"], budget) + """
@@ -486,15 +508,15 @@ def o1_entries_sql(budget: int = 2621440) -> str:
 ranked AS (SELECT r.*, row_number() OVER (PARTITION BY r.query_id, r.item_type
                                           ORDER BY r.ranking_score DESC NULLS LAST, r.item_id) AS place FROM result r),
 asked AS (SELECT query_id FROM queries WHERE do_filter AND with_articles),
-items AS (SELECT query_id, item_type, item_id, name FROM result WHERE query_id IN (SELECT query_id FROM asked)),
+named AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id, item_type, name ORDER BY item_id DESC) = 1),
+items AS (SELECT * FROM named WHERE query_id IN (SELECT query_id FROM asked)),
 info AS (SELECT lq.query_id, lq.item_type, lq.item_id, lq.pmid, {info_cols('t')}
          FROM lq JOIN items i ON i.query_id = lq.query_id AND i.item_type = lq.item_type AND i.item_id = lq.item_id
          LEFT JOIN titles t ON t.pmid = lq.pmid)""" + trim_sql(["query_id", "item_type"], budget) + f""",
 lists AS (SELECT query_id, item_type, item_id,
                  string_agg(concat_ws('|', pmid, title, db_name, url, CAST(has_pdf AS VARCHAR), pdf_url), ';'
                             ORDER BY pmid, title, db_name, url, has_pdf, pdf_url) AS articles
-          FROM trimmed GROUP BY ALL),
-named AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id, item_type, name ORDER BY item_id DESC) = 1)
+          FROM trimmed GROUP BY ALL)
 SELECT n.query_id, n.item_type,
        row_number() OVER (PARTITION BY n.query_id, n.item_type ORDER BY n.place, n.name) AS position,
        n.name, CAST(n.n_hit_item AS BIGINT) AS counter, {r6('n.precision')} AS precision, {r6('n.recall')} AS recall,

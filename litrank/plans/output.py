@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from litrank.constants import (BUDGET_BYTES, KEY_F, KEY_ITEM_PUBS, KEY_PRECISION, KEY_RECALL,
                                KEY_SCORE, KEY_HIT_PUBS, KEY_SENTIMENT)
 from litrank.operators.aggregates import collect_articles
-from litrank.operators.budget import trim_to_budget
+from litrank.operators.budget import METRICS, trim_to_budget
 from litrank.operators.joins import join_bounded
 from litrank.operators.links import MAX_BROADCAST_HITS, attach_article_info, restrict_links
 from litrank.session import materialize
@@ -25,16 +25,21 @@ ARTICLE_TYPE = ("array<struct<pmid:string,title:string,db_name:string,url:string
 
 def article_lists(ranked: DataFrame, hits: DataFrame, links: DataFrame, titles: DataFrame,
                   queries: DataFrame | None = None, budget_bytes: int = BUDGET_BYTES,
-                  collect_unfiltered: bool = True) -> DataFrame:
+                  collect_unfiltered: bool = False, by_name: bool = False) -> DataFrame:
     """(query_id, item_type, item_id, articles) for the returned items.
 
     Links of Q (J1) restricted to returned items, metadata attached (J4), cut
-    to the budget (R5), then collected sorted by pmid (A3). Queries with
-    ``do_filter`` false are not cut; where one item may have more articles than
-    a value should hold, pass ``collect_unfiltered=False`` and take theirs from
-    ``article_rows``.
+    to the budget (R5), then collected sorted by pmid (A3). The lists of queries
+    with ``do_filter`` false are not cut, and an item of theirs may have more
+    articles than a value should hold: take them from ``article_rows``. Only
+    ``collect_unfiltered=True`` collects them here. With ``by_name`` items that
+    share a name are one entry, that of the largest id, as in the JSON (O1).
     """
-    items = ranked.select("query_id", "item_type", "item_id", "name")
+    items = ranked.select("query_id", "item_type", "item_id", "name", *[c for c, _ in METRICS.values()])
+    if by_name:
+        rest = F.struct(*[c for c in items.columns if c not in ("query_id", "item_type", "name")])
+        items = items.groupBy("query_id", "item_type", "name").agg(F.max_by(rest, "item_id").alias("_i")) \
+            .select("query_id", "item_type", "name", "_i.*")
     h = hits
     if queries is not None and "with_articles" in queries.columns:
         wanted = queries.where(F.coalesce("with_articles", F.lit(False))).select("query_id")
@@ -125,7 +130,8 @@ def to_result_json(ranked: DataFrame, queries: DataFrame, articles: DataFrame |
 def ranked_with_lists(queries: DataFrame, corpus: DataFrame, links: DataFrame, sentiments: DataFrame,
                       catalog: DataFrame, titles: DataFrame, counters: DataFrame | None = None,
                       rules: DataFrame | None = None, k: int | None = None, id_col: str = "doi",
-                      fields=None, budget_bytes: int = BUDGET_BYTES, collect_unfiltered: bool = True):
+                      fields=None, budget_bytes: int = BUDGET_BYTES, collect_unfiltered: bool = False,
+                      by_name: bool = False):
     """B1 and the article lists of its returned items: ``(ranked, lists)``.
 
     Q and the ranked items (at most k per query and type, or all items of a
@@ -139,7 +145,7 @@ def ranked_with_lists(queries: DataFrame, corpus: DataFrame, links: DataFrame, s
     ranked = rank_queries(queries, corpus, links, sentiments, catalog, counters=counters, rules=rules,
                     k=k or TOP_K, id_col=id_col, fields=fields, hits=hits, checkpoint_hits=False)
     ranked = materialize(ranked)
-    return ranked, article_lists(ranked, hits, links, titles, queries, budget_bytes, collect_unfiltered)
+    return ranked, article_lists(ranked, hits, links, titles, queries, budget_bytes, collect_unfiltered, by_name)
 
 
 def respond(queries: DataFrame, corpus: DataFrame, links: DataFrame, sentiments: DataFrame,
@@ -151,5 +157,5 @@ def respond(queries: DataFrame, corpus: DataFrame, links: DataFrame, sentiments:
     The lists of a query with ``do_filter`` false have no bound, so they are not
     put into its one JSON value: take them from ``article_rows``."""
     ranked, lists = ranked_with_lists(queries, corpus, links, sentiments, catalog, titles, counters,
-                                      rules, k, id_col, fields, budget_bytes, collect_unfiltered=False)
+                                      rules, k, id_col, fields, budget_bytes, by_name=True)
     return to_result_json(ranked, queries, lists)

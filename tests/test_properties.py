@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from litrank.constants import QUERY_PUNCTUATION
 from litrank.functions import text as TX
-from litrank.operators.budget import ARTICLE_SEPARATOR_BYTES, ITEM_SHELL_BYTES, trim_to_budget
+from litrank.functions.json_size import float_length
+from litrank.operators.budget import METRICS, trim_to_budget
 from litrank.operators.containment import link_items, match_batch
 
 ALPHABET = ["a", "b", "c", "A", "é", "-", "(", ")", ".", ",", " ", "  ", "\n", "\t", " ", "　",
@@ -65,34 +66,50 @@ def test_link_items_phrase_matches_brute_force(spark):
     assert got == want
 
 
+def test_float_length_is_that_of_repr(spark):
+    rng = random.Random(9)
+    xs = [0.0, -0.0, 1.0, -1.0, 0.5, 1e-4, 9.999e-5, 1e16, 9999999999999998.0, 1e15, 123456789.0, 2.0 ** -44, 1 / 3, 2 / 3, 1e22,
+          1e23, 5e-5, 0.1 + 0.2, 1e100, 1.5e-300, float("inf"), float("-inf"), float("nan"), 2.0 ** 60, 1e7, 0.001, 100.0]
+    xs += [rng.randint(1, 999) / rng.randint(1, 9999) for _ in range(3000)]
+    xs += [rng.uniform(-1, 1) * 10.0 ** rng.randint(-30, 30) for _ in range(2000)] + [rng.random() for _ in range(2000)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", float_length("x").alias("n"))
+    wrong = [(xs[r.i], r.n) for r in df.collect() if r.n != len(json.dumps(xs[r.i]))]
+    assert not wrong, wrong[:5]
+
+
 def test_trim_matches_reference_loop(spark):
+    """The loop over the whole JSON of the items, lists cut to a quarter until it fits."""
     rng = random.Random(3)
     rows, items = [], []
     for it in range(6):
         n = rng.choice([0, 1, 3, 4, 9, 17, 40, 100])
-        items.append((0, "drug", f"i{it}", f"name{it}"))
+        items.append((0, "drug", f"i{it}", f'n"a\\mé{it}', n, rng.randint(100, 10 ** 6), rng.random(), rng.random() ** 9,
+                      0.0 if it == 2 else rng.random() / 10 ** it, rng.choice([0.0, -0.5, 1 / 3]), rng.choice([1.0, rng.random(), None])))
         for p in range(n):
             rows.append((0, "drug", f"i{it}", f"{rng.randint(0, 999):03d}", "".join(rng.choice('t"\\é日\U0001F600\x7f\n') for _ in range(rng.randint(0, 30))),
                          "PubMed", "u", rng.random() < 0.5, ""))
     schema = ("query_id long, item_type string, item_id string, pmid string, title string, db_name string, "
               "url string, has_pdf boolean, pdf_url string")
     arts = spark.createDataFrame(rows, schema)
-    its = spark.createDataFrame(items, "query_id long, item_type string, item_id string, name string")
+    its = spark.createDataFrame(items, "query_id long, item_type string, item_id string, name string, n_hit_item long, "
+                                "n_item long, precision double, recall double, f_0_5 double, sentiment double, ranking_score double")
 
     def size(lists):
-        tot = sum(len(nm.encode()) + ITEM_SHELL_BYTES for *_, nm in items)
-        for arts_ in lists.values():
-            for a in arts_:
-                d = {"pmid": a[3], "title": a[4], "db_name": a[5], "url": a[6], "has_pdf": a[7], "pdf_url": a[8]}
-                tot += len(json.dumps(d)) + ARTICLE_SEPARATOR_BYTES      # default separators, ASCII only
-        return tot
-
-    for budget in (10 ** 7, 40000, 20000, 6000, 3000, 1300):
-        lists = {i[2]: sorted([r for r in rows if r[2] == i[2]], key=lambda r: r[3]) for i in items}
-        rounds = 0
+        out = {}
+        for i in items:
+            entry = {"pmid": 3, "title": 4, "db_name": 5, "url": 6, "has_pdf": 7, "pdf_url": 8}
+            out[i[3]] = {"counter": i[4], "item_pmids": [{k: a[p] for k, p in entry.items()} for a in lists[i[2]]],
+                         "metrics": dict(zip(METRICS, i[4:]))}
+        return len(json.dumps(out))
+
+    whole = {i[2]: sorted([r for r in rows if r[2] == i[2]], key=lambda r: r[3]) for i in items}
+    cuts = [size({k: v[:len(v) // 4 ** r] for k, v in whole.items()}) for r in range(5)]
+    for budget in [b + d for b in cuts for d in (-1, 0, 1)] + [10 ** 7, 20000, 300]:
+        lists, rounds = whole, 0
         while size(lists) > budget and any(lists.values()):      # the reference's loop
             lists = {k: v[: len(v) // 4] for k, v in lists.items()}
             rounds += 1
         want = sorted((r[2], r[3]) for v in lists.values() for r in v)
-        got = sorted((r.item_id, r.pmid) for r in trim_to_budget(arts, its, budget_bytes=budget).collect())
-        assert got == want, budget
+        kept, ends = trim_to_budget(arts, its, budget_bytes=budget, with_rounds=True)
+        assert sorted((r.item_id, r.pmid) for r in kept.collect()) == want, budget
+        assert (ends.first().trim_round, ends.first().over_budget) == (rounds, size(lists) > budget), budget
