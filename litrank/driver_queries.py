@@ -32,6 +32,7 @@ from litrank.plans.output import article_rows, ranked_with_lists, respond
 from litrank.plans.ranking import query_hits, rank_queries
 from litrank.session import materialize, scratch_path
 from litrank.sinks import writers as W
+from litrank.sinks.versions import CounterTable, VersionedTable
 from litrank.sources import readers as RD
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,11 +62,53 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = item_catalog(fx["drugs"], fx["targets"])
     out = rank_queries(fx["queries"], corpus, fx["links"], fx["sentiments"], catalog,
                  rules=fx["rules"], fields=("title", "doi"))
+    return _ranked(out)
+
+
+register("b1_rank_items")(flagship)
+
+CACHE_BUCKETS = 16
+
+
+def _ranked(out: DataFrame) -> DataFrame:
     out = _round_metrics(out, ["precision", "recall", "f_0_5", "sentiment", "ranking_score", "p90"])
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
-register("b1_rank_items")(flagship)
+@register("b1_cached_queries")
+def q_b1_cached(spark, sf_dir):
+    """B1 where every query is in the stored popular-query cache and the counters are stored: the
+    corpus is not read, the links are scanned once for the links of Q."""
+    fx = _fx(spark, sf_dir)
+    corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
+    cache = W.write_popular(precompute_popular(fx["queries"], corpus, fields=("title", "doi")),
+                            scratch_path(spark, "popular"), CACHE_BUCKETS)
+    counters = CounterTable(spark, scratch_path(spark, "counters"))
+    counters.rebuild(fx["links"], 1)
+    return _ranked(rank_queries(fx["queries"], corpus, fx["links"], fx["sentiments"], item_catalog(fx["drugs"], fx["targets"]),
+                                counters=counters.at(1), rules=fx["rules"], fields=("title", "doi"),
+                                cache=spark.read.parquet(cache), cache_buckets=CACHE_BUCKETS))
+
+
+@register("b1_documents")
+def q_b1_documents(spark, sf_dir):
+    """B1 over the texts of documents: links of two dictionaries ingested in two batches (J8, K3),
+    counters kept by their deltas (A1), sentiments of the texts (T9), one query of the batch cached (J9)."""
+    fx = _fx(spark, sf_dir)
+    arts = fx["articles"]
+    batches = [C.link_items(arts, fx[d])[0] for d in ("dictionary", "words")]
+    counters = CounterTable(spark, scratch_path(spark, "counters"))
+    links = None
+    for number, batch in enumerate(batches, 1):
+        links = W.append_links(links, batch)
+        counters.add_batch(batch, number)
+    scores = sentiment_lexicon(arts, fx["lexicon"], fx["stopwords"])
+    sentiments = materialize(scores.select(F.col("doi").alias("pmid"), "sentiment_score"))
+    q = fx["queries_docs"]
+    cache = W.write_popular(precompute_popular(q.where("query_id = 2"), arts), scratch_path(spark, "popular"), CACHE_BUCKETS)
+    catalog = item_catalog(fx["dictionary"], fx["words"])
+    return _ranked(rank_queries(q, arts, links, sentiments, catalog, counters=counters.at(2), rules=fx["rules"],
+                                cache=spark.read.parquet(cache), cache_buckets=CACHE_BUCKETS))
 
 
 # ---------------------------------------------------------------- text
@@ -180,6 +223,16 @@ def q_j1(spark, sf_dir):
     return _lq(spark, sf_dir).select("query_id", "pmid", "item_id", "item_type")
 
 
+@register("j1_bucketed_links")
+def q_j1_bucketed(spark, sf_dir):
+    """J1 on links stored bucketed by pmid, with Q beyond the broadcast bound: only Q moves."""
+    fx = _fx(spark, sf_dir)
+    path = scratch_path(spark, "links-bucketed")
+    table = W.write_bucketed(fx["links"], "links_" + path.rsplit("-", 1)[1], buckets=16, path=path)
+    return L.restrict_links(spark.table(table), _title_hits(spark, sf_dir), max_broadcast_hits=0) \
+        .select("query_id", "pmid", "item_id", "item_type")
+
+
 @register("j2_attach_names")
 def q_j2(spark, sf_dir):
     fx = _fx(spark, sf_dir)
@@ -303,6 +356,17 @@ def q_a1(spark, sf_dir):
     return A.item_counters(_fx(spark, sf_dir)["links"])
 
 
+@register("a1_counters_by_deltas")
+def q_a1_deltas(spark, sf_dir):
+    """A1 kept by the links of each source as they are ingested; a batch that comes twice counts once."""
+    links = _fx(spark, sf_dir)["links_db"]
+    counters = CounterTable(spark, scratch_path(spark, "counters"))
+    counters.rebuild(links.where("db_name = 'PubMed'"), 1)
+    for number, source in ((2, "Crossref"), (2, "Crossref"), (3, "Xrxiv")):
+        counters.add_batch(links.where(F.col("db_name") == source), number)
+    return counters.at(3)
+
+
 @register("a2_items_in_query")
 def q_a2(spark, sf_dir):
     return A.items_in_query(_lq(spark, sf_dir))
@@ -634,6 +698,17 @@ def q_k2(spark, sf_dir):
     return W.upsert_titles(fx["titles"], _title_batch(fx), order_col="seq")
 
 
+@register("k2_titles_versions")
+def q_k2_versions(spark, sf_dir):
+    """K2 as two versions of a table; a reader resolves the current one."""
+    fx = _fx(spark, sf_dir)
+    path = scratch_path(spark, "titles-versions")
+    writer = VersionedTable(spark, path)
+    first = writer.commit(fx["titles"], 0)
+    writer.commit(W.upsert_titles(writer.read(), _title_batch(fx), order_col="seq"), first)
+    return VersionedTable(spark, path).read()
+
+
 @register("k3_append_links")
 def q_k3(spark, sf_dir):
     fx = _fx(spark, sf_dir)

@@ -82,6 +82,15 @@ FROM orders WHERE o_orderstatus IN ('F','P')""",
     "dictionary": """
 SELECT concat('B',CAST(item_id AS STRING)) item_id, text name,
        'drug' item_type FROM benchmark""",
+    # a second dictionary of common words, so that items have many articles
+    "words": """
+SELECT concat('W',word) item_id, word name, 'target' item_type
+FROM (VALUES ('a'),('an'),('and'),('of'),('to'),('in'),('it'),('that'),('with'),
+             ('le'),('la'),('de'),('en'),('et'),('der'),('die'),('und')) w(word)""",
+    # a batch of queries matched on whole documents
+    "queries_docs": """
+SELECT CAST(query_id AS BIGINT) query_id, query
+FROM (VALUES (1,'On is'),(2,'de la'),(3,'the, for')) q(query_id, query)""",
     # items known to have no article in a source (J6), derived from the data
     "useless": """
 SELECT 'PubMed' db_name, concat('B',CAST(item_id AS STRING)) item_id FROM benchmark WHERE length(text) > 200""",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from litrank.functions.text import normalize_query
 from litrank.functions.urls import article_url, has_pdf, pdf_url
-from litrank.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_bounded
+from litrank.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, broadcastable, join_bounded
 
 ITEM_KEY = ["item_id", "item_type"]
 
@@ -37,7 +37,8 @@ def restrict_links(links: DataFrame, hits: DataFrame, distinct_hits: bool = Fals
     if distinct_hits:
         h = h.distinct()
     how = "left_semi" if "query_id" not in h.columns else "inner"
-    return join_bounded(links, h, ["pmid"], how, max_broadcast_hits, check=True)
+    h = F.broadcast(h) if broadcastable(h, max_broadcast_hits) else h.hint("merge")
+    return links.join(h, ["pmid"], how)
 
 
 def item_catalog(drugs: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
@@ -129,18 +130,32 @@ def articles_missing_info(links: DataFrame, titles: DataFrame, db_name: str = ""
     return out.distinct() if distinct else out
 
 
-def lookup_popular(queries: DataFrame, cache: DataFrame):
+def query_bucket(col, buckets: int):
+    """Hash bucket of a normalised query: the partition column of a stored popular-query cache."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+
+
+def lookup_popular(queries: DataFrame, cache: DataFrame, buckets: int | None = None):
     """Cached hit lists by normalised query.
 
     ``cache`` is the long-form popular-query table (query, pmid); a query
     cached without hits has one row with a null pmid. Returns ``(hits,
     misses)``: (query_id, pmid) for cached queries, and the queries that still
     need a live match. Nothing is gathered per query: it is one join.
+
+    A cache stored by ``write_popular`` has its bucket column ``qb``: pass its number of
+    ``buckets``, and the broadcast queries prune the scan to their own buckets.
     """
     q = queries.withColumn("_nq", normalize_query("query"))
-    c = cache.select(F.col("query").alias("_nq"), "pmid")
-    hits = q.join(c, "_nq").where(F.col("pmid").isNotNull()).select("query_id", "pmid").distinct()
-    misses = q.join(c.select("_nq").distinct(), "_nq", "left_anti").drop("_nq")
+    c, on = cache.withColumnRenamed("query", "_nq"), ["_nq"]
+    if buckets:
+        # Spark prunes partitions only by a side that has a selective looking filter
+        q, on = q.withColumn("qb", query_bucket("_nq", buckets)).where("qb >= 0"), ["qb", "_nq"]
+    c = c.select(*on, "pmid")
+    met = join_bounded(c, q.select("query_id", *on), on)
+    hits = met.where(F.col("pmid").isNotNull()).select("query_id", "pmid").distinct()
+    misses = q.join(met.select("query_id").distinct(), "query_id", "left_anti").select(queries.columns)
     return hits, misses
 
 

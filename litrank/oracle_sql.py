@@ -51,7 +51,12 @@ hits AS (
   SELECT DISTINCT q.query_id, t.pmid FROM queries q, titles t
   WHERE list_has_all({tok('t.title')}, {tok('q.query')})
      OR list_has_all({tok('t.pmid')}, {tok('q.query')})
-),
+),""" + ranking_tail(keep, top, "q.do_filter" if flags else "true AS do_filter")
+
+
+def ranking_tail(keep: str, top: str, flag: str) -> str:
+    """Q to ranked items, over the CTEs queries, hits, links, sentiments, drugs, targets, rules."""
+    return f"""
 qsize AS (SELECT query_id, count(*) AS n_query FROM hits GROUP BY query_id),
 lq AS (SELECT h.query_id, l.pmid, l.item_id, l.item_type FROM links l JOIN hits h ON l.pmid = h.pmid),
 tp AS (SELECT query_id, item_type, item_id, count(pmid) AS n_hit_item FROM lq GROUP BY ALL),
@@ -92,7 +97,7 @@ scored AS (
   FROM scored0 s LEFT JOIN overrides o ON o.query_id = s.query_id AND o.item_id = s.item_id
 ),
 kept AS (
-  SELECT s.*, {"q.do_filter" if flags else "true AS do_filter"},
+  SELECT s.*, {flag},
          row_number() OVER (PARTITION BY s.query_id, s.item_type
                             ORDER BY s.ranking_score DESC NULLS LAST, s.item_id) AS rank
   FROM scored s JOIN queries q ON q.query_id = s.query_id WHERE {keep}
@@ -101,8 +106,7 @@ result AS (SELECT * FROM kept WHERE {top})
 """
 
 
-def b1_rank_items() -> str:
-    return ranking_core() + f"""
+RANKED = f"""
 SELECT query_id, item_type, item_id, name, CAST(n_hit_item AS BIGINT) AS n_hit_item,
        CAST(n_item AS BIGINT) AS n_item, {r6('precision')} AS precision, {r6('recall')} AS recall,
        {r6('f_0_5')} AS f_0_5, {r6('sentiment')} AS sentiment, {r6('ranking_score')} AS ranking_score,
@@ -111,7 +115,7 @@ FROM result"""
 
 
 ORACLES: dict[str, str] = {
-    "b1_rank_items": b1_rank_items(),
+    "b1_rank_items": ranking_core() + RANKED,
 }
 
 
@@ -551,5 +555,27 @@ ORACLES.update({
 })
 
 
+def documents_sql() -> str:
+    """B1 over documents, with the links that J8 finds in them and the sentiments of T9."""
+    pre = ctes("articles", "dictionary", "words", "lexicon", "stopwords", "queries_docs", "rules") \
+        .replace("queries_docs AS (", "queries AS (", 1)
+    conds = " OR ".join(f"list_has_all(a.{f}, d.nt)" for f in ("tt", "td", "ta"))
+    asked = " OR ".join(f"list_has_all(a.{f}, q.nt)" for f in ("tt", "td", "ta"))
+    return pre + f""",
+atok AS (SELECT doi, {tok('title')} AS tt, {tok('doi')} AS td, {tok('abstract')} AS ta FROM articles),
+dt AS (SELECT item_id, item_type, {tok('name')} AS nt FROM (SELECT * FROM dictionary UNION ALL SELECT * FROM words)),
+links AS (SELECT a.doi AS pmid, d.item_id, d.item_type FROM atok a, dt d WHERE len(d.nt) > 0 AND ({conds})),
+sentiments AS (SELECT doi AS pmid, sentiment_score FROM {t9_scores('articles')}),
+drugs AS (SELECT item_id, name FROM dictionary), targets AS (SELECT item_id, name FROM words),
+qt AS (SELECT query_id, {tok('query')} AS nt FROM queries),
+hits AS (SELECT q.query_id, a.doi AS pmid FROM qt q, atok a WHERE {asked}),""" + ranking_tail(
+        "s.precision > s.p90", "rank <= 50", "true AS do_filter") + RANKED
+
+
+ORACLES["b1_documents"] = documents_sql()
+ORACLES["b1_cached_queries"] = ORACLES["b1_rank_items"]
+ORACLES["a1_counters_by_deltas"] = ORACLES["a1_item_counters"]
+ORACLES["k2_titles_versions"] = ORACLES["k2_upsert_titles"]
+ORACLES["j1_bucketed_links"] = ORACLES["j1_restrict_links"]
 ORACLES["t5_match_index"] = ORACLES["t5_match_batch"]
 ORACLES["s5_flatten_esummary_xml"] = ORACLES["s5_flatten_esummary"]

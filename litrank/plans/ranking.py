@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from litrank.constants import TOP_K
 from litrank.operators.aggregates import item_counters, item_metrics, query_size, tp_and_sentiment
-from litrank.operators.containment import match_batch
+from litrank.operators.containment import match_batch, union_hits
 from litrank.operators.joins import join_bounded
-from litrank.operators.links import attach_names, restrict_links
+from litrank.operators.links import attach_names, lookup_popular, restrict_links
 from litrank.operators.rank import apply_overrides, rank_items
 from litrank.session import materialize
 from litrank.sources.readers import dedup_articles
@@ -39,11 +39,20 @@ METRIC_COLS = ["n_hit_item", "n_item", "precision", "recall", "f_0_5", "sentimen
 
 def query_hits(corpus: DataFrame, queries: DataFrame, id_col: str = "doi",
                fields: Sequence[str] | None = None, index: DataFrame | None = None,
-               index_buckets: int | None = None, dedup: bool = True) -> DataFrame:
+               index_buckets: int | None = None, dedup: bool = True, cache: DataFrame | None = None,
+               cache_buckets: int | None = None) -> DataFrame:
     """Q for every query: (query_id, pmid), distinct. With a stored token
     ``index`` (``build_token_index``) only its matching buckets are read.
     Of corpus rows with one id the first is matched (S4); pass
-    ``dedup=False`` for a corpus that has unique ids."""
+    ``dedup=False`` for a corpus that has unique ids. With a popular-query ``cache`` (J9) only
+    its misses are matched; if there are none the corpus is not read at all."""
+    if cache is not None:
+        hits, misses = lookup_popular(queries, cache, cache_buckets)
+        misses = materialize(misses)
+        if misses.isEmpty():
+            return hits
+        live = query_hits(corpus, misses, id_col, fields, index, index_buckets, dedup)
+        return union_hits(hits, live)
     if index is not None:
         from litrank.operators.containment import INDEX_BUCKETS, match_index
         h = match_index(index, queries, id_col=id_col, fields=fields,
@@ -69,16 +78,20 @@ def rank_queries(queries: DataFrame, corpus: DataFrame, links: DataFrame, sentim
            catalog: DataFrame, counters: DataFrame | None = None, rules: DataFrame | None = None,
            k: int = TOP_K, id_col: str = "doi", fields: Sequence[str] | None = None,
            hits: DataFrame | None = None, checkpoint_hits: bool = True,
-           index: DataFrame | None = None, index_buckets: int | None = None) -> DataFrame:
+           index: DataFrame | None = None, index_buckets: int | None = None, cache: DataFrame | None = None,
+           cache_buckets: int | None = None) -> DataFrame:
     """B1 long form: (query_id, item_type, item_id, name, metrics..., rank).
 
     ``queries`` has (query_id, query) and optionally ``do_filter`` (default
-    true). ``hits`` may be given (e.g. from the popular-query cache, J9);
-    otherwise the corpus (or its stored token ``index``) is matched. Q is
-    checkpointed once because two branches read it.
+    true). ``hits`` may be given; otherwise the corpus (or its stored token
+    ``index``) is matched, for the queries that the popular-query ``cache``
+    (J9) lacks. ``counters`` are those kept by ``CounterTable``; without them
+    the whole link table is counted. Q is checkpointed once because two
+    branches read it.
     """
     if hits is None:
-        hits = query_hits(corpus, queries, id_col, fields, index=index, index_buckets=index_buckets)
+        hits = query_hits(corpus, queries, id_col, fields, index=index, index_buckets=index_buckets, cache=cache,
+                          cache_buckets=cache_buckets)
     if checkpoint_hits:
         # Q feeds J1 and |Q|: match the corpus once, not once per branch.
         hits = materialize(hits)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from litrank.functions.text import normalize_query
 from litrank.operators.joins import join_bounded
+from litrank.operators.links import query_bucket
+from litrank.session import materialize
 
 
 def write_hits(df: DataFrame, path: str) -> str:
@@ -64,11 +66,11 @@ def upsert_popular_queries(base: DataFrame | None, new: DataFrame) -> DataFrame:
     Long form (query, pmid): the new rows of a query replace all its old rows.
     Keys are normalised with T1, as the reference stores them.
     """
-    n = new.select(normalize_query("query").alias("query"), "pmid")
+    n = new.select(normalize_query("query").alias("query"), "pmid").distinct()
     if base is None:
-        return n.distinct()
-    kept = base.join(n.select("query").distinct(), "query", "left_anti")
-    return kept.unionByName(n).distinct()
+        return n
+    # rows that stay are distinct already, and of other queries than the new ones
+    return base.join(n.select("query").distinct(), "query", "left_anti").unionByName(n)
 
 
 def append_links(base: DataFrame | None, new: DataFrame, mode: str = "append") -> DataFrame:
@@ -85,7 +87,7 @@ def append_links(base: DataFrame | None, new: DataFrame, mode: str = "append") -
         # Which new links exist already: the (usually small) new batch is
         # broadcast into a semi join over the base scan, so the base table is
         # read but never shuffled; then the batch minus those.
-        nd = n.distinct()
+        nd = materialize(n.distinct())       # measured, joined and subtracted
         seen = join_bounded(b, nd, cols, "left_semi").distinct()
         fresh = nd.join(seen, cols, "left_anti")
         return b.unionByName(fresh)
@@ -138,3 +140,12 @@ def write_bucketed(df: DataFrame, table: str, key: str = "pmid", buckets: int =
         w = w.option("path", path)
     w.saveAsTable(table)
     return table
+
+
+def write_popular(cache: DataFrame, path: str, buckets: int) -> str:
+    """Store the popular-query cache (query, pmid) partitioned by a hash bucket ``qb`` of the query.
+    The rows of a bucket are spread by pmid, so that no hit list is written by one task alone."""
+    spread = F.pmod(F.xxhash64("pmid"), F.lit(16))
+    (cache.select("query", "pmid", query_bucket("query", buckets).alias("qb"))
+     .repartition(F.col("qb"), spread).write.mode("errorifexists").partitionBy("qb").parquet(path))
+    return path

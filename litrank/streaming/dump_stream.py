@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from litrank import schemas
 from litrank.operators.sentiment import sentiment_lexicon
+from litrank.session import materialize
 from litrank.sources.readers import dedup_articles
 
 
@@ -76,24 +77,41 @@ def compact(spark: SparkSession, log_dir: str, out_dir: str, base: DataFrame | N
     return out_dir
 
 
+def new_articles(stream: DataFrame) -> DataFrame:
+    """Readable articles of the stream whose id no earlier row had, in this or any earlier micro-batch
+    (S4): the ids live in the query's state store, partitioned by id and restored from its checkpoint.
+    The state grows with the number of ids; on a cluster keep it in RocksDB
+    (``spark.sql.streaming.stateStore.providerClass``)."""
+    good = stream.where(F.col("_corrupt_record").isNull() & F.col("doi").isNotNull()).drop("_corrupt_record")
+    return good.dropDuplicates(["doi"])
+
+
 def start_linking(spark: SparkSession, dump_dir: str, items: DataFrame, links_log_dir: str,
                   checkpoint_location: str, db_name: str, available_now: bool = True,
-                  max_files_per_trigger: int | None = None, phrase: bool = False):
-    """B4's linking step over arriving dump files: every micro-batch of new
-    articles is tagged against the whole catalog (J8) and its links are
-    appended to a link log partitioned by batch id (a retried batch rewrites
-    only its own partition). Returns the StreamingQuery."""
+                  max_files_per_trigger: int | None = None, phrase: bool = False,
+                  titles: DataFrame | None = None, missing_log_dir: str | None = None):
+    """B4's linking step over arriving dump files: the new articles of every micro-batch are tagged
+    against the whole catalog (J8) and their links appended to a link log partitioned by batch id (a
+    retried batch rewrites only its own partition). An id that arrives again, in the same or a later
+    batch, is not linked again. With ``titles`` and ``missing_log_dir`` the linked ids without
+    metadata (J7) are logged the same way, each once. Returns the StreamingQuery."""
     from litrank.operators.containment import link_items
+    from litrank.operators.links import articles_missing_info
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        good = batch.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-        arts = dedup_articles(good, key="doi", keep="last").withColumn("db_name", F.lit(db_name))
-        links, _ = link_items(arts.select("doi", "title", "abstract", "db_name"), items, phrase=phrase)
-        (links.withColumn("batch_id", F.lit(batch_id).cast("long"))
-              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-              .partitionBy("batch_id").parquet(links_log_dir))
+    def log(rows: DataFrame, batch_id: int, path: str) -> None:
+        (rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch_id").parquet(path))
 
-    w = (dump_stream(spark, dump_dir, max_files_per_trigger).writeStream
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # stored: the batch's state is read and written once, J8 reads its rows twice
+        arts = materialize(batch.select("doi", "title", "abstract", F.lit(db_name).alias("db_name")))
+        links, _ = link_items(arts, items, phrase=phrase)
+        log(links, batch_id, links_log_dir)
+        if missing_log_dir:
+            log(articles_missing_info(links, titles, distinct=True), batch_id, missing_log_dir)
+
+    w = (new_articles(dump_stream(spark, dump_dir, max_files_per_trigger)).writeStream
          .foreachBatch(write).option("checkpointLocation", checkpoint_location))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

@@ -52,3 +52,26 @@ def test_stream_links_new_files(spark, tmp_path):
                                  "doi string, title string, abstract string, db_name string")
     want = sorted((r.pmid, r.item_id) for r in link_items(arts, items)[0].collect())
     assert got == want == [("1", "B1"), ("2", "B2"), ("3", "B1"), ("3", "B2")]
+
+
+def test_an_id_in_two_batches_is_linked_once(spark, tmp_path):
+    from litrank.streaming.dump_stream import start_linking
+    dumps, log, gone, ck = tmp_path / "dumps", str(tmp_path / "links"), str(tmp_path / "missing"), str(tmp_path / "ck")
+    items = spark.createDataFrame([("B1", "widget", "drug"), ("B2", "bolt", "drug")],
+                                  "item_id string, name string, item_type string")
+    titles = spark.createDataFrame([("3",)], "pmid string")
+
+    def run():
+        start_linking(spark, str(dumps), items, log, ck, "Xrxiv", titles=titles, missing_log_dir=gone).awaitTermination()
+
+    _write(dumps, "a.jsonl", [{"doi": "1", "title": "widget", "abstract": "x"}, {"doi": "1", "title": "widget", "abstract": "x"},
+                              {"doi": None, "title": "widget", "abstract": "x"}])
+    run()
+    _write(dumps, "b.jsonl", [{"doi": "1", "title": "widget", "abstract": "bolt"}, {"doi": "2", "title": "bolt", "abstract": ""},
+                              {"doi": "3", "title": "bolt", "abstract": ""}])
+    run()
+    _write(dumps, "c.jsonl", [{"doi": "2", "title": "widget", "abstract": "bolt"}])
+    run()
+    links = spark.read.parquet(log)
+    assert sorted((r.pmid, r.item_id, r.batch_id) for r in links.collect()) == [("1", "B1", 0), ("2", "B2", 1), ("3", "B2", 1)]
+    assert sorted(r.pmid for r in spark.read.parquet(gone).collect()) == ["1", "2"]
