@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litrank.llm.stages import join_groups, shuffle_width, stored
@@ -102,13 +102,16 @@ def keep_first_copies(docs: DataFrame, marks: DataFrame) -> DataFrame:
         .where("n > 1 AND any").select("id", "key")
     mixed = stored(mixed, "repeated")
     if not mixed.isEmpty():
-        order = Window.partitionBy(_ID, _DIGEST).orderBy(F.col(_LENGTH).desc(), "text")
-        some = _with(left, mixed).withColumn(_NUMBER, F.row_number().over(order)).where(F.col(_NUMBER) == 1)
-        left = _without(left, mixed).unionByName(some.drop(_NUMBER))
+        # The longest row, then the last text, by an aggregation that combines in the map tasks: a
+        # million equal rows without an id become one row a task.
+        whole = F.struct(*(F.col(f"`{c}`") for c in left.columns))
+        order = F.struct(F.col(_LENGTH), F.col("text"))
+        some = _with(left, mixed).groupBy(_ID, _DIGEST).agg(F.max_by(whole, order).alias(_ROW)).select(f"{_ROW}.*")
+        left = _without(left, mixed).unionByName(some)
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-_ID, _DIGEST, _LENGTH, _NUMBER = "__digest_id", "__digest", "__digest_length", "__digest_number"
+_ID, _DIGEST, _LENGTH, _ROW = "__digest_id", "__digest", "__digest_length", "__digest_row"
 
 
 def _without(rows: DataFrame, pairs: DataFrame) -> DataFrame:
