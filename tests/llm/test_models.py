@@ -205,41 +205,98 @@ def test_segmentation_is_the_best_of_all():
     assert all(-1 <= d <= 1 for d in diff) and all(diff[k] >= 0 for k in gold)
 
 
+def symbol_stream(text):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.translate(lower))
+    return b"\0" * 4 + b"".join(w.encode().replace(b"\0", b"\1") + b" " for w in words) + b"\0", [*words, None]
+
+
+def plain_tree(texts, strength=8.0, least_gain=20.0, least_divergence=0.005):
+    """Counts, divergence tests and smoothing of a suffix tree in plain Python: (probability, retained contexts)."""
+    count = collections.defaultdict(collections.Counter)
+    for t in texts:
+        stream, _ = symbol_stream(t)
+        for k in range(4, len(stream)):
+            for d in range(5):
+                count[stream[k - d:k]][stream[k]] += 1
+    total = {c: sum(v.values()) for c, v in count.items()}
+
+    def p(context, symbol):
+        if not context:
+            return (count[b""][symbol] + 0.5) / (total.get(b"", 0) + 128)
+        n = count[context][symbol] if context in total else 0
+        return (n + strength * p(context[1:], symbol)) / (total.get(context, 0) + strength)
+
+    kept = {}
+    for c in [c for c in total if c]:
+        kl = sum(v / total[c] * math.log(v / total[c] / p(c[1:], s)) for s, v in count[c].items())
+        if kl > least_divergence and total[c] * kl > least_gain:
+            kept[c] = (total[c], kl)
+    return p, kept
+
+
+def plain_score(stream, p, kept):
+    total = 0.0
+    for k in range(4, len(stream)):
+        d = next((d for d in range(4, 0, -1) if stream[k - d:k] in kept), 0)
+        total += math.log10(p(stream[k - d:k], stream[k]))
+    return total
+
+
+def context_bytes(number, depth):
+    return int(number).to_bytes(depth, "big")
+
+
 def test_suffix_tree_and_word_scores(spark, odd_docs):
-    docs = odd_docs.withColumn("learn", F.col("doc_id") % 3 != 0)
+    """States by their tests, scores by the longest retained suffix, and unigram scores, against plain Python."""
+    docs = odd_docs.where("doc_id IS NULL OR doc_id <> 400").withColumn("learn", F.col("doc_id") % 3 != 0)
     rows = [(r.doc_id, r.text or "", bool(r.learn)) for r in docs.collect()]
-    tree = suffix_tree.fit(docs.where("learn"), least_share=1e-3)
+    tree = suffix_tree.fit(docs.where("learn"))
+    p, kept = plain_tree([t for _, t, learn in rows if learn])
+    states = {context_bytes(r.context, r.depth): (r.n, r.kl) for r in tree.states().collect()}
+    assert set(states) == {c for c in kept if len(c) > 1} and len(states) > 50
+    assert all(states[c][0] == kept[c][0] and math.isclose(states[c][1], kept[c][1], rel_tol=1e-9) for c in states)
+    assert set(np.flatnonzero(tree.kept)) == {c[0] for c in kept if len(c) == 1}
     got = collections.defaultdict(list)
     for r in suffix_tree.score(docs, tree).collect():
         got[r.doc_id].append(r)
-    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", t.translate(lower)), None] for _, t, _ in rows]
+    assert sum(map(len, got.values())) == len(rows)
+    tokens = [symbol_stream(t)[1] for _, t, _ in rows]
     count = collections.Counter(w for (_, _, learn), ws in zip(rows, tokens) if learn for w in ws)
     n, v = sum(count.values()), len(count)
-    assert tree.log_p.shape[0] > 20 and np.allclose((10.0 ** tree.log_p.astype(float)).sum(axis=1), 1, atol=1e-5)
-    for (i, _, _), ws in zip(rows, tokens):
+    for (i, t, _), ws in zip(rows, tokens):
         base = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
-        stream = b"\0" * 4 + b"".join(w.encode() + b" " for w in ws[:-1]) + b"\0"
-        total = 0.0
-        for k in range(4, len(stream)):
-            state = 0
-            for d in range(1, 5):
-                inner = tree.row[state]
-                nxt = tree.child[inner, stream[k - d]] if inner >= 0 else -1
-                if nxt < 0:
-                    break
-                state = nxt
-            total += float(tree.log_p[state, stream[k]])
+        total = plain_score(symbol_stream(t)[0], p, kept)
         assert any(r.n_tokens == len(ws) and r.n_known == sum(count[w] > 0 for w in ws) and r.train_tokens == n
                    and math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, total, rel_tol=1e-6)
                    for r in got[i]), i
 
 
+def test_a_small_language_keeps_its_contexts(spark):
+    """The contexts of a language are those it has alone, where it is a hundredth of the text."""
+    rng = random.Random(7)
+    small = [(sentence(rng, ["żółw", "źdźbło", "ćma", "łąka", "jeż"], 30),) for _ in range(12)]
+    large = [(sentence(rng, EN, 100),) for _ in range(400)]
+    alone, both = (suffix_tree.fit(spark.createDataFrame(t, "text string")) for t in (small, small + large))
+    own = {context_bytes(r.context, r.depth) for r in alone.states().collect()}
+    own = {c for c in own if any(b >= 0x80 for b in c)}
+    mixed = {context_bytes(r.context, r.depth) for r in both.states().collect()}
+    assert len(own) > 10 and len(own & mixed) >= 0.9 * len(own)
+
+
+def test_scores_do_not_depend_on_chunks_or_parts(spark, odd_docs, monkeypatch):
+    docs = odd_docs.where("doc_id IS NOT NULL AND doc_id <> 5").withColumn("learn", F.lit(True))
+    tree = suffix_tree.fit(docs)
+    want = sorted(map(tuple, suffix_tree.score(docs, tree).collect()))
+    monkeypatch.setattr(suffix_tree, "PART_BYTES", 5000)
+    assert sorted(map(tuple, suffix_tree.score(docs.repartition(7), tree).collect())) == want
+
+
 def test_suffix_tree_learns(spark, no_docs):
     rng = random.Random(6)
     docs = spark.createDataFrame([(k, sentence(rng, EN, 40), k < 150) for k in range(200)] +
                                  [(1000, "zqx jkq wvz " * 13, False)], "doc_id bigint, text string, learn boolean")
-    tree = suffix_tree.fit(docs.where("learn"), least_share=1e-3)
+    tree = suffix_tree.fit(docs.where("learn"))
     got = {r.doc_id: r.score for r in suffix_tree.score(docs, tree).collect()}
     flat = {r.doc_id: r.score for r in suffix_tree.score(docs, suffix_tree.fit(docs.where("false"))).collect()}
     assert all(got[k] > 0.5 * flat[k] for k in range(150, 200)) and got[1000] < min(got[k] for k in range(150, 200))
