@@ -45,7 +45,7 @@ from litrank.llm.stages import ship_code, shuffle_width, stored
 from litrank.llm.text_arrays import LOWER, byte_span_hashes, mix, text_column, text_slices, word_spans
 
 DEPTH = 4
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 TASK_GRAMS = 1 << 21
 # Bytes of text whose distinct words and pairs one part of the exchange serves.
 PART_BYTES = 48 << 20
@@ -257,19 +257,19 @@ def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((mix(keys.astype(np.uint64)) >> _U(32)) % _U(parts)).astype(np.int32)
 
 
-def _read(buf: np.ndarray, offsets: np.ndarray):
-    """Of a slice: the hashes of its words and the row of each, the distinct pairs of its symbols and which
-    one each symbol is, and the symbols of each row."""
+def _read(buf: np.ndarray, offsets: np.ndarray, places: bool):
+    """Of a slice: the hashes of its words, the words of each row, the distinct pairs of its symbols; with
+    ``places`` also which pair each symbol is, and the symbols of each row."""
     low = LOWER[buf]
     starts, ends, row = spans = word_spans(low, offsets)
     stream, stops = symbols(buf, offsets, spans)
-    marks = _predicted(stream, stops)
+    words = byte_span_hashes(low, starts, ends), np.bincount(row, minlength=len(offsets) - 1)
+    if not places:
+        return *words, np.unique(_codes(stream, stops))
     upto = np.zeros(len(stream) + 1, np.int64)
-    np.cumsum(marks, out=upto[1:])
+    np.cumsum(_predicted(stream, stops), out=upto[1:])
     grams, which = np.unique(_codes(stream, stops), return_inverse=True)
-    rows = len(offsets) - 1
-    return (byte_span_hashes(low, starts, ends), np.bincount(row, minlength=rows), grams, which,
-            np.diff(np.concatenate([[0], upto[stops]])))
+    return *words, grams, which.astype(np.int32), np.diff(np.concatenate([[0], upto[stops]]))
 
 
 def _describe(batches, parts: int):
@@ -297,7 +297,7 @@ def _describe(batches, parts: int):
     for batch in batches:
         docs, learn = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool)
         for i, j, buf, offs in text_slices(text_column(batch)):
-            hashes, counts, grams, _, _ = _read(buf, offs)
+            hashes, counts, grams = _read(buf, offs, False)
             held.append((docs[i:j], learn[i:j], buf, offs, hashes, counts, grams))
             size += len(buf)
             if size >= CHUNK_BYTES:
@@ -341,7 +341,7 @@ def _sum_scores(table, parts: int):
     buf = unpack(table.column("texts")[main].as_py())[0].astype(np.uint8)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     cut = np.concatenate([[0], np.cumsum(rows)])
-    slices = [_read(buf[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in zip(cut, cut[1:])]
+    slices = [_read(buf[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], True) for a, b in zip(cut, cut[1:])]
     names = np.unique(np.concatenate([s[0] for s in slices]))
     pairs = np.unique(np.concatenate([s[2] for s in slices]))
     part_names, part_pairs = _part_of(names, parts), _part_of(pairs, parts)
@@ -406,7 +406,8 @@ def score(docs: DataFrame, tree: SuffixTree) -> DataFrame:
     none = lambda *names: {c: F.lit(None).cast("binary") for c in names}
     sums = chunks.where("part < 0").select("chunk", "part", "docs", "texts").withColumns(none("words", "grams")) \
         .unionByName(replies.drop("distinct").withColumns(none("docs", "texts", "grams"))) \
-        .unionByName(answers.withColumns(none("docs", "texts", "words"))).groupBy("chunk").applyInArrow(
+        .unionByName(answers.withColumns(none("docs", "texts", "words"))).repartition(parts, "chunk") \
+        .groupBy("chunk").applyInArrow(
             lambda table: _sum_scores(table, parts),
             "doc_id bigint, n_words bigint, known bigint, log_counts double, score double")
     norm = float(np.log10(total + 0.1 * (words + 1)))
