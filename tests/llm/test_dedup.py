@@ -185,3 +185,29 @@ def test_robust_graph_prunes_and_reaches():
         found |= set(zip(a.tolist(), b.tolist()))
     true = set(zip(*(v.tolist() for v in np.nonzero(x @ x.T >= 0.8))))
     assert found <= true and len(found) >= 0.98 * len(true)
+
+
+def test_audit_sees_rare_links_beside_a_huge_group(spark):
+    """One group has nearly all links; the pairs are cut apart by shards without a margin."""
+    rng = np.random.default_rng(9)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    huge = np.repeat(unit(unit(rng.standard_normal(6)) + 0.001 * rng.standard_normal((2, 6))), 200, axis=0)
+    one = unit(rng.standard_normal((150, 6)))
+    side = rng.standard_normal((150, 6))
+    side = unit(side - (side * one).sum(axis=1, keepdims=True) * one)
+    two = np.cos(0.18) * one + np.sin(0.18) * side
+    x = np.concatenate([huge, one, two])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    true = ((x @ x.T >= 0.98).sum(axis=1) - 1)
+    links = lambda **k: {r.vec_id: r.n_links for r in embedding_graph.near_duplicates(df, shard=12, margin=0.0, beam=8, **k).collect()}
+    blind = links(recall=0.0)
+    missed = [i for i in range(400, 700) if blind[i] < true[i]]
+    assert len(missed) > 20 and sum(blind.values()) > 0.99 * true.sum()       # a pooled recall would be content
+    got = links()
+    assert sum(got[i] < true[i] for i in range(700)) <= 7 and all(got[i] <= true[i] for i in range(700))
+
+
+def test_few_links_prove_nothing():
+    assert embedding_graph.audited(1.0, embedding_graph.PROOF, False, 0.99)
+    assert not embedding_graph.audited(1.0, embedding_graph.PROOF - 1, False, 0.99)
+    assert embedding_graph.audited(1.0, 0, True, 0.99) and not embedding_graph.audited(0.98, 500, True, 0.99)
