@@ -7,13 +7,15 @@ pruning by a reader that looks up keys), ``n_docs``, ``n_ids``, an ``index`` and
     payload   raw ids, little-endian, 2 bytes each if the vocabulary allows it, else 4
     index     magic, id width, document count, key count, level count; offsets of the
               documents in the payload, their keys and null marks; then the hash: for each
-              level its size and bits, for each key its 32-bit fingerprint and the number
-              of its first document, in hash order
+              level its size, its bits and its rank directory, for each key its 32-bit
+              fingerprint and the number of its first document, in hash order
 
 The hash is built in levels (Limasset et al. 2017): keys that have a bit of the level to
-themselves set it, the others go to the next level; the rank of a key's bit is its slot. A
-lookup probes about two bits, compares the fingerprint and slices the payload: constant time,
-and a key that is absent is refused with probability 1 - 2^-32.
+themselves set it, the others go to the next level; the rank of a key's bit is its slot. The
+rank directory has the number of bits set before each block of 512 bits, so that a rank takes
+one entry and the counts of at most eight words. A lookup probes about two bits, compares the
+fingerprint and slices the payload: constant time, as nothing of the index is unpacked or
+copied, and a key that is absent is refused with probability 1 - 2^-32.
 
 Defined results
     * A null or empty text is its end id alone. Documents with a null ``doc_id`` come first;
@@ -37,9 +39,10 @@ from litrank.llm.stages import ship_code, shuffle_width
 from litrank.llm.text_arrays import mix, text_column
 from litrank.llm.token_ids import json_encoder
 
-MAGIC = b"KIDX"
+MAGIC = b"KIX2"
 HEAD = "<4sIQQI"
 SHARD_IDS = 1 << 21
+BLOCK_BITS = 512              # bits to an entry of the rank directory
 _U = np.uint64
 SHARDS = ("part int, seq int, first_key bigint, last_key bigint, n_docs bigint, n_ids bigint, "
           "index binary, payload binary")
@@ -56,31 +59,63 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (mix(mix(keys.astype(np.uint64)) + _U(0xA5A5A5A5)) >> _U(32)).astype(np.uint32)
 
 
-def build_hash(keys: np.ndarray, load: float = 2.0, most_levels: int = 64) -> list[np.ndarray]:
-    """Bit arrays of the levels for distinct ``keys``."""
-    levels, left = [], keys
+class Level:
+    """Bits of one level, in 64-bit words, eight to a block, and the rank of each block: the bits
+    set before it, here and in the levels before."""
+
+    def __init__(self, size: int, words: np.ndarray, ranks: np.ndarray):
+        self.size, self.words, self.ranks = size, words, ranks
+
+    @staticmethod
+    def of(bits: np.ndarray, base: int) -> Level:
+        blocks = -(-len(bits) // BLOCK_BITS)
+        words = np.zeros(blocks * BLOCK_BITS // 8, np.uint8)
+        words[:-(-len(bits) // 8)] = np.packbits(bits, bitorder="little")
+        words = words.view("<u8")
+        ones = np.bitwise_count(words).reshape(blocks, -1).sum(1, dtype=np.int64)
+        return Level(len(bits), words, (base + np.cumsum(ones) - ones).astype("<u8"))
+
+    def has(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64) & _U(1)).astype(bool)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Bits set before each position."""
+        block, word = at // BLOCK_BITS, at >> 6
+        out = self.ranks[block].astype(np.int64)
+        for k in range(BLOCK_BITS // 64 - 1):
+            before = block * (BLOCK_BITS // 64) + k
+            out += np.where(before < word, np.bitwise_count(self.words[before]), 0)
+        below = (_U(1) << (at & 63).astype(np.uint64)) - _U(1)
+        return out + np.bitwise_count(self.words[word] & below)
+
+
+def build_hash(keys: np.ndarray, load: float = 2.0, most_levels: int = 64) -> list[Level]:
+    """The levels for distinct ``keys``."""
+    levels, left, base = [], keys, 0
     while len(left):
         if len(levels) == most_levels:
             raise ValueError("keys are not distinct")
         size = max(8, int(len(left) * load))
         at = _probe(left, len(levels), size)
         count = np.bincount(at, minlength=size)
-        levels.append(count == 1)
-        left = left[count[at] != 1]
+        levels.append(Level.of(count == 1, base))
+        alone = count[at] == 1
+        base += int(alone.sum())
+        left = left[~alone]
     return levels
 
 
-def slots(levels: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
+def slots(levels: list[Level], keys: np.ndarray) -> np.ndarray:
     """The slot of each key, 0 to n - 1; for a foreign key any slot, or -1."""
     out = np.full(len(keys), -1, np.int64)
     left = np.arange(len(keys))
-    base = 0
-    for k, bits in enumerate(levels):
-        at = _probe(keys[left], k, len(bits))
-        hit = bits[at]
-        out[left[hit]] = base + np.cumsum(bits)[at[hit]] - 1
+    for k, level in enumerate(levels):
+        if not len(left):
+            break
+        at = _probe(keys[left], k, level.size)
+        hit = level.has(at)
+        out[left[hit]] = level.rank(at[hit])
         left = left[~hit]
-        base += int(bits.sum())
     return out
 
 
@@ -99,9 +134,9 @@ def write_index(keys: list, sizes: list[int], width: int) -> bytes:
     prints, docs = np.zeros(len(first), "<u4"), np.zeros(len(first), "<u4")
     prints[slot], docs[slot] = fingerprints(key[first]), first
     parts = [struct.pack(HEAD, MAGIC, width, len(sizes), len(first), len(levels)),
-             offsets.tobytes(), key.tobytes(), np.packbits(null).tobytes()]
-    for bits in levels:
-        parts += [struct.pack("<Q", len(bits)), np.packbits(bits).tobytes()]
+             offsets.tobytes(), key.tobytes(), np.packbits(null, bitorder="little").tobytes()]
+    for level in levels:
+        parts += [struct.pack("<Q", level.size), level.words.tobytes(), level.ranks.tobytes()]
     return b"".join([*parts, prints.tobytes(), docs.tobytes()])
 
 
@@ -120,16 +155,23 @@ class Shard:
             at += out.nbytes
             return out
 
-        def bits(n):
-            return np.unpackbits(take(np.uint8, -(-n // 8)), count=n).astype(bool)
+        def level():
+            size = int(take("<u8", 1)[0])
+            blocks = -(-size // BLOCK_BITS)
+            return Level(size, take("<u8", blocks * BLOCK_BITS // 64), take("<u8", blocks))
 
-        self.offsets = take("<u8", self.n_docs + 1).astype(np.int64)
+        self.offsets = take("<u8", self.n_docs + 1)
         self.keys = take("<i8", self.n_docs)
-        self.null = bits(self.n_docs)
-        self.levels = [bits(int(take("<u8", 1)[0])) for _ in range(n_levels)]
+        self.null_bits = take(np.uint8, -(-self.n_docs // 8))
+        self.levels = [level() for _ in range(n_levels)]
         self.prints, self.docs = take("<u4", n_keys), take("<u4", n_keys)
         self.payload = np.frombuffer(payload, f"<u{self.width}")
 
+    @property
+    def null(self) -> np.ndarray:
+        """Which documents have no key."""
+        return np.unpackbits(self.null_bits, count=self.n_docs, bitorder="little").astype(bool)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Number of the first document of each key, -1 where the shard has none."""
         keys = np.asarray(keys, np.int64)
@@ -141,12 +183,12 @@ class Shard:
         return out
 
     def ids(self, doc: int) -> np.ndarray:
-        return self.payload[self.offsets[doc]:self.offsets[doc + 1]].astype("<u4")
+        return self.payload[int(self.offsets[doc]):int(self.offsets[doc + 1])].astype("<u4")
 
     def lookup(self, key: int) -> list[np.ndarray]:
         doc = int(self.find(np.array([key]))[0])
         out = []
-        while 0 <= doc < self.n_docs and self.keys[doc] == key and not self.null[doc]:
+        while 0 <= doc < self.n_docs and self.keys[doc] == key and not self.null_bits[doc >> 3] >> (doc & 7) & 1:
             out.append(self.ids(doc))
             doc += 1
         return out
@@ -206,16 +248,17 @@ def _read(batches):
         at = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
         for r in range(batch.num_rows):
             s = Shard(at["index"][r], at["payload"][r])
-            first = np.flatnonzero(~s.null & np.append(True, (s.keys[1:] != s.keys[:-1]) | s.null[:-1]))
+            null = s.null
+            first = np.flatnonzero(~null & np.append(True, (s.keys[1:] != s.keys[:-1]) | null[:-1]))
             if not (s.find(s.keys[first]) == first).all():
                 raise ValueError("a key is not found where its document is")
             ids = [s.ids(k) for k in range(s.n_docs)]
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array([at["part"][r]] * s.n_docs, pa.int32()),
                 "seq": pa.array([at["seq"][r]] * s.n_docs, pa.int32()),
-                "doc_id": pa.array(s.keys, pa.int64(), mask=s.null),
-                "local": pa.array(s.offsets[:-1], pa.int64()),
-                "n_tokens": pa.array(np.diff(s.offsets), pa.int64()),
+                "doc_id": pa.array(s.keys, pa.int64(), mask=null),
+                "local": pa.array(s.offsets[:-1].astype(np.int64), pa.int64()),
+                "n_tokens": pa.array(np.diff(s.offsets).astype(np.int64), pa.int64()),
                 "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())})
 
 

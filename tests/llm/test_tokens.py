@@ -176,3 +176,27 @@ def test_minimal_perfect_hash(keys):
     keys = np.array(sorted(keys), np.int64)
     slot = token_files.slots(token_files.build_hash(keys), keys)
     assert sorted(slot.tolist()) == list(range(len(keys)))
+
+
+@pytest.mark.parametrize("size", [8, 63, 64, 511, 512, 513, 5000])
+def test_rank_directory_counts_the_bits_before(size):
+    bits = np.random.default_rng(size).random(size) < 0.4
+    level = token_files.Level.of(bits, 17)
+    at = np.arange(size)
+    assert (level.has(at) == bits).all()
+    assert (level.rank(at) == 17 + np.cumsum(bits) - bits).all()
+
+
+def test_lookup_unpacks_nothing():
+    n = 50_000
+    keys = [None, None, *range(-5, n, 3)]
+    keys += [keys[-1]] * 2                                       # one key with three documents
+    ids = np.arange(len(keys), dtype="<u4")
+    index, payload = token_files.write_index(keys, [1] * len(keys), 4), ids.tobytes()
+    shard = token_files.Shard(index, payload)
+    views = [shard.offsets, shard.keys, shard.null_bits, shard.prints, shard.docs, shard.payload,
+             *(a for level in shard.levels for a in (level.words, level.ranks))]
+    assert all(v.base is not None and not v.flags.owndata for v in views)      # views of the bytes read
+    assert [x.tolist() for x in shard.lookup(-5)] == [[2]]
+    assert [x.tolist() for x in shard.lookup(keys[-1])] == [[k] for k in range(len(keys) - 3, len(keys))]
+    assert shard.lookup(-4) == [] and shard.lookup(0) == []      # a null key is no 0
