@@ -22,6 +22,9 @@ every block discards the pairs that a bound derived from the set sizes rules out
 5. Then the lists are multiplied again for pairs of different components only, all of which
    are tried. After that no link between two components can be left, so that the components
    are those of the full join.
+6. On request links are counted: all links of a text lie inside its component. The rows of a
+   component, dealt into blocks by size, are multiplied block by block; pairs that size and
+   sketch allow are verified there, and a block pair returns a number for each row, no pairs.
 
 Defined results
     * Null, empty and blank texts have no n-grams and link with nothing: they are their own
@@ -30,6 +33,8 @@ Defined results
     * A repeated ``doc_id`` gives one row for each row, with a common component. A null
       ``doc_id`` gives a row whose component is the smallest non-null id of its set's
       component, or null.
+    * ``n_links`` counts the other rows that link with a row, its copies among them; a row that
+      repeats a ``doc_id`` is another row.
     * Other columns are ignored; an empty table gives an empty result.
 """
 
@@ -37,7 +42,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litrank.llm.stages import components, join_groups, ship_code, shuffle_width, stored
@@ -48,6 +53,8 @@ BLOCK = 1024                 # rows of a block of a posting list
 LATE_COLUMNS = 1 << 20       # most columns that are put late in the order (8 MB, broadcast)
 TASK_SHINGLES = 1 << 22      # n-grams a task holds before it passes counts on
 COLUMN_BLOCK = 1 << 20       # (column, row) entries of a column block
+BLOCK_SHINGLES = 1 << 21     # n-grams of the rows of a block, where links are counted
+PAIR_COST = 1 << 20          # multiplications that take as long as one pair by itself
 
 _U = np.uint64
 _MULT = mix(np.arange(101, 164, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
@@ -434,6 +441,105 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int, keys: int) -> DataFr
     return rows.groupBy(*key).applyInArrow(lambda table: _accumulate(table, percent), "a bigint, b bigint")
 
 
+# --- numbers of links --------------------------------------------------------------------------
+
+def _product(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, columns: int = 4096,
+             pair_cost: int = PAIR_COST):
+    """Overlaps of the row pairs (x, y): the incidence matrices of the rows are multiplied over
+    blocks of the columns that occur on both sides. None if that costs more than pair by pair."""
+    u, ui = np.unique(x, return_inverse=True)
+    v, vi = np.unique(y, return_inverse=True)
+    sides = []
+    for rows in (u, v):
+        flat = np.concatenate([sets[k] for k in rows])
+        sides.append((flat, np.repeat(np.arange(len(rows)), [len(sets[k]) for k in rows])))
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    if len(u) * len(v) * len(both) > pair_cost * len(x):
+        return None
+    entries = []
+    for flat, row in sides:
+        at = np.minimum(np.searchsorted(both, flat), max(len(both) - 1, 0))
+        hit = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[hit], kind="stable")
+        entries.append((at[hit][order], row[hit][order]))
+    total = np.zeros((len(u), len(v)), np.int64)
+    for c in range(0, len(both), columns):
+        part = []
+        for (at, row), n in zip(entries, (len(u), len(v))):
+            lo, hi = np.searchsorted(at, [c, c + columns])
+            m = np.zeros((n, min(columns, len(both) - c)), np.float32)
+            m[row[lo:hi], at[lo:hi] - c] = 1
+            part.append(m)
+        total += (part[0] @ part[1].T).astype(np.int64)
+    return total[ui, vi]
+
+
+def _count_links(table, percent: int, blocks: int = 16, pair_cost: int = PAIR_COST):
+    """Copies that each row of one block pair links with in the other block."""
+    edges = np.arange(1, blocks, dtype=np.uint64) * _U(2 ** 64 // blocks)
+    digest, sizes, copies, side, comp = (table.column(c).to_numpy() for c in
+                                         ("digest", "n_shingles", "copies", "side", "component"))
+    sketches = [np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("sketch")]
+    sets = [np.frombuffer(b.as_buffer(), _U) for b in table.column("grams")]
+    out = np.zeros(len(digest), np.int64)
+    order = np.argsort(comp, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
+        left, right = at[side[at] <= 1], at[side[at] != 1]
+        whole = bool((side[at] == 0).any())
+        for x, y, _ in _passing(sizes, sketches, None, left, right, percent):
+            if whole:                                 # a block with itself: each pair once
+                x, y = x[x < y], y[x < y]
+            need = least_overlap(sizes[x], sizes[y], percent)
+            got = _product(sets, x, y, pair_cost=pair_cost) if len(x) > 256 else None
+            if got is None:
+                linked = np.array([_overlap(sets[i], sets[j], k, edges) for i, j, k in
+                                   zip(x.tolist(), y.tolist(), need.tolist())], bool)
+            else:
+                linked = got >= need
+            x, y = x[linked], y[linked]
+            np.add.at(out, x, copies[y])
+            np.add.at(out, y, copies[x])
+    some = out > 0
+    return pa.table({"digest": digest[some], "n": out[some]})
+
+
+def link_counts(members: DataFrame, sets: DataFrame, percent: int, keys: int) -> DataFrame:
+    """(digest, others): the rows of other texts that link with each set. ``members`` has digest,
+    component, n_shingles, copies and sketch of the sets that link, ``sets`` their n-grams.
+
+    Rows are dealt into blocks of similar size, about BLOCK rows or BLOCK_SHINGLES n-grams at
+    most, by what comes before them in the order of (component, n_shingles), so that most block
+    pairs are ruled out by size and never formed. A size that many rows share is cut by a hash of
+    the digest."""
+    by_size = members.groupBy("component", "n_shingles").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("component").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)
+    share = F.lit(1 / BLOCK) + F.col("n_shingles") / BLOCK_SHINGLES          # of a block, by one row
+    by_size = by_size.withColumn("first", F.coalesce(F.sum(F.col("rows") * share).over(before), F.lit(0.0)))
+    place = F.col("first") + F.pmod(F.xxhash64("digest"), F.col("rows")) * share
+    dealt = stored(members.join(by_size, ["component", "n_shingles"])
+                   .withColumn("block", F.floor(place).cast("int")).drop("rows", "first"), "dealt")
+    spans = dealt.groupBy("component", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    spans = stored(spans, "spans")
+    other = spans.select("component", F.col("block").alias("other"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"))
+    # Two blocks are compared if their ranges of sizes reach into each other's bounds.
+    pairs = stored(spans.join(other, "component").where((F.col("block") <= F.col("other"))
+                   & (100 * F.col("ohi") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("olo")))
+                   .select("component", "block", "other"), "block-pairs")
+    same = F.col("block") == F.col("other")
+    roles = pairs.select("component", "block", F.col("block").alias("k2"), F.col("other").alias("k3"),
+                         F.when(same, 0).otherwise(1).alias("side")) \
+        .unionByName(pairs.where(~same).select("component", F.col("other").alias("block"), F.col("block").alias("k2"),
+                                               F.col("other").alias("k3"), F.lit(2).alias("side")))
+    # Components of one block share keys; the block pairs of larger ones are a key each.
+    large = spans.groupBy("component").agg((F.count("*") > 1).alias("large"))
+    rows = dealt.join(sets.select("digest", "grams").dropDuplicates(["digest"]), "digest") \
+        .join(roles, ["component", "block"]).join(large, "component") \
+        .withColumn("k1", F.when(F.col("large"), F.col("component")).otherwise(F.pmod("component", F.lit(keys))))
+    return rows.select("k1", "k2", "k3", "component", "side", "digest", "n_shingles", "copies", "sketch", "grams") \
+        .groupBy("k1", "k2", "k3").applyInArrow(lambda table: _count_links(table, percent), "digest bigint, n bigint") \
+        .groupBy("digest").agg(F.sum("n").alias("others"))
+
+
 def text_hash(column: str):
     """64-bit hash of a text column as the join reads it."""
     return F.xxhash64(F.col(column).cast("string"))
@@ -441,10 +547,11 @@ def text_hash(column: str):
 
 # --- the operator ------------------------------------------------------------------------------
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, count_links: bool = False) -> DataFrame:
     """Components of the texts whose n-gram sets have a Jaccard similarity of ``percent`` % or
     more: one row ``(doc_id, n_shingles, component_id, digest, text_hash)`` for each row of ``docs``;
-    ``text_hash`` is ``text_hash("text")``, which tells rows of one id, or of none, apart."""
+    ``text_hash`` is ``text_hash("text")``, which tells rows of one id, or of none, apart.
+    ``count_links`` adds ``n_links``."""
     spark = docs.sparkSession
     ship_code(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -465,7 +572,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
         .dropDuplicates(["list", "digest"])
     lists = stored(lists.hint("merge").join(
         classes.select("digest", "n_shingles", "sketch").hint("merge"), "digest"), "lists")
-    keys = 4 * shuffle_width(spark)
+    shingles = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    keys = max(4 * shuffle_width(spark), shingles // COLUMN_BLOCK)           # a key holds about 8 MB of sets
 
     trees = stored(_candidates(lists, percent, True, keys), "trees")
     wanted = trees.select(F.col("a").alias("digest")).union(trees.select("b")).distinct()
@@ -485,13 +593,21 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     links = links.unionByName(stored(_links(more, sets, percent, keys), "links"))
 
     least = classes.select("digest", "least_id")
-    joined = components(links).withColumnRenamed("node", "digest").join(least, "digest")
-    smallest = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    joined = components(links).withColumnRenamed("node", "digest")
+    if count_links:
+        joined = stored(joined, "linked")
+    smallest = joined.join(least, "digest").groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_class = joined.join(smallest, "component").select("digest", "component_id")
-    groups = stored(classes.select("digest", "least_id", "copies").join(of_class, "digest", "left")
-                    .select("digest", "copies", F.coalesce("component_id", "least_id").alias("component_id")), "groups")
+    groups = classes.select("digest", "least_id", "copies").join(of_class, "digest", "left") \
+        .select("digest", "copies", F.coalesce("component_id", "least_id").alias("component_id"))
+    if count_links:
+        members = joined.join(classes.select("digest", "n_shingles", "copies", "sketch"), "digest")
+        groups = groups.join(link_counts(members, sets, percent, keys), "digest", "left") \
+            .withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("copies") - 1).drop("others")
+    groups = stored(groups, "groups")
     total = filled.count()
-    return join_groups(filled, groups, "digest", "copies", total) \
-        .select("doc_id", "n_shingles", "component_id", "digest", "text_hash") \
+    names = ["doc_id", "n_shingles", "component_id", "digest", "text_hash"] + ["n_links"] * count_links
+    return join_groups(filled, groups, "digest", "copies", total).select(*names) \
         .unionByName(rows.where("n_shingles = 0").select(
-            "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "digest", "text_hash"))
+            "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "digest", "text_hash",
+            F.lit(0).cast("bigint").alias("n_links")).select(*names))

@@ -57,8 +57,8 @@ def op4_subword_toxicity(spark, sf_dir):
 
 
 def op5_ngram_jaccard_join(spark, sf_dir):
-    return ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=4, percent=85) \
-        .select("doc_id", "n_shingles", "component_id")
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=4, percent=85, count_links=True) \
+        .select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op6_bpe_exchange(spark, sf_dir):
@@ -164,8 +164,9 @@ ORACLES = {
             SELECT doc_id node, doc_id root FROM s
             UNION
             SELECT p.b, r.root FROM r JOIN p ON r.node = p.a)
-        SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, c.component_id
-        FROM s JOIN (SELECT node, min(root) component_id FROM r GROUP BY node) c ON c.node = s.doc_id""",
+        SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, c.component_id, coalesce(k.n, 0) AS n_links
+        FROM s JOIN (SELECT node, min(root) component_id FROM r GROUP BY node) c ON c.node = s.doc_id
+        LEFT JOIN (SELECT a, count(*) n FROM p GROUP BY a) k ON k.a = s.doc_id""",
     "op7_digest_index_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) n,

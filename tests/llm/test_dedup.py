@@ -4,6 +4,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,65 @@ def brute_components(rows, n, percent):
     return sorted((str(i), len(s), str(least.get(find(k)) if s else i)) for k, ((i, _), s) in enumerate(zip(rows, sets)))
 
 
+def brute_links(rows, n, percent):
+    sets = [shingles(t, n) for _, t in rows]
+    out = [0] * len(rows)
+    for a, b in combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            out[a] += 1
+            out[b] += 1
+    return sorted((str(i), len(s), k) for (i, _), s, k in zip(rows, sets, out))
+
+
+@pytest.mark.parametrize("n,percent", [(4, 85), (1, 50)])
+def test_numbers_of_links(odd_docs, no_docs, n, percent):
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    got = ngram_join.ngram_jaccard_join(odd_docs, n, percent, count_links=True).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.n_links) for r in got) == brute_links(rows, n, percent)
+    assert ngram_join.ngram_jaccard_join(no_docs, n, percent, count_links=True).count() == 0
+
+
+def test_links_of_a_component_of_many_blocks(spark, monkeypatch):
+    """A chain of texts, of which neighbours link: one component, links far fewer than pairs."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[k:k + 60 + k % 3])) for k in range(150)]
+    rows += [(1000 + k, r[1]) for k, r in enumerate(rows[:70])]              # copies count as links
+    rows += [(2000 + k, " ".join(words[:60] + [f"x{k}"])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = ngram_join.ngram_jaccard_join(docs, 4, 85, count_links=True).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.n_links) for r in got) == brute_links(rows, 4, 85)
+
+
+@pytest.mark.parametrize("pair_cost", [0, 1 << 40])
+def test_links_of_a_block_pair_by_pair_and_by_products(pair_cost):
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 2 ** 62, 80).astype(np.uint64) for _ in range(3)]
+    sets = [np.unique(np.concatenate([base[k % 3][rng.integers(0, 12):], rng.integers(0, 2 ** 62, 6).astype(np.uint64)]))
+            for k in range(90)]
+    table = pa.table({"component": [k % 3 for k in range(90)], "side": [0] * 90, "digest": range(90),
+                      "n_shingles": [len(s) for s in sets], "copies": [1 + k % 4 for k in range(90)],
+                      "sketch": [ngram_join.parity_sketch(s) for s in sets], "grams": [s.tobytes() for s in sets]})
+    want = [0] * 90
+    for i, j in combinations(range(90), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            want[i] += 1 + j % 4
+            want[j] += 1 + i % 4
+    got = ngram_join._count_links(table, 85, pair_cost=pair_cost)
+    assert dict(zip(got["digest"].to_pylist(), got["n"].to_pylist())) == {k: n for k, n in enumerate(want) if n}
+    assert any(want) and not all(want)
+
+
+def test_product_is_the_overlap():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 700)).astype(np.uint64)) for _ in range(60)]
+    x, y = (np.array(v) for v in zip(*combinations(range(60), 2)))
+    want = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y)]
+    assert ngram_join._product(sets, x, y, columns=512).tolist() == want
+
+
 @pytest.mark.parametrize("n,percent", [(4, 85), (5, 80), (1, 50)])
 def test_ngram_join_is_the_full_join(odd_docs, n, percent):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
