@@ -17,13 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litrank.functions.text import clean_text, remove_stopwords, split_words
-from litrank.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, join_small
+from litrank.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, broadcastable, join_small
+from litrank.session import materialize
 
 # Polarities are summed as decimals of this scale: the sum is exact, so the mean does not depend
 # on summation order (partitioning, retries, engine), and 10^27 units cannot overflow.
 POLARITY_TYPE = "decimal(38,10)"
 
 
+# Stop words of a table that are filtered in place: beyond these bounds the words are joined.
+MAX_PLACED_WORDS = 10_000
+MAX_PLACED_BYTES = 2 ** 20
+
+
 def exact_mean(c):
     """Mean of a double column, summed exactly at 1e-10 resolution; null when no value (callers
     coalesce)."""
@@ -45,14 +51,20 @@ def clean_frame(articles: DataFrame, stopwords: Iterable[str] | DataFrame | None
                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """(id, cleaned): T7 then T8, one row per input row.
 
-    A stop-word table of any size is anti-joined with the words of each distinct
-    (id, text), which keep their positions and are put together again; a plain
-    list is a parameter and filtered in place.
+    A plain list, and a table measured to hold at most MAX_PLACED_WORDS words
+    and MAX_PLACED_BYTES, is filtered in place, in the scan of the articles. A larger table is
+    anti-joined with the words of each distinct (id, text), which keep their
+    positions and are put together again. ``max_broadcast_rows <= 0`` always joins.
     """
+    words = None
     if stopwords is None or not isinstance(stopwords, DataFrame):
         words = [w for w in stopwords or () if w is not None]
+    else:
+        stop = materialize(stopword_table(articles.sparkSession, stopwords))
+        if broadcastable(stop, min(MAX_PLACED_WORDS, max_broadcast_rows), MAX_PLACED_BYTES):
+            words = [r.word for r in stop.collect()]
+    if words is not None:
         return articles.select(id_col, remove_stopwords(clean_text(text_col), words).alias("cleaned"))
-    stop = stopword_table(articles.sparkSession, stopwords)
     texts = articles.groupBy(F.col(id_col).alias("_id"), clean_text(text_col).alias("_text")) \
         .agg(F.count(F.lit(1)).alias("_copies"))
     texts = texts.select("_id", F.xxhash64("_text").alias("_key"), "_copies", split_words("_text").alias("_words"))

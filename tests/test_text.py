@@ -73,6 +73,21 @@ def test_remove_stopwords_keeps_order_and_repeats(spark):
     assert got == "b c b"
 
 
+def test_stopword_table_in_place_equals_the_join(spark):
+    from litrank.operators.sentiment import clean_frame
+    texts = ["the cat and the hat", None, "", "THE the", "x the y  the x", "the cat and the hat"]
+    arts = spark.createDataFrame([(str(i % 5), t) for i, t in enumerate(texts)] + [(None, "a the b")],
+                                 "doi string, abstract string")
+    stop = spark.createDataFrame([("the",), ("and",), (None,), ("the",)], "word string")
+    want = sorted(map(str, clean_frame(arts, ["the", "and"]).collect()))
+    placed = clean_frame(arts, stop)
+    assert sorted(map(str, placed.collect())) == want and len(want) == 7
+    assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    assert sorted(map(str, clean_frame(arts, stop, max_broadcast_rows=0).collect())) == want
+    assert sorted(map(str, clean_frame(arts, stop.where("false")).collect())) == \
+        sorted(map(str, clean_frame(arts, None).collect()))
+
+
 def test_token_index_match_equals_live_match_and_prunes(spark, tmp_path):
     from litrank.operators.containment import build_token_index, match_index
     arts = spark.createDataFrame([(str(i), f"t{i % 5} the", f"body {i % 3} of") for i in range(60)],
