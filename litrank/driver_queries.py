@@ -28,7 +28,7 @@ from litrank.operators.budget import trim_to_budget
 from litrank.operators.links import item_catalog
 from litrank.operators.sentiment import clean_frame, sentiment_lexicon
 from litrank.plans.batch_jobs import ingest, precompute_popular, score_corpus
-from litrank.plans.output import article_rows, ranked_with_lists, respond
+from litrank.plans.output import article_rows, ranked_with_lists, respond, to_item_json
 from litrank.plans.ranking import query_hits, rank_queries
 from litrank.session import materialize, scratch_path
 from litrank.sinks import writers as W
@@ -844,6 +844,22 @@ def q_o1_entries(spark, sf_dir):
         F.coalesce(F.array_join(text, ";"), F.lit("")).alias("articles"))
 
 
+@register("o1_item_json")
+def q_o1_items(spark, sf_dir):
+    """The items of unfiltered queries, one JSON value for each."""
+    fx = _fx(spark, sf_dir)
+    corpus = fx["titles"].select(F.col("pmid").alias("doi"), "title")
+    ranked = rank_queries(fx["queries_flags"], corpus, fx["links"], fx["sentiments"],
+                          item_catalog(fx["drugs"], fx["targets"]), rules=fx["rules"], fields=("title", "doi"))
+    rows = to_item_json(ranked, fx["queries_flags"]).select(
+        "query_id", "item_type", "name", F.from_json("result", "struct<counter:bigint,metrics:map<string,double>>").alias("e"))
+    return rows.select(
+        "query_id", "item_type", "name", "e.counter",
+        r6(F.col("e.metrics")[F.lit(KEY_PRECISION)]).alias("precision"), r6(F.col("e.metrics")[F.lit(KEY_RECALL)]).alias("recall"),
+        r6(F.col("e.metrics")[F.lit(KEY_F)]).alias("f_0_5"), r6(F.col("e.metrics")[F.lit(KEY_SENTIMENT)]).alias("sentiment"),
+        r6(F.col("e.metrics")[F.lit(KEY_SCORE)]).alias("ranking_score"))
+
+
 @register("o1_to_result_json")
 def q_o1(spark, sf_dir):
     fx = _fx(spark, sf_dir)

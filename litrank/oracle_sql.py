@@ -529,8 +529,17 @@ SELECT n.query_id, n.item_type,
 FROM named n LEFT JOIN lists l ON l.query_id = n.query_id AND l.item_type = n.item_type AND l.item_id = n.item_id"""
 
 
+def o1_items_sql() -> str:
+    return ranking_core("queries_flags") + f"""
+SELECT query_id, item_type, name, CAST(n_hit_item AS BIGINT) AS counter, {r6('precision')} AS precision,
+       {r6('recall')} AS recall, {r6('f_0_5')} AS f_0_5, {r6('sentiment')} AS sentiment,
+       {r6('ranking_score')} AS ranking_score
+FROM result WHERE query_id IN (SELECT query_id FROM queries WHERE NOT do_filter)
+QUALIFY row_number() OVER (PARTITION BY query_id, item_type, name ORDER BY item_id DESC) = 1"""
+
+
 ORACLES.update({
-    "o1_result_entries": o1_entries_sql(),
+    "o1_result_entries": o1_entries_sql(), "o1_item_json": o1_items_sql(),
     "b4_ingest": b4_sql(), "o1_to_result_json": o1_sql(),
     "b4_ingest_links": b4_part("SELECT * FROM alll"),
     "b4_ingest_titles": b4_part("SELECT * FROM allt"),

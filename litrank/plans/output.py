@@ -77,6 +77,30 @@ def article_rows(ranked: DataFrame, hits: DataFrame, links: DataFrame, titles: D
     return attach_article_info(lq, titles)
 
 
+def _metrics():
+    """The metrics of an item under their fixed JSON keys."""
+    return F.struct(F.col("n_hit_item").alias(KEY_HIT_PUBS),
+                    F.col("n_item").alias(KEY_ITEM_PUBS),
+                    F.col("precision").alias(KEY_PRECISION),
+                    F.col("recall").alias(KEY_RECALL),
+                    F.col("f_0_5").alias(KEY_F),
+                    F.col("sentiment").alias(KEY_SENTIMENT),
+                    F.col("ranking_score").alias(KEY_SCORE))
+
+
+def to_item_json(ranked: DataFrame, queries: DataFrame) -> DataFrame:
+    """O1 of unfiltered queries (``do_filter`` false) item by item: (query_id, item_type, name,
+    result) with result ``{"counter", "metrics"}``, the value that the item has in the JSON of
+    ``to_result_json``, whatever the number of items. Items that share a name are one, that of
+    the largest id; their articles are rows of ``article_rows``."""
+    wanted = queries.where(~F.coalesce("do_filter", F.lit(True))).select("query_id")
+    value = F.struct(F.col("n_hit_item").alias("counter"), _metrics().alias("metrics"))
+    per_name = ranked.join(wanted, "query_id", "left_semi").groupBy("query_id", "item_type", "name") \
+        .agg(F.max_by(value, "item_id").alias("_v"))
+    return per_name.select("query_id", "item_type", "name",
+                           F.to_json("_v", {"ignoreNullFields": "false"}).alias("result"))
+
+
 def to_result_json(ranked: DataFrame, queries: DataFrame, articles: DataFrame | None = None) -> DataFrame:
     """O1: (query_id, result) with result
     ``{"drugs": {name: {counter, [item_pmids], metrics}}, "targets": {...}}``.
@@ -84,14 +108,9 @@ def to_result_json(ranked: DataFrame, queries: DataFrame, articles: DataFrame |
     Items sharing a name collapse to the one with the largest item_id (the
     reference keys by name and the last id wins). Queries without any item get
     two empty maps. ``item_pmids`` is present only for queries asking for it.
+    An unfiltered query may have more items than one value should hold: ``to_item_json``
+    gives them as rows.
     """
-    metrics = F.struct(F.col("n_hit_item").alias(KEY_HIT_PUBS),
-                       F.col("n_item").alias(KEY_ITEM_PUBS),
-                       F.col("precision").alias(KEY_PRECISION),
-                       F.col("recall").alias(KEY_RECALL),
-                       F.col("f_0_5").alias(KEY_F),
-                       F.col("sentiment").alias(KEY_SENTIMENT),
-                       F.col("ranking_score").alias(KEY_SCORE))
     x = ranked
     if articles is not None:
         x = x.join(articles, ["query_id", "item_type", "item_id"], "left")
@@ -99,7 +118,7 @@ def to_result_json(ranked: DataFrame, queries: DataFrame, articles: DataFrame |
         x = x.withColumn("articles", F.lit(None).cast(ARTICLE_TYPE))
     value = F.struct(F.col("n_hit_item").alias("counter"),
                      F.coalesce("articles", F.array().cast(ARTICLE_TYPE)).alias("item_pmids"),
-                     metrics.alias("metrics"))
+                     _metrics().alias("metrics"))
     # by falling score, as R3 orders them; unfiltered queries have no rank
     place = F.struct(F.col("ranking_score").isNull().alias("none"), (-F.col("ranking_score")).alias("score"), "item_id")
     per_name = x.groupBy("query_id", "item_type", "name").agg(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from litrank.operators import links as L
 from litrank.operators import predicates as P
 from litrank.operators.containment import link_items
-from litrank.plans.output import to_result_json
+from litrank.plans.output import to_item_json, to_result_json
 from litrank.sinks import writers as W
 from litrank.sources import readers as RD
 
@@ -124,6 +124,22 @@ def test_result_json_same_name_last_id_and_empty(spark):
     assert entry["metrics"]["(Search + {}) Publications"] == 4 and entry["metrics"]["F-0.5"] == 0.3
 
 
+def test_item_json_is_the_entry_of_the_whole_result(spark):
+    ranked = spark.createDataFrame(
+        [(1, "drug", "D1", "Aspirin", 3, 9, 0.3, 0.1, 0.2, 0.0, 0.5), (1, "drug", "D2", "Aspirin", 4, 8, 0.5, 0.2, 0.3, 0.0, None),
+         (1, "target", "T1", 'a "b"', 1, 2, 0.5, 0.25, 0.4, -0.1, 0.1), (2, "drug", "D1", "Aspirin", 3, 9, 0.3, 0.1, 0.2, 0.0, 0.5)],
+        "query_id long, item_type string, item_id string, name string, n_hit_item long, n_item long, "
+        "precision double, recall double, f_0_5 double, sentiment double, ranking_score double")
+    q = spark.createDataFrame([(1, "a", False, True), (2, "b", True, False), (3, "c", None, False), (4, "d", False, False)],
+                              "query_id long, query string, do_filter boolean, with_articles boolean")
+    whole = {r.query_id: json.loads(r.result) for r in to_result_json(ranked, q).collect()}
+    items = [(r.query_id, r.item_type, r.name, json.loads(r.result)) for r in to_item_json(ranked, q).collect()]
+    assert len(items) == 2 and {i[0] for i in items} == {1}
+    for i, kind, name, entry in items:
+        assert whole[i][kind + "s"][name] == entry
+    assert to_item_json(ranked.where("false"), q).count() == 0
+
+
 def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
     links = spark.createDataFrame([(str(i % 50), f"D{i % 7}", "drug") for i in range(500)],
                                   "pmid string, item_id string, item_type string")
