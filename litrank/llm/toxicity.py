@@ -117,6 +117,19 @@ class SparseMean:
         return np.stack([np.bincount(self.vector, g[self.window], n) for g in (grad / self.size[:, None]).T], axis=1)
 
 
+def gradients(bag: SparseMean, vectors, soft, bias, y, share):
+    """Gradients, by the vectors, the softmax and its bias, of the sum over windows of ``share``
+    times the cross entropy of the window's class ``y``."""
+    avg = bag.forward(vectors)
+    z = avg @ soft + bias
+    z -= z.max(axis=1, keepdims=True)
+    err = np.exp(z)
+    err /= err.sum(axis=1, keepdims=True)
+    err[np.arange(len(y)), y] -= 1
+    err *= share[:, None]
+    return bag.backward(err @ soft.T, len(vectors)), avg.T @ err, err.sum(axis=0)
+
+
 def train(texts: list[str], labels: np.ndarray, rounds: int = 10, batch: int = 256, rate: float = 8.0,
           positive_windows: int = 6, seed: int = 7) -> ToxicityModel:
     """Joint training on a sample that is in memory."""
@@ -175,17 +188,11 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 10, batch: int = 2
             seg = np.repeat(np.arange(len(w)), n)
             local, inv = np.unique(idx, return_inverse=True)
             bag = SparseMean(seg, inv, size[w])
-            avg = bag.forward(emb[local])
-            z = avg @ soft + bias
-            z -= z.max(axis=1, keepdims=True)
-            err = np.exp(z)
-            err /= err.sum(axis=1, keepdims=True)
             y = labels[owner[w]]
-            err[np.arange(len(w)), y] -= 1
-            err *= share[y][:, None]
-            emb[local] -= (step * bag.backward(err @ soft.T, len(local))).astype(np.float32)
-            soft -= (0.02 * step / len(w) * (avg.T @ err)).astype(np.float32)
-            bias -= (0.02 * step * err.mean(axis=0)).astype(np.float32)
+            to_vectors, to_soft, to_bias = gradients(bag, emb[local], soft, bias, y, share[y])
+            emb[local] -= (step * to_vectors).astype(np.float32)
+            soft -= (0.02 * step / len(w) * to_soft).astype(np.float32)
+            bias -= (0.02 * step * to_bias / len(w)).astype(np.float32)
     weight = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
     model = ToxicityModel(weight, float(bias[1] - bias[0]), 1.0, 0.0)
     worst = np.concatenate([model.worst(buf, offs) for _, _, buf, offs in text_slices(pa.array(texts, pa.string()))])

@@ -6,10 +6,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from litrank.llm import language_mixture, pii_crf, suffix_tree, toxicity
+from litrank.llm import language_mixture, pii_crf, suffix_tree, text_arrays, toxicity
 
 EN = "the and of to in that is was he for it with as his on be at by had not are but from or have".split()
 DE = "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es".split()
@@ -112,6 +113,64 @@ def test_toxicity(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, model).count() == 0
 
 
+def test_worst_window_by_brute_force():
+    """The forward pass, one gram after another, on words of a to z."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(n))
+             for n in (1, 3, toxicity.SCORED_WINDOW, toxicity.SCORED_WINDOW + 1, 60)] + ["", "12 34"]
+    weight = np.random.default_rng(8).standard_normal(toxicity.BUCKETS).astype(np.float32)
+    model = toxicity.ToxicityModel(weight, 0.25, 1.0, 0.0)
+
+    def bucket(gram):
+        code = text_arrays.gram_codes(np.frombuffer(gram.encode(), np.uint8), len(gram))[:1]
+        return int((text_arrays.mix(code | np.uint64(len(gram) << 48)) >> np.uint64(46))[0])
+
+    def word_bucket(word):
+        b = np.frombuffer(word.encode(), np.uint8)
+        return int((text_arrays.byte_span_hashes(b, np.array([0]), np.array([len(b)])) >> np.uint64(46))[0])
+
+    want = []
+    for t in texts:
+        words = re.findall("[a-z]+", t)
+        means = []
+        for k in range(0, len(words), toxicity.SCORED_WINDOW):
+            bag = []
+            for w in words[k:k + toxicity.SCORED_WINDOW]:
+                padded = f" {w} "
+                bag += [bucket(padded[i:i + n]) for n in (3, 4, 5) for i in range(len(padded) - n + 1)] + [word_bucket(w)]
+            means.append(sum(float(weight[b]) for b in bag) / len(bag) + 0.25)
+        want.append(max(means, default=0.25))
+    got = np.concatenate([model.worst(buf, offs) for _, _, buf, offs in text_arrays.text_slices(pa.array(texts, pa.string()))])
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
+
+
+def test_gradients_by_differences():
+    rng = np.random.default_rng(9)
+    window, vector = np.repeat(np.arange(5), 4), rng.integers(0, 7, 20)
+    bag = toxicity.SparseMean(window, vector, np.full(5, 4))
+    vectors, soft, bias = rng.standard_normal((7, 3)), rng.standard_normal((3, 2)), rng.standard_normal(2)
+    y, share = np.array([0, 1, 1, 0, 1]), rng.random(5) + 0.5
+
+    def loss():
+        total = 0.0
+        for k in range(5):
+            mean = sum(vectors[v] for v in vector[window == k]) / 4
+            z = [float(mean @ soft[:, c] + bias[c]) for c in (0, 1)]
+            total += share[k] * (math.log(math.exp(z[0]) + math.exp(z[1])) - z[y[k]])
+        return total
+
+    found = toxicity.gradients(bag, vectors, soft, bias, y, share)
+    for param, grad in zip((vectors, soft, bias), found):
+        for at in np.ndindex(param.shape):
+            old = param[at]
+            param[at] = old + 1e-5
+            up = loss()
+            param[at] = old - 1e-5
+            down = loss()
+            param[at] = old
+            assert math.isclose((up - down) / 2e-5, grad[at], rel_tol=1e-5, abs_tol=1e-7)
+
+
 def test_toxicity_of_one_class(spark, no_docs):
     docs = spark.createDataFrame([(1, "some words"), (2, "more words")], "doc_id bigint, text string")
     for label, value in ((0, 0), (1, 1)):
