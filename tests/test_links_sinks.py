@@ -37,6 +37,26 @@ def test_missing_info_null_aware(spark):
     assert L.articles_missing_info(links, with_null, null_aware=True).count() == 0
 
 
+def _rows_by_task(df):
+    return sorted(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+
+
+def test_missing_info_moves_rows_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    """Narrow rows compress so well that AQE would merge all of them into one task."""
+    monkeypatch.setattr(L, "MAX_BROADCAST_HITS", 10)
+    links = spark.range(1_200_000).select((F.col("id") % 400_000).cast("string").alias("pmid"), F.lit("PubMed").alias("db_name")) \
+        .unionByName(spark.createDataFrame([(None, "PubMed")], "pmid string, db_name string"))
+    t = spark.range(0, 400_000, 4).select(F.col("id").cast("string").alias("pmid"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = L.articles_missing_info(links, t)
+        per_task = _rows_by_task(got)
+        assert sum(per_task) == 900_001 and len(per_task) == 3 and per_task[-1] < 500_000
+        assert got.where("pmid is null").count() == 1 and got.where("pmid % 4 = 0").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_drop_unusable_links_null_type(spark):
     cat = spark.createDataFrame([("d1", "a", "SmallMoleculeDrug", "solid"), ("d2", "b", None, "solid"),
                                  ("d3", "c", "SmallMoleculeDrug", "liquid")],
