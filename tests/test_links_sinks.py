@@ -57,6 +57,21 @@ def test_missing_info_moves_rows_to_as_many_tasks_as_they_need(spark, monkeypatc
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_links_of_many_hits_move_to_as_many_tasks_as_they_need(spark):
+    """Two queries with the same articles: the links of an article count for each of them."""
+    links = [(str(i % 300), f"D{i % 7}", "drug") for i in range(3000)] + [(None, "D1", "drug")]
+    hits = [(q, str(p)) for q in (1, 2) for p in range(0, 300, 2)] + [(1, None)]
+    lk = spark.createDataFrame(links, "pmid string, item_id string, item_type string")
+    h = spark.createDataFrame(hits, "query_id long, pmid string")
+    got = L.restrict_links(lk, h, max_broadcast_hits=0, rows_in_task=100)
+    per_task = _rows_by_task(got)
+    assert len(per_task) > 40 and per_task[-1] <= 300
+    want = sorted((q, p, i, k) for q, p in hits for lp, i, k in links if p is not None and p == lp)
+    cols = ["query_id", "pmid", "item_id", "item_type"]
+    assert sorted(map(tuple, got.select(cols).collect())) == want
+    assert sorted(map(tuple, L.restrict_links(lk, h).select(cols).collect())) == want
+
+
 def test_drop_unusable_links_null_type(spark):
     cat = spark.createDataFrame([("d1", "a", "SmallMoleculeDrug", "solid"), ("d2", "b", None, "solid"),
                                  ("d3", "c", "SmallMoleculeDrug", "liquid")],

@@ -36,6 +36,20 @@ def test_mean_sentiment_distinct_articles(spark):
     assert both == {"d": (3, 0.0), "e": (1, 0.0)}
 
 
+def test_scores_meet_the_links_of_many_hits_without_a_semi_join(spark, monkeypatch):
+    """Q beyond the broadcast bound: the scores move once, by the left join alone."""
+    lq = spark.createDataFrame([(1, "drug", f"d{i % 3}", str(i % 11)) for i in range(60)] + [(1, "drug", "d1", None)],
+                               "query_id long, item_type string, item_id string, pmid string")
+    s = spark.createDataFrame([(str(i), 0.5 if i % 2 else -0.5) for i in range(30)] + [(None, 0.5)],
+                              "pmid string, sentiment_score double")
+    hits = spark.createDataFrame([(1, str(i)) for i in range(11)], "query_id long, pmid string")
+    want = sorted(map(tuple, A.tp_and_sentiment(lq, s, q_pmids=hits).collect()))
+    monkeypatch.setattr(A, "MAX_BROADCAST_HITS", 0)
+    far = A.tp_and_sentiment(lq, s, q_pmids=hits)
+    assert sorted(map(tuple, far.collect())) == want and len(want) == 3
+    assert "LeftSemi" not in far._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_percentile_linear(spark):
     df = spark.createDataFrame([(1, "d", float(x)) for x in (1, 2, 3, 4)],
                                "query_id long, item_type string, precision double")
