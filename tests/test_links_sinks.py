@@ -175,6 +175,28 @@ def test_item_json_is_the_entry_of_the_whole_result(spark):
     assert to_item_json(ranked.where("false"), q).count() == 0
 
 
+def test_article_lists_of_a_batch_beyond_the_broadcast_bound(spark, monkeypatch):
+    from litrank.plans import output as O
+    links = spark.createDataFrame([(str(i % 9), f"D{i % 2}", "drug") for i in range(30)], "pmid string, item_id string, item_type string")
+    hits = spark.createDataFrame([(1, str(i)) for i in range(0, 9, 2)], "query_id long, pmid string")
+    t = titles(spark, [(str(i), "PubMed", None, f"T{i}", None) for i in range(8)] + [(None, "PubMed", None, "none", None)])
+    ranked = spark.createDataFrame([(1, "drug", f"D{i}", f"n{i}", 5, 9, 0.5, 0.5, 0.5, 0.5, 0.5) for i in range(2)],
+                                   "query_id long, item_type string, item_id string, name string, n_hit_item long, n_item long, "
+                                   "precision double, recall double, f_0_5 double, sentiment double, ranking_score double")
+    want = sorted(map(str, O.article_lists(ranked, hits, links, t).collect()))
+    joined = []
+
+    def attach(rows, meta):
+        joined.append(meta._jdf.queryExecution().optimizedPlan().toString())
+        return L.attach_article_info(rows, meta)
+    monkeypatch.setattr(O, "MAX_BROADCAST_HITS", 0)
+    monkeypatch.setattr(O, "attach_article_info", attach)
+    lists = O.article_lists(ranked, hits, links, t)
+    assert sorted(map(str, lists.collect())) == want and len(want) == 2
+    # Q cuts no titles: they move once, by the join with the links
+    assert len(joined) == 1 and "LeftSemi" not in joined[0]
+
+
 def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
     links = spark.createDataFrame([(str(i % 50), f"D{i % 7}", "drug") for i in range(500)],
                                   "pmid string, item_id string, item_type string")
