@@ -12,9 +12,9 @@ Two vectors link if their labels are equal and not null, and their cosine is at
    candidate, drops the candidates that this neighbour is close to, and so on. The adjacency
    lists that a vector got in different shards are united.
 4. In its home shard every vector walks the united graph: a greedy walk with a beam from
-   the nearest medoid, which then expands every node inside the range (and a little beyond)
-   until no new one turns up. Cosines are computed in double precision; a link is a pair found
-   with cosine >= threshold.
+   the nearest medoid and from its own node, which then expands every node inside the range (and
+   a little beyond) until no new one turns up. Cosines are computed in double precision; a link is
+   a pair found with cosine >= threshold, from either end if both walk in the shard.
 5. Links are counted with weights, and joined to components; of a shard only a forest of its
    links leaves the task.
 6. An audit compares up to ``audit`` distinct vectors, those with an id divisible by 100 first, with
@@ -98,8 +98,9 @@ def _assign(batches, pivots, margin: float):
 
 def robust_graph(x: np.ndarray, degree: int = DEGREE, near: int = CANDIDATES, alpha: float = ALPHA,
                  block: int = 256) -> list[np.ndarray]:
-    """Neighbours of each node: robust pruning of its nearest nodes and some far ones."""
-    n = len(x)
+    """Neighbours of each node: robust pruning of its nearest nodes and some far ones. Single precision
+    is enough to choose them; links are found by the cosines of ``range_walk``."""
+    n, x = len(x), x.astype(np.float32)
     rng = np.random.default_rng(n)
     far = min(16, max(0, n - 1))
     out = []
@@ -119,6 +120,7 @@ def robust_graph(x: np.ndarray, degree: int = DEGREE, near: int = CANDIDATES, al
         dist = np.sqrt(np.maximum(2 - 2 * own, 0))
         alive = np.isfinite(own)
         vec = x[cand]
+        gram = vec @ vec.transpose(0, 2, 1)
         keep = [[] for _ in rows]
         every = np.arange(len(rows))
         for _ in range(degree):
@@ -128,7 +130,7 @@ def robust_graph(x: np.ndarray, degree: int = DEGREE, near: int = CANDIDATES, al
             best = alive.argmax(axis=1)
             for r in every[some]:
                 keep[r].append(cand[r, best[r]])
-            between = np.einsum("bcd,bd->bc", vec, vec[every, best])
+            between = gram[every, best]
             alive &= alpha * np.sqrt(np.maximum(2 - 2 * between, 0)) > dist
             alive[every, best] = False
         out += [np.array(v, np.int64) for v in keep]
@@ -144,9 +146,11 @@ def _build(table):
 
 
 def range_walk(x: np.ndarray, near: list[np.ndarray], queries: np.ndarray, threshold: float, beam: int,
-                 block: int = 256):
+               block: int = 256, own: np.ndarray | None = None):
     """Yield (queries, nodes) index pairs with cosine >= threshold that the walk meets.
-    ``near`` are local neighbour lists, used in both directions."""
+    ``near`` are local neighbour lists, used in both directions; ``own`` has the node of a query
+    that is a node itself (else -1), where its walk starts as well. A query keeps the ``beam`` best
+    nodes it met, so that a step costs what it meets, whatever the number of nodes."""
     n = len(x)
     src = np.repeat(np.arange(n), [len(v) for v in near])
     dst = np.concatenate(near) if n else np.zeros(0, np.int64)
@@ -162,44 +166,56 @@ def range_walk(x: np.ndarray, near: list[np.ndarray], queries: np.ndarray, thres
     medoids = np.array([np.flatnonzero(cell == cell_no)[k] for cell_no, k in
                         zip([c for c in range(len(seeds)) if (cell == c).any()], medoids)])
     slack = np.cos(np.arccos(threshold) * 1.25)        # expand nodes a little outside the range
+    own = np.full(len(queries), -1) if own is None else own
     for lo in range(0, len(queries), block):
-        q = queries[lo:lo + block]
+        q, self_at = queries[lo:lo + block], own[lo:lo + block]
         rows = np.arange(len(q))
-        seen = np.full((len(q), n), -np.inf, np.float64)
-        fresh = np.zeros((len(q), n), bool)            # met and not yet expanded
+        seen = np.zeros(len(q) * n, bool)
+        mark = np.zeros(len(q) * n, np.int32)          # picks one of equal pairs
+        pool = np.full((len(q), beam), -np.inf)        # the best nodes met so far, in no order
+        at = np.zeros((len(q), beam), np.int64)
+        fresh = np.zeros((len(q), beam), bool)         # not yet expanded
         start = medoids[(q @ x[medoids].T).argmax(axis=1)]
-        seen[rows, start] = np.einsum("bd,bd->b", q, x[start])
-        fresh[rows, start] = True
-        active = rows
-        floor = np.full(len(q), -np.inf)
-        while len(active):
-            value = np.where(fresh[active], seen[active], -np.inf)
-            k = min(4, n)
-            top = np.argpartition(-value, k - 1, axis=1)[:, :k]
-            best = np.take_along_axis(value, top, axis=1)
-            go = (best >= np.minimum(floor[active], slack)[:, None]) & np.isfinite(best)
-            r, node = np.repeat(active, go.sum(axis=1)), top[go]
-            within = value >= slack                     # in range: all at once
-            wr, wn = np.nonzero(within)
-            r, node = np.concatenate([r, active[wr]]), np.concatenate([node, wn])
-            if not len(r):
-                break
-            fresh[r, node] = False
+        selves = (self_at >= 0) & (self_at != start)
+        r, node = np.concatenate([rows, rows[selves]]), np.concatenate([start, self_at[selves]])
+        found = []
+        while len(r):
+            seen[r * n + node] = True
+            value = np.concatenate([np.einsum("bd,bd->b", q[r[s:s + 65536]], x[node[s:s + 65536]])
+                                    for s in range(0, len(r), 65536)])
+            hit, within = value >= threshold, value >= slack
+            found.append((r[hit], node[hit]))
+            wide = r[within], node[within]              # in range: expanded all at once
+            better = value > pool.min(axis=1)[r]
+            r, node, value, within = r[better], node[better], value[better], within[better]
+            order = np.lexsort((-value, r))
+            r, node, value, within = r[order], node[order], value[order], within[order]
+            some, first, size = np.unique(r, return_index=True, return_counts=True)
+            rank = np.arange(len(r)) - np.repeat(first, size)
+            top = rank < beam
+            line, rank = np.repeat(np.arange(len(some)), size)[top], rank[top]
+            width = int(rank.max()) + 1 if len(rank) else 0
+            new = np.full((len(some), width), -np.inf)
+            new_at, new_fresh = np.zeros(new.shape, np.int64), np.zeros(new.shape, bool)
+            new[line, rank], new_at[line, rank], new_fresh[line, rank] = value[top], node[top], ~within[top]
+            every = np.concatenate([pool[some], new], axis=1)
+            best = np.argpartition(-every, beam - 1, axis=1)[:, :beam]
+            pool[some] = np.take_along_axis(every, best, axis=1)
+            at[some] = np.take_along_axis(np.concatenate([at[some], new_at], axis=1), best, axis=1)
+            fresh[some] = np.take_along_axis(np.concatenate([fresh[some], new_fresh], axis=1), best, axis=1)
+            value = np.where(fresh, pool, -np.inf)
+            top = np.argpartition(-value, min(4, beam) - 1, axis=1)[:, :min(4, beam)]
+            go, place = np.nonzero(np.isfinite(np.take_along_axis(value, top, axis=1)))
+            place = top[go, place]
+            fresh[go, place] = False
+            r, node = np.concatenate([go, wide[0]]), np.concatenate([at[go, place], wide[1]])
             d = degree[node]
-            rr = np.repeat(r, d)
-            nn = dst[np.repeat(begin[node] - (np.cumsum(d) - d), d) + np.arange(int(d.sum()))]
-            pair = np.unique(rr * n + nn)
-            rr, nn = pair // n, pair % n
-            new = np.isneginf(seen[rr, nn])
-            rr, nn = rr[new], nn[new]
-            for s in range(0, len(rr), 65536):
-                a, b = rr[s:s + 65536], nn[s:s + 65536]
-                seen[a, b] = np.einsum("bd,bd->b", q[a], x[b])
-            fresh[rr, nn] = True
-            if n > beam:
-                floor[active] = np.partition(seen[active], n - beam, axis=1)[:, n - beam]
-            active = active[go.any(axis=1) | within.any(axis=1)]
-        a, b = np.nonzero(seen >= threshold)
+            pair = np.repeat(r, d) * n + dst[np.repeat(begin[node] - (np.cumsum(d) - d), d) + np.arange(int(d.sum()))]
+            pair = pair[~seen[pair]]
+            mark[pair] = np.arange(len(pair))
+            pair = pair[mark[pair] == np.arange(len(pair))]
+            r, node = pair // n, pair % n
+        a, b = (np.concatenate(v) for v in zip(*found))
         yield a + lo, b
 
 
@@ -221,17 +237,20 @@ def _walk_shard(table, threshold: float, beam: int):
         v = np.array(near[k] or [], np.int64)
         at = np.minimum(np.searchsorted(nodes, v), len(nodes) - 1)
         local.append(at[nodes[at] == v])
-    count = np.zeros(len(q_ids), np.int64)
     names = np.unique(np.concatenate([nodes, q_ids]))
     q_at, n_at = np.searchsorted(names, q_ids), np.searchsorted(names, nodes)
     label = np.arange(len(names))
-    kept = []
-    for a, b in range_walk(node_x, local, q_x, threshold, beam):
-        other = nodes[b] != q_ids[a]
-        a, b = a[other], b[other]
-        count += np.bincount(a, node_w[b], len(q_ids)).astype(np.int64)
-        kept.append((q_at[a], n_at[b]))
-    a, b = (np.concatenate(v) for v in zip(*kept))
+    own = np.minimum(np.searchsorted(nodes, q_ids), len(nodes) - 1)
+    own = np.where(nodes[own] == q_ids, own, -1)
+    linked = np.zeros((len(q_ids), len(nodes)), bool)
+    for a, b in range_walk(node_x, local, q_x, threshold, beam, own=own):
+        linked[a, b] = True
+    both = np.flatnonzero(own >= 0)                     # a pair met from one end is a link of the other too
+    linked[np.ix_(both, own[both])] |= linked[np.ix_(both, own[both])].T
+    linked[both, own[both]] = False
+    count = np.array([node_w[row].sum() for row in linked], np.int64)
+    a, b = np.nonzero(linked)
+    a, b = q_at[a], n_at[b]
     while len(a):                                       # smallest name along the links
         low = np.minimum(label[a], label[b])
         new = label.copy()

@@ -247,6 +247,28 @@ def test_robust_graph_prunes_and_reaches():
     assert found <= true and len(found) >= 0.98 * len(true)
 
 
+def test_walk_starts_from_the_node_of_a_query_too():
+    """A graph of pairs: from a medoid nothing but its own partner can be reached."""
+    rng = np.random.default_rng(5)
+    one = rng.standard_normal((150, 12))
+    x = np.concatenate([one, one + 0.01 * rng.standard_normal((150, 12))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    partner = (np.arange(300) + 150) % 300
+    true = set(zip(*(v.tolist() for v in np.nonzero(x @ x.T >= 0.98))))
+    assert len(true) == 600
+    found = set()
+    for a, b in embedding_graph.range_walk(x, list(partner[:, None]), x, 0.98, 8, own=np.arange(300)):
+        found |= set(zip(a.tolist(), b.tolist()))
+    assert found == true
+    ids, none = np.arange(300) * 7, [None] * 300
+    unit = pa.table({"query": [False] * 300 + [True] * 300, "class_id": np.tile(ids, 2), "weight": np.tile(ids % 5 + 1, 2),
+                     "embedding": np.tile(x, (2, 1)).tolist(), "near": pa.array(ids[partner][:, None].tolist() + none)})
+    got = embedding_graph._walk_shard(unit, 0.98, 8).to_pylist()
+    assert {r["class_id"]: r["n_links"] for r in got if r["class_id"] is not None} == \
+        {int(i): int(i2 % 5 + 1) for i, i2 in zip(ids, ids[partner])}
+    assert {(r["a"], r["b"]) for r in got if r["a"] is not None} == {(int(i) + 1050, int(i)) for i in ids[:150]}
+
+
 def test_audit_sees_rare_links_beside_a_huge_group(spark):
     """One group has nearly all links; the pairs are cut apart by shards without a margin."""
     rng = np.random.default_rng(9)
