@@ -6,8 +6,9 @@ Two vectors link if their labels are equal and not null, and their cosine is at
 1. Equal vectors of a label are one class with a weight, so that a vector that is repeated a
    million times is one node.
 2. The vectors of a label are cut into cluster shards around pivots (a sampled vector for each
-   ``shard`` vectors, at most MOST_PIVOTS in all). Shards overlap: a vector belongs to every
-   pivot that is at most ``margin`` radians farther than the nearest one, its home.
+   ``shard`` vectors, at most MOST_PIVOTS in all), no two of them within twice the angle of the
+   threshold, so that whatever links with a pivot has it as its nearest. Shards overlap: a vector
+   belongs to every pivot that is at most ``margin`` radians farther than the nearest one, its home.
 3. Each shard builds a robust-pruned graph (Subramanya et al. 2019): a node keeps its nearest
    candidate, drops the candidates that this neighbour is close to, and so on. The adjacency
    lists that a vector got in different shards are united.
@@ -66,6 +67,21 @@ def _vectors(column) -> np.ndarray:
 
 # --- shards ------------------------------------------------------------------------------------
 
+def spread_pivots(x: np.ndarray, wanted: int, apart: float) -> np.ndarray:
+    """Up to ``wanted`` of the unit vectors ``x``, in their order, each more than ``apart`` radians from
+    those before it. Two pivots inside one group of similar vectors would each miss the other, and
+    every vector of the group with one of them as its home would lose a link."""
+    kept = np.empty((min(wanted, len(x)), x.shape[1]))
+    n, bound = 0, np.cos(min(apart, np.pi))
+    for v in x:
+        if n == len(kept):
+            break
+        if not n or (kept[:n] @ v).max() < bound:
+            kept[n] = v
+            n += 1
+    return kept[:n]
+
+
 def _assign(batches, pivots, margin: float):
     """(shard, class, home) of each vector; groups without pivots are one shard."""
     table = pivots.value
@@ -371,13 +387,17 @@ def _graph_links(nodes: DataFrame, threshold: float, shard: int, margin: float,
     total = nodes.count()
     target = max(shard, total // MOST_PIVOTS)
     sizes = nodes.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > 2 * target)
-    share = F.lit(float(2 ** 31)) * F.ceil(F.col("n") / target) / F.col("n")
-    chosen = nodes.join(F.broadcast(sizes), "grp") \
-        .where(F.pmod(F.xxhash64("class_id", F.lit(2)), F.lit(2 ** 31)) < share).select("grp", "embedding").toArrow()
+    wanted, order = F.ceil(F.col("n") / target), F.pmod(F.xxhash64("class_id", F.lit(2)), F.lit(2 ** 31))
+    # twice as many as wanted, as some are too near to others
+    chosen = nodes.join(F.broadcast(sizes), "grp").where(order < F.lit(float(2 ** 32)) * wanted / F.col("n")) \
+        .select("grp", "embedding", wanted.cast("int").alias("wanted"), order.alias("order"), "class_id").toArrow() \
+        .sort_by([("order", "ascending"), ("class_id", "ascending")]).combine_chunks()
     pivots: dict[str, np.ndarray] = {}
     names = np.array(chosen.column(0).to_pylist(), object)
+    apart = 2 * float(np.arccos(min(threshold, 1.0)))
     for g in sorted(set(names)):
-        pivots[g] = _vectors(chosen.column(1).combine_chunks().take(pa.array(np.flatnonzero(names == g))))
+        own = chosen.take(pa.array(np.flatnonzero(names == g)))
+        pivots[g] = spread_pivots(_vectors(own.column(1)), own.column(2)[0].as_py(), apart)
     shared = spark.sparkContext.broadcast(pivots)
     members = nodes.mapInArrow(lambda b: _assign(b, shared, margin),
                                "shard string, class_id bigint, home boolean, embedding array<double>, weight bigint")

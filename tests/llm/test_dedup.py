@@ -293,3 +293,29 @@ def test_few_links_prove_nothing():
     assert embedding_graph.audited(1.0, embedding_graph.PROOF, False, 0.99)
     assert not embedding_graph.audited(1.0, embedding_graph.PROOF - 1, False, 0.99)
     assert embedding_graph.audited(1.0, 0, True, 0.99) and not embedding_graph.audited(0.98, 500, True, 0.99)
+
+
+def test_pivots_inside_one_group_lose_no_links(spark):
+    """Several of a group's vectors are sampled as pivots; the first round has to find the links to them."""
+    rng = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = np.concatenate([unit(unit(rng.standard_normal(32)) + 0.018 * rng.standard_normal((150, 32))),
+                        unit(rng.standard_normal((250, 32)))])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    true = (x @ x.T >= 0.98).sum(axis=1) - 1
+    assert (true[:150] > 140).all() and (true[150:] == 0).all()
+    got = {r.vec_id: r.n_links for r in embedding_graph.near_duplicates(df, shard=20, recall=0.0).collect()}
+    assert sum(got[i] < true[i] for i in range(400)) <= 4 and all(got[i] <= true[i] for i in range(400))
+
+
+def test_pivots_are_apart_and_as_many_as_wanted():
+    rng = np.random.default_rng(13)
+    one = rng.standard_normal((40, 8))
+    x = np.concatenate([one, one + 0.01 * rng.standard_normal((40, 8)), -one])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = embedding_graph.spread_pivots(x, 30, 0.4)
+    cos = got @ got.T - 2 * np.eye(len(got))
+    assert len(got) == 30 and cos.max() < np.cos(0.4) and (got[0] == x[0]).all()
+    all_of = embedding_graph.spread_pivots(x, 500, 0.4)
+    assert len(all_of) <= 80 and ((x @ all_of.T).max(axis=1) >= np.cos(0.4)).all()
+    assert len(embedding_graph.spread_pivots(x, 30, 7.0)) == 1
